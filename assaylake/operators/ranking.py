@@ -44,22 +44,26 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int = 256, rel_err: floa
 
 
 def running_sums(df: DataFrame, bucket: Column, order: Sequence[Column],
-                 values: dict[str, Column], exclusive: bool = False) -> DataFrame:
-    """Add global running sums of ``values`` in (bucket, *order) order.
-
-    ``order`` must make the order total within a bucket (add a key)."""
+                 values: dict[str, Column], exclusive: bool = False,
+                 partition: Sequence[str] = ()) -> DataFrame:
+    """Add running sums of ``values`` in (bucket, *order) order, restarted per
+    ``partition`` key. ``order`` must make the order total within a bucket.
+
+    Without ``partition`` the per-bucket offsets table has at most one row per
+    bucket and is broadcast; with it, it is joined on the keys (AQE turns the
+    join into a broadcast when it is small at run time)."""
     b = "_rs_bucket"
+    keys = list(partition)
     d = df.withColumn(b, bucket)
     for name, v in values.items():
         d = d.withColumn(f"_rs_v_{name}", v)
-    totals = d.groupBy(b).agg(*[F.sum(f"_rs_v_{n}").alias(f"_rs_t_{n}") for n in values])
-    wt = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    # totals has at most one row per bucket: a bounded table, safe on one task
-    offsets = totals.select(b, *[F.coalesce(F.sum(f"_rs_t_{n}").over(wt), F.lit(0)).alias(f"_rs_o_{n}")
-                                 for n in values])
-    d = d.join(F.broadcast(offsets), b)
+    totals = d.groupBy(*keys, b).agg(*[F.sum(f"_rs_v_{n}").alias(f"_rs_t_{n}") for n in values])
+    wt = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, b, *[F.coalesce(F.sum(f"_rs_t_{n}").over(wt), F.lit(0)).alias(f"_rs_o_{n}")
+                                        for n in values])
+    d = d.join(F.broadcast(offsets) if not keys else offsets, keys + [b])
     end = -1 if exclusive else 0
-    wb = Window.partitionBy(b).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    wb = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     for n in values:
         d = d.withColumn(n, F.coalesce(F.sum(f"_rs_v_{n}").over(wb), F.lit(0)) + F.col(f"_rs_o_{n}"))
     drop = [b] + [f"_rs_v_{n}" for n in values] + [f"_rs_o_{n}" for n in values]
@@ -67,10 +71,12 @@ def running_sums(df: DataFrame, bucket: Column, order: Sequence[Column],
 
 
 def global_rank(df: DataFrame, h: str, tie: Sequence[str], name: str = "rank",
-                bits: int = HASH_BUCKET_BITS) -> DataFrame:
-    """1-based rank by (h, *tie) where ``h`` is a uniform 32-bit hash column."""
+                bits: int = HASH_BUCKET_BITS, partition: Sequence[str] = ()) -> DataFrame:
+    """1-based rank by (h, *tie) where ``h`` is a uniform 32-bit hash column;
+    restarted per ``partition`` key (a hot key is still split by bucket)."""
     order = [F.col(h)] + [F.col(t) for t in tie]
-    out = running_sums(df, hash_bucket(h, bits), order, {name: F.lit(1).cast("bigint")})
+    out = running_sums(df, hash_bucket(h, bits), order, {name: F.lit(1).cast("bigint")},
+                       partition=partition)
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 

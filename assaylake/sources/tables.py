@@ -173,3 +173,117 @@ SELECT 'u' || CAST(user_id AS VARCHAR) AS head, event_type AS relation,
        CASE WHEN day(ts) <= 20 THEN 'train' WHEN day(ts) <= 25 THEN 'valid' ELSE 'test' END AS file,
        event_id AS line
 FROM events"""
+
+
+def assay_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled assay rows with some damaged structure strings:
+    every 13th molecule loses its last 3 characters, every 17th is empty."""
+    m = molecules(spark, sf_dir)
+    s = F.when(F.pmod(F.col("mol_id"), F.lit(17)) == 0, F.lit("")).when(
+        F.pmod(F.col("mol_id"), F.lit(13)) == 0,
+        F.expr("substring(smiles, 1, length(smiles) - 3)")).otherwise(F.col("smiles"))
+    return m.select("mol_id", s.alias("smiles"), "pic50", "active")
+
+
+ASSAY_RAW_SQL = f"""
+SELECT mol_id,
+       CASE WHEN mol_id % 17 = 0 THEN '' WHEN mol_id % 13 = 0 THEN substring(smiles, 1, length(smiles) - 3)
+            ELSE smiles END AS smiles,
+       pic50, active
+FROM ({MOLECULES_SQL}) m"""
+
+
+def bioactivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """12-column bioactivity table derived from ``part`` + molecules."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    m = molecules(spark, sf_dir)
+    j = m.join(p, m.mol_id == p.p_partkey)
+    return j.select(
+        F.upper(F.substring(F.md5("smiles"), 1, 14)).alias("Ambit_InchiKey"),
+        F.concat(F.lit("E"), F.col("mol_id").cast("string")).alias("Original_Entry_ID"),
+        F.col("p_size").cast("bigint").alias("Entrez_ID"),
+        F.when(F.col("active"), "A").otherwise("N").alias("Activity_Flag"),
+        F.col("pic50").alias("pXC50"),
+        F.when(F.pmod(F.col("mol_id"), F.lit(2)) == 0, "chembl").otherwise("pubchem").alias("DB"),
+        F.pmod(F.col("mol_id"), F.lit(97)).alias("Original_Assay_ID"),
+        F.lit(9606).cast("bigint").alias("Tax_ID"),
+        F.col("p_brand").alias("Gene_Symbol"),
+        F.pmod(F.col("p_size"), F.lit(10)).cast("bigint").alias("Ortholog_Group"),
+        F.concat(F.lit("InChI=1S/"), F.col("smiles")).alias("InChI"),
+        F.col("smiles").alias("SMILES"),
+    )
+
+
+BIOACTIVITY_SQL = f"""
+SELECT upper(substring(md5(m.smiles), 1, 14)) AS Ambit_InchiKey,
+       'E' || CAST(m.mol_id AS VARCHAR) AS Original_Entry_ID,
+       CAST(p.p_size AS BIGINT) AS Entrez_ID,
+       CASE WHEN m.active THEN 'A' ELSE 'N' END AS Activity_Flag,
+       m.pic50 AS pXC50,
+       CASE WHEN m.mol_id % 2 = 0 THEN 'chembl' ELSE 'pubchem' END AS DB,
+       m.mol_id % 97 AS Original_Assay_ID,
+       CAST(9606 AS BIGINT) AS Tax_ID,
+       p.p_brand AS Gene_Symbol,
+       CAST(p.p_size % 10 AS BIGINT) AS Ortholog_Group,
+       'InChI=1S/' || m.smiles AS InChI,
+       m.smiles AS SMILES
+FROM ({MOLECULES_SQL}) m JOIN part p ON m.mol_id = p.p_partkey"""
+
+
+# The descriptor stand-in features, name -> substring counted in
+# the structure string (P and I never occur, so their columns are all zero).
+COUNT_FEATURES = [("n_arom_c", "c"), ("n_n", "N"), ("n_o", "O"), ("n_s", "S"), ("n_cl", "Cl"),
+                  ("n_br", "Br"), ("n_branch", "("), ("n_double", "="), ("n_triple", "#"),
+                  ("n_charge", "+"), ("n_p", "P"), ("n_i", "I")]
+
+
+def _count(s: Column, sub: str) -> Column:
+    return ((F.length(s) - F.length(F.replace(s, F.lit(sub), F.lit("")))) / F.lit(len(sub))).cast("double")
+
+
+def mol_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide descriptor table ``(mol_id, split, n_*..., len, ring_per_branch)``;
+    ``ring_per_branch`` is null when a molecule has no branch. ``split`` is a
+    hash split (80% train)."""
+    m = molecules(spark, sf_dir)
+    s = F.col("smiles")
+    cols = [_count(s, sub).alias(n) for n, sub in COUNT_FEATURES]
+    ring = (F.length(s) - F.length(F.regexp_replace(s, "[0-9]", ""))).cast("double")
+    nb = _count(s, "(")
+    return m.select(
+        "mol_id",
+        F.when(uniform("mol_id", seed=1) < 0.8, "train").otherwise("test").alias("split"),
+        *cols,
+        F.length(s).cast("double").alias("len"),
+        F.when(nb > 0, ring / nb).alias("ring_per_branch"),
+    )
+
+
+def _sql_count(sub: str) -> str:
+    return f"CAST((length(smiles) - length(replace(smiles, '{sub}', ''))) / {len(sub)} AS DOUBLE)"
+
+
+MOL_DESCRIPTORS_SQL = f"""
+SELECT mol_id,
+       CASE WHEN {sql_uniform('mol_id', seed=1)} < 0.8 THEN 'train' ELSE 'test' END AS split,
+       {", ".join(f"{_sql_count(sub)} AS {n}" for n, sub in COUNT_FEATURES)},
+       CAST(length(smiles) AS DOUBLE) AS len,
+       CASE WHEN {_sql_count('(')} > 0
+            THEN CAST(length(smiles) - length(regexp_replace(smiles, '[0-9]', '', 'g')) AS DOUBLE) / {_sql_count('(')}
+       END AS ring_per_branch
+FROM ({MOLECULES_SQL}) m"""
+
+DESCRIPTOR_NAMES = [n for n, _ in COUNT_FEATURES] + ["len", "ring_per_branch"]
+
+
+def mol_features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long form ``(mol_id, split, feature, value)`` of :func:`mol_descriptors`."""
+    d = mol_descriptors(spark, sf_dir)
+    pairs = ", ".join(f"'{n}', {n}" for n in DESCRIPTOR_NAMES)
+    return d.selectExpr("mol_id", "split", f"stack({len(DESCRIPTOR_NAMES)}, {pairs}) AS (feature, value)")
+
+
+MOL_FEATURES_LONG_SQL = f"""
+SELECT mol_id, split, feature, value
+FROM ({MOL_DESCRIPTORS_SQL}) d
+UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(DESCRIPTOR_NAMES)}))"""
