@@ -165,15 +165,18 @@ def neighbor_sum(feats: DataFrame, edges: DataFrame, key: str = "g", eps: float
         key, "node", "dim", (F.lit(1.0 + eps) * F.col("x") + F.coalesce(F.col("_agg"), F.lit(0.0))).alias("x"))
 
 
-def neighbor_mean(feats: DataFrame, edges: DataFrame, key: str = "g", weight: str | None = None) -> DataFrame:
+def neighbor_mean(feats: DataFrame, edges: DataFrame, key: str = "g", weight: str | None = None,
+                  with_parts: bool = False) -> DataFrame:
     """Row-normalised D^-1 (A + I) X with optional edge weights (self weight 1)."""
     w = F.col(weight) if weight else F.lit(1.0)
     e = edges.select(key, "src", "dst", w.alias("w"))
     selfe = feats.select(key, F.col("node").alias("src"), F.col("node").alias("dst")).distinct().withColumn("w", F.lit(1.0))
     e = e.unionByName(selfe)
     j = e.join(feats.withColumnRenamed("node", "src"), [key, "src"])
-    return j.groupBy(key, F.col("dst").alias("node"), "dim").agg(
-        (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    out = j.groupBy(key, F.col("dst").alias("node"), "dim").agg(
+        F.sum(F.col("w") * F.col("x")).alias("wx_sum"), F.sum("w").alias("w_sum"))
+    out = out.withColumn("x", F.col("wx_sum") / F.col("w_sum"))
+    return out if with_parts else out.drop("wx_sum", "w_sum")
 
 
 def neighbor_symnorm(feats: DataFrame, edges: DataFrame, key: str = "g") -> DataFrame:

@@ -273,13 +273,17 @@ def q_neighbor_sum(spark, sf):
 
 
 @query("neighbor_mean", with_ctes(f"""
-SELECT node, dim, {r("sum(w * x) / sum(w)", 4)} AS x FROM (
+SELECT node, dim, {r("sum(w * x)")} AS wx_sum, {r("sum(w)")} AS w_sum FROM (
   SELECT e.dst AS node, f.dim, CAST(e.cnt AS DOUBLE) AS w, f.x FROM be e JOIN bf f ON e.src = f.node
   UNION ALL SELECT node, dim, 1.0 AS w, x FROM bf) t GROUP BY node, dim""", **BIP))
 def q_neighbor_mean(spark, sf):
+    """Weighted neighbour mean, reported as numerator and denominator
+    (their ratio is the mean; exact halves make a rounded ratio engine-
+    dependent)."""
     _, e, feats = bip(spark, sf)
     e = e.withColumn("w", F.col("cnt").cast("double"))
-    return rounded(G.neighbor_mean(feats, e, key="g", weight="w").select("node", "dim", "x"), 4)
+    m = G.neighbor_mean(feats, e, key="g", weight="w", with_parts=True)
+    return rounded(m.select("node", "dim", "wx_sum", "w_sum"))
 
 
 @query("neighbor_symnorm", with_ctes(f"""
