@@ -1 +1,72 @@
-"""Registered queries."""
+"""Registered aggregate / window queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..sources import tables as S
+from .common import r, rounded
+from .registry import query, with_ctes
+
+
+def stat_pool(df, group, value="x", only_mean=False):
+    """Mean, or mean / sample std / median / max / min over the sequence
+    axis (one aggregate pass per group)."""
+    aggs = [F.avg(value).alias("mean")]
+    if not only_mean:
+        aggs += [F.stddev_samp(value).alias("std"), F.median(value).alias("median"),
+                 F.max(value).alias("max"), F.min(value).alias("min")]
+    return df.groupBy(*group).agg(*aggs)
+
+
+@query("stat_pool", with_ctes(f"""
+SELECT id, {r('avg(x)')} AS mean, {r('stddev_samp(x)')} AS std, {r('median(x)')} AS median,
+       {r('max(x)')} AS max, {r('min(x)')} AS min FROM vl GROUP BY id""", vl=S.VECTOR_LONG_SQL))
+def q_stat_pool(spark, sf):
+    return rounded(stat_pool(S.vector_long(spark, sf), ["id"]))
+
+
+def cross_covariance(a, b, key="id", ridge=1e-5):
+    """Centred cross-covariance of two views (long form ``(key, i, x)`` and
+    ``(key, j, y)``) and the auto-covariance of view a with a ridge on the
+    diagonal. Dimensions are fixed and small, so the per-row (i, j) grid is
+    bounded by dims^2."""
+    cross = a.join(b, key).groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"))
+    a2 = a.select(key, F.col("i").alias("j"), F.col("x").alias("y"))
+    auto = a.join(a2, key).groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov")).withColumn(
+        "cov", F.when(F.col("i") == F.col("j"), F.col("cov") + F.lit(ridge)).otherwise(F.col("cov")))
+    return cross.withColumn("kind", F.lit("cross")).unionByName(auto.withColumn("kind", F.lit("auto")))
+
+
+@query("cross_covariance", with_ctes(f"""
+SELECT 'cross' AS kind, a.dim AS i, b.dim - 8 AS j, {r('covar_samp(a.x, b.x)')} AS cov
+FROM vl a JOIN vl b ON a.id = b.id WHERE a.dim < 8 AND b.dim >= 8 AND b.dim < 16 GROUP BY a.dim, b.dim
+UNION ALL
+SELECT 'auto' AS kind, a.dim AS i, b.dim AS j,
+       {r('covar_samp(a.x, b.x) + CASE WHEN a.dim = b.dim THEN 0.00001 ELSE 0 END')} AS cov
+FROM vl a JOIN vl b ON a.id = b.id WHERE a.dim < 8 AND b.dim < 8 GROUP BY a.dim, b.dim""", vl=S.VECTOR_LONG_SQL))
+def q_cross_covariance(spark, sf):
+    vl = S.vector_long(spark, sf)
+    a = vl.where("dim < 8").select("id", F.col("dim").alias("i"), "x")
+    b = vl.where("dim >= 8 AND dim < 16").select("id", (F.col("dim") - 8).alias("j"), F.col("x").alias("y"))
+    return rounded(cross_covariance(a, b).select("kind", "i", "j", "cov"))
+
+
+@query("class_count", "SELECT CAST(max(label) + 1 AS BIGINT) AS num_classes FROM embeddings")
+def q_class_count(spark, sf):
+    e = S.table(spark, sf, "embeddings")
+    return e.agg((F.max("label") + 1).cast("bigint").alias("num_classes"))
+
+
+@query("score_delta", f"""
+SELECT event_id, user_id, {r('reward')} AS reward, {r('sum(reward) OVER (PARTITION BY user_id ORDER BY ts, event_id)')} AS total
+FROM (SELECT event_id, user_id, ts, value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0.0) AS reward
+      FROM events) t""")
+def q_score_delta(spark, sf):
+    ev = S.table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    d = ev.withColumn("reward", F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0)))
+    # running total of the deltas telescopes to the latest score
+    d = d.withColumn("total", F.col("value"))
+    return rounded(d.select("event_id", "user_id", "reward", "total"))
