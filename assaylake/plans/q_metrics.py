@@ -222,3 +222,41 @@ FROM (SELECT shift, scale,
 ORDER BY valid_mean, shift, scale LIMIT 1""", predictions=S.PREDICTIONS_SQL, grid=_grid_sql()))
 def q_best_by_metric(spark, sf):
     return rounded(M.best_by_metric(grid_results(spark, sf), ["shift", "scale"], mode="min"))
+
+
+CONTRAST_SQL = f"""
+SELECT a.batch, count(*) AS n, {r("avg(lse - sii / 0.5)")} AS contrast, {r("avg(lse_off - sii)")} AS infonce
+FROM (SELECT x.batch, x.id,
+             max(CASE WHEN x.id = y.id THEN d END) AS sii,
+             ln(sum(exp(d / 0.5))) AS lse,
+             ln(sum(CASE WHEN x.id <> y.id THEN exp(d) END)) AS lse_off
+      FROM (SELECT x.batch, x.id, y.id AS yid,
+                   list_sum(list_transform(range(1, 33), lambda k: x.vec[k] * y.vec[k + 32])) AS d
+            FROM bv x JOIN bv y ON x.batch = y.batch) p
+      JOIN bv x ON p.id = x.id JOIN bv y ON p.yid = y.id
+      GROUP BY x.batch, x.id) a
+GROUP BY a.batch"""
+
+
+def _batched_vectors(spark, sf):
+    v = S.vectors(spark, sf).withColumn("_h", hash32("id", seed=21))
+    v = global_rank(v, "_h", ["id"]).withColumn("batch", F.floor((F.col("rank") - 1) / 50).cast("bigint"))
+    return v.select("batch", "id", F.slice("vec", 1, 32).alias("va"), F.slice("vec", 33, 32).alias("vb"))
+
+
+@query("contrast_two_view", with_ctes(f"""
+SELECT batch, n, contrast FROM c""", vectors=S.VECTORS_SQL, bv=f"""
+SELECT id, vec, (row_number() OVER (ORDER BY {sql_hash32('id', seed=21)}, id) - 1) // 50 AS batch FROM vectors""",
+                                      c=CONTRAST_SQL))
+def q_contrast_two_view(spark, sf):
+    out = M.contrast_losses(_batched_vectors(spark, sf), "batch", "id", "va", "vb", temperature=0.5)
+    return rounded(out.select("batch", "n", "contrast"))
+
+
+@query("infonce_matrix", with_ctes(f"""
+SELECT batch, n, infonce FROM c""", vectors=S.VECTORS_SQL, bv=f"""
+SELECT id, vec, (row_number() OVER (ORDER BY {sql_hash32('id', seed=21)}, id) - 1) // 50 AS batch FROM vectors""",
+                                   c=CONTRAST_SQL))
+def q_infonce(spark, sf):
+    out = M.contrast_losses(_batched_vectors(spark, sf), "batch", "id", "va", "vb", temperature=0.5)
+    return rounded(out.select("batch", "n", "infonce"))
