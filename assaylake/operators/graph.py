@@ -263,3 +263,36 @@ def readout(feats: DataFrame, key: str = "g", how: str = "sum") -> DataFrame:
     if how == "maxmean":
         return g.agg(F.max("x").alias("x_max"), F.avg("x").alias("x_mean"))
     raise ValueError(how)
+
+
+def shortest_paths(edges: DataFrame, nodes: DataFrame, key: str = "g", max_rounds: int = 1000) -> DataFrame:
+    """All reachable pairs with one shortest path each: among equal-length
+    paths the lexicographically smallest node sequence is kept (``min`` over
+    arrays in the group-by). Returns ``(key, i, j, dist, path)``."""
+    e = edges.select(key, "src", "dst").distinct()
+    visited = nodes.select(key, F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0).alias("dist"),
+                           F.array(F.col("node")).alias("path"))
+    frontier = visited
+    for h in range(1, max_rounds + 1):
+        nxt = frontier.join(e.withColumnRenamed("src", "j"), [key, "j"]).select(
+            key, "i", F.col("dst").alias("j"), F.concat("path", F.array("dst")).alias("path"))
+        nxt = nxt.join(visited.select(key, "i", "j"), [key, "i", "j"], "left_anti")
+        new = nxt.groupBy(key, "i", "j").agg(F.min("path").alias("path")).withColumn("dist", F.lit(h))
+        new = cut_lineage(new) if h % 4 == 0 else new
+        if new.isEmpty():
+            break
+        visited = visited.unionByName(new.select(key, "i", "j", "dist", "path"))
+        frontier = new.select(key, "i", "j", "dist", "path")
+        if h % 4 == 0:
+            visited = cut_lineage(visited)
+    return visited
+
+
+def path_edges(paths: DataFrame, edges: DataFrame, max_dist: int, key: str = "g", feat: str = "bond_order") -> DataFrame:
+    """Edge feature at each step k (0-based) of the chosen shortest path,
+    for k < min(dist, max_dist). Positions beyond are the -1 fill (implicit)."""
+    steps = paths.where("dist > 0").select(key, "i", "j", "path", F.posexplode(F.slice(
+        "path", 2, F.size("path"))).alias("k", "b"))
+    steps = steps.where(F.col("k") < max_dist).withColumn("a", F.element_at("path", (F.col("k") + 1).cast("int")))
+    ef = edges.select(key, F.col("src").alias("a"), F.col("dst").alias("b"), F.col(feat).alias("edge_feat"))
+    return steps.join(ef, [key, "a", "b"]).select(key, "i", "j", F.col("k").cast("int").alias("k"), "edge_feat")
