@@ -37,25 +37,52 @@ def symmetrize(edges: DataFrame, num_rels: int | None = None, rel: str = "rel")
     return edges.unionByName(rev.select(*edges.columns))
 
 
-def k_hop(edges: DataFrame, roots: DataFrame, k: int, key: str = "g",
-          checkpoint_every: int = 4) -> DataFrame:
+def bfs_levels(edges: DataFrame, start: DataFrame, key: str, a: str, b: str, max_rounds: int,
+               undirected: bool = True, materialize: bool = True) -> list[DataFrame]:
+    """Frontier rounds over ``(key, a, b)`` pairs: level h+1 = neighbours of
+    level h's ``b`` that are new for their ``a``.
+
+    Undirected graphs (symmetric ``edges``) only need the two previous levels
+    for the "new" test (a neighbour of a node at distance h is at h-1, h or
+    h+1), so the anti join never touches the growing visited set. Directed
+    graphs anti-join against all levels. Each level is computed once and
+    written with a reliable checkpoint (``materialize``) so later rounds and
+    the final union read it instead of recomputing the lineage."""
+    e = edges.select(key, F.col("src").alias(b), F.col("dst").alias("_nb")).distinct()
+    levels = [start.select(key, a, b)]
+    for h in range(1, max_rounds + 1):
+        nxt = levels[-1].join(e, [key, b]).select(key, a, F.col("_nb").alias(b)).distinct()
+        seen = levels[-2:] if undirected else levels
+        excl = seen[0]
+        for x in seen[1:]:
+            excl = excl.unionByName(x)
+        new = nxt.join(excl, [key, a, b], "left_anti")
+        last = h == max_rounds
+        if materialize and not last:
+            new = cut_lineage(new)
+            if new.isEmpty():
+                break
+        levels.append(new)
+    return levels
+
+
+def _union_levels(levels: list[DataFrame], name: str) -> DataFrame:
+    out = None
+    for h, lv in enumerate(levels):
+        t = lv.withColumn(name, F.lit(h))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def k_hop(edges: DataFrame, roots: DataFrame, k: int, key: str = "g", undirected: bool = True) -> DataFrame:
     """Nodes exactly h hops from each root (h = 0..k): BFS frontier rounds.
 
-    ``edges(key, src, dst)`` directed (pass symmetric edges for undirected),
-    ``roots(key, root)``. Returns ``(key, root, node, hop)``."""
-    e = edges.select(key, "src", "dst").distinct()
-    visited = roots.select(key, "root", F.col("root").alias("node"), F.lit(0).alias("hop"))
-    frontier = visited.select(key, "root", "node")
-    for h in range(1, k + 1):
-        nxt = frontier.join(e.withColumnRenamed("src", "node"), [key, "node"]).select(
-            key, "root", F.col("dst").alias("node")).distinct()
-        new = nxt.join(visited.select(key, "root", "node"), [key, "root", "node"], "left_anti")
-        visited = visited.unionByName(new.withColumn("hop", F.lit(h)))
-        frontier = new
-        if checkpoint_every and h % checkpoint_every == 0 and h < k:
-            visited = cut_lineage(visited)
-            frontier = visited.where(F.col("hop") == h).select(key, "root", "node")
-    return visited
+    ``edges(key, src, dst)``; pass symmetric edges and ``undirected=True``
+    for undirected graphs, else ``undirected=False``. ``roots(key, root)``.
+    Returns ``(key, root, node, hop)``."""
+    start = roots.select(key, "root", F.col("root").alias("node"))
+    levels = bfs_levels(edges, start, key, "root", "node", k, undirected=undirected)
+    return _union_levels(levels, "hop")
 
 
 def cap_per_root(df: DataFrame, cap: int, by: Sequence[str], node: str = "node", seed: int = 0) -> DataFrame:
@@ -85,28 +112,14 @@ def sample_k_hop(edges: DataFrame, roots: DataFrame, k: int, cap: int, key: str
 
 
 def all_pairs(edges: DataFrame, nodes: DataFrame, key: str = "g", max_rounds: int = 1000,
-              checkpoint_every: int = 4) -> DataFrame:
+              undirected: bool = True) -> DataFrame:
     """Shortest hop distance for every reachable ordered pair of each graph,
     by frontier rounds from every node until no pair is new. Unreachable
     pairs are absent (their distance is :data:`UNREACHABLE_APSP` by
     convention, see :func:`lookup_distance`)."""
-    roots = nodes.select(key, F.col("node").alias("root"))
-    e = edges.select(key, "src", "dst").distinct()
-    visited = roots.select(key, F.col("root").alias("i"), F.col("root").alias("j"), F.lit(0).alias("dist"))
-    frontier = visited.select(key, "i", "j")
-    for h in range(1, max_rounds + 1):
-        nxt = frontier.join(e.withColumnRenamed("src", "j"), [key, "j"]).select(
-            key, "i", F.col("dst").alias("j")).distinct()
-        new = nxt.join(visited.select(key, "i", "j"), [key, "i", "j"], "left_anti")
-        if checkpoint_every and h % checkpoint_every == 0:
-            new = cut_lineage(new)
-        if new.isEmpty():
-            break
-        visited = visited.unionByName(new.withColumn("dist", F.lit(h)))
-        frontier = new
-        if checkpoint_every and h % checkpoint_every == 0:
-            visited = cut_lineage(visited)
-    return visited
+    start = nodes.select(key, F.col("node").alias("i"), F.col("node").alias("j"))
+    levels = bfs_levels(edges, start, key, "i", "j", max_rounds, undirected=undirected)
+    return _union_levels(levels, "dist")
 
 
 def lookup_distance(pairs: DataFrame, dist: DataFrame, key: str = "g",
@@ -265,27 +278,32 @@ def readout(feats: DataFrame, key: str = "g", how: str = "sum") -> DataFrame:
     raise ValueError(how)
 
 
-def shortest_paths(edges: DataFrame, nodes: DataFrame, key: str = "g", max_rounds: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, nodes: DataFrame, key: str = "g", max_rounds: int = 1000,
+                   undirected: bool = True) -> DataFrame:
     """All reachable pairs with one shortest path each: among equal-length
     paths the lexicographically smallest node sequence is kept (``min`` over
-    arrays in the group-by). Returns ``(key, i, j, dist, path)``."""
-    e = edges.select(key, "src", "dst").distinct()
-    visited = nodes.select(key, F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0).alias("dist"),
-                           F.array(F.col("node")).alias("path"))
-    frontier = visited
+    arrays in the group-by). Returns ``(key, i, j, dist, path)``. Uses the
+    same level-exclusion rule as :func:`bfs_levels`."""
+    e = edges.select(key, F.col("src").alias("j"), F.col("dst").alias("_nb")).distinct()
+    levels = [nodes.select(key, F.col("node").alias("i"), F.col("node").alias("j"),
+                           F.array(F.col("node")).alias("path"))]
     for h in range(1, max_rounds + 1):
-        nxt = frontier.join(e.withColumnRenamed("src", "j"), [key, "j"]).select(
-            key, "i", F.col("dst").alias("j"), F.concat("path", F.array("dst")).alias("path"))
-        nxt = nxt.join(visited.select(key, "i", "j"), [key, "i", "j"], "left_anti")
-        new = nxt.groupBy(key, "i", "j").agg(F.min("path").alias("path")).withColumn("dist", F.lit(h))
-        new = cut_lineage(new) if h % 4 == 0 else new
+        nxt = levels[-1].join(e, [key, "j"]).select(key, "i", F.col("_nb").alias("j"),
+                                                    F.concat("path", F.array("_nb")).alias("path"))
+        seen = levels[-2:] if undirected else levels
+        excl = seen[0].select(key, "i", "j")
+        for x in seen[1:]:
+            excl = excl.unionByName(x.select(key, "i", "j"))
+        new = nxt.join(excl, [key, "i", "j"], "left_anti").groupBy(key, "i", "j").agg(F.min("path").alias("path"))
+        new = cut_lineage(new)
         if new.isEmpty():
             break
-        visited = visited.unionByName(new.select(key, "i", "j", "dist", "path"))
-        frontier = new.select(key, "i", "j", "dist", "path")
-        if h % 4 == 0:
-            visited = cut_lineage(visited)
-    return visited
+        levels.append(new)
+    out = None
+    for h, lv in enumerate(levels):
+        t = lv.withColumn("dist", F.lit(h))
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 def path_edges(paths: DataFrame, edges: DataFrame, max_dist: int, key: str = "g", feat: str = "bond_order") -> DataFrame:

@@ -21,6 +21,7 @@ from ..functions.smiles import ATOM_RE, RING_RE, tokens as token_array
 from .tokens import atom_columns
 
 BOND_RE = r"^[-=#$:/\\]$"
+AROMATIC_RE = r"^([bcnops]|\[[0-9]*[bcnops].*\])$"
 EDGE_T = "array<struct<src:int,dst:int,bond:string>>"
 RING_T = "array<struct<label:string,atom:int,bond:string>>"
 
@@ -36,6 +37,7 @@ def _fold(toks: Column) -> Column:
         F.array().cast(RING_T).alias("rings"),
         F.lit("").alias("bond"),
         F.array().cast(EDGE_T).alias("edges"),
+        F.array().cast("array<boolean>").alias("arom"),
     )
 
     def step(acc, t):
@@ -62,31 +64,37 @@ def _fold(toks: Column) -> Column:
             F.when(is_atom & (acc["prev"] >= 0), F.concat(acc["edges"], F.array(atom_edge)))
              .when(is_ring & has_open, F.concat(acc["edges"], F.array(ring_edge)))
              .otherwise(acc["edges"]).alias("edges"),
+            F.when(is_atom, F.concat(acc["arom"], F.array(t.rlike(AROMATIC_RE)))).otherwise(acc["arom"]).alias("arom"),
         )
 
     return F.aggregate(toks, init, step)
 
 
+def _bond_code(bond: Column, a_src: Column, a_dst: Column) -> Column:
+    code = F.when((bond == "") & a_src & a_dst, F.lit(12))
+    for sym, c in BOND_CODES.items():
+        code = code.when(bond == sym, F.lit(c))
+    return code.otherwise(F.lit(1))
+
+
 def mol_graph(df: DataFrame, key: str = "mol_id", col: str = "smiles",
               both_directions: bool = False) -> tuple[DataFrame, DataFrame]:
     """``atoms(key, atom, token, symbol, aromatic, charge, explicit_h, chiral)``
     and ``bonds(key, src, dst, bond, order)``. Bonds are listed once (src <
     dst order of appearance) unless ``both_directions``."""
     toks = df.select(key, token_array(col).alias("_t"))
-    parsed = toks.select(key, "_t", _fold(F.col("_t"))["edges"].alias("_e"))
+    parsed = toks.select(key, "_t", _fold(F.col("_t")).alias("_acc"))
     atoms = parsed.select(key, F.posexplode(F.filter("_t", lambda t: t.rlike(ATOM_RE))).alias("atom", "token"))
     ac = atom_columns(F.col("token"))
     atoms = atoms.select(key, F.col("atom").cast("int").alias("atom"), "token", *[v.alias(k) for k, v in ac.items()])
-    bonds = parsed.select(key, F.explode("_e").alias("e")).select(
-        key, F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), F.col("e.bond").alias("bond"))
-    # order code needs the aromatic flag of both ends
-    ar = atoms.select(key, "atom", "aromatic")
-    b = (bonds.join(ar.withColumnRenamed("atom", "src").withColumnRenamed("aromatic", "_as"), [key, "src"])
-         .join(ar.withColumnRenamed("atom", "dst").withColumnRenamed("aromatic", "_ad"), [key, "dst"]))
-    code = F.when((F.col("bond") == "") & F.col("_as") & F.col("_ad"), F.lit(12))
-    for sym, c in BOND_CODES.items():
-        code = code.when(F.col("bond") == sym, F.lit(c))
-    bonds = b.select(key, "src", "dst", "bond", code.otherwise(F.lit(1)).alias("bond_order"))
+    # bond order from the symbol and the aromatic flags of both ends, all
+    # inside the row: no join back to the atom table
+    arom = F.col("_acc.arom")
+    edges = F.transform("_acc.edges", lambda e: F.struct(
+        e["src"].alias("src"), e["dst"].alias("dst"), e["bond"].alias("bond"),
+        _bond_code(e["bond"], F.element_at(arom, e["src"] + 1), F.element_at(arom, e["dst"] + 1)).alias("bond_order")))
+    bonds = parsed.select(key, F.explode(edges).alias("e")).select(
+        key, "e.src", "e.dst", "e.bond", "e.bond_order")
     if both_directions:
         bonds = symmetric(bonds, key)
     return atoms, bonds
