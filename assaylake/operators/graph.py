@@ -49,6 +49,9 @@ def bfs_levels(edges: DataFrame, start: DataFrame, key: str, a: str, b: str, max
     written with a reliable checkpoint (``materialize``) so later rounds and
     the final union read it instead of recomputing the lineage."""
     e = edges.select(key, F.col("src").alias(b), F.col("dst").alias("_nb")).distinct()
+    if materialize and max_rounds > 1:
+        # the edge table is read every round: write it once
+        e = cut_lineage(e)
     levels = [start.select(key, a, b)]
     for h in range(1, max_rounds + 1):
         nxt = levels[-1].join(e, [key, b]).select(key, a, F.col("_nb").alias(b)).distinct()
@@ -97,7 +100,7 @@ def sample_k_hop(edges: DataFrame, roots: DataFrame, k: int, cap: int, key: str
                  seed: int = 0) -> DataFrame:
     """Like :func:`k_hop` but each frontier is capped to ``cap`` nodes per root
     after it has been marked visited (cut nodes are never revisited)."""
-    e = edges.select(key, "src", "dst").distinct()
+    e = cut_lineage(edges.select(key, "src", "dst").distinct())
     visited = roots.select(key, "root", F.col("root").alias("node"), F.lit(0).alias("hop"))
     kept = visited
     frontier = visited.select(key, "root", "node")
@@ -105,8 +108,10 @@ def sample_k_hop(edges: DataFrame, roots: DataFrame, k: int, cap: int, key: str
         nxt = frontier.join(e.withColumnRenamed("src", "node"), [key, "node"]).select(
             key, "root", F.col("dst").alias("node")).distinct()
         new = nxt.join(visited.select(key, "root", "node"), [key, "root", "node"], "left_anti")
+        new = cut_lineage(new) if h < k else new
         visited = visited.unionByName(new.withColumn("hop", F.lit(h)))
         frontier = cap_per_root(new, cap, [key, "root"], seed=seed + h)
+        frontier = cut_lineage(frontier) if h < k else frontier
         kept = kept.unionByName(frontier.withColumn("hop", F.lit(h)))
     return kept
 
@@ -284,7 +289,7 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame, key: str = "g", max_round
     paths the lexicographically smallest node sequence is kept (``min`` over
     arrays in the group-by). Returns ``(key, i, j, dist, path)``. Uses the
     same level-exclusion rule as :func:`bfs_levels`."""
-    e = edges.select(key, F.col("src").alias("j"), F.col("dst").alias("_nb")).distinct()
+    e = cut_lineage(edges.select(key, F.col("src").alias("j"), F.col("dst").alias("_nb")).distinct())
     levels = [nodes.select(key, F.col("node").alias("i"), F.col("node").alias("j"),
                            F.array(F.col("node")).alias("path"))]
     for h in range(1, max_rounds + 1):

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.smiles import ATOM_RE, RING_RE, tokens as token_array
+from ..session import spread
 from .tokens import atom_columns
 
 BOND_RE = r"^[-=#$:/\\]$"
@@ -82,7 +83,7 @@ def mol_graph(df: DataFrame, key: str = "mol_id", col: str = "smiles",
     """``atoms(key, atom, token, symbol, aromatic, charge, explicit_h, chiral)``
     and ``bonds(key, src, dst, bond, order)``. Bonds are listed once (src <
     dst order of appearance) unless ``both_directions``."""
-    toks = df.select(key, token_array(col).alias("_t"))
+    toks = spread(df.select(key, col), key).select(key, token_array(col).alias("_t"))
     parsed = toks.select(key, "_t", _fold(F.col("_t")).alias("_acc"))
     atoms = parsed.select(key, F.posexplode(F.filter("_t", lambda t: t.rlike(ATOM_RE))).alias("atom", "token"))
     ac = atom_columns(F.col("token"))
@@ -195,3 +196,52 @@ def fragment_counts(atoms: DataFrame, bonds_both: DataFrame, key: str = "mol_id"
         out = out.join(part, key, "left")
     return out.fillna(0).select(key, *[F.col(c).cast("bigint").alias(c)
                                        for c in ("carboxyl", "nh2", "nh4", "sulfonyl", "c_o")])
+
+
+def _morgan_step(prev: Column, r: int):
+    def step(i):
+        env = F.array_join(F.array_sort(F.transform(
+            F.filter("_both", lambda e: e["a"] == i),
+            lambda e: F.concat_ws(":", e["o"].cast("string"), F.element_at(prev, e["b"] + 1)))), ",")
+        return hex_hash(F.lit(str(r)), F.element_at(prev, i + 1), env)
+    return step
+
+
+def circular_fingerprint_rows(df: DataFrame, key: str = "mol_id", col: str = "smiles", radius: int = 2,
+                              n_bits: int = 2048) -> DataFrame:
+    """Same environments as :func:`circular_fingerprint`, computed inside each
+    row: parse fold -> atom invariants -> ``radius`` rounds of neighbour
+    hashing with ``transform``/``filter`` over the row's own atom and bond
+    arrays. A molecule never leaves its row, so there is no join and no
+    shuffle besides the final per-molecule distinct of the bit list."""
+    toks = token_array(col)
+    d = spread(df.select(key, col), key).select(key, toks.alias("_t")).select(
+        key, F.filter("_t", lambda t: t.rlike(ATOM_RE)).alias("_a"), _fold(F.col("_t")).alias("_acc"))
+    arom = F.col("_acc.arom")
+    one_dir = F.transform("_acc.edges", lambda e: F.struct(
+        e["src"].alias("a"), e["dst"].alias("b"),
+        _bond_code(e["bond"], F.element_at(arom, e["src"] + 1), F.element_at(arom, e["dst"] + 1)).alias("o")))
+    d = d.select(key, "_a", one_dir.alias("_e"))
+    both = F.concat(F.col("_e"), F.transform("_e", lambda e: F.struct(
+        e["b"].alias("a"), e["a"].alias("b"), e["o"].alias("o"))))
+    d = d.select(key, "_a", both.alias("_both"))
+    n = F.size("_a")
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def inv(i):
+        t = F.element_at(F.col("_a"), i + 1)
+        ac = atom_columns(t)
+        deg = F.size(F.filter("_both", lambda e: e["a"] == i))
+        return hex_hash(ac["symbol"], deg.cast("string"), ac["charge"].cast("string"),
+                        ac["aromatic"].cast("string"), ac["explicit_h"].cast("string"))
+
+    d = d.select(key, "_both", F.transform(idx, inv).alias("h0"))
+    rounds = ["h0"]
+    for r in range(1, radius + 1):
+        prev = F.col(rounds[-1])
+        d = d.withColumn(f"h{r}", F.transform(F.when(F.size(prev) > 0, F.sequence(F.lit(0), F.size(prev) - 1))
+                                              .otherwise(F.array().cast("array<int>")), _morgan_step(prev, r)))
+        rounds.append(f"h{r}")
+    allh = F.concat(*[F.col(c) for c in rounds])
+    bits = F.array_distinct(F.transform(allh, lambda h: F.pmod(F.conv(h, 16, 10).cast("bigint"), F.lit(n_bits))))
+    return d.select(key, F.explode(bits).alias("bit"))

@@ -36,8 +36,7 @@ def q_feature_zip(spark, sf):
     position)."""
     m = S.molecules(spark, sf)
     d = S.mol_descriptors(spark, sf).select("mol_id", "len", "n_branch")
-    atoms, bonds = MO.mol_graph(m, both_directions=True)
-    fp = MO.circular_fingerprint(atoms, bonds).groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_bits"))
+    fp = MO.circular_fingerprint_rows(m).groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_bits"))
     toks = TK.smiles_tokens(m).groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_tokens"))
     out = d.join(fp, "mol_id", "left").join(toks, "mol_id").fillna(0, ["n_bits"])
     return rounded(out.select("mol_id", "len", "n_branch", F.col("n_bits").cast("bigint"),

@@ -19,8 +19,7 @@ from .registry import query
 
 def _prepared(spark, sf):
     m = S.molecules(spark, sf)
-    atoms, bonds = MO.mol_graph(m, both_directions=True)
-    bits = MO.circular_fingerprint(atoms, bonds, radius=2, n_bits=2048).cache()
+    bits = MO.circular_fingerprint_rows(m, radius=2, n_bits=2048)
     sp = SP.random_split(m.select("mol_id", "pic50"), "mol_id", 0.2, seed=42).cache()
     train = sp.where("split = 'train'").drop("split")
     test = sp.where("split = 'test'").drop("split")

@@ -117,19 +117,18 @@ FROM h{rr - 1} c LEFT JOIN (
 
 @query("circular_fingerprint", with_graph("SELECT mol_id, bit FROM fp", **_fp_sql(2, 2048)))
 def q_circular_fingerprint(spark, sf):
-    atoms, bonds = mol_graph(spark, sf, both=True)
-    return MO.circular_fingerprint(atoms, bonds, radius=2, n_bits=2048)
+    return MO.circular_fingerprint_rows(S.molecules(spark, sf), radius=2, n_bits=2048)
 
 
 @query("fingerprint_concat", with_graph("""
 SELECT mol_id, bit FROM fp UNION ALL SELECT mol_id, bit + 2048 AS bit FROM fp1""",
-                                        **{**_fp_sql(2, 2048), **{k + "_": v for k, v in {}.items()}},
+                                        **_fp_sql(2, 2048),
                                         fp1="SELECT DISTINCT mol_id, ('0x' || hid)::BIGINT % 1024 AS bit FROM h0 "
                                             "UNION SELECT DISTINCT mol_id, ('0x' || hid)::BIGINT % 1024 AS bit FROM h1"))
 def q_fingerprint_concat(spark, sf):
-    atoms, bonds = mol_graph(spark, sf, both=True)
-    fp2 = MO.circular_fingerprint(atoms, bonds, radius=2, n_bits=2048)
-    fp1 = MO.circular_fingerprint(atoms, bonds, radius=1, n_bits=1024)
+    m = S.molecules(spark, sf)
+    fp2 = MO.circular_fingerprint_rows(m, radius=2, n_bits=2048)
+    fp1 = MO.circular_fingerprint_rows(m, radius=1, n_bits=1024)
     return MO.concat_fingerprints("mol_id", (fp2, 2048), (fp1, 1024))
 
 
