@@ -173,13 +173,15 @@ def mean_of_batch_means(df: DataFrame, batch: str = "batch", label: str = "targe
                    F.count(F.lit(1)).alias("n_batches"))
 
 
-def td_error(df: DataFrame, key: str, order: Sequence[str], q: str, reward: str,
+def td_error(df: DataFrame, key: str, order: str, tie: Sequence[str], q: str, reward: str,
              gamma: float = 0.99) -> DataFrame:
     """Per entity sequence: target = reward + gamma * next q (0 at the end);
-    td_error = mean squared (q - target)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    nxt = F.coalesce(F.lead(q).over(w), F.lit(0.0))
-    d = df.withColumn("_target", F.col(reward) + F.lit(gamma) * nxt)
+    td_error = mean squared (q - target). ``order`` is numeric; the next row
+    is found by a keyed join on the sequence position (skew-safe lead)."""
+    from .ranking import sequence_shift
+    d = sequence_shift(df, key, order, tie, [q], offset=1, suffix="_next")
+    nxt = F.coalesce(F.col(q + "_next"), F.lit(0.0))
+    d = d.withColumn("_target", F.col(reward) + F.lit(gamma) * nxt)
     return d.agg(F.avg(F.pow(F.col(q) - F.col("_target"), 2)).alias("td_error"),
                  F.avg("_target").alias("mean_target"))
 

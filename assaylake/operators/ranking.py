@@ -86,3 +86,27 @@ def global_rank_by(df: DataFrame, col: str, tie: Sequence[str], name: str = "ran
     order = [F.col(col)] + [F.col(t) for t in tie]
     out = running_sums(df, quantile_bucket(df, col, n_buckets), order, {name: F.lit(1).cast("bigint")})
     return out.withColumn(name, F.col(name).cast("bigint"))
+
+
+def sequence_rank(df: DataFrame, key: str, order: str, tie: Sequence[str], name: str = "_seq",
+                  n_buckets: int = 256) -> DataFrame:
+    """1-based position of each row in its ``key`` sequence ordered by
+    (order, *tie). Buckets come from global quantiles of ``order``, so one
+    key holding a large share of the rows is still split over many window
+    partitions."""
+    o = [F.col(order)] + [F.col(t) for t in tie]
+    out = running_sums(df, quantile_bucket(df, order, n_buckets), o, {name: F.lit(1).cast("bigint")},
+                       partition=[key])
+    return out.withColumn(name, F.col(name).cast("bigint"))
+
+
+def sequence_shift(df: DataFrame, key: str, order: str, tie: Sequence[str], cols: Sequence[str],
+                   offset: int, suffix: str = "_shift") -> DataFrame:
+    """Values of ``cols`` from the row ``offset`` positions later (negative:
+    earlier) in the same key sequence; null past the ends. A lag/lead that
+    joins on (key, position) – unique per row, so a hot key's rows spread
+    evenly over the join partitions instead of one window task."""
+    ranked = sequence_rank(df, key, order, tie)
+    other = ranked.select(key, (F.col("_seq") - offset).alias("_seq"),
+                          *[F.col(c).alias(c + suffix) for c in cols])
+    return ranked.join(other, [key, "_seq"], "left").drop("_seq")

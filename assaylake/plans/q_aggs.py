@@ -64,9 +64,12 @@ SELECT event_id, user_id, {r('reward')} AS reward, {r('sum(reward) OVER (PARTITI
 FROM (SELECT event_id, user_id, ts, value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0.0) AS reward
       FROM events) t""")
 def q_score_delta(spark, sf):
-    ev = S.table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    d = ev.withColumn("reward", F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0)))
+    from ..operators.ranking import sequence_shift
+    ev = S.table(spark, sf, "events").select("event_id", "user_id", "value",
+                                             F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    # previous score by a keyed join on the sequence position (skew-safe lag)
+    d = sequence_shift(ev, "user_id", "ts_us", ["event_id"], ["value"], offset=-1, suffix="_prev")
+    d = d.withColumn("reward", F.col("value") - F.coalesce(F.col("value_prev"), F.lit(0.0)))
     # running total of the deltas telescopes to the latest score
     d = d.withColumn("total", F.col("value"))
     return rounded(d.select("event_id", "user_id", "reward", "total"))

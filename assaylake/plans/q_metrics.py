@@ -150,7 +150,8 @@ FROM events"""
 
 def experience(spark, sf):
     ev = S.table(spark, sf, "events")
-    return ev.select("user_id", "ts", "event_id", (F.col("value") / 100.0).alias("q"),
+    return ev.select("user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id",
+                     (F.col("value") / 100.0).alias("q"),
                      F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("reward"))
 
 
@@ -159,7 +160,7 @@ SELECT {r("avg(pow(q - tgt, 2))")} AS td_error, {r("avg(tgt)")} AS mean_target
 FROM (SELECT q, reward + 0.9 * coalesce(lead(q) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0.0) AS tgt
       FROM experience) t""", experience=EXPERIENCE_SQL))
 def q_td_error(spark, sf):
-    return rounded(M.td_error(experience(spark, sf), "user_id", ["ts", "event_id"], "q", "reward", gamma=0.9))
+    return rounded(M.td_error(experience(spark, sf), "user_id", "ts_us", ["event_id"], "q", "reward", gamma=0.9))
 
 
 # per metric and fold: results of 5 folds of the predictions, then mean/std

@@ -4,6 +4,7 @@ tests."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_ic50
@@ -19,7 +20,8 @@ from .registry import query
 
 def _prepared(spark, sf):
     m = S.molecules(spark, sf)
-    bits = MO.circular_fingerprint_rows(m, radius=2, n_bits=2048)
+    # the bit table feeds the selector and both vector builds: compute it once
+    bits = MO.circular_fingerprint_rows(m, radius=2, n_bits=2048).persist(StorageLevel.MEMORY_AND_DISK)
     sp = SP.random_split(m.select("mol_id", "pic50"), "mol_id", 0.2, seed=42).cache()
     train = sp.where("split = 'train'").drop("split")
     test = sp.where("split = 'test'").drop("split")
