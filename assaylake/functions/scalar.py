@@ -57,3 +57,12 @@ def position_encoding(pos, dim, d_model: int) -> Column:
     i2 = (_c(dim) - F.pmod(_c(dim), F.lit(2))).cast("double")
     angle = _c(pos).cast("double") * F.exp(i2 * F.lit(-math.log(10000.0) / d_model))
     return F.when(F.pmod(_c(dim), F.lit(2)) == 0, F.sin(angle)).otherwise(F.cos(angle))
+
+
+def ntz_epoch_micros(c) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a TIMESTAMP_NTZ wall clock,
+    independent of the session time zone (no cast to a zoned timestamp)."""
+    t = _c(c)
+    secs = (F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
+            + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
+    return secs * 1000000 + F.date_format(t, "SSSSSS").cast("bigint")

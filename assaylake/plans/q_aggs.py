@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ntz_epoch_micros
 from ..sources import tables as S
 from .common import r, rounded
 from .registry import query, with_ctes
@@ -66,7 +67,7 @@ FROM (SELECT event_id, user_id, ts, value - coalesce(lag(value) OVER (PARTITION
 def q_score_delta(spark, sf):
     from ..operators.ranking import sequence_shift
     ev = S.table(spark, sf, "events").select("event_id", "user_id", "value",
-                                             F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+                                             ntz_epoch_micros("ts").alias("ts_us"))
     # previous score by a keyed join on the sequence position (skew-safe lag)
     d = sequence_shift(ev, "user_id", "ts_us", ["event_id"], ["value"], offset=-1, suffix="_prev")
     d = d.withColumn("reward", F.col("value") - F.coalesce(F.col("value_prev"), F.lit(0.0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ntz_epoch_micros
 from ..operators import metrics as M
 from ..operators.ranking import global_rank
 from ..functions.hashing import hash32, sql_hash32
@@ -150,7 +151,7 @@ FROM events"""
 
 def experience(spark, sf):
     ev = S.table(spark, sf, "events")
-    return ev.select("user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id",
+    return ev.select("user_id", "ts", ntz_epoch_micros("ts").alias("ts_us"), "event_id",
                      (F.col("value") / 100.0).alias("q"),
                      F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("reward"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ntz_epoch_micros
 from ..functions.hashing import sql_hash32, sql_uniform, uniform
 from ..operators import features as FE
 from ..operators import splits as SP
@@ -129,7 +130,7 @@ SELECT event_id, user_id FROM (
 WHERE age <= 3000""")
 def q_bounded_buffer(spark, sf):
     ev = S.table(spark, sf, "events").select(
-        "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+        "event_id", "user_id", ntz_epoch_micros("ts").alias("t"))
     return SP.bounded_buffer(ev, "t", "event_id", 3000).select("event_id", "user_id")
 
 

@@ -40,7 +40,7 @@ def q_stream_bounded_buffer(spark, sf):
 
 
 @query("stream_metric_epoch", """
-SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(avg(value), 6) AS mean_value
+SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, count(*) AS n, round(avg(value), 6) AS mean_value
 FROM events GROUP BY date_trunc('day', ts)
 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def q_stream_metric(spark, sf):
@@ -50,5 +50,5 @@ def q_stream_metric(spark, sf):
     J.run_available(agg.writeStream.outputMode("append").format("parquet").option("path", out),
                     scratch_path(spark, "metric_ckpt"))
     res = spark.read.parquet(out)
-    return res.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n",
+    return res.select(F.unix_seconds("window.start").alias("window_start"), "n",
                       F.round("mean_value", 6).alias("mean_value"))

@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..functions.scalar import ntz_epoch_micros
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 BUFFER_SCHEMA = "user_id LONG, event_id LONG, ts_us LONG, value DOUBLE"
@@ -42,7 +44,7 @@ def _keep_latest(capacity: int):
 def stream_bounded_buffer(stream: DataFrame, capacity: int) -> DataFrame:
     """Per ``user_id`` the latest ``capacity`` records by (ts, event_id);
     each trigger emits the current buffer of the keys it touched."""
-    s = stream.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "value")
+    s = stream.select("user_id", "event_id", ntz_epoch_micros("ts").alias("ts_us"), "value")
     return s.groupBy("user_id").applyInPandasWithState(
         _keep_latest(capacity), outputStructType=BUFFER_SCHEMA,
         stateStructType="buf ARRAY<ARRAY<DOUBLE>>", outputMode="update",
@@ -50,7 +52,8 @@ def stream_bounded_buffer(stream: DataFrame, capacity: int) -> DataFrame:
 
 
 def stream_metric(stream: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    s = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    # event time from the wall clock as UTC (independent of the session zone)
+    s = stream.withColumn("ts", F.timestamp_micros(ntz_epoch_micros("ts"))).withWatermark("ts", watermark)
     return s.groupBy(F.window("ts", window)).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
 
 
