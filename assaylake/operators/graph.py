@@ -226,18 +226,25 @@ def relation_mean(feats: DataFrame, edges: DataFrame, key: str = "g", rel: str =
     return per.groupBy(key, "node", "dim").agg(F.sum("_m").alias("x"))
 
 
-def edge_attention(feats: DataFrame, edges: DataFrame, key: str = "g", rel: str = "rel",
-                   score: str = "score") -> DataFrame:
-    """Softmax of edge scores over the in-edges of each (dst, rel), then the
-    weighted sum of source features. The max / sum per group are group-by
-    aggregates joined back (no window over a hub's edges)."""
+def edge_attention_parts(feats: DataFrame, edges: DataFrame, key: str = "g", rel: str = "rel",
+                         score: str = "score") -> DataFrame:
+    """Per (node, rel, dim): softmax numerator sum(exp(s - max) * x_src) and
+    denominator sum(exp(s - max)) over the in-edges of (node, rel). The max
+    is a group-by joined back (no window over a hub's edges)."""
     e = edges.select(key, "src", "dst", rel, score)
     mx = e.groupBy(key, "dst", rel).agg(F.max(score).alias("_mx"))
     e = e.join(mx, [key, "dst", rel]).withColumn("_ex", F.exp(F.col(score) - F.col("_mx")))
-    den = e.groupBy(key, "dst", rel).agg(F.sum("_ex").alias("_den"))
-    e = e.join(den, [key, "dst", rel]).withColumn("_a", F.col("_ex") / F.col("_den"))
     j = e.join(feats.withColumnRenamed("node", "src"), [key, "src"])
-    return j.groupBy(key, F.col("dst").alias("node"), "dim").agg(F.sum(F.col("_a") * F.col("x")).alias("x"))
+    return j.groupBy(key, F.col("dst").alias("node"), rel, "dim").agg(
+        F.sum(F.col("_ex") * F.col("x")).alias("att_num"), F.sum("_ex").alias("att_den"))
+
+
+def edge_attention(feats: DataFrame, edges: DataFrame, key: str = "g", rel: str = "rel",
+                   score: str = "score") -> DataFrame:
+    """Softmax of edge scores over the in-edges of each (dst, rel), weighted
+    sum of source features, summed over relations."""
+    parts = edge_attention_parts(feats, edges, key, rel, score)
+    return parts.groupBy(key, "node", "dim").agg(F.sum(F.col("att_num") / F.col("att_den")).alias("x"))
 
 
 def combine_layers(layers: Sequence[DataFrame], how: str = "sum", key: str = "g") -> DataFrame:

@@ -8,8 +8,10 @@ bonds then become long tables keyed by ``mol_id``; every later operator is a
 join / group-by on those keys, so work is partitioned per molecule.
 
 Bond order rule: an explicit symbol wins; otherwise a bond between two
-aromatic atoms is aromatic and any other bond single (a link between two
-aromatic rings written without a symbol is therefore aromatic here).
+aromatic atoms that lies on a ring is aromatic and any other bond single (so
+a link between two aromatic rings, as in biphenyl, is single). Ring bonds
+are found from the parse itself: each ring closure closes the tree path
+between its two atoms.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .tokens import atom_columns
 
 BOND_RE = r"^[-=#$:/\\]$"
 AROMATIC_RE = r"^([bcnops]|\[[0-9]*[bcnops].*\])$"
-EDGE_T = "array<struct<src:int,dst:int,bond:string>>"
+EDGE_T = "array<struct<src:int,dst:int,bond:string,ring:boolean>>"
 RING_T = "array<struct<label:string,atom:int,bond:string>>"
 
 # Bond symbol -> bond order code (1 single, 2 double, 3 triple,
@@ -39,6 +41,7 @@ def _fold(toks: Column) -> Column:
         F.lit("").alias("bond"),
         F.array().cast(EDGE_T).alias("edges"),
         F.array().cast("array<boolean>").alias("arom"),
+        F.array().cast("array<int>").alias("par"),
     )
 
     def step(acc, t):
@@ -47,9 +50,11 @@ def _fold(toks: Column) -> Column:
         match = F.filter(acc["rings"], lambda r: r["label"] == t)
         has_open = F.size(match) > 0
         opened = F.element_at(match, 1)
-        atom_edge = F.struct(acc["prev"].alias("src"), acc["n"].alias("dst"), acc["bond"].alias("bond"))
+        atom_edge = F.struct(acc["prev"].alias("src"), acc["n"].alias("dst"), acc["bond"].alias("bond"),
+                             F.lit(False).alias("ring"))
         ring_edge = F.struct(opened["atom"].alias("src"), acc["prev"].alias("dst"),
-                             F.when(acc["bond"] != "", acc["bond"]).otherwise(opened["bond"]).alias("bond"))
+                             F.when(acc["bond"] != "", acc["bond"]).otherwise(opened["bond"]).alias("bond"),
+                             F.lit(True).alias("ring"))
         return F.struct(
             F.when(is_atom, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
             F.when(is_atom, acc["n"]).when(t == ")", F.try_element_at(acc["stack"], F.lit(-1)))
@@ -66,13 +71,47 @@ def _fold(toks: Column) -> Column:
              .when(is_ring & has_open, F.concat(acc["edges"], F.array(ring_edge)))
              .otherwise(acc["edges"]).alias("edges"),
             F.when(is_atom, F.concat(acc["arom"], F.array(t.rlike(AROMATIC_RE)))).otherwise(acc["arom"]).alias("arom"),
+            F.when(is_atom, F.concat(acc["par"], F.array(acc["prev"]))).otherwise(acc["par"]).alias("par"),
         )
 
     return F.aggregate(toks, init, step)
 
 
-def _bond_code(bond: Column, a_src: Column, a_dst: Column) -> Column:
-    code = F.when((bond == "") & a_src & a_dst, F.lit(12))
+def _ancestors(par: Column, x: Column) -> Column:
+    """[x, parent(x), parent(parent(x)), ...] up to the component root."""
+    return F.aggregate(F.sequence(F.lit(0), F.size(par)), F.array(x),
+                       lambda acc, _: F.when(F.element_at(par, F.element_at(acc, -1) + 1) >= 0,
+                                             F.concat(acc, F.array(F.element_at(par, F.element_at(acc, -1) + 1))))
+                       .otherwise(acc))
+
+
+def _ring_children(acc: Column) -> Column:
+    """Atoms whose tree bond to their parent lies on a cycle. Each ring
+    closure (a, b) closes the tree path a..lca..b; since a parent always has
+    a smaller index than its child, lca = max(common ancestors) and the path
+    atoms are the ancestors of a or b above it."""
+    par = acc["par"]
+
+    def on_cycle(e):
+        aa, ab = _ancestors(par, e["src"]), _ancestors(par, e["dst"])
+        lca = F.array_max(F.array_intersect(aa, ab))
+        return F.filter(F.array_union(aa, ab), lambda x: x > lca)
+
+    closures = F.filter(acc["edges"], lambda e: e["ring"])
+    return F.array_distinct(F.flatten(F.transform(closures, on_cycle)))
+
+
+def typed_edges(acc: Column) -> Column:
+    """Fold edges with their bond order code (struct src, dst, bond, bond_order)."""
+    arom, ring_kids = acc["arom"], _ring_children(acc)
+    return F.transform(acc["edges"], lambda e: F.struct(
+        e["src"].alias("src"), e["dst"].alias("dst"), e["bond"].alias("bond"),
+        _bond_code(e["bond"], F.element_at(arom, e["src"] + 1), F.element_at(arom, e["dst"] + 1),
+                   e["ring"] | F.array_contains(ring_kids, e["dst"])).alias("bond_order")))
+
+
+def _bond_code(bond: Column, a_src: Column, a_dst: Column, in_ring: Column) -> Column:
+    code = F.when((bond == "") & a_src & a_dst & in_ring, F.lit(12))
     for sym, c in BOND_CODES.items():
         code = code.when(bond == sym, F.lit(c))
     return code.otherwise(F.lit(1))
@@ -90,11 +129,7 @@ def mol_graph(df: DataFrame, key: str = "mol_id", col: str = "smiles",
     atoms = atoms.select(key, F.col("atom").cast("int").alias("atom"), "token", *[v.alias(k) for k, v in ac.items()])
     # bond order from the symbol and the aromatic flags of both ends, all
     # inside the row: no join back to the atom table
-    arom = F.col("_acc.arom")
-    edges = F.transform("_acc.edges", lambda e: F.struct(
-        e["src"].alias("src"), e["dst"].alias("dst"), e["bond"].alias("bond"),
-        _bond_code(e["bond"], F.element_at(arom, e["src"] + 1), F.element_at(arom, e["dst"] + 1)).alias("bond_order")))
-    bonds = parsed.select(key, F.explode(edges).alias("e")).select(
+    bonds = parsed.select(key, F.explode(typed_edges(F.col("_acc"))).alias("e")).select(
         key, "e.src", "e.dst", "e.bond", "e.bond_order")
     if both_directions:
         bonds = symmetric(bonds, key)
@@ -217,10 +252,8 @@ def circular_fingerprint_rows(df: DataFrame, key: str = "mol_id", col: str = "sm
     toks = token_array(col)
     d = spread(df.select(key, col), key).select(key, toks.alias("_t")).select(
         key, F.filter("_t", lambda t: t.rlike(ATOM_RE)).alias("_a"), _fold(F.col("_t")).alias("_acc"))
-    arom = F.col("_acc.arom")
-    one_dir = F.transform("_acc.edges", lambda e: F.struct(
-        e["src"].alias("a"), e["dst"].alias("b"),
-        _bond_code(e["bond"], F.element_at(arom, e["src"] + 1), F.element_at(arom, e["dst"] + 1)).alias("o")))
+    one_dir = F.transform(typed_edges(F.col("_acc")), lambda e: F.struct(
+        e["src"].alias("a"), e["dst"].alias("b"), e["bond_order"].alias("o")))
     d = d.select(key, "_a", one_dir.alias("_e"))
     both = F.concat(F.col("_e"), F.transform("_e", lambda e: F.struct(
         e["b"].alias("a"), e["a"].alias("b"), e["o"].alias("o"))))

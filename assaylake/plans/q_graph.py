@@ -314,15 +314,16 @@ def q_relation_mean(spark, sf):
 
 
 @query("edge_attention", with_ctes(f"""
-SELECT a.dst AS node, f.dim, {r("sum(a.att * f.x)", 4)} AS x
-FROM (SELECT e.src, e.dst, e.rel, exp(e.ex - m.mx) / m.den AS att
-      FROM be e JOIN (SELECT dst, rel, max(ex) AS mx, sum(exp(ex - mx0)) AS den
-                      FROM (SELECT dst, rel, ex, max(ex) OVER (PARTITION BY dst, rel) AS mx0 FROM be) q
-                      GROUP BY dst, rel) m ON e.dst = m.dst AND e.rel = m.rel) a
-JOIN bf f ON a.src = f.node GROUP BY a.dst, f.dim""", **BIP))
+SELECT e.dst AS node, e.rel, f.dim, {r("sum(exp(e.ex - m.mx) * f.x)")} AS att_num, {r("sum(exp(e.ex - m.mx))")} AS att_den
+FROM be e JOIN (SELECT dst, rel, max(ex) AS mx FROM be GROUP BY dst, rel) m ON e.dst = m.dst AND e.rel = m.rel
+JOIN bf f ON e.src = f.node GROUP BY e.dst, e.rel, f.dim""", **BIP))
 def q_edge_attention(spark, sf):
+    """Attention reported per (node, relation, dim) as softmax numerator and
+    denominator: equal scores give exact halves, so a rounded ratio would be
+    engine-dependent; x = sum over relations of num / den."""
     _, e, feats = bip(spark, sf)
-    return rounded(G.edge_attention(feats, e.withColumn("score", F.col("ex")), key="g").select("node", "dim", "x"), 4)
+    parts = G.edge_attention_parts(feats, e.withColumn("score", F.col("ex")), key="g")
+    return rounded(parts.select("node", "rel", "dim", "att_num", "att_den"))
 
 
 # ---- molecule-graph propagation, readouts and per-graph aggregates -----------

@@ -17,7 +17,7 @@ from .registry import query, with_ctes
 WALK_SQL = f"""
 SELECT mol_id, t, 0 AS i, 0 AS n, -1 AS prev, CAST([] AS INTEGER[]) AS stack,
        CAST([] AS STRUCT(label VARCHAR, atom INTEGER, bond VARCHAR)[]) AS rings, '' AS bond,
-       CAST(NULL AS STRUCT(src INTEGER, dst INTEGER, bond VARCHAR)) AS edge
+       CAST(NULL AS STRUCT(src INTEGER, dst INTEGER, bond VARCHAR, ring BOOLEAN)) AS edge
 FROM (SELECT mol_id, {sql_tokens('smiles')} AS t FROM molecules) m
 UNION ALL
 SELECT mol_id, t, i + 1,
@@ -27,9 +27,9 @@ SELECT mol_id, t, i + 1,
   CASE WHEN is_ring AND len(om) > 0 THEN list_filter(rings, lambda r: r.label <> tok)
        WHEN is_ring THEN list_append(rings, {{'label': tok, 'atom': prev, 'bond': bond}}) ELSE rings END,
   CASE WHEN regexp_matches(tok, '^[-=#$:/\\\\]$') THEN tok WHEN is_atom OR is_ring THEN '' ELSE bond END,
-  CASE WHEN is_atom AND prev >= 0 THEN {{'src': prev, 'dst': n, 'bond': bond}}
+  CASE WHEN is_atom AND prev >= 0 THEN {{'src': prev, 'dst': n, 'bond': bond, 'ring': false}}
        WHEN is_ring AND len(om) > 0 THEN {{'src': om[1].atom, 'dst': prev,
-                                           'bond': CASE WHEN bond <> '' THEN bond ELSE om[1].bond END}}
+                                           'bond': CASE WHEN bond <> '' THEN bond ELSE om[1].bond END, 'ring': true}}
        ELSE NULL END
 FROM (SELECT *, list_filter(rings, lambda r: r.label = tok) AS om
       FROM (SELECT w.*, w.t[w.i + 1] AS tok, regexp_matches(w.t[w.i + 1], '{ATOM_RE}') AS is_atom,
@@ -41,19 +41,38 @@ SELECT a.mol_id, CAST(row_number() OVER (PARTITION BY a.mol_id ORDER BY a.pos) -
        a.token, a.symbol, a.aromatic, a.charge, a.explicit_h, a.chiral
 FROM atoms a"""
 
+REDGES_SQL = "SELECT mol_id, edge.src AS src, edge.dst AS dst, edge.bond AS bond, edge.ring AS ring FROM walk WHERE edge IS NOT NULL"
+
+# ancestors of both ends of every ring closure, walking tree edges upwards
+ANC_SQL = """
+SELECT * FROM (SELECT mol_id, src AS ca, dst AS cb, src AS start, src AS node FROM redges WHERE ring
+               UNION ALL SELECT mol_id, src, dst, dst, dst FROM redges WHERE ring) a0
+UNION ALL
+SELECT a.mol_id, a.ca, a.cb, a.start, p.src FROM anc a JOIN redges p ON p.mol_id = a.mol_id AND p.dst = a.node AND NOT p.ring"""
+
+RINGKIDS_SQL = """
+SELECT DISTINCT a.mol_id, a.node FROM anc a
+JOIN (SELECT mol_id, ca, cb, max(node) AS lca FROM (
+        SELECT mol_id, ca, cb, node FROM anc WHERE start = ca
+        INTERSECT SELECT mol_id, ca, cb, node FROM anc WHERE start = cb) c GROUP BY mol_id, ca, cb) l
+  ON a.mol_id = l.mol_id AND a.ca = l.ca AND a.cb = l.cb
+WHERE a.node > l.lca"""
+
 BONDS_SQL = """
 SELECT b.mol_id, b.src, b.dst, b.bond,
-  CASE WHEN b.bond = '' AND s.aromatic AND d.aromatic THEN 12
+  CASE WHEN b.bond = '' AND s.aromatic AND d.aromatic
+            AND (b.ring OR EXISTS (SELECT 1 FROM ringkids k WHERE k.mol_id = b.mol_id AND k.node = b.dst)) THEN 12
        WHEN b.bond IN ('', '-', '/', '\\') THEN 1 WHEN b.bond = '=' THEN 2 WHEN b.bond = '#' THEN 3
        WHEN b.bond = '$' THEN 4 WHEN b.bond = ':' THEN 12 ELSE 1 END AS bond_order
-FROM (SELECT mol_id, edge.src AS src, edge.dst AS dst, edge.bond AS bond FROM walk WHERE edge IS NOT NULL) b
+FROM redges b
 JOIN gatoms s ON b.mol_id = s.mol_id AND b.src = s.atom
 JOIN gatoms d ON b.mol_id = d.mol_id AND b.dst = d.atom"""
 
 BOTH_SQL = "SELECT mol_id, src, dst, bond, bond_order FROM bonds UNION ALL SELECT mol_id, dst, src, bond, bond_order FROM bonds"
 
 GRAPH = {"molecules": S.MOLECULES_SQL, "toks": TOKENS_SQL, "atoms": ATOMS_SQL, "gatoms": GATOMS_SQL,
-         "walk": WALK_SQL, "bonds": BONDS_SQL, "bonds2": BOTH_SQL}
+         "walk": WALK_SQL, "redges": REDGES_SQL, "anc": ANC_SQL, "ringkids": RINGKIDS_SQL,
+         "bonds": BONDS_SQL, "bonds2": BOTH_SQL}
 
 
 def graph_ctes(**extra) -> dict:

@@ -26,18 +26,23 @@ BUFFER_SCHEMA = "user_id LONG, event_id LONG, ts_us LONG, value DOUBLE"
 
 
 def _keep_latest(capacity: int):
+    cols = ["event_id", "ts_us", "value"]
+    types = {"event_id": "int64", "ts_us": "int64", "value": "float64"}
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = list(pdfs)
         if state.exists:
             (old,) = state.get
-            parts.append(pd.DataFrame([list(x) for x in old], columns=["event_id", "ts_us", "value"]).astype(
-                {"event_id": "int64", "ts_us": "int64", "value": "float64"}))
-        cur = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["event_id", "ts_us", "value"])
-        cur = cur[["event_id", "ts_us", "value"]].astype({"event_id": "int64", "ts_us": "int64", "value": "float64"})
-        cur = cur.sort_values(["ts_us", "event_id"]).tail(capacity)
+            cur = pd.DataFrame([list(x) for x in old], columns=cols).astype(types)
+        else:
+            cur = pd.DataFrame({c: pd.Series(dtype=t) for c, t in types.items()})
+        # the group arrives in Arrow chunks: merge chunk by chunk and keep only
+        # the latest ``capacity`` rows, so memory stays bounded for a hot key
+        for chunk in pdfs:
+            chunk = chunk[cols].astype(types)
+            cur = pd.concat([cur, chunk], ignore_index=True) if len(cur) else chunk
+            cur = cur.sort_values(["ts_us", "event_id"]).tail(capacity)
         state.update(([[float(a), float(b), float(c)] for a, b, c in cur.itertuples(index=False)],))
-        out = cur.assign(user_id=key[0])[["user_id", "event_id", "ts_us", "value"]]
-        yield out
+        yield cur.assign(user_id=key[0])[["user_id", "event_id", "ts_us", "value"]]
     return fn
 
 

@@ -61,3 +61,12 @@ def test_fingerprint_set_semantics(spark):
     b = {m: sorted(r.bit for r in fp.where(F.col("mol_id") == m).collect()) for m in (0, 1)}
     # the same molecule written two ways has the same environments
     assert b[0] == b[1] and len(b[0]) > 0
+
+
+def test_ring_links_are_single(spark):
+    _, bonds = _graph(spark, ["c1ccccc1c1ccccc1", "c1ccc2ccccc2c1"])
+    biphenyl = _edges(bonds, 0)
+    assert (5, 6, 1) in biphenyl  # the link between the two rings
+    assert sum(1 for e in biphenyl if e[2] == 12) == 12
+    naphthalene = _edges(bonds, 1)
+    assert all(e[2] == 12 for e in naphthalene) and len(naphthalene) == 11
