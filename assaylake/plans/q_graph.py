@@ -13,6 +13,7 @@ from ..functions.hashing import hash32, sql_hash32
 from ..operators import graph as G
 from ..operators import molecules as MO
 from ..operators.ranking import quantile_bucket, running_sums
+from ..operators.tokens import ELEMENTS_SQL
 from ..sources import tables as S
 from .common import r, rounded
 from .q_molecules import with_graph
@@ -444,7 +445,7 @@ def q_nested_reduce(spark, sf):
 SELECT g.mol_id, {r("-sum(abs(coalesce(e.z, 0) / 10.0 - coalesce(d.c, 0)))")} AS score
 FROM gatoms g LEFT JOIN elems e ON g.symbol = e.symbol
 LEFT JOIN (SELECT mol_id, src, count(*) AS c FROM bonds2 GROUP BY mol_id, src) d ON g.mol_id = d.mol_id AND g.atom = d.src
-GROUP BY g.mol_id""", elems=__import__("assaylake.operators.tokens", fromlist=["x"]).ELEMENTS_SQL))
+GROUP BY g.mol_id""", elems=ELEMENTS_SQL))
 def q_per_graph_error(spark, sf):
     from ..operators.tokens import elements
     atoms, bonds = MO.mol_graph(S.molecules(spark, sf), both_directions=True)
@@ -525,7 +526,7 @@ def q_segment_argmax(spark, sf):
 @query("stable_rank_order", with_graph("""
 SELECT g.mol_id, g.atom, CAST(row_number() OVER (PARTITION BY g.mol_id ORDER BY coalesce(e.z, 0) DESC, g.atom) - 1 AS INTEGER) AS new_idx
 FROM gatoms g LEFT JOIN elems e ON g.symbol = e.symbol""",
-                                       elems=__import__("assaylake.operators.tokens", fromlist=["x"]).ELEMENTS_SQL))
+                                       elems=ELEMENTS_SQL))
 def q_stable_rank_order(spark, sf):
     from ..operators.tokens import elements
     atoms, _ = MO.mol_graph(S.molecules(spark, sf))

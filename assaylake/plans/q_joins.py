@@ -10,7 +10,9 @@ from ..operators import splits as SP
 from ..operators import tokens as TK
 from ..sources import tables as S
 from .common import r, rounded
-from .q_molecules import with_graph
+from .q_graph import MARKS_SQL
+from .q_molecules import _fp_sql, with_graph
+from .q_splits import KFOLD_SQL, _ranked_sql
 from .registry import query, with_ctes
 
 
@@ -30,7 +32,7 @@ SELECT d.mol_id, {r('d.len')} AS len, {r('d.n_branch')} AS n_branch, CAST(coales
 FROM descr d LEFT JOIN (SELECT mol_id, count(*) AS n_bits FROM fp GROUP BY mol_id) f ON d.mol_id = f.mol_id
 JOIN (SELECT mol_id, count(*) AS n_tokens FROM toks GROUP BY mol_id) t ON d.mol_id = t.mol_id""",
                                  descr=S.MOL_DESCRIPTORS_SQL.replace(f"({S.MOLECULES_SQL})", "molecules"),
-                                 **__import__("assaylake.plans.q_molecules", fromlist=["x"])._fp_sql(2, 2048)))
+                                 **_fp_sql(2, 2048)))
 def q_feature_zip(spark, sf):
     """Feature blocks of the same molecule joined on the row key (never by
     position)."""
@@ -47,7 +49,7 @@ def q_feature_zip(spark, sf):
 SELECT m.mol_id, CAST(m.set_id AS INTEGER) AS set_id, CAST(m.piece AS INTEGER) AS piece, m.node, g.symbol, g.aromatic
 FROM marks m JOIN gatoms g ON m.mol_id = g.mol_id AND m.node = g.atom""",
                                   mnodes="SELECT mol_id, atom AS node FROM gatoms",
-                                  marks=__import__("assaylake.plans.q_graph", fromlist=["x"]).MARKS_SQL))
+                                  marks=MARKS_SQL))
 def q_gather_nodes(spark, sf):
     from ..operators import graph as G
     atoms, _ = MO.mol_graph(S.molecules(spark, sf))
@@ -72,14 +74,13 @@ def q_link_features(spark, sf):
     return j.select("mol_id", "src", "dst", "bond_order", "src_symbol", "dst_symbol", "src_aromatic", "dst_aromatic")
 
 
-KFOLD = __import__("assaylake.plans.q_splits", fromlist=["x"])
 
 
 @query("split_index_join", with_ctes(f"""
 SELECT m.mol_id, CASE WHEN k.fold = 0 THEN 'test' WHEN k.fold = 1 THEN 'valid' ELSE 'train' END AS split,
        {r('m.pic50')} AS pic50
 FROM molecules m JOIN kf k ON m.mol_id = k.mol_id""", molecules=S.MOLECULES_SQL,
-                                     rk=KFOLD._ranked_sql("molecules", "mol_id", 41), kf=KFOLD.KFOLD_SQL))
+                                     rk=_ranked_sql("molecules", "mol_id", 41), kf=KFOLD_SQL))
 def q_split_index_join(spark, sf):
     m = S.molecules(spark, sf)
     idx = SP.kfold(m.select("mol_id"), "mol_id", 5, seed=41).select(

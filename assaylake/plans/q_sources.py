@@ -14,6 +14,7 @@ from ..sources import tables as S
 from .common import r, rounded
 from .registry import query, with_ctes
 from . import q_splits as QS
+from .q_metrics import FOLD_RESULTS_SQL
 
 MOL = {"molecules": S.MOLECULES_SQL}
 
@@ -123,7 +124,7 @@ SELECT run, metric, {r('mean')} AS mean, {r('std')} AS std FROM (
   SELECT 1 AS run, metric, avg(value) AS mean, stddev_pop(value) AS std FROM fold_results GROUP BY metric
   UNION ALL SELECT 2 AS run, metric, avg(value), stddev_pop(value) FROM fold_results GROUP BY metric) t""",
                                    predictions=S.PREDICTIONS_SQL,
-                                   fold_results=__import__("assaylake.plans.q_metrics", fromlist=["x"]).FOLD_RESULTS_SQL))
+                                   fold_results=FOLD_RESULTS_SQL))
 def q_append_results(spark, sf):
     from ..operators.metrics import results_summary
     from .q_metrics import fold_results
