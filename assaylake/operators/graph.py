@@ -38,7 +38,8 @@ def symmetrize(edges: DataFrame, num_rels: int | None = None, rel: str = "rel")
 
 
 def bfs_levels(edges: DataFrame, start: DataFrame, key: str, a: str, b: str, max_rounds: int,
-               undirected: bool = True, materialize: bool = True) -> list[DataFrame]:
+               undirected: bool = True, materialize: bool = True,
+               block: DataFrame | None = None) -> list[DataFrame]:
     """Frontier rounds over ``(key, a, b)`` pairs: level h+1 = neighbours of
     level h's ``b`` that are new for their ``a``.
 
@@ -47,7 +48,12 @@ def bfs_levels(edges: DataFrame, start: DataFrame, key: str, a: str, b: str, max
     h+1), so the anti join never touches the growing visited set. Directed
     graphs anti-join against all levels. Each level is computed once and
     written with a reliable checkpoint (``materialize``) so later rounds and
-    the final union read it instead of recomputing the lineage."""
+    the final union read it instead of recomputing the lineage.
+
+    ``block(key, a, b)``: nodes that may not be reached in round 1 and are
+    released afterwards (full visited set is then used)."""
+    if block is not None:
+        undirected = False
     e = edges.select(key, F.col("src").alias(b), F.col("dst").alias("_nb")).distinct()
     if materialize and max_rounds > 1:
         # the edge table is read every round: write it once
@@ -59,6 +65,8 @@ def bfs_levels(edges: DataFrame, start: DataFrame, key: str, a: str, b: str, max
         excl = seen[0]
         for x in seen[1:]:
             excl = excl.unionByName(x)
+        if block is not None and h == 1:
+            excl = excl.unionByName(block.select(key, a, b))
         new = nxt.join(excl, [key, a, b], "left_anti")
         last = h == max_rounds
         if materialize and not last:
@@ -77,14 +85,16 @@ def _union_levels(levels: list[DataFrame], name: str) -> DataFrame:
     return out
 
 
-def k_hop(edges: DataFrame, roots: DataFrame, k: int, key: str = "g", undirected: bool = True) -> DataFrame:
+def k_hop(edges: DataFrame, roots: DataFrame, k: int, key: str = "g", undirected: bool = True,
+          block: DataFrame | None = None) -> DataFrame:
     """Nodes exactly h hops from each root (h = 0..k): BFS frontier rounds.
 
     ``edges(key, src, dst)``; pass symmetric edges and ``undirected=True``
     for undirected graphs, else ``undirected=False``. ``roots(key, root)``.
-    Returns ``(key, root, node, hop)``."""
+    ``block(key, root, node)`` optionally blocks one node per root at hop 1
+    and releases it afterwards. Returns ``(key, root, node, hop)``."""
     start = roots.select(key, "root", F.col("root").alias("node"))
-    levels = bfs_levels(edges, start, key, "root", "node", k, undirected=undirected)
+    levels = bfs_levels(edges, start, key, "root", "node", k, undirected=undirected, block=block)
     return _union_levels(levels, "hop")
 
 

@@ -124,6 +124,35 @@ def q_k_hop(spark, sf):
     return G.k_hop(edges, roots, 3, key=K).withColumn("hop", F.col("hop").cast("int"))
 
 
+BLOCK_CTES = dict(
+    mnodes=MNODES, medges=MEDGES,
+    blk="SELECT mol_id, src AS root, min(dst) AS node FROM medges GROUP BY mol_id, src",
+    b0="SELECT mol_id, node AS root, node FROM mnodes",
+    b1="""SELECT DISTINCT f.mol_id, f.root, e.dst AS node FROM b0 f JOIN medges e ON f.mol_id = e.mol_id AND f.node = e.src
+          WHERE e.dst <> f.root AND NOT EXISTS (SELECT 1 FROM blk WHERE blk.mol_id = f.mol_id AND blk.root = f.root
+                                                                    AND blk.node = e.dst)""",
+    b2="""SELECT DISTINCT f.mol_id, f.root, e.dst AS node FROM b1 f JOIN medges e ON f.mol_id = e.mol_id AND f.node = e.src
+          WHERE e.dst <> f.root AND NOT EXISTS (SELECT 1 FROM b1 v WHERE v.mol_id = f.mol_id AND v.root = f.root
+                                                                    AND v.node = e.dst)""",
+    b3="""SELECT DISTINCT f.mol_id, f.root, e.dst AS node FROM b2 f JOIN medges e ON f.mol_id = e.mol_id AND f.node = e.src
+          WHERE e.dst <> f.root
+            AND NOT EXISTS (SELECT 1 FROM b1 v WHERE v.mol_id = f.mol_id AND v.root = f.root AND v.node = e.dst)
+            AND NOT EXISTS (SELECT 1 FROM b2 v WHERE v.mol_id = f.mol_id AND v.root = f.root AND v.node = e.dst)""",
+)
+
+
+@query("k_hop_blocked", with_graph("""
+SELECT mol_id, root, node, 0 AS hop FROM b0 UNION ALL SELECT mol_id, root, node, 1 FROM b1
+UNION ALL SELECT mol_id, root, node, 2 FROM b2 UNION ALL SELECT mol_id, root, node, 3 FROM b3""", **BLOCK_CTES))
+def q_k_hop_blocked(spark, sf):
+    """k-hop sets where each root's smallest neighbour is blocked at hop 1
+    and released afterwards (it may then appear at hop 2 or later)."""
+    nodes, edges = mol_nodes_edges(spark, sf)
+    roots = nodes.select(K, F.col("node").alias("root"))
+    block = edges.groupBy(K, F.col("src").alias("root")).agg(F.min("dst").alias("node"))
+    return G.k_hop(edges, roots, 3, key=K, block=block).withColumn("hop", F.col("hop").cast("int"))
+
+
 def _cap_sql(prev_front: str, visited: str, h: int, cap: int, seed: int) -> str:
     return f"""
 SELECT mol_id, root, node FROM (
