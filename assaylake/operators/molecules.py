@@ -278,3 +278,50 @@ def circular_fingerprint_rows(df: DataFrame, key: str = "mol_id", col: str = "sm
     allh = F.concat(*[F.col(c) for c in rounds])
     bits = F.array_distinct(F.transform(allh, lambda h: F.pmod(F.conv(h, 16, 10).cast("bigint"), F.lit(n_bits))))
     return d.select(key, F.explode(bits).alias("bit"))
+
+
+# Allowed valences of the organic-subset elements used for
+# implicit hydrogens (the smallest allowed valence >= bonded valence is used).
+VALENCES = {"B": [3], "C": [4], "N": [3, 5], "O": [2], "P": [3, 5], "S": [2, 4, 6],
+            "F": [1], "Cl": [1], "Br": [1], "I": [1]}
+
+
+def hydrogen_counts(atoms: DataFrame, bonds_both: DataFrame, key: str = "mol_id") -> DataFrame:
+    """Total hydrogens per heavy atom: explicit H of bracket atoms; for
+    organic-subset atoms the implicit H = smallest allowed valence >= bonded
+    valence minus the bonded valence (aromatic bonds count 1.5, rounded
+    down)."""
+    val = F.when(F.col("bond_order") == 12, F.lit(1.5)).otherwise(F.col("bond_order").cast("double"))
+    bv = bonds_both.groupBy(key, F.col("src").alias("atom")).agg(F.sum(val).alias("_bv"))
+    a = atoms.join(bv, [key, "atom"], "left").fillna(0.0, ["_bv"])
+    allowed = F.create_map(*[x for sym, vs in VALENCES.items()
+                             for x in (F.lit(sym), F.array(*[F.lit(v) for v in vs]))])
+    vals = F.element_at(allowed, F.col("symbol"))
+    bvi = F.floor(F.col("_bv")).cast("int")
+    target = F.array_min(F.filter(vals, lambda v: v >= bvi))
+    implicit = F.coalesce(target - bvi, F.lit(0))
+    h = F.when(F.col("token").startswith("["), F.col("explicit_h")).otherwise(implicit)
+    return a.select(key, "atom", h.cast("int").alias("n_h"))
+
+
+def add_hydrogens(atoms: DataFrame, bonds: DataFrame, key: str = "mol_id"):
+    """Graph convention with hydrogens as atoms: H atoms get ids after the
+    heavy atoms of their molecule (ordered by parent atom) and a single bond
+    to their parent. Returns (atoms_h(key, atom, symbol), bonds_h(key, src,
+    dst, bond_order)), bonds listed once."""
+    from pyspark.sql import Window
+    both = symmetric(bonds, key)
+    hc = hydrogen_counts(atoms, both, key)
+    n_heavy = atoms.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    # per molecule (a bounded group): exclusive running count of hydrogens
+    w = Window.partitionBy(key).orderBy("atom").rowsBetween(Window.unboundedPreceding, -1)
+    hc = hc.withColumn("_off", F.coalesce(F.sum("n_h").over(w), F.lit(0)))
+    hs = hc.join(n_heavy, key).where("n_h > 0").select(
+        key, F.col("atom").alias("src"),
+        F.explode(F.sequence(F.lit(0), F.col("n_h") - 1)).alias("_k"), "_n", "_off")
+    hs = hs.select(key, "src", (F.col("_n") + F.col("_off") + F.col("_k")).cast("int").alias("dst"))
+    atoms_h = atoms.select(key, "atom", "symbol").unionByName(
+        hs.select(key, F.col("dst").alias("atom"), F.lit("H").alias("symbol")))
+    bonds_h = bonds.select(key, "src", "dst", "bond_order").unionByName(
+        hs.select(key, "src", "dst", F.lit(1).alias("bond_order")))
+    return atoms_h, bonds_h

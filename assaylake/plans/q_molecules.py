@@ -183,3 +183,36 @@ SELECT g.mol_id, g.atom, e.z FROM gatoms g JOIN elems e ON g.symbol = e.symbol""
 def q_element_rows(spark, sf):
     atoms, _ = mol_graph(spark, sf)
     return atoms.join(F.broadcast(TK.elements(spark).select("symbol", "z")), "symbol").select("mol_id", "atom", "z")
+
+
+HCOUNT_SQL = """
+SELECT g.mol_id, g.atom, g.symbol,
+  CAST(CASE WHEN starts_with(g.token, '[') THEN g.explicit_h
+       ELSE coalesce(list_min(list_filter(v.vals, lambda x: x >= CAST(floor(coalesce(b.bv, 0)) AS INTEGER)))
+                     - CAST(floor(coalesce(b.bv, 0)) AS INTEGER), 0) END AS INTEGER) AS n_h
+FROM gatoms g
+LEFT JOIN (SELECT mol_id, src, sum(CASE WHEN bond_order = 12 THEN 1.5 ELSE bond_order END) AS bv
+           FROM bonds2 GROUP BY mol_id, src) b ON g.mol_id = b.mol_id AND g.atom = b.src
+LEFT JOIN vals v ON g.symbol = v.symbol"""
+
+
+def _vals_sql() -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(
+        f"('{s}', {list(v)})" for s, v in MO.VALENCES.items()) + ") AS t(symbol, vals)"
+
+
+HATOMS_SQL = """
+SELECT h.mol_id, h.atom AS src, CAST(n.n + coalesce(sum(h.n_h) OVER (PARTITION BY h.mol_id ORDER BY h.atom
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS first_h, h.n_h
+FROM hc h JOIN (SELECT mol_id, count(*) AS n FROM gatoms GROUP BY mol_id) n ON h.mol_id = n.mol_id"""
+
+
+@query("mol_graph_with_h", with_graph("""
+SELECT mol_id, src, dst, bond_order FROM bonds
+UNION ALL
+SELECT mol_id, src, CAST(first_h + k AS INTEGER) AS dst, 1 AS bond_order
+FROM ha, generate_series(0, ha.n_h - 1) AS g(k) WHERE ha.n_h > 0""", vals=_vals_sql(), hc=HCOUNT_SQL, ha=HATOMS_SQL))
+def q_mol_graph_with_h(spark, sf):
+    atoms, bonds = mol_graph(spark, sf)
+    _, bonds_h = MO.add_hydrogens(atoms, bonds)
+    return bonds_h

@@ -70,3 +70,12 @@ def test_ring_links_are_single(spark):
     assert sum(1 for e in biphenyl if e[2] == 12) == 12
     naphthalene = _edges(bonds, 1)
     assert all(e[2] == 12 for e in naphthalene) and len(naphthalene) == 11
+
+
+def test_hydrogens_added(spark):
+    atoms, bonds = _graph(spark, ["CCO", "c1ccccc1", "[NH4+]", "C=O"])
+    atoms_h, bonds_h = MO.add_hydrogens(atoms, bonds)
+    n_h = {r.mol_id: r.n for r in atoms_h.where("symbol = 'H'").groupBy("mol_id").agg(F.count("*").alias("n")).collect()}
+    assert n_h == {0: 6, 1: 6, 2: 4, 3: 2}
+    # hydrogen ids follow the heavy atoms
+    assert sorted(r.atom for r in atoms_h.where("mol_id = 0").collect()) == list(range(9))
