@@ -204,7 +204,7 @@ def bioactivity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_size").cast("bigint").alias("Entrez_ID"),
         F.when(F.col("active"), "A").otherwise("N").alias("Activity_Flag"),
         F.col("pic50").alias("pXC50"),
-        F.when(F.pmod(F.col("mol_id"), F.lit(2)) == 0, "chembl").otherwise("pubchem").alias("DB"),
+        F.when(F.pmod(F.col("mol_id"), F.lit(2)) == 0, "db_a").otherwise("db_b").alias("DB"),
         F.pmod(F.col("mol_id"), F.lit(97)).alias("Original_Assay_ID"),
         F.lit(9606).cast("bigint").alias("Tax_ID"),
         F.col("p_brand").alias("Gene_Symbol"),
@@ -220,7 +220,7 @@ SELECT upper(substring(md5(m.smiles), 1, 14)) AS Ambit_InchiKey,
        CAST(p.p_size AS BIGINT) AS Entrez_ID,
        CASE WHEN m.active THEN 'A' ELSE 'N' END AS Activity_Flag,
        m.pic50 AS pXC50,
-       CASE WHEN m.mol_id % 2 = 0 THEN 'chembl' ELSE 'pubchem' END AS DB,
+       CASE WHEN m.mol_id % 2 = 0 THEN 'db_a' ELSE 'db_b' END AS DB,
        m.mol_id % 97 AS Original_Assay_ID,
        CAST(9606 AS BIGINT) AS Tax_ID,
        p.p_brand AS Gene_Symbol,
