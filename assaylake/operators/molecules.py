@@ -77,6 +77,13 @@ def _fold(toks: Column) -> Column:
     return F.aggregate(toks, init, step)
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``fn`` as a lambda
+    variable. Plain Python reuse of a Column would copy the expression into
+    every reference (and into every iteration of an enclosing lambda)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _ancestors(par: Column, x: Column) -> Column:
     """[x, parent(x), parent(parent(x)), ...] up to the component root."""
     return F.aggregate(F.sequence(F.lit(0), F.size(par)), F.array(x),
@@ -93,21 +100,22 @@ def _ring_children(acc: Column) -> Column:
     par = acc["par"]
 
     def on_cycle(e):
-        aa, ab = _ancestors(par, e["src"]), _ancestors(par, e["dst"])
-        lca = F.array_max(F.array_intersect(aa, ab))
-        return F.filter(F.array_union(aa, ab), lambda x: x > lca)
+        return let(_ancestors(par, e["src"]), lambda aa: let(_ancestors(par, e["dst"]), lambda ab: let(
+            F.array_max(F.array_intersect(aa, ab)),
+            lambda lca: F.filter(F.array_union(aa, ab), lambda x: x > lca))))
 
     closures = F.filter(acc["edges"], lambda e: e["ring"])
     return F.array_distinct(F.flatten(F.transform(closures, on_cycle)))
 
 
 def typed_edges(acc: Column) -> Column:
-    """Fold edges with their bond order code (struct src, dst, bond, bond_order)."""
-    arom, ring_kids = acc["arom"], _ring_children(acc)
-    return F.transform(acc["edges"], lambda e: F.struct(
+    """Fold edges with their bond order code (struct src, dst, bond, bond_order).
+    ``acc`` must be a bound value (a column or lambda variable)."""
+    arom = acc["arom"]
+    return let(_ring_children(acc), lambda kids: F.transform(acc["edges"], lambda e: F.struct(
         e["src"].alias("src"), e["dst"].alias("dst"), e["bond"].alias("bond"),
         _bond_code(e["bond"], F.element_at(arom, e["src"] + 1), F.element_at(arom, e["dst"] + 1),
-                   e["ring"] | F.array_contains(ring_kids, e["dst"])).alias("bond_order")))
+                   e["ring"] | F.array_contains(kids, e["dst"])).alias("bond_order"))))
 
 
 def _bond_code(bond: Column, a_src: Column, a_dst: Column, in_ring: Column) -> Column:
@@ -123,13 +131,14 @@ def mol_graph(df: DataFrame, key: str = "mol_id", col: str = "smiles",
     and ``bonds(key, src, dst, bond, order)``. Bonds are listed once (src <
     dst order of appearance) unless ``both_directions``."""
     toks = spread(df.select(key, col), key).select(key, token_array(col).alias("_t"))
-    parsed = toks.select(key, "_t", _fold(F.col("_t")).alias("_acc"))
+    parsed = toks.select(key, "_t", let(_fold(F.col("_t")), lambda acc: F.struct(
+        typed_edges(acc).alias("edges"))).alias("_acc"))
     atoms = parsed.select(key, F.posexplode(F.filter("_t", lambda t: t.rlike(ATOM_RE))).alias("atom", "token"))
     ac = atom_columns(F.col("token"))
     atoms = atoms.select(key, F.col("atom").cast("int").alias("atom"), "token", *[v.alias(k) for k, v in ac.items()])
     # bond order from the symbol and the aromatic flags of both ends, all
     # inside the row: no join back to the atom table
-    bonds = parsed.select(key, F.explode(typed_edges(F.col("_acc"))).alias("e")).select(
+    bonds = parsed.select(key, F.explode("_acc.edges").alias("e")).select(
         key, "e.src", "e.dst", "e.bond", "e.bond_order")
     if both_directions:
         bonds = symmetric(bonds, key)
@@ -233,13 +242,33 @@ def fragment_counts(atoms: DataFrame, bonds_both: DataFrame, key: str = "mol_id"
                                        for c in ("carboxyl", "nh2", "nh4", "sulfonyl", "c_o")])
 
 
-def _morgan_step(prev: Column, r: int):
-    def step(i):
-        env = F.array_join(F.array_sort(F.transform(
-            F.filter("_both", lambda e: e["a"] == i),
-            lambda e: F.concat_ws(":", e["o"].cast("string"), F.element_at(prev, e["b"] + 1)))), ",")
-        return hex_hash(F.lit(str(r)), F.element_at(prev, i + 1), env)
-    return step
+def _idx(arr: Column) -> Column:
+    return F.when(F.size(arr) > 0, F.sequence(F.lit(0), F.size(arr) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _morgan_rounds(atoms: Column, both: Column, radius: int) -> Column:
+    """All environment ids of rounds 0..radius for one molecule; every round
+    is bound once with :func:`let`."""
+    def inv(i):
+        ac = atom_columns(F.element_at(atoms, i + 1))
+        deg = F.size(F.filter(both, lambda e: e["a"] == i))
+        return hex_hash(ac["symbol"], deg.cast("string"), ac["charge"].cast("string"),
+                        ac["aromatic"].cast("string"), ac["explicit_h"].cast("string"))
+
+    def step(prev: Column, r: int):
+        def one(i):
+            env = F.array_join(F.array_sort(F.transform(
+                F.filter(both, lambda e: e["a"] == i),
+                lambda e: F.concat_ws(":", e["o"].cast("string"), F.element_at(prev, e["b"] + 1)))), ",")
+            return hex_hash(F.lit(str(r)), F.element_at(prev, i + 1), env)
+        return F.transform(_idx(prev), one)
+
+    def go(prev: Column, r: int, acc: Column) -> Column:
+        if r > radius:
+            return acc
+        return let(step(prev, r), lambda h: go(h, r + 1, F.concat(acc, h)))
+
+    return let(F.transform(_idx(atoms), inv), lambda h0: go(h0, 1, h0))
 
 
 def circular_fingerprint_rows(df: DataFrame, key: str = "mol_id", col: str = "smiles", radius: int = 2,
@@ -248,35 +277,22 @@ def circular_fingerprint_rows(df: DataFrame, key: str = "mol_id", col: str = "sm
     row: parse fold -> atom invariants -> ``radius`` rounds of neighbour
     hashing with ``transform``/``filter`` over the row's own atom and bond
     arrays. A molecule never leaves its row, so there is no join and no
-    shuffle besides the final per-molecule distinct of the bit list."""
-    toks = token_array(col)
-    d = spread(df.select(key, col), key).select(key, toks.alias("_t")).select(
-        key, F.filter("_t", lambda t: t.rlike(ATOM_RE)).alias("_a"), _fold(F.col("_t")).alias("_acc"))
-    one_dir = F.transform(typed_edges(F.col("_acc")), lambda e: F.struct(
-        e["src"].alias("a"), e["dst"].alias("b"), e["bond_order"].alias("o")))
-    d = d.select(key, "_a", one_dir.alias("_e"))
-    both = F.concat(F.col("_e"), F.transform("_e", lambda e: F.struct(
-        e["b"].alias("a"), e["a"].alias("b"), e["o"].alias("o"))))
-    d = d.select(key, "_a", both.alias("_both"))
-    n = F.size("_a")
-    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def inv(i):
-        t = F.element_at(F.col("_a"), i + 1)
-        ac = atom_columns(t)
-        deg = F.size(F.filter("_both", lambda e: e["a"] == i))
-        return hex_hash(ac["symbol"], deg.cast("string"), ac["charge"].cast("string"),
-                        ac["aromatic"].cast("string"), ac["explicit_h"].cast("string"))
-
-    d = d.select(key, "_both", F.transform(idx, inv).alias("h0"))
-    rounds = ["h0"]
-    for r in range(1, radius + 1):
-        prev = F.col(rounds[-1])
-        d = d.withColumn(f"h{r}", F.transform(F.when(F.size(prev) > 0, F.sequence(F.lit(0), F.size(prev) - 1))
-                                              .otherwise(F.array().cast("array<int>")), _morgan_step(prev, r)))
-        rounds.append(f"h{r}")
-    allh = F.concat(*[F.col(c) for c in rounds])
-    bits = F.array_distinct(F.transform(allh, lambda h: F.pmod(F.conv(h, 16, 10).cast("bigint"), F.lit(n_bits))))
+    shuffle besides exploding the per-molecule distinct bit list.
+    Intermediate arrays are bound once per row (:func:`let`)."""
+    def per_row(t):
+        def with_edges(acc):
+            return let(typed_edges(acc), lambda E: let(
+                F.concat(F.transform(E, lambda e: F.struct(e["src"].alias("a"), e["dst"].alias("b"),
+                                                           e["bond_order"].alias("o"))),
+                         F.transform(E, lambda e: F.struct(e["dst"].alias("a"), e["src"].alias("b"),
+                                                           e["bond_order"].alias("o")))),
+                lambda B: let(F.filter(t, lambda x: x.rlike(ATOM_RE)),
+                              lambda A: _morgan_rounds(A, B, radius))))
+        return let(_fold(t), with_edges)
+
+    d = spread(df.select(key, col), key).select(key, token_array(col).alias("_t"))
+    ids = let(F.col("_t"), per_row)
+    bits = F.array_distinct(F.transform(ids, lambda h: F.pmod(F.conv(h, 16, 10).cast("bigint"), F.lit(n_bits))))
     return d.select(key, F.explode(bits).alias("bit"))
 
 
@@ -325,3 +341,48 @@ def add_hydrogens(atoms: DataFrame, bonds: DataFrame, key: str = "mol_id"):
     bonds_h = bonds.select(key, "src", "dst", "bond_order").unionByName(
         hs.select(key, "src", "dst", F.lit(1).alias("bond_order")))
     return atoms_h, bonds_h
+
+
+def fragment_counts_rows(df: DataFrame, key: str = "mol_id", col: str = "smiles") -> DataFrame:
+    """Row-local version of :func:`fragment_counts`: the five patterns are
+    evaluated on the molecule's own atom and bond arrays (no join)."""
+    def per_row(t):
+        def with_edges(acc):
+            return let(typed_edges(acc), lambda E: let(
+                F.concat(F.transform(E, lambda e: F.struct(e["src"].alias("a"), e["dst"].alias("b"),
+                                                           e["bond_order"].alias("o"))),
+                         F.transform(E, lambda e: F.struct(e["dst"].alias("a"), e["src"].alias("b"),
+                                                           e["bond_order"].alias("o")))),
+                lambda B: let(F.transform(F.filter(t, lambda x: x.rlike(ATOM_RE)), lambda tok: F.struct(
+                    atom_columns(tok)["symbol"].alias("s"), atom_columns(tok)["charge"].alias("c"),
+                    atom_columns(tok)["aromatic"].alias("ar"), tok.alias("tok"))),
+                    lambda A: _fragments(A, B))))
+        return let(_fold(t), with_edges)
+
+    d = spread(df.select(key, col), key).select(key, token_array(col).alias("_t"))
+    f = let(F.col("_t"), per_row)
+    return d.select(key, *[f[c].cast("bigint").alias(c) for c in ("carboxyl", "nh2", "nh4", "sulfonyl", "c_o")])
+
+
+def _fragments(A: Column, B: Column) -> Column:
+    def sym(i):
+        return F.element_at(A, i + 1)["s"]
+
+    def nbrs(i):
+        return F.filter(B, lambda e: e["a"] == i)
+
+    def count_atoms(pred):
+        return F.size(F.filter(_idx(A), pred))
+
+    carboxyl = count_atoms(lambda i: (sym(i) == "C")
+                           & F.exists(nbrs(i), lambda e: (sym(e["b"]) == "O") & (e["o"] == 2))
+                           & F.exists(nbrs(i), lambda e: (sym(e["b"]) == "O") & (e["o"] == 1)))
+    nh2 = count_atoms(lambda i: (sym(i) == "N") & (F.element_at(A, i + 1)["c"] == 0)
+                      & ~F.element_at(A, i + 1)["ar"] & (F.size(nbrs(i)) == 1)
+                      & F.forall(nbrs(i), lambda e: e["o"] == 1))
+    nh4 = F.size(F.filter(A, lambda a: a["tok"] == "[NH4+]"))
+    sulfonyl = count_atoms(lambda i: (sym(i) == "S") & (F.size(F.filter(
+        nbrs(i), lambda e: (sym(e["b"]) == "O") & (e["o"] == 2))) >= 2))
+    c_o = F.size(F.filter(B, lambda e: (sym(e["a"]) == "C") & (sym(e["b"]) == "O") & (e["o"] == 1)))
+    return F.struct(carboxyl.alias("carboxyl"), nh2.alias("nh2"), nh4.alias("nh4"),
+                    sulfonyl.alias("sulfonyl"), c_o.alias("c_o"))

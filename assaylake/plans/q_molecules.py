@@ -174,8 +174,7 @@ LEFT JOIN (SELECT mol_id, count(*) AS n FROM eb WHERE ss = 'C' AND ds = 'O' AND
 SELECT b.mol_id, b.src, b.dst, b.bond_order, s.symbol AS ss, d.symbol AS ds FROM bonds2 b
 JOIN gatoms s ON b.mol_id = s.mol_id AND b.src = s.atom JOIN gatoms d ON b.mol_id = d.mol_id AND b.dst = d.atom"""))
 def q_fragment_counts(spark, sf):
-    atoms, bonds = mol_graph(spark, sf, both=True)
-    return MO.fragment_counts(atoms, bonds)
+    return MO.fragment_counts_rows(S.molecules(spark, sf))
 
 
 @query("element_one_hot_matrix", with_graph("""

@@ -62,3 +62,11 @@ def test_contrast_losses_bounded_batches(spark):
     S_ = A @ B.T / 0.5
     ref = np.mean(np.log(np.exp(S_).sum(axis=1)) - np.diag(S_))
     assert abs(out[0].contrast - ref) < 1e-9 and out[0].n == 4
+
+
+def test_fragment_rows_equal_tables(spark):
+    m = S.molecules(spark, SF_SMALL)
+    atoms, bonds = MO.mol_graph(m, both_directions=True)
+    a = MO.fragment_counts(atoms, bonds)
+    b = MO.fragment_counts_rows(m)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
