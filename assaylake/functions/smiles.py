@@ -25,16 +25,19 @@ def valid_smiles(smiles) -> Column:
     """Structural validity: non-empty, tokens cover the whole string, branch
     parentheses balanced (never closing below depth 0), every ring label used
     an even number of times."""
+    from .vectors import let
     s = _c(smiles)
-    toks = tokens(s)
-    covered = F.array_join(toks, "") == s
-    depth = F.aggregate(
-        toks, F.lit(0),
-        lambda acc, t: F.when(acc < 0, acc).when(t == "(", acc + 1).when(t == ")", acc - 1).otherwise(acc))
-    rings = F.filter(toks, lambda t: t.rlike(RING_RE))
-    even = F.forall(F.array_distinct(rings),
-                    lambda lab: F.pmod(F.size(F.filter(rings, lambda x: x == lab)), F.lit(2)) == 0)
-    return F.coalesce((F.length(s) > 0) & covered & (depth == 0) & even, F.lit(False))
+
+    def check(toks):
+        covered = F.array_join(toks, "") == s
+        depth = F.aggregate(
+            toks, F.lit(0),
+            lambda acc, t: F.when(acc < 0, acc).when(t == "(", acc + 1).when(t == ")", acc - 1).otherwise(acc))
+        even = let(F.filter(toks, lambda t: t.rlike(RING_RE)), lambda rings: F.forall(
+            F.array_distinct(rings), lambda lab: F.pmod(F.size(F.filter(rings, lambda x: x == lab)), F.lit(2)) == 0))
+        return (F.length(s) > 0) & covered & (depth == 0) & even
+
+    return F.coalesce(let(tokens(s), check), F.lit(False))
 
 
 def sql_tokens(expr: str) -> str:

@@ -19,13 +19,13 @@ def dot(a, b) -> Column:
 
 
 def l2_normalize(arr) -> Column:
-    norm = F.sqrt(F.aggregate(_c(arr), F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(_c(arr), lambda x: x / norm)
+    return let(_c(arr), lambda a: let(F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x)),
+                                      lambda norm: F.transform(a, lambda x: x / norm)))
 
 
 def logsumexp(arr) -> Column:
-    m = F.array_max(_c(arr))
-    return m + F.log(F.aggregate(_c(arr), F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    return let(_c(arr), lambda a: let(F.array_max(a), lambda m: m + F.log(
+        F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))))
 
 
 def argmax(arr) -> Column:
@@ -50,3 +50,11 @@ def one_hot_argmax(arr) -> Column:
 def offset_encode(arr, offset: int = 512, extra: int = 0) -> Column:
     """Feature j gets ``1 + offset*j`` (+extra) so all features share one id space."""
     return F.transform(_c(arr), lambda x, i: x + F.lit(1 + extra) + F.lit(offset) * i)
+
+
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``fn`` as a lambda
+    variable. Reusing a Python Column inside a lambda would copy (and
+    re-evaluate) the whole expression at every lambda iteration, because the
+    optimizer may inline a projected alias into its consumer."""
+    return F.element_at(F.transform(F.array(value), fn), 1)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.smiles import ATOM_RE, RING_RE, tokens as token_array
+from ..functions.vectors import let
 from ..session import spread
 from .tokens import atom_columns
 
@@ -77,13 +78,6 @@ def _fold(toks: Column) -> Column:
     return F.aggregate(toks, init, step)
 
 
-def let(value: Column, fn) -> Column:
-    """Evaluate ``value`` once per row and pass it to ``fn`` as a lambda
-    variable. Plain Python reuse of a Column would copy the expression into
-    every reference (and into every iteration of an enclosing lambda)."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def _ancestors(par: Column, x: Column) -> Column:
     """[x, parent(x), parent(parent(x)), ...] up to the component root."""
     return F.aggregate(F.sequence(F.lit(0), F.size(par)), F.array(x),

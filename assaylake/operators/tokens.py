@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.smiles import tokens as smiles_token_array
+from ..functions.vectors import let
 from .ranking import global_rank_by
 
 # Element dimension (symbol, atomic number, standard atomic
@@ -185,12 +186,17 @@ def words(col: str) -> Column:
     return F.filter(F.split(F.lower(F.col(col)), r"\s+"), lambda x: x != "")
 
 
+def _grams_of(n: int):
+    def fn(w):
+        return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+    return fn
+
+
 def ngrams(df: DataFrame, key: str, arr: str, max_n: int = 4) -> DataFrame:
     """``(key, n, gram, cnt)`` n-gram counts of a word array column."""
     rows = []
     for n in range(1, max_n + 1):
-        grams = F.transform(F.sequence(F.lit(0), F.size(arr) - n),
-                            lambda i: F.array_join(F.slice(F.col(arr), i + 1, n), " "))
+        grams = let(F.col(arr), _grams_of(n))
         rows.append(df.where(F.size(arr) >= n).select(key, F.lit(n).alias("n"), F.explode(grams).alias("gram")))
     out = rows[0]
     for r in rows[1:]:
