@@ -14,6 +14,7 @@ from ..operators import graph as G
 from ..operators import molecules as MO
 from ..operators.ranking import quantile_bucket, running_sums
 from ..operators.tokens import ELEMENTS_SQL
+from ..session import cut_lineage
 from ..sources import tables as S
 from .common import r, rounded
 from .q_molecules import with_graph
@@ -23,9 +24,12 @@ K = "mol_id"
 
 
 def mol_nodes_edges(spark, sf):
+    """Molecule graphs as node and (symmetric) edge tables, written once:
+    every graph operator reads them several times, so the structure parse
+    runs once instead of once per reference."""
     atoms, bonds = MO.mol_graph(S.molecules(spark, sf), both_directions=True)
-    nodes = atoms.select(K, F.col("atom").alias("node"), "symbol", "aromatic", "charge")
-    edges = bonds.select(K, "src", "dst", "bond_order")
+    nodes = cut_lineage(atoms.select(K, F.col("atom").alias("node"), "symbol", "aromatic", "charge"))
+    edges = cut_lineage(bonds.select(K, "src", "dst", "bond_order"))
     return nodes, edges
 
 
