@@ -11,6 +11,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .features import bit_variance_select
 
 
@@ -38,7 +39,7 @@ def fingerprint_features(train: DataFrame, test: DataFrame, bits: DataFrame, thr
     variance p(1-p) > threshold), then feature vectors for both sides."""
     n_train = train.count()
     kept = bit_variance_select(bits.join(train.select(key), key, "left_semi"), n_train, threshold)
-    idx = bit_index(kept).cache()
+    idx = cut_lineage(bit_index(kept))
     width = idx.count()
     return (bits_to_vectors(train, bits, idx, width, key), bits_to_vectors(test, bits, idx, width, key), width)
 

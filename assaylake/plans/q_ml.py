@@ -4,7 +4,6 @@ tests."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_ic50
@@ -12,7 +11,7 @@ from ..operators import metrics as M
 from ..operators import ml as ML
 from ..operators import molecules as MO
 from ..operators import splits as SP
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import tables as S
 from .common import rounded
 from .registry import query
@@ -20,9 +19,10 @@ from .registry import query
 
 def _prepared(spark, sf):
     m = S.molecules(spark, sf)
-    # the bit table feeds the selector and both vector builds: compute it once
-    bits = MO.circular_fingerprint_rows(m, radius=2, n_bits=2048).persist(StorageLevel.MEMORY_AND_DISK)
-    sp = SP.random_split(m.select("mol_id", "pic50"), "mol_id", 0.2, seed=42).cache()
+    # the bit table feeds the selector and both vector builds: write it once
+    # (reliable checkpoint, nothing pinned in executor memory across queries)
+    bits = cut_lineage(MO.circular_fingerprint_rows(m, radius=2, n_bits=2048))
+    sp = cut_lineage(SP.random_split(m.select("mol_id", "pic50"), "mol_id", 0.2, seed=42))
     train = sp.where("split = 'train'").drop("split")
     test = sp.where("split = 'test'").drop("split")
     tr, te, width = ML.fingerprint_features(train, test, bits)
