@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as E
 from ..functions import vectors as V
-from ..functions.smiles import RING_RE, TOKEN_RE, sql_tokens, valid_smiles
+from ..functions.smiles import RING_RE, sql_tokens, valid_smiles
 from ..operators import features as FE
 from ..sources import tables as S
 from .common import r, rounded

@@ -4,7 +4,6 @@ query (availableNow) and the sink output is returned as a batch DataFrame."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path

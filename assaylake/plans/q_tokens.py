@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.smiles import TOKEN_RE, sql_tokens
+from ..functions.smiles import sql_tokens
 from ..operators import tokens as TK
 from ..sources import tables as S
 from .common import r, rounded

@@ -1 +1,5 @@
-"""Registered queries."""
+"""Window-style operators (W1-W9) are registered next to the data they use:
+``context_window`` in :mod:`q_tokens`; ``count_to_offset``, ``node_offset``,
+``segment_argmax``, ``stable_rank_order``, ``range_expand``,
+``frontier_difference`` and ``frontier_cap`` in :mod:`q_graph`;
+``score_delta`` in :mod:`q_aggs`."""
