@@ -20,8 +20,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import let
-
 HASH_BUCKET_BITS = 16
 
 
@@ -41,8 +39,11 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int = 256, rel_err: floa
     if not cuts:
         return F.lit(0)
     arr = F.array(*[F.lit(float(c)) for c in cuts])
-    # bind the value once: the column may be an inlined expression
-    return let(F.col(col).cast("double"), lambda x: F.size(F.filter(arr, lambda c: c <= x)))
+    x = F.col(col).cast("double")
+    # ``x`` is referenced outside the lambda too, so the optimizer keeps it a
+    # computed column instead of inlining an expensive producer expression
+    # into every lambda iteration
+    return F.when(x.isNotNull(), F.size(F.filter(arr, lambda c: c <= x)))
 
 
 def running_sums(df: DataFrame, bucket: Column, order: Sequence[Column],
