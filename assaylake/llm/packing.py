@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 CAPACITY = 4096
 TAIL = 128
 CLOSING_ID = 2
-#: a tokenizer's memo is emptied at this many entries (about 200 bytes each)
-MEMO = 600_000
+#: a tokenizer's memos of chunks and of pieces are emptied at this many entries each (about 200 bytes an entry)
+MEMO = 1_000_000
 
 # The pattern by which the tokenizer file splits lower-cased text (fixed value of that file).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -73,15 +73,21 @@ class WordTokenizer:
     def _chunk(self, c: str) -> bytes:
         simple = c.isascii() or (max(c) < "Ā" and unicodedata.is_normalized("NFC", c))
         if simple and c.isprintable() and "<|" not in c:
-            return b"".join([self._piece(p) for p in self.split.findall(c.lower())])
+            low = c.lower()
+            if low.isalpha():
+                return self._piece(low)
+            if c.isascii() and low[:-1].isalpha() and low[-1] in ".,;:!?":
+                return self._piece(low[:-1]) + self._piece(low[-1])
+            return b"".join([self._piece(p) for p in self.split.findall(low)])
         return self._bytes(self.tok.encode(c, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         parts = text.translate(_SPACES).split(" ")
         known = self.chunks
-        if len(known) + len(self.pieces) > MEMO:
+        if len(known) > MEMO:
             known = self.chunks = {"": b""}
+        if len(self.pieces) > MEMO:
             self.pieces = {}
         try:
             return b"".join(map(known.__getitem__, parts))

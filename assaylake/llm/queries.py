@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, maxscore, packing, secrets, urlrules
+from . import decontam, langid, masked_lm, maxscore, packing, quality, secrets, urlrules
+from .frames import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,11 +23,32 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 3, 1)
+    net = langid.fit(docs, ~out)
+    return langid.predict(docs.select("doc_id", out.alias("held_out"), "text"), net)
+
+
 def op4_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = maxscore.scaled_vectors(_table(spark, sf_dir, "embeddings"))
     return maxscore.top_k(vectors, F.col("id") % 20 == 0, 20)
 
 
+def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs))
+
+
+def op6_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), ~out)
+    return quality.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +68,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op4_maxscore_topk, op7_secret_links, op8_decontaminate, op9_harmonic_packing, op10_url_rules,
+    op2_byte_cnn_language, op4_maxscore_topk, op5_masked_lm, op6_random_indexing_quality, op7_secret_links, op8_decontaminate, op9_harmonic_packing, op10_url_rules,
 )}
 
 ORACLES: dict[str, str] = {

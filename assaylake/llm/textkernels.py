@@ -34,6 +34,11 @@ NON_SPACE = _char_table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 ALNUM = _char_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 
+#: tokens are runs of one kind: letters (non-ASCII included), digits, other marks
+KINDS = np.array([0 if not NON_SPACE[b] else 1 if chr(b).isalpha() and b < 0x80 or b >= 0x80
+                  else 2 if 0x30 <= b <= 0x39 else 3 for b in range(256)], np.uint8)
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null takes no bytes."""
     if isinstance(col, pa.ChunkedArray):
@@ -83,7 +88,8 @@ def powers(n: int) -> np.ndarray:
 def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray):
     """Words of every document of a slice.
 
-    ``data``: bytes, ``offs``: document offsets into it (first 0). Returns
+    ``table`` gives each byte a kind, 0 for separators; a word is a run of one
+    kind. ``data``: bytes, ``offs``: document offsets into it (first 0). Returns
     (start, end, hash, doc): byte positions, a 64-bit hash of the word's bytes
     and the document's index, in text order. Words never cross documents.
     """
@@ -91,12 +97,12 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray):
     empty = np.zeros(0, np.int64)
     if n == 0:
         return empty, empty, np.zeros(0, np.uint64), empty
-    inside = table[data]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    stop = np.empty(n, bool)          # last byte of a word
-    stop[-1] = inside[-1]
-    np.logical_and(inside[:-1], ~inside[1:], out=stop[:-1])
+    kind = table[data]
+    inside = kind if kind.dtype == bool else kind > 0
+    turn = kind[1:] != kind[:-1]
+    start, stop = inside.copy(), inside.copy()      # first and last byte of a word
+    start[1:] &= turn
+    stop[:-1] &= turn
     cuts = offs[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < n)]
     start[cuts] = inside[cuts]
