@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, masked_lm, maxscore, packing, quality, secrets, urlrules
+from . import decontam, langid, masked_lm, maxscore, minhash, packing, quality, secrets, urlrules
 from .frames import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), n_words=2, percent=80)
+
+
 def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 3, 1)
@@ -68,7 +72,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_byte_cnn_language, op4_maxscore_topk, op5_masked_lm, op6_random_indexing_quality, op7_secret_links, op8_decontaminate, op9_harmonic_packing, op10_url_rules,
+    op1_circulant_minhash, op2_byte_cnn_language, op4_maxscore_topk, op5_masked_lm, op6_random_indexing_quality, op7_secret_links, op8_decontaminate, op9_harmonic_packing, op10_url_rules,
 )}
 
 ORACLES: dict[str, str] = {
