@@ -177,12 +177,12 @@ def _has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, net: ByteNet | None, text: str = "text", lang_col: str = "lang_pred",
-            score_col: str = "score") -> DataFrame:
-    """``docs`` (without ``text``, unless kept under another name) with the
-    predicted language and its probability."""
+            score_col: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without ``text``, unless it is to be kept) with the predicted
+    language and its probability; columns of those names are replaced."""
     docs = docs.drop(*[c for c in (lang_col, score_col) if c in docs.columns and c != text])
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    schema = docs.drop(text)
+    rest = [c for c in docs.columns if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -200,8 +200,7 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text", lang_col:
                         i, j = np.searchsorted(doc, [d, d + 1])
                         prob = softmax(logit[i:j].sum(0) / used[i:j].sum())
                         lang[a + d], score[a + d] = net.langs[int(prob.argmax())], prob.max()
-            rest = [n for n in b.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*[b[n] for n in rest], pa.array(lang, pa.string()),
                                               pa.array(np.clip(score, 0, 1))], [*rest, lang_col, score_col])
-    spec = schema.schema.add(lang_col, "string").add(score_col, "double")
+    spec = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add(lang_col, "string").add(score_col, "double")
     return docs.mapInArrow(run, spec)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, masked_lm, maxscore, minhash, packing, quality, secrets, urlrules
+from . import decontam, langid, masked_lm, maxscore, minhash, packing, quality, repeats, secrets, urlrules
 from .frames import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", out.alias("held_out"), "text"), net)
 
 
+def op3_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = maxscore.scaled_vectors(_table(spark, sf_dir, "embeddings"))
     return maxscore.top_k(vectors, F.col("id") % 20 == 0, 20)
@@ -72,7 +76,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_circulant_minhash, op2_byte_cnn_language, op4_maxscore_topk, op5_masked_lm, op6_random_indexing_quality, op7_secret_links, op8_decontaminate, op9_harmonic_packing, op10_url_rules,
+    op1_circulant_minhash, op2_byte_cnn_language, op3_interval_tree_repeats, op4_maxscore_topk, op5_masked_lm, op6_random_indexing_quality, op7_secret_links, op8_decontaminate, op9_harmonic_packing, op10_url_rules,
 )}
 
 ORACLES: dict[str, str] = {
