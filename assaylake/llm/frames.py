@@ -14,8 +14,15 @@ from assaylake.session import scratch_path
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` into the shared checkpoint folder and read it again: a cut
     in the lineage that survives lost executors and keeps column pruning."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    # nothing reads this job's shuffle files once the table is written
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(conf, "false")
+    spark.conf.set(conf, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(conf, old)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

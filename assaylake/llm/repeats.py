@@ -45,24 +45,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as tk
-from .frames import drop_written, written
+from .frames import written
 
 MIN_BYTES = 50
 GRAM = 24
 CHUNK_BYTES = 4 << 20
 #: text bytes that one bucket answers for
 BUCKET_BYTES = 8 << 20
-LEAST_BUCKETS = 64
+LEAST_BUCKETS = 32
 _PIECE = 1 << 20
 
 
 # ---------------------------------------------------------------- suffix array
 
-def suffix_array(texts: list[bytes], least: int):
+def suffix_array(texts: list[bytes], least: int, depth: int | None = None):
     """Enhanced suffix array of ``texts``, of the suffixes with at least
-    ``least`` bytes. Returns (pos, lcp, text, off): positions in the
-    concatenation in suffix order, common prefix with the suffix before (first
-    0), and each suffix's text and offset. Suffixes end with their text."""
+    ``least`` bytes. Returns (lcp, text, off): the common prefix of each suffix
+    with the one before (first 0), its text and its offset, in suffix order.
+    Suffixes end with their text; with ``depth`` they are only compared, and
+    common prefixes only counted, that far."""
     size = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data)
@@ -78,7 +79,7 @@ def suffix_array(texts: list[bytes], least: int):
         byte[left <= k] = 0
         key = key * np.uint64(257) + byte
     steps, ranks = [7], [np.unique(key, return_inverse=True)[1].astype(np.int64)]
-    longest = int(size.max(initial=0))
+    longest = min(int(size.max(initial=0)), depth or n)
     while steps[-1] < longest and ranks[-1].max(initial=0) < n - 1:
         step, rank = steps[-1], ranks[-1]
         after = np.zeros(n, np.int64)
@@ -91,7 +92,7 @@ def suffix_array(texts: list[bytes], least: int):
     pos = pos[np.argsort(ranks[-1][pos], kind="stable")]
     lcp = np.zeros(len(pos), np.int64)
     a, b = pos[:-1], pos[1:]
-    most = np.minimum(left[a], left[b])
+    most = np.minimum(np.minimum(left[a], left[b]), longest)
     got = np.zeros(len(a), np.int64)
     for step, rank in zip([1, *steps][::-1], [data, *ranks][::-1], strict=True):
         for _ in range(6 if step == 1 else 1):
@@ -99,7 +100,7 @@ def suffix_array(texts: list[bytes], least: int):
             on = on[rank[a[on] + got[on]] == rank[b[on] + got[on]]]
             got[on] += step
     lcp[1:] = np.minimum(got, most)
-    return pos, lcp, text_of[pos], pos - (end - size[text_of])[pos]
+    return lcp, text_of[pos], pos - (end - size[text_of])[pos]
 
 
 def lcp_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -117,23 +118,10 @@ def lcp_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _repeat_intervals(texts: list[bytes], least: int):
-    """(text, off, intervals): the suffix order and its left-diverse intervals."""
-    _, lcp, text, off = suffix_array(texts, least)
-    # the byte to the left of each suffix; at a text's start it differs from all others
-    start = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    before = np.where(off > 0, data[start[text] + off - 1].astype(np.int64), -1 - np.arange(len(off)))
-    turn = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
-    # outermost intervals without left diversity hold none that has it: only the others are scanned
-    edge = np.flatnonzero(lcp < least)
-    edge = np.append(edge, len(lcp))
-    found = []
-    for s, e in zip(edge[:-1], edge[1:], strict=True):
-        if e - s > 1 and turn[e - 1] > turn[s]:
-            found += [(s + i, s + j, size) for i, j, size in lcp_intervals(lcp[s:e], least)
-                      if turn[s + j - 1] > turn[s + i]]
-    return text, off, found
+def _outermost(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First suffix and end of the outermost intervals (single suffixes included)."""
+    first = np.flatnonzero(lcp < least)
+    return first, np.append(first[1:], len(lcp))
 
 
 def maximal_repeats(texts: list[bytes], least: int = MIN_BYTES) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -141,23 +129,38 @@ def maximal_repeats(texts: list[bytes], least: int = MIN_BYTES) -> list[tuple[in
     ``least`` bytes, each with all its occurrences."""
     if not any(len(t) >= least for t in texts):
         return []
-    text, off, found = _repeat_intervals(texts, least)
-    return [(int(size), sorted(zip(text[i:j].tolist(), off[i:j].tolist(), strict=True))) for i, j, size in found]
+    lcp, text, off = suffix_array(texts, least)
+    # the byte to the left of each suffix; at a text's start it differs from all others
+    start = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    before = np.where(off > 0, data[start[text] + off - 1].astype(np.int64), -1 - np.arange(len(off)))
+    turn = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
+    found = []
+    for s, e in zip(*_outermost(lcp, least), strict=True):
+        # an interval without left diversity holds none that has it: only the others are scanned
+        if e - s > 1 and turn[e - 1] > turn[s]:
+            for i, j, size in lcp_intervals(lcp[s:e], least):
+                if turn[s + j - 1] > turn[s + i]:
+                    where = zip(text[s + i:s + j].tolist(), off[s + i:s + j].tolist(), strict=True)
+                    found.append((int(size), sorted(where)))
+    return found
 
 
 def window_minima(texts: list[bytes], owner: np.ndarray, least: int) -> list[np.ndarray]:
     """For each text the smallest ``owner`` among the texts that have each of
-    its ``least``-byte windows."""
+    its ``least``-byte windows.
+
+    A window's occurrences are the suffixes of one outermost common-prefix
+    interval, whichever maximal repeats hold it, so the intervals are read at
+    that depth: the same tree, without walking the nested intervals that
+    periodic text has by the thousand."""
     count = np.array([len(t) - least + 1 for t in texts])
     first = np.concatenate(([0], np.cumsum(count)))
-    out = np.repeat(owner, count)
-    text, off, found = _repeat_intervals(texts, least)
-    for i, j, size in found:
-        low = owner[text[i:j]].min()
-        higher = i + np.flatnonzero(owner[text[i:j]] > low)
-        span = size - least + 1
-        at = (first[text[higher]] + off[higher])[:, None] + np.arange(span)
-        out[at] = np.minimum(out[at], low)
+    lcp, text, off = suffix_array(texts, least, least)
+    begin, end = _outermost(lcp, least)
+    low = np.minimum.reduceat(owner[text], begin)
+    out = np.empty(first[-1], np.int64)
+    out[first[text] + off] = np.repeat(low, end - begin)
     return np.split(out, first[1:-1])
 
 
@@ -318,36 +321,42 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(raw[at[i]:at[i + 1]], k) for i, k in enumerate(kinds)]
 
 
+class Shared:
+    """The shared segments of a chunk: distinct ones numbered by key (so by
+    bucket), ``at``: first number of each bucket; ``start``, ``doc`` and ``of``
+    (number) of every occurrence."""
+
+    def __init__(self, row: dict, n: int, least: int, gram: int):
+        self.chunk = c = Chunk(row)
+        (start, size, _, doc), keys, inv, on = c.shared(least, gram)
+        edge = _bucket_edges(keys, n)
+        for part in row["bits"] or []:
+            i, j = edge[part["bucket"]], edge[part["bucket"] + 1]
+            on[i:j] |= np.unpackbits(np.frombuffer(part["blob"], np.uint8), count=j - i).astype(bool)
+        pick = np.flatnonzero(on[inv])
+        pick = pick[np.argsort(inv[pick], kind="stable")]
+        self.start, self.doc = start[pick], doc[pick]
+        raw = c.data.tobytes()
+        number: dict[tuple[int, bytes], int] = {}
+        self.of = np.fromiter((number.setdefault((key, raw[s:e]), len(number)) for s, e, key in
+                               zip(self.start.tolist(), (self.start + size[pick] + least - 1).tolist(),
+                                   inv[pick].tolist(), strict=True)), np.int64, len(pick))
+        key_of = np.fromiter((k for k, _ in number), np.int64, len(number))
+        self.key, self.text = keys[key_of], [t for _, t in number]
+        self.at = np.searchsorted(key_of, edge)
+
+
 def _send_segments(n: int, least: int, gram: int):
-    """Step 3: distinct shared segments by bucket, and the chunk's own list of
-    occurrences (bucket -1)."""
+    """Step 3: distinct shared segments with their smallest ids, by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            c = Chunk(row)
-            (start, size, _, doc), keys, inv, on = c.shared(least, gram)
-            edge = _bucket_edges(keys, n)
-            for part in row["bits"] or []:
-                i, j = edge[part["bucket"]], edge[part["bucket"] + 1]
-                on[i:j] |= np.unpackbits(np.frombuffer(part["blob"], np.uint8), count=j - i).astype(bool)
-            pick = np.flatnonzero(on[inv])
-            pick = pick[np.argsort(inv[pick], kind="stable")]            # by key, so by bucket
-            raw = c.data.tobytes()
-            number: dict[tuple[int, bytes], int] = {}
-            of = np.empty(len(pick), np.int64)
-            for k, (s, e, key) in enumerate(zip(start[pick].tolist(), (start + size + least - 1)[pick].tolist(),
-                                                inv[pick].tolist(), strict=True)):
-                of[k] = number.setdefault((key, raw[s:e]), len(number))
-            low = np.full(len(number), np.iinfo(np.int64).max)
-            np.minimum.at(low, of, c.ids[doc[pick]])
-            key_of = np.fromiter((k for k, _ in number), np.int64, len(number))
-            text = [t for _, t in number]
-            length = np.array([len(t) for t in text], np.int64)
-            at = np.searchsorted(key_of, edge)
-            rows = [(k, row["chunk"], _pack(keys[key_of[i:j]], length[i:j], low[i:j],
-                                            np.frombuffer(b"".join(text[i:j]), np.uint8)))
-                    for k in np.flatnonzero(at[1:] > at[:-1]).tolist() for i, j in [(at[k], at[k + 1])]]
-            rows.append((-1, row["chunk"], _pack(start[pick], of, doc[pick], at)))
-            yield _batch(rows, _PART)
+            s = Shared(row, n, least, gram)
+            low = np.full(len(s.text), np.iinfo(np.int64).max)
+            np.minimum.at(low, s.of, s.chunk.ids[s.doc])
+            length = np.array([len(t) for t in s.text], np.int32)
+            yield _batch([(k, row["chunk"], _pack(s.key[i:j], length[i:j], low[i:j],
+                                                  np.frombuffer(b"".join(s.text[i:j]), np.uint8)))
+                          for k in np.flatnonzero(s.at[1:] > s.at[:-1]).tolist() for i, j in [(s.at[k], s.at[k + 1])]], _PART)
     return run
 
 
@@ -355,7 +364,7 @@ def _answer(least: int):
     def run(t: pa.Table) -> pa.Table:
         """Step 4, in a bucket: runs of windows with one smallest id, for every
         segment of every chunk."""
-        parts = [_unpack(b, np.uint64, np.int64, np.int64, np.uint8) for b in t["blob"].to_pylist()]
+        parts = [_unpack(b, np.uint64, np.int32, np.int64, np.uint8) for b in t["blob"].to_pylist()]
         number: dict[tuple[int, bytes], int] = {}
         of, low = [], []
         for key, length, ids, data in parts:
@@ -385,37 +394,38 @@ def _answer(least: int):
     return run
 
 
-def _removed(row: dict, least: int) -> tuple[Chunk, np.ndarray]:
+def _removed(row: dict, n: int, least: int, gram: int) -> tuple[Chunk, np.ndarray]:
     """The chunk and a mark on every byte to remove."""
-    c = Chunk(row)
+    if not row["answers"]:
+        c = Chunk(row)
+        return c, np.zeros(len(c.data), bool)
+    sh = Shared(row, n, least, gram)
+    c = sh.chunk
     step = np.zeros(len(c.data) + 1, np.int64)
-    if row["answers"]:
-        start, of, doc, edge = _unpack(row["runs"], np.int64, np.int64, np.int64, np.int64)
-        n = int(edge[-1])
-        runs, upto, low = np.zeros(n, np.int64), [], []
-        for part in sorted(row["answers"], key=lambda p: p["bucket"]):
-            a, b, m = _unpack(part["blob"], np.int32, np.int32, np.int64)
-            runs[edge[part["bucket"]]:edge[part["bucket"] + 1]] = a
-            upto.append(b)
-            low.append(m)
-        upto, low = np.concatenate(upto).astype(np.int64), np.concatenate(low)
-        first = np.concatenate(([0], np.cumsum(runs)))
-        begin = np.concatenate(([0], upto[:-1]))
-        begin[first[:-1]] = 0
-        # every occurrence with each of its segment's runs
-        times = runs[of]
-        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[:-1][of], times)
-        gone = low[at] < np.repeat(c.ids[doc], times)
-        s = np.repeat(start, times)[gone]
-        np.add.at(step, s + begin[at[gone]], 1)
-        np.add.at(step, s + upto[at[gone]] + least - 1, -1)
+    runs, upto, low = np.zeros(len(sh.text), np.int64), [], []
+    for part in sorted(row["answers"], key=lambda p: p["bucket"]):
+        a, b, m = _unpack(part["blob"], np.int32, np.int32, np.int64)
+        runs[sh.at[part["bucket"]]:sh.at[part["bucket"] + 1]] = a
+        upto.append(b)
+        low.append(m)
+    upto, low = np.concatenate(upto).astype(np.int64), np.concatenate(low)
+    first = np.concatenate(([0], np.cumsum(runs)))
+    begin = np.concatenate(([0], upto[:-1]))
+    begin[first[:-1]] = 0
+    # every occurrence with each of its segment's runs
+    times = runs[sh.of]
+    at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[:-1][sh.of], times)
+    gone = low[at] < np.repeat(c.ids[sh.doc], times)
+    s = np.repeat(sh.start, times)[gone]
+    np.add.at(step, s + begin[at[gone]], 1)
+    np.add.at(step, s + upto[at[gone]] + least - 1, -1)
     return c, np.cumsum(step[:-1]) > 0
 
 
-def _finish(least: int, with_text: bool):
+def _finish(n: int, least: int, gram: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            c, gone = _removed(row, least)
+            c, gone = _removed(row, n, least, gram)
             turn = gone.copy()
             turn[1:] &= ~gone[:-1]
             turn[c.offs[:-1][c.offs[:-1] < len(gone)]] |= gone[c.offs[:-1][c.offs[:-1] < len(gone)]]
@@ -443,16 +453,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                      .mapInArrow(_chunks, _CHUNK), "repeats-chunks", codec="none")
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     n = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
-    bits = (chunks.mapInArrow(_send_keys(n, least, gram), _PART_SQL)
-            .groupBy("bucket").applyInArrow(_shared_bits, _PART_SQL)
-            .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("bits")))
-    sent = written(chunks.join(bits.hint("shuffle_hash"), "chunk", "left")
-                   .mapInArrow(_send_segments(n, least, gram), _PART_SQL), "repeats-segments", codec="none")
-    answers = written(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_answer(least), _PART_SQL)
-                      .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
-                      .join(sent.where("bucket < 0").select("chunk", F.col("blob").alias("runs")), "chunk"),
+    by_chunk = lambda df, name: df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias(name))
+    bits = written(by_chunk(chunks.mapInArrow(_send_keys(n, least, gram), _PART_SQL)
+                            .groupBy("bucket").applyInArrow(_shared_bits, _PART_SQL), "bits"), "repeats-bits")
+    # a chunk's shared segments are found again in the last step: cheaper than keeping them
+    answers = written(by_chunk(chunks.join(bits.hint("shuffle_hash"), "chunk", "left")
+                               .mapInArrow(_send_segments(n, least, gram), _PART_SQL)
+                               .groupBy("bucket").applyInArrow(_answer(least), _PART_SQL), "answers"),
                       "repeats-answers", codec="none")
-    drop_written(sent)
+    replies = answers.join(bits, "chunk", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return (chunks.join(answers.hint("shuffle_hash"), "chunk", "left")
-            .mapInArrow(_finish(least, with_text), schema + (", kept binary" if with_text else "")))
+    return (chunks.join(replies.hint("shuffle_hash"), "chunk", "left")
+            .mapInArrow(_finish(n, least, gram, with_text), schema + (", kept binary" if with_text else "")))
