@@ -12,6 +12,7 @@ checkpoints in the shared checkpoint folder.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ def symmetrize(edges: DataFrame, num_rels: int | None = None, rel: str = "rel")
     return edges.unionByName(rev.select(*edges.columns))
 
 
-def bfs_levels(edges: DataFrame, start: DataFrame, key: str, a: str, b: str, max_rounds: int,
+def bfs_levels(edges: DataFrame, start: DataFrame, key: str, a: str, b: str, max_rounds: int | None,
                undirected: bool = True, materialize: bool = True,
                block: DataFrame | None = None) -> list[DataFrame]:
     """Frontier rounds over ``(key, a, b)`` pairs: level h+1 = neighbours of
@@ -48,18 +49,19 @@ def bfs_levels(edges: DataFrame, start: DataFrame, key: str, a: str, b: str, max
     h+1), so the anti join never touches the growing visited set. Directed
     graphs anti-join against all levels. Each level is computed once and
     written with a reliable checkpoint (``materialize``) so later rounds and
-    the final union read it instead of recomputing the lineage.
+    the final union read it instead of recomputing the lineage. Without
+    ``max_rounds`` the rounds go on until no pair is new (``materialize`` only).
 
     ``block(key, a, b)``: nodes that may not be reached in round 1 and are
     released afterwards (full visited set is then used)."""
     if block is not None:
         undirected = False
     e = edges.select(key, F.col("src").alias(b), F.col("dst").alias("_nb")).distinct()
-    if materialize and max_rounds > 1:
+    if materialize and max_rounds != 1:
         # the edge table is read every round: write it once
         e = cut_lineage(e)
     levels = [start.select(key, a, b)]
-    for h in range(1, max_rounds + 1):
+    for h in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
         nxt = levels[-1].join(e, [key, b]).select(key, a, F.col("_nb").alias(b)).distinct()
         seen = levels[-2:] if undirected else levels
         excl = seen[0]
@@ -126,7 +128,7 @@ def sample_k_hop(edges: DataFrame, roots: DataFrame, k: int, cap: int, key: str
     return kept
 
 
-def all_pairs(edges: DataFrame, nodes: DataFrame, key: str = "g", max_rounds: int = 1000,
+def all_pairs(edges: DataFrame, nodes: DataFrame, key: str = "g", max_rounds: int | None = None,
               undirected: bool = True) -> DataFrame:
     """Shortest hop distance for every reachable ordered pair of each graph,
     by frontier rounds from every node until no pair is new. Unreachable
@@ -300,7 +302,7 @@ def readout(feats: DataFrame, key: str = "g", how: str = "sum") -> DataFrame:
     raise ValueError(how)
 
 
-def shortest_paths(edges: DataFrame, nodes: DataFrame, key: str = "g", max_rounds: int = 1000,
+def shortest_paths(edges: DataFrame, nodes: DataFrame, key: str = "g", max_rounds: int | None = None,
                    undirected: bool = True) -> DataFrame:
     """All reachable pairs with one shortest path each: among equal-length
     paths the lexicographically smallest node sequence is kept (``min`` over
@@ -309,7 +311,7 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame, key: str = "g", max_round
     e = cut_lineage(edges.select(key, F.col("src").alias("j"), F.col("dst").alias("_nb")).distinct())
     levels = [nodes.select(key, F.col("node").alias("i"), F.col("node").alias("j"),
                            F.array(F.col("node")).alias("path"))]
-    for h in range(1, max_rounds + 1):
+    for h in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
         nxt = levels[-1].join(e, [key, "j"]).select(key, "i", F.col("_nb").alias("j"),
                                                     F.concat("path", F.array("_nb")).alias("path"))
         seen = levels[-2:] if undirected else levels
@@ -328,11 +330,13 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame, key: str = "g", max_round
     return out
 
 
-def path_edges(paths: DataFrame, edges: DataFrame, max_dist: int, key: str = "g", feat: str = "bond_order") -> DataFrame:
+def path_edges(paths: DataFrame, edges: DataFrame, max_dist: int | None = None, key: str = "g", feat: str = "bond_order") -> DataFrame:
     """Edge feature at each step k (0-based) of the chosen shortest path,
     for k < min(dist, max_dist). Positions beyond are the -1 fill (implicit)."""
     steps = paths.where("dist > 0").select(key, "i", "j", "path", F.posexplode(F.slice(
         "path", 2, F.size("path"))).alias("k", "b"))
-    steps = steps.where(F.col("k") < max_dist).withColumn("a", F.element_at("path", (F.col("k") + 1).cast("int")))
+    if max_dist is not None:
+        steps = steps.where(F.col("k") < max_dist)
+    steps = steps.withColumn("a", F.element_at("path", (F.col("k") + 1).cast("int")))
     ef = edges.select(key, F.col("src").alias("a"), F.col("dst").alias("b"), F.col(feat).alias("edge_feat"))
     return steps.join(ef, [key, "a", "b"]).select(key, "i", "j", F.col("k").cast("int").alias("k"), "edge_feat")

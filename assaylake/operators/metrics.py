@@ -55,10 +55,11 @@ def competition_score(df: DataFrame, by: Sequence[str] = (), label: str = "targe
         eb = e
     else:
         raise ValueError(scale)
-    a = F.avg(e) / (F.max(pred) - F.min(pred))
+    # equal predictions have no range: A is null there, and counts as 1 in the score
+    a = F.try_divide(F.avg(e), F.max(pred) - F.min(pred))
     b = F.avg((eb <= tol).cast("double"))
     return df.groupBy(*by).agg(a.alias("a"), b.alias("b")).withColumn(
-        "score", F.lit(0.5) * (F.lit(1.0) - F.least(F.col("a"), F.lit(1.0))) + F.lit(0.5) * F.col("b"))
+        "score", F.lit(0.5) * (F.lit(1.0) - F.least(F.coalesce(F.col("a"), F.lit(1.0)), F.lit(1.0))) + F.lit(0.5) * F.col("b"))
 
 
 def pointwise_losses(df: DataFrame, by: Sequence[str] = (), label: str = "target", pred: str = "pred",
@@ -131,8 +132,9 @@ def auroc(df: DataFrame, label: str = "label", score: str = "score", n_buckets:
     cum = running_sums(per, quantile_bucket(per, "_s", n_buckets), [F.col("_s")],
                        {"_neg_below": F.col("_neg")}, exclusive=True)
     return cum.agg(
-        (F.sum(F.col("_pos") * (F.col("_neg_below") + F.lit(0.5) * F.col("_neg")))
-         / (F.sum("_pos") * F.sum("_neg"))).alias("auroc"),
+        # doubles: the product of the class sizes passes LONG at some 3e9 rows a class; one class only: null
+        F.try_divide(F.sum(F.col("_pos").cast("double") * (F.col("_neg_below") + F.lit(0.5) * F.col("_neg"))),
+                     F.sum("_pos").cast("double") * F.sum("_neg").cast("double")).alias("auroc"),
         F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
 
 
@@ -144,13 +146,14 @@ def rank_losses(df: DataFrame, group: str = "grp", pos: str = "pos", score: str
     margin_rank (sum over negatives of relu(margin - (pos - neg)))."""
     s = F.col(score)
     is_pos = F.col(pos) == 0
-    sig = F.lit(1.0) / (F.lit(1.0) + F.exp(-s))
+    # -log sigmoid(x) = max(-x, 0) + log1p(exp(-|x|)): finite where the sigmoid saturates
+    soft = F.log1p(F.exp(-F.abs(s)))
     y = is_pos.cast("double")
     bce = F.greatest(s, F.lit(0.0)) - s * y + F.log1p(F.exp(-F.abs(s)))
     g = df.groupBy(group).agg(
         F.max(F.when(is_pos, s)).alias("_pos_s"),
-        F.max(F.when(is_pos, -F.log(sig))).alias("_pos_term"),
-        F.avg(F.when(~is_pos, -F.log(F.lit(1.0) - sig))).alias("_neg_term"),
+        F.max(F.when(is_pos, F.greatest(-s, F.lit(0.0)) + soft)).alias("_pos_term"),
+        F.avg(F.when(~is_pos, F.greatest(s, F.lit(0.0)) + soft)).alias("_neg_term"),
         F.sum(bce).alias("_bce_sum"), F.count(F.lit(1)).alias("_n"),
     )
     neg = df.where(~is_pos).select(group, s.alias("_neg_s"))

@@ -25,7 +25,7 @@ from ..session import spread
 from .tokens import atom_columns
 
 BOND_RE = r"^[-=#$:/\\]$"
-AROMATIC_RE = r"^([bcnops]|\[[0-9]*[bcnops].*\])$"
+AROMATIC_RE = r"^([bcnops]|\[[0-9]*(?:se|as|[bcnops](?![a-z])).*\])$"
 EDGE_T = "array<struct<src:int,dst:int,bond:string,ring:boolean>>"
 RING_T = "array<struct<label:string,atom:int,bond:string>>"
 

@@ -43,7 +43,8 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int = 256, rel_err: floa
     # ``x`` is referenced outside the lambda too, so the optimizer keeps it a
     # computed column instead of inlining an expensive producer expression
     # into every lambda iteration
-    return F.when(x.isNotNull(), F.size(F.filter(arr, lambda c: c <= x)))
+    # nulls sort first and have the bucket below all others
+    return F.when(x.isNotNull(), F.size(F.filter(arr, lambda c: c <= x))).otherwise(F.lit(-1))
 
 
 def running_sums(df: DataFrame, bucket: Column, order: Sequence[Column],
@@ -64,7 +65,10 @@ def running_sums(df: DataFrame, bucket: Column, order: Sequence[Column],
     wt = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, b, *[F.coalesce(F.sum(f"_rs_t_{n}").over(wt), F.lit(0)).alias(f"_rs_o_{n}")
                                         for n in values])
-    d = d.join(F.broadcast(offsets) if not keys else offsets, keys + [b])
+    # null keys are a partition of their own
+    offsets = offsets.withColumnsRenamed({k: f"_rs_k_{k}" for k in keys + [b]})
+    same = [F.col(k).eqNullSafe(F.col(f"_rs_k_{k}")) for k in keys + [b]]
+    d = d.join(F.broadcast(offsets) if not keys else offsets, same).drop(*[f"_rs_k_{k}" for k in keys + [b]])
     end = -1 if exclusive else 0
     wb = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     for n in values:

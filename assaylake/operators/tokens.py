@@ -39,7 +39,7 @@ def smiles_tokens(df: DataFrame, key: str = "mol_id", col: str = "smiles") -> Da
 
 # ---- atom-level parsing of tokens (built-in regex only) ---------------------
 ATOM_TOKEN = r"^(\[[^\]]+\]|Br|Cl|[BCNOPSFIbcnops])$"
-BRACKET_ELEM = r"^\[[0-9]*([A-Z][a-z]?|[bcnops])"
+BRACKET_ELEM = r"^\[[0-9]*([A-Z][a-z]?|se|as|[bcnops])"
 
 
 def atom_columns(tok: Column) -> dict[str, Column]:
@@ -47,8 +47,8 @@ def atom_columns(tok: Column) -> dict[str, Column]:
     an atom token."""
     is_br = tok.startswith("[")
     raw = F.when(is_br, F.regexp_extract(tok, BRACKET_ELEM, 1)).otherwise(tok)
-    aromatic = raw.rlike("^[bcnops]$")
-    symbol = F.when(aromatic, F.upper(raw)).otherwise(raw)
+    aromatic = raw.rlike("^([bcnops]|se|as)$")
+    symbol = F.when(aromatic, F.initcap(raw)).otherwise(raw)
     sign_digits = F.regexp_extract(tok, r"([+-])([0-9]+)\]$", 2)
     sign = F.regexp_extract(tok, r"([+-])([0-9]+)\]$", 1)
     n_plus = F.length(tok) - F.length(F.regexp_replace(tok, r"\+", ""))
@@ -56,8 +56,8 @@ def atom_columns(tok: Column) -> dict[str, Column]:
     charge = F.when(~is_br, F.lit(0)).when(
         sign_digits != "", F.when(sign == "+", sign_digits.cast("int")).otherwise(-sign_digits.cast("int"))
     ).otherwise(n_plus - n_minus)
-    h_digits = F.regexp_extract(tok, r"^\[[0-9]*(?:[A-Z][a-z]?|[bcnops])[@]*H([0-9]*)", 1)
-    has_h = tok.rlike(r"^\[[0-9]*(?:[A-Z][a-z]?|[bcnops])[@]*H")
+    h_digits = F.regexp_extract(tok, r"^\[[0-9]*(?:[A-Z][a-z]?|se|as|[bcnops])[@]*H([0-9]*)", 1)
+    has_h = tok.rlike(r"^\[[0-9]*(?:[A-Z][a-z]?|se|as|[bcnops])[@]*H")
     hcount = F.when(~is_br | ~has_h, F.lit(0)).when(h_digits == "", F.lit(1)).otherwise(h_digits.cast("int"))
     return {
         "symbol": symbol,

@@ -9,5 +9,4 @@ from .registry import QUERIES, load_all
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     load_all()
-    name = "potency_fingerprint_score" if "potency_fingerprint_score" in QUERIES else "competition_score"
-    return QUERIES[name](spark, sf_dir)
+    return QUERIES["potency_fingerprint_score"](spark, sf_dir)

@@ -64,12 +64,13 @@ SELECT event_id, user_id, {r('reward')} AS reward, {r('sum(reward) OVER (PARTITI
 FROM (SELECT event_id, user_id, ts, value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0.0) AS reward
       FROM events) t""")
 def q_score_delta(spark, sf):
-    from ..operators.ranking import sequence_shift
+    from ..operators.ranking import quantile_bucket, running_sums, sequence_shift
     ev = S.table(spark, sf, "events").select("event_id", "user_id", "value",
                                              ntz_epoch_micros("ts").alias("ts_us"))
     # previous score by a keyed join on the sequence position (skew-safe lag)
     d = sequence_shift(ev, "user_id", "ts_us", ["event_id"], ["value"], offset=-1, suffix="_prev")
     d = d.withColumn("reward", F.col("value") - F.coalesce(F.col("value_prev"), F.lit(0.0)))
-    # running total of the deltas telescopes to the latest score
-    d = d.withColumn("total", F.col("value"))
+    # running total of the deltas, restarted per user; a hot user is split by time buckets
+    d = running_sums(d, quantile_bucket(ev, "ts_us"), [F.col("ts_us"), F.col("event_id")],
+                     {"total": F.col("reward")}, partition=["user_id"])
     return rounded(d.select("event_id", "user_id", "reward", "total"))

@@ -594,11 +594,11 @@ SELECT s.mol_id, s.i, s.j, CAST(g.k - 1 AS INTEGER) AS k, e.bond_order AS edge_f
 FROM (SELECT mol_id, root AS i, node AS j, min(path) AS path FROM (
         SELECT mol_id, root, node, path, len(path) AS l, min(len(path)) OVER (PARTITION BY mol_id, root, node) AS ml
         FROM sp_walks) x WHERE l = ml AND l > 1 GROUP BY mol_id, root, node) s,
-     generate_series(1, least(len(s.path) - 1, 5)) AS g(k),
+     generate_series(1, len(s.path) - 1) AS g(k),
      medges e
 WHERE e.mol_id = s.mol_id AND e.src = s.path[g.k] AND e.dst = s.path[g.k + 1]""",
                                                  mnodes=MNODES, medges=MEDGES, sp_walks=SP_WALK_SQL))
 def q_shortest_path_edges(spark, sf):
     nodes, edges = mol_nodes_edges(spark, sf)
     sp = G.shortest_paths(edges, nodes, key=K)
-    return G.path_edges(sp, edges, max_dist=5, key=K)
+    return G.path_edges(sp, edges, key=K)

@@ -40,6 +40,6 @@ def with_ctes(body: str, **ctes: str) -> str:
 def load_all() -> None:
     # importing registers the queries
     from . import (  # noqa: F401
-        q_metrics, q_scalar, q_splits, q_tokens, q_joins, q_aggs, q_windows, q_graph,
+        q_metrics, q_scalar, q_splits, q_tokens, q_joins, q_aggs, q_graph,
         q_molecules, q_sources, q_streaming, q_ml,
     )

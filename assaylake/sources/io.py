@@ -29,29 +29,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def materialize_if_absent(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read ``path`` if it exists, else compute, write and read it back."""
-    if not _exists(spark, path):
-        build().write.mode("errorifexists").parquet(path)
+    """Read ``path`` if it was written to its end, else compute, write and
+    read it back; an unfinished folder is written again."""
+    if not _exists(spark, path.rstrip("/") + "/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def scan_triples(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Whitespace-separated ``head relation tail`` lines; ``file`` is the
-    base name of the source file."""
+    base name of the source file. Missing fields of a short line are null."""
     t = spark.read.text(list(paths)).withColumn("_f", F.input_file_name())
     parts = F.split(F.trim("value"), r"\s+")
     return t.where(F.trim("value") != "").select(
-        parts[0].alias("head"), parts[1].alias("relation"), parts[2].alias("tail"),
+        *[F.get(parts, i).alias(c) for i, c in enumerate(("head", "relation", "tail"))],
         F.regexp_extract("_f", r"([^/]+?)(\.[^./]*)?$", 1).alias("file"))
 
 
 def scan_delimited_text(spark: SparkSession, paths: Sequence[str], sep: str = "|") -> DataFrame:
     """``text|label`` lines: strip, '/' -> ' ', split on the separator, keep
-    field 0 as text and field 1 as INT label."""
+    field 0 as text and field 1 as INT label (null if missing or no number)."""
     t = spark.read.text(list(paths))
     line = F.regexp_replace(F.trim("value"), "/", " ")
     parts = F.split(line, "\\" + sep if sep in "|.^$*+?()[]{}\\" else sep)
-    return t.select(parts[0].alias("text"), parts[1].cast("int").alias("label"))
+    return t.select(F.get(parts, 0).alias("text"), F.get(parts, 1).try_cast("int").alias("label"))
 
 
 def snapshot(df: DataFrame, path: str, by: str = "split") -> None:
@@ -65,8 +66,9 @@ def read_snapshot(spark: SparkSession, path: str, by: str | None = None, value:
 
 def chunked_store(df: DataFrame, path: str, fold: str = "fold") -> None:
     """Data stored in one folder per fold chunk; readers load the chunks
-    that exist."""
-    df.repartition(fold).write.mode("overwrite").partitionBy(fold).parquet(path)
+    that exist. A fold is written by several tasks: rows are dealt out by fold
+    and a hash of the row."""
+    df.repartition(F.col(fold), F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy(fold).parquet(path)
 
 
 def write_submission(df: DataFrame, path: str, id_col: str = "ID", value_col: str = "IC50_nM") -> None:

@@ -41,7 +41,7 @@ def _keep_latest(capacity: int):
             chunk = chunk[cols].astype(types)
             cur = pd.concat([cur, chunk], ignore_index=True) if len(cur) else chunk
             cur = cur.sort_values(["ts_us", "event_id"]).tail(capacity)
-        state.update(([[float(a), float(b), float(c)] for a, b, c in cur.itertuples(index=False)],))
+        state.update(([(int(a), int(b), float(c)) for a, b, c in cur.itertuples(index=False)],))
         yield cur.assign(user_id=key[0])[["user_id", "event_id", "ts_us", "value"]]
     return fn
 
@@ -52,7 +52,7 @@ def stream_bounded_buffer(stream: DataFrame, capacity: int) -> DataFrame:
     s = stream.select("user_id", "event_id", ntz_epoch_micros("ts").alias("ts_us"), "value")
     return s.groupBy("user_id").applyInPandasWithState(
         _keep_latest(capacity), outputStructType=BUFFER_SCHEMA,
-        stateStructType="buf ARRAY<ARRAY<DOUBLE>>", outputMode="update",
+        stateStructType="buf ARRAY<STRUCT<event_id:LONG,ts_us:LONG,value:DOUBLE>>", outputMode="update",
         timeoutConf=GroupStateTimeout.NoTimeout)
 
 
