@@ -14,10 +14,10 @@ window of the table for each shingle.
 3. In every bucket each class is compared with the bucket's smallest class;
    links are confirmed on the full sets, and components are formed.
 4. Buckets that still hold several components are compared pair by pair across
-   components, in blocks of bounded size, on longer signatures (``LONG``
-   coordinates; pairs under ``LEAST`` agreement, five standard deviations
-   below 0.8, go); what remains is confirmed on the full sets. So no link is
-   lost to the shortcut of step 3, pairs within a component are never formed,
+   components, inside blocks of at most ``BLOCK`` classes, on longer signatures
+   (``LONG`` coordinates; pairs under ``LEAST`` agreement, five standard
+   deviations below 0.8, go) and then on the full sets; only links leave the
+   block. So no link is lost to the shortcut of step 3, pairs within a component are never formed,
    and a pair is handled in the first bucket it shares only.
 
 Cases: documents without words (null, empty, white space) have no shingle and
@@ -46,7 +46,7 @@ ROWS = 5
 LONG = 1024
 LEAST = 0.74
 #: classes of one bucket that are compared in one block
-BLOCK = 256
+BLOCK = 1024
 
 _TABLES: dict[int, np.ndarray] = {}
 
@@ -161,10 +161,11 @@ def _confirmed(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one block that lie in different components, agree in at
-    least LEAST of the long signatures and share no earlier bucket."""
-    def block(key: int, cls, label, long, keys) -> tuple[list, list]:
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of one block: classes in different components that share no
+    earlier bucket, agree in at least LEAST of the long signatures and are
+    similar enough on their full sets. Pairs never leave the block."""
+    def block(key: int, cls, label, long, keys, shingles) -> tuple[list, list]:
         label = np.asarray(label)
         if (label == label[0]).all():
             return [], []
@@ -179,8 +180,10 @@ def _across(rows: DataFrame) -> DataFrame:
             j = j[(sig[j, :LONG // 4] == sig[i, :LONG // 4]).mean(1) >= 0.55]
             j = j[(sig[j] == sig[i]).mean(1) >= LEAST]
             j = j[~(own[j, :band] == own[i, :band]).any(1)]
-            a += [min(cls[i], x) for x in cls[j]]
-            b += [max(cls[i], x) for x in cls[j]]
+            mine = np.frombuffer(shingles[i], np.uint64)
+            j = [k for k in j if linked(mine, np.frombuffer(shingles[k], np.uint64), percent)]
+            a += [min(cls[i], cls[k]) for k in j]
+            b += [max(cls[i], cls[k]) for k in j]
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +196,7 @@ def _across(rows: DataFrame) -> DataFrame:
             start = [k for k in range(len(group)) if not k or group[k] != group[k - 1]] + [len(group)]
             for s, e in zip(start[:-1], start[1:], strict=True):
                 if e - s > 1:
-                    x, y = block(c["key"][s], c["cls"][s:e], c["label"][s:e], c["long"][s:e], c["keys"][s:e])
+                    x, y = block(c["key"][s], *(c[n][s:e] for n in ("cls", "label", "long", "keys", "shingles")))
                     a += x
                     b += y
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -245,9 +248,9 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id
     blocks = (named.join(open_, "key")
               .select("key", "cls", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("other"))
               .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "label")
-              .join(near.select("cls", "long", "keys"), "cls")
+              .join(near, "cls")
               .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls"))
-    more = written(_confirmed(_across(blocks).distinct(), near, percent), "minhash-more")
+    more = written(_across(blocks, percent), "minhash-more")
     if not more.isEmpty():
         label = components(label.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
                            .unionByName(more))
