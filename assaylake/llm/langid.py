@@ -12,7 +12,8 @@ fitting only. Prediction reads the text alone.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every
 text when no labelled document exists; documents with null language are
-predicted but not learned from; repeated rows keep their own result; a null id
+predicted but not learned from; repeated rows keep their own result, and rows
+that share id and language are learned from once (the smallest text); a null id
 counts as not held out; extra columns are kept by :func:`predict`.
 """
 
@@ -123,20 +124,25 @@ def windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, lang: str, allowed: Column, per_lang: int) -> DataFrame:
-    """(lang, text) of the training documents: the smallest id hashes of each language."""
+    """(lang, text) of the training documents: the smallest id hashes of each
+    language. Counts of ids give a hash under which about twice as many lie, so
+    that the exact choice meets that many rows at every size of the input."""
     key = F.xxhash64(F.col(doc_id))
-    rows = docs.where(allowed & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
-    order = Window.partitionBy("__lang").orderBy("__key")
-    last = (rows.select(F.col(lang).cast("string").alias("__lang"), key.alias("__key"))
-            .withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
-            .groupBy("__lang").agg(F.max("__key").alias("__last")).orderBy("__lang").limit(MAX_LANGS + 1).collect())
-    if len(last) > MAX_LANGS:
+    rows = (docs.where(allowed & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
+            .select(F.col(lang).cast("string").alias("lang"), key.alias("__key"), F.col(text).cast("string").alias("text")))
+    ids = (rows.groupBy("lang").agg(F.approx_count_distinct("__key").alias("n"))
+           .orderBy("lang").limit(MAX_LANGS + 1).collect())
+    if len(ids) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    if not last:
-        return rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).limit(0)
-    bound = F.create_map(*[F.lit(v) for r in last for v in (r["__lang"], r["__last"])])
-    return (rows.where(key <= bound[F.col(lang).cast("string")])
-            .select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")))
+    if not ids:
+        return rows.select("lang", "text").limit(0)
+    bound = {r["lang"]: (1 << 63) - 1 if r["n"] <= 2 * per_lang else (1 << 65) * per_lang // r["n"] - (1 << 63) for r in ids}
+    bounds = F.create_map(*[F.lit(v) for pair in bound.items() for v in pair])
+    order = Window.partitionBy("lang").orderBy("__key")
+    return (rows.where(F.col("__key") <= bounds[F.col("lang")])
+            .groupBy("lang", "__key").agg(F.min("text").alias("text"))
+            .withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
+            .select("lang", "text"))
 
 
 def fit(docs: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
