@@ -80,8 +80,9 @@ def zero_mean_features(train_long: DataFrame, feature: str = "feature", value: s
 
 
 def keep_features(df_long: DataFrame, kept: DataFrame, feature: str = "feature") -> DataFrame:
-    """Semi join on the (small, one row per feature) kept-feature table."""
-    return df_long.join(kept, feature, "left_semi")
+    """Semi join on the kept-feature table: one row per column of the wide
+    table, so its broadcast is bounded by the schema, not by the rows."""
+    return df_long.join(F.broadcast(kept), feature, "left_semi")
 
 
 def nonnull_features(df_long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
@@ -97,15 +98,16 @@ def fit_zscore(train_long: DataFrame, by: Sequence[str] = ("feature",), value: s
 
 def apply_zscore(df_long: DataFrame, stats: DataFrame, by: Sequence[str] = ("feature",),
                  value: str = "value", out: str = "z") -> DataFrame:
-    """(x - mu) / sigma; sigma 0 -> scale 1 (as the usual scaler does)."""
-    j = df_long.join(stats, list(by)) if by else df_long.crossJoin(F.broadcast(stats))
+    """(x - mu) / sigma; sigma 0 -> scale 1 (as the usual scaler does).
+    ``stats`` has one row per feature: a broadcast bounded by the schema."""
+    j = df_long.join(F.broadcast(stats), list(by)) if by else df_long.crossJoin(F.broadcast(stats))
     sig = F.when(F.col("sigma") == 0, F.lit(1.0)).otherwise(F.col("sigma"))
     return j.withColumn(out, (F.col(value) - F.col("mu")) / sig).drop("mu", "sigma")
 
 
 def invert_zscore(df_long: DataFrame, stats: DataFrame, by: Sequence[str] = ("feature",),
                   z: str = "z", out: str = "value") -> DataFrame:
-    j = df_long.join(stats, list(by)) if by else df_long.crossJoin(F.broadcast(stats))
+    j = df_long.join(F.broadcast(stats), list(by)) if by else df_long.crossJoin(F.broadcast(stats))
     sig = F.when(F.col("sigma") == 0, F.lit(1.0)).otherwise(F.col("sigma"))
     return j.withColumn(out, F.col(z) * sig + F.col("mu")).drop("mu", "sigma")
 

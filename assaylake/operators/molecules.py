@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.smiles import ATOM_RE, RING_RE, tokens as token_array
 from ..functions.vectors import let
 from ..session import spread
-from .tokens import atom_columns
+from .tokens import atom_columns, join_elements
 
 BOND_RE = r"^[-=#$:/\\]$"
 AROMATIC_RE = r"^([bcnops]|\[[0-9]*(?:se|as|[bcnops](?![a-z])).*\])$"
@@ -103,13 +103,14 @@ def _ring_children(acc: Column) -> Column:
 
 
 def typed_edges(acc: Column) -> Column:
-    """Fold edges with their bond order code (struct src, dst, bond, bond_order).
+    """Fold edges with bond order code and ring flag (struct src, dst, bond, bond_order, in_ring).
     ``acc`` must be a bound value (a column or lambda variable)."""
     arom = acc["arom"]
     return let(_ring_children(acc), lambda kids: F.transform(acc["edges"], lambda e: F.struct(
         e["src"].alias("src"), e["dst"].alias("dst"), e["bond"].alias("bond"),
         _bond_code(e["bond"], F.element_at(arom, e["src"] + 1), F.element_at(arom, e["dst"] + 1),
-                   e["ring"] | F.array_contains(kids, e["dst"])).alias("bond_order"))))
+                   e["ring"] | F.array_contains(kids, e["dst"])).alias("bond_order"),
+        (e["ring"] | F.array_contains(kids, e["dst"])).alias("in_ring"))))
 
 
 def _bond_code(bond: Column, a_src: Column, a_dst: Column, in_ring: Column) -> Column:
@@ -122,7 +123,7 @@ def _bond_code(bond: Column, a_src: Column, a_dst: Column, in_ring: Column) -> C
 def mol_graph(df: DataFrame, key: str = "mol_id", col: str = "smiles",
               both_directions: bool = False) -> tuple[DataFrame, DataFrame]:
     """``atoms(key, atom, token, symbol, aromatic, charge, explicit_h, chiral)``
-    and ``bonds(key, src, dst, bond, order)``. Bonds are listed once (src <
+    and ``bonds(key, src, dst, bond, bond_order, in_ring)``. Bonds are listed once (src <
     dst order of appearance) unless ``both_directions``."""
     toks = spread(df.select(key, col), key).select(key, token_array(col).alias("_t"))
     parsed = toks.select(key, "_t", let(_fold(F.col("_t")), lambda acc: F.struct(
@@ -133,7 +134,7 @@ def mol_graph(df: DataFrame, key: str = "mol_id", col: str = "smiles",
     # bond order from the symbol and the aromatic flags of both ends, all
     # inside the row: no join back to the atom table
     bonds = parsed.select(key, F.explode("_acc.edges").alias("e")).select(
-        key, "e.src", "e.dst", "e.bond", "e.bond_order")
+        key, "e.src", "e.dst", "e.bond", "e.bond_order", "e.in_ring")
     if both_directions:
         bonds = symmetric(bonds, key)
     return atoms, bonds
@@ -152,12 +153,16 @@ def degree(atoms: DataFrame, bonds_both: DataFrame, key: str = "mol_id") -> Data
 
 
 def atom_features(atoms: DataFrame, bonds_both: DataFrame, elems: DataFrame, key: str = "mol_id") -> DataFrame:
-    """Per atom: atomic number, degree, aromatic, ring-closure atom, charge,
-    explicit H, chirality flag."""
-    deg = degree(atoms, bonds_both, key)
-    a = atoms.join(deg, [key, "atom"]).join(F.broadcast(elems.select("symbol", "z")), "symbol", "left")
-    return a.select(key, "atom", F.coalesce("z", F.lit(0)).alias("z"), "degree", "aromatic",
-                    "charge", "explicit_h", "chiral")
+    """Per atom: atomic number (0 for an unlisted element), degree, aromatic,
+    charge, explicit H, chirality flag, in-ring flag, total hydrogens. One
+    aggregate over the bonds serves degree, ring flag and bonded valence."""
+    per = bonds_both.groupBy(key, F.col("src").alias("atom")).agg(
+        F.count(F.lit(1)).cast("int").alias("degree"), F.bool_or("in_ring").alias("in_ring"),
+        F.sum(_valence()).alias("_bv"))
+    a = join_elements(atoms.join(per, [key, "atom"], "left"), elems.select("symbol", "z")).fillna(
+        {"degree": 0, "in_ring": False, "_bv": 0.0})
+    return a.select(key, "atom", "z", "degree", "aromatic", "charge", "explicit_h", "chiral", "in_ring",
+                    _hydrogens().alias("n_h"))
 
 
 def hex_hash(*cols: Column) -> Column:
@@ -301,17 +306,24 @@ def hydrogen_counts(atoms: DataFrame, bonds_both: DataFrame, key: str = "mol_id"
     organic-subset atoms the implicit H = smallest allowed valence >= bonded
     valence minus the bonded valence (aromatic bonds count 1.5, rounded
     down)."""
-    val = F.when(F.col("bond_order") == 12, F.lit(1.5)).otherwise(F.col("bond_order").cast("double"))
-    bv = bonds_both.groupBy(key, F.col("src").alias("atom")).agg(F.sum(val).alias("_bv"))
+    bv = bonds_both.groupBy(key, F.col("src").alias("atom")).agg(F.sum(_valence()).alias("_bv"))
     a = atoms.join(bv, [key, "atom"], "left").fillna(0.0, ["_bv"])
+    return a.select(key, "atom", _hydrogens().alias("n_h"))
+
+
+def _valence() -> Column:
+    return F.when(F.col("bond_order") == 12, F.lit(1.5)).otherwise(F.col("bond_order").cast("double"))
+
+
+def _hydrogens() -> Column:
+    """Hydrogens of an atom row with its bonded valence ``_bv``."""
     allowed = F.create_map(*[x for sym, vs in VALENCES.items()
                              for x in (F.lit(sym), F.array(*[F.lit(v) for v in vs]))])
     vals = F.element_at(allowed, F.col("symbol"))
     bvi = F.floor(F.col("_bv")).cast("int")
     target = F.array_min(F.filter(vals, lambda v: v >= bvi))
     implicit = F.coalesce(target - bvi, F.lit(0))
-    h = F.when(F.col("token").startswith("["), F.col("explicit_h")).otherwise(implicit)
-    return a.select(key, "atom", h.cast("int").alias("n_h"))
+    return F.when(F.col("token").startswith("["), F.col("explicit_h")).otherwise(implicit).cast("int")
 
 
 def add_hydrogens(atoms: DataFrame, bonds: DataFrame, key: str = "mol_id"):

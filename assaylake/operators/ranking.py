@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 HASH_BUCKET_BITS = 16
 
@@ -47,6 +48,31 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int = 256, rel_err: floa
     return F.when(x.isNotNull(), F.size(F.filter(arr, lambda c: c <= x))).otherwise(F.lit(-1))
 
 
+def split_bucket(df: DataFrame, col: str, tie: str, n_buckets: int = 256, rel_err: float = 1e-3) -> Column:
+    """Monotone bucket of (``col``, ``tie``), both numeric. As
+    :func:`quantile_bucket`, but the rows that share a frequent value of
+    ``col`` (one that is a cut point) are split further by quantiles of
+    ``tie``. At most ``n_buckets`` * (``n_buckets`` + 3) buckets."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    at, then = (sorted({x for x in q if x is not None}) for q in df.approxQuantile([col, tie], probs, rel_err))
+
+    def below(cuts: list[float], c: str) -> Column:
+        x = F.col(c).cast("double")
+        if not cuts:
+            return F.when(x.isNotNull(), F.lit(0)).otherwise(F.lit(-1))
+        arr = F.array(*[F.lit(float(v)) for v in cuts])
+        return F.when(x.isNotNull(), F.size(F.filter(arr, lambda v: v <= x))).otherwise(F.lit(-1))
+
+    b = below(at, col)
+    if not at:
+        return F.struct(b.alias("b"), F.lit(0).alias("side"), below(then, tie).alias("t"))
+    # compared in the column's own type, so that LONG values beyond 2^53 stay in order
+    cut = F.try_element_at(F.array(*[F.lit(float(v)) for v in at]), F.greatest(b, F.lit(1))).cast(df.schema[col].dataType)
+    same = F.col(col).isNull() | ((F.col(col) == cut) & (b > 0))
+    side = F.when(same, F.lit(0)).when(F.col(col) < cut, F.lit(-1)).otherwise(F.lit(1))
+    return F.struct(b.alias("b"), side.alias("side"), F.when(same, below(then, tie)).otherwise(F.lit(0)).alias("t"))
+
+
 def running_sums(df: DataFrame, bucket: Column, order: Sequence[Column],
                  values: dict[str, Column], exclusive: bool = False,
                  partition: Sequence[str] = ()) -> DataFrame:
@@ -89,9 +115,12 @@ def global_rank(df: DataFrame, h: str, tie: Sequence[str], name: str = "rank",
 
 def global_rank_by(df: DataFrame, col: str, tie: Sequence[str], name: str = "rank",
                    n_buckets: int = 256) -> DataFrame:
-    """1-based rank by (col, *tie) for any numeric column."""
+    """1-based rank by (col, *tie) for any numeric column; equal values are
+    split over buckets of the first tie column if that is numeric."""
     order = [F.col(col)] + [F.col(t) for t in tie]
-    out = running_sums(df, quantile_bucket(df, col, n_buckets), order, {name: F.lit(1).cast("bigint")})
+    split = bool(tie) and isinstance(df.schema[tie[0]].dataType, NumericType)
+    bucket = split_bucket(df, col, tie[0], n_buckets) if split else quantile_bucket(df, col, n_buckets)
+    out = running_sums(df, bucket, order, {name: F.lit(1).cast("bigint")})
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 

@@ -15,11 +15,26 @@ from ..functions.smiles import tokens as smiles_token_array
 from .ranking import global_rank_by
 
 # Element dimension (symbol, atomic number, standard atomic
-# weight, Pauling electronegativity) for the elements of the organic subset.
+# weight, Pauling electronegativity or None) of the elements 1 to 54 and of
+# the heavier ones common in compounds.
 ELEMENTS = [
-    ("H", 1, 1.008, 2.20), ("B", 5, 10.81, 2.04), ("C", 6, 12.011, 2.55), ("N", 7, 14.007, 3.04),
-    ("O", 8, 15.999, 3.44), ("F", 9, 18.998, 3.98), ("P", 15, 30.974, 2.19), ("S", 16, 32.06, 2.58),
-    ("Cl", 17, 35.45, 3.16), ("Br", 35, 79.904, 2.96), ("I", 53, 126.904, 2.66),
+    ("H", 1, 1.008, 2.20), ("He", 2, 4.0026, None), ("Li", 3, 6.94, 0.98), ("Be", 4, 9.0122, 1.57),
+    ("B", 5, 10.81, 2.04), ("C", 6, 12.011, 2.55), ("N", 7, 14.007, 3.04), ("O", 8, 15.999, 3.44),
+    ("F", 9, 18.998, 3.98), ("Ne", 10, 20.180, None), ("Na", 11, 22.990, 0.93), ("Mg", 12, 24.305, 1.31),
+    ("Al", 13, 26.982, 1.61), ("Si", 14, 28.085, 1.90), ("P", 15, 30.974, 2.19), ("S", 16, 32.06, 2.58),
+    ("Cl", 17, 35.45, 3.16), ("Ar", 18, 39.95, None), ("K", 19, 39.098, 0.82), ("Ca", 20, 40.078, 1.00),
+    ("Sc", 21, 44.956, 1.36), ("Ti", 22, 47.867, 1.54), ("V", 23, 50.942, 1.63), ("Cr", 24, 51.996, 1.66),
+    ("Mn", 25, 54.938, 1.55), ("Fe", 26, 55.845, 1.83), ("Co", 27, 58.933, 1.88), ("Ni", 28, 58.693, 1.91),
+    ("Cu", 29, 63.546, 1.90), ("Zn", 30, 65.38, 1.65), ("Ga", 31, 69.723, 1.81), ("Ge", 32, 72.630, 2.01),
+    ("As", 33, 74.922, 2.18), ("Se", 34, 78.971, 2.55), ("Br", 35, 79.904, 2.96), ("Kr", 36, 83.798, 3.00),
+    ("Rb", 37, 85.468, 0.82), ("Sr", 38, 87.62, 0.95), ("Y", 39, 88.906, 1.22), ("Zr", 40, 91.224, 1.33),
+    ("Nb", 41, 92.906, 1.6), ("Mo", 42, 95.95, 2.16), ("Tc", 43, 97.0, 1.9), ("Ru", 44, 101.07, 2.2),
+    ("Rh", 45, 102.906, 2.28), ("Pd", 46, 106.42, 2.20), ("Ag", 47, 107.868, 1.93), ("Cd", 48, 112.414, 1.69),
+    ("In", 49, 114.818, 1.78), ("Sn", 50, 118.710, 1.96), ("Sb", 51, 121.760, 2.05), ("Te", 52, 127.60, 2.1),
+    ("I", 53, 126.904, 2.66), ("Xe", 54, 131.293, 2.6), ("Cs", 55, 132.905, 0.79), ("Ba", 56, 137.327, 0.89),
+    ("Gd", 64, 157.25, 1.20), ("W", 74, 183.84, 2.36), ("Re", 75, 186.207, 1.9), ("Os", 76, 190.23, 2.2),
+    ("Ir", 77, 192.217, 2.20), ("Pt", 78, 195.084, 2.28), ("Au", 79, 196.967, 2.54), ("Hg", 80, 200.592, 2.00),
+    ("Tl", 81, 204.38, 1.62), ("Pb", 82, 207.2, 2.33), ("Bi", 83, 208.980, 2.02),
 ]
 
 
@@ -28,7 +43,15 @@ def elements(spark: SparkSession) -> DataFrame:
 
 
 ELEMENTS_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{s}', {z}, {w!r}, {e!r})" for s, z, w, e in ELEMENTS) + ") AS t(symbol, z, weight, electronegativity)"
+    f"('{s}', {z}, {w!r}, {'NULL' if e is None else e})" for s, z, w, e in ELEMENTS
+) + ") AS t(symbol, z, weight, electronegativity)"
+
+
+def join_elements(atoms: DataFrame, elems: DataFrame) -> DataFrame:
+    """``atoms`` with the element columns. Atoms of an unlisted element stay,
+    with atomic number 0 and null properties. The element table is a fixed
+    literal of under 70 rows, so its broadcast is bounded."""
+    return atoms.join(F.broadcast(elems), "symbol", "left").withColumn("z", F.coalesce("z", F.lit(0)))
 
 
 def smiles_tokens(df: DataFrame, key: str = "mol_id", col: str = "smiles") -> DataFrame:
@@ -75,8 +98,7 @@ def token_descriptors(tokens: DataFrame, elems: DataFrame, key: str = "mol_id")
     atoms = tokens.where(t.rlike(ATOM_TOKEN))
     ac = atom_columns(t)
     atoms = atoms.select(key, *[v.alias(k) for k, v in ac.items()])
-    # the element table is a fixed literal of 11 rows: broadcast is bounded
-    j = atoms.join(F.broadcast(elems), "symbol", "left")
+    j = join_elements(atoms, elems)
     heavy = F.col("symbol") != "H"
     per_atom = j.groupBy(key).agg(
         F.count_if(heavy).cast("bigint").alias("heavy_atoms"),
@@ -108,9 +130,7 @@ def dictionary_encode(df: DataFrame, value: str, order: Sequence[str], start: in
         mx = preset.agg(F.max("id").alias("_mx"))
         first = first.crossJoin(F.broadcast(mx))  # one row
         offset = F.coalesce(F.col("_mx") + 1, F.lit(start))
-    # a single numeric position key for the quantile buckets
-    first = first.withColumn("_pos", F.col("_f0").cast("double"))
-    ranked = global_rank_by(first, "_pos", [f"_f{i}" for i in range(1, len(order))] + [value], name="_r")
+    ranked = global_rank_by(first, "_f0", [f"_f{i}" for i in range(1, len(order))] + [value], name="_r")
     out = ranked.select(value, (F.col("_r") - 1 + offset).cast("bigint").alias("id"))
     if preset is not None:
         out = out.unionByName(preset.select(value, F.col("id").cast("bigint")))
@@ -152,16 +172,21 @@ def char_decode(codes: DataFrame, key: str, charset: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("slot", "ch"))), lambda x: x["ch"]), "").alias("decoded"))
 
 
-def encode_pad(tokens: DataFrame, vocab: DataFrame, key: str, length: int, value: str = "token",
-               unk: int = 1) -> DataFrame:
-    """Token ids truncated/padded to ``length`` (pad id 0) + attention mask.
-    Only the first ``length`` positions are joined."""
-    t = tokens.where(F.col("pos") < length).join(vocab, value, "left").withColumn(
-        "id", F.coalesce(F.col("id"), F.lit(unk)).cast("bigint"))
+def encode_pad(tokens: DataFrame, vocab: DataFrame, key: str, length: int | None = None, value: str = "token",
+               unk: int = 1, keys: DataFrame | None = None) -> DataFrame:
+    """Token ids padded (pad id 0) to the longest sequence, or truncated and
+    padded to ``length``, + attention mask. With ``keys`` every key of that
+    table has a row; one without tokens is all padding."""
+    t = tokens if length is None else tokens.where(F.col("pos") < length)
+    t = t.join(vocab, value, "left").withColumn("id", F.coalesce(F.col("id"), F.lit(unk)).cast("bigint"))
     g = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
-    ids = F.transform("_s", lambda x: x["id"])
-    n = F.size("_s")
-    pad = F.array_repeat(F.lit(0).cast("bigint"), F.lit(length) - n)
+    if keys is not None:
+        g = keys.select(key).join(g, key, "left")
+    width = tokens.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).cast("int").alias("_len"))  # one row
+    g = g.crossJoin(F.broadcast(width)) if length is None else g.withColumn("_len", F.lit(length))
+    ids = F.coalesce(F.transform("_s", lambda x: x["id"]), F.array().cast("array<bigint>"))
+    n = F.size(ids)
+    pad = F.array_repeat(F.lit(0).cast("bigint"), F.col("_len") - n)
     return g.select(key, F.concat(ids, pad).alias("input_ids"),
                     F.concat(F.array_repeat(F.lit(1).cast("bigint"), n), pad).alias("attention_mask"))
 
@@ -186,16 +211,15 @@ def words(col: str) -> Column:
 
 
 def ngrams(df: DataFrame, key: str, arr: str, max_n: int = 4) -> DataFrame:
-    """``(key, n, gram, cnt)`` n-gram counts of a word array column."""
-    rows = []
-    for n in range(1, max_n + 1):
-        grams = F.transform(F.sequence(F.lit(0), F.size(arr) - n),
-                            lambda i: F.array_join(F.slice(F.col(arr), i + 1, n), " "))
-        rows.append(df.where(F.size(arr) >= n).select(key, F.lit(n).alias("n"), F.explode(grams).alias("gram")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    """``(key, n, gram, cnt)`` n-gram counts of a word array column; all orders
+    come from one pass over the rows."""
+    def grams(n: int) -> Column:
+        return F.when(F.size(arr) >= n, F.transform(
+            F.sequence(F.lit(0), F.size(arr) - n),
+            lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(F.col(arr), i + 1, n), " ").alias("gram"))))
+    every = F.flatten(F.array_compact(F.array(*[grams(n) for n in range(1, max_n + 1)])))
+    return (df.select(key, F.explode(every).alias("_g")).groupBy(key, "_g.n", "_g.gram")
+            .agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def corpus_bleu(pairs: DataFrame, key: str = "pair_id", hyp: str = "hyp", ref: str = "ref",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ntz_epoch_micros
@@ -27,30 +29,45 @@ def q_stat_pool(spark, sf):
     return rounded(stat_pool(S.vector_long(spark, sf), ["id"]))
 
 
-def cross_covariance(a, b, key="id", ridge=1e-5):
-    """Centred cross-covariance of two views (long form ``(key, i, x)`` and
-    ``(key, j, y)``) and the auto-covariance of view a with a ridge on the
-    diagonal. Dimensions are fixed and small, so the per-row (i, j) grid is
-    bounded by dims^2."""
-    cross = a.join(b, key).groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"))
-    a2 = a.select(key, F.col("i").alias("j"), F.col("x").alias("y"))
-    auto = a.join(a2, key).groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov")).withColumn(
-        "cov", F.when(F.col("i") == F.col("j"), F.col("cov") + F.lit(ridge)).otherwise(F.col("cov")))
-    return cross.withColumn("kind", F.lit("cross")).unionByName(auto.withColumn("kind", F.lit("auto")))
+def cross_covariance(vectors, split, vec="vec", ridge=1e-5):
+    """Sample covariance ``(kind, i, j, cov)`` of the views ``vec[:split]`` and
+    ``vec[split:]``: the cross block, and the auto block of the first view with
+    a ridge on the diagonal. The column means go to the rows as one broadcast
+    row; each task sums the centred products of its rows in numpy, and one row
+    per task and (i, j) is shuffled. Null vectors take no part; fewer than two
+    rows give no covariance."""
+    v = vectors.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v"))
+    mean = v.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+
+    def products(batches):
+        total, n = 0.0, 0
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b["v"].to_pylist(), float) - np.array(b["mean"][0].as_py(), float)
+                total, n = total + x[:, :split].T @ x, n + len(x)
+        if n:
+            i, j = np.indices(total.shape).reshape(2, -1)
+            yield pa.RecordBatch.from_pydict({"i": i, "j": j, "s": total.ravel(), "n": np.full(len(i), n)})
+
+    sums = v.crossJoin(F.broadcast(mean)).mapInArrow(products, "i long, j long, s double, n long")
+    cov = F.sum("s") / F.nullif(F.sum("n") - 1, F.lit(0))
+    d = sums.groupBy("i", "j").agg(cov.alias("cov"))
+    auto = F.col("j") < split
+    return d.select(F.when(auto, "auto").otherwise("cross").alias("kind"), "i",
+                    F.when(auto, F.col("j")).otherwise(F.col("j") - split).alias("j"),
+                    (F.col("cov") + F.when(F.col("i") == F.col("j"), F.lit(ridge)).otherwise(0.0)).alias("cov"))
 
 
 @query("cross_covariance", with_ctes(f"""
-SELECT 'cross' AS kind, a.dim AS i, b.dim - 8 AS j, {r('covar_samp(a.x, b.x)')} AS cov
-FROM vl a JOIN vl b ON a.id = b.id WHERE a.dim < 8 AND b.dim >= 8 AND b.dim < 16 GROUP BY a.dim, b.dim
+SELECT 'cross' AS kind, a.dim AS i, b.dim - 32 AS j, {r('covar_samp(a.x, b.x)')} AS cov
+FROM vl a JOIN vl b ON a.id = b.id WHERE a.dim < 32 AND b.dim >= 32 GROUP BY a.dim, b.dim
 UNION ALL
 SELECT 'auto' AS kind, a.dim AS i, b.dim AS j,
        {r('covar_samp(a.x, b.x) + CASE WHEN a.dim = b.dim THEN 0.00001 ELSE 0 END')} AS cov
-FROM vl a JOIN vl b ON a.id = b.id WHERE a.dim < 8 AND b.dim < 8 GROUP BY a.dim, b.dim""", vl=S.VECTOR_LONG_SQL))
+FROM vl a JOIN vl b ON a.id = b.id WHERE a.dim < 32 AND b.dim < 32 GROUP BY a.dim, b.dim""", vl=S.VECTOR_LONG_SQL))
 def q_cross_covariance(spark, sf):
-    vl = S.vector_long(spark, sf)
-    a = vl.where("dim < 8").select("id", F.col("dim").alias("i"), "x")
-    b = vl.where("dim >= 8 AND dim < 16").select("id", (F.col("dim") - 8).alias("j"), F.col("x").alias("y"))
-    return rounded(cross_covariance(a, b).select("kind", "i", "j", "cov"))
+    return rounded(cross_covariance(S.vectors(spark, sf), 32))
 
 
 @query("class_count", "SELECT CAST(max(label) + 1 AS BIGINT) AS num_classes FROM embeddings")

@@ -17,12 +17,11 @@ from .registry import query, with_ctes
 
 
 @query("atoms_join_elements", with_graph(f"""
-SELECT g.mol_id, g.atom, e.z, {r('e.weight')} AS weight, {r('e.electronegativity')} AS electronegativity
-FROM gatoms g JOIN elems e ON g.symbol = e.symbol""", elems=TK.ELEMENTS_SQL))
+SELECT g.mol_id, g.atom, coalesce(e.z, 0) AS z, {r('e.weight')} AS weight, {r('e.electronegativity')} AS electronegativity
+FROM gatoms g LEFT JOIN elems e ON g.symbol = e.symbol""", elems=TK.ELEMENTS_SQL))
 def q_atoms_join_elements(spark, sf):
     atoms, _ = MO.mol_graph(S.molecules(spark, sf))
-    # the element dimension is a fixed 11-row literal: a bounded broadcast
-    j = atoms.join(F.broadcast(TK.elements(spark)), "symbol")
+    j = TK.join_elements(atoms, TK.elements(spark))
     return rounded(j.select("mol_id", "atom", "z", "weight", "electronegativity"))
 
 

@@ -60,15 +60,16 @@ WHERE a.node > l.lca"""
 
 BONDS_SQL = """
 SELECT b.mol_id, b.src, b.dst, b.bond,
-  CASE WHEN b.bond = '' AND s.aromatic AND d.aromatic
-            AND (b.ring OR EXISTS (SELECT 1 FROM ringkids k WHERE k.mol_id = b.mol_id AND k.node = b.dst)) THEN 12
+  CASE WHEN b.bond = '' AND s.aromatic AND d.aromatic AND b.in_ring THEN 12
        WHEN b.bond IN ('', '-', '/', '\\') THEN 1 WHEN b.bond = '=' THEN 2 WHEN b.bond = '#' THEN 3
-       WHEN b.bond = '$' THEN 4 WHEN b.bond = ':' THEN 12 ELSE 1 END AS bond_order
-FROM redges b
+       WHEN b.bond = '$' THEN 4 WHEN b.bond = ':' THEN 12 ELSE 1 END AS bond_order, b.in_ring
+FROM (SELECT *, ring OR EXISTS (SELECT 1 FROM ringkids k WHERE k.mol_id = e.mol_id AND k.node = e.dst) AS in_ring
+      FROM redges e) b
 JOIN gatoms s ON b.mol_id = s.mol_id AND b.src = s.atom
 JOIN gatoms d ON b.mol_id = d.mol_id AND b.dst = d.atom"""
 
-BOTH_SQL = "SELECT mol_id, src, dst, bond, bond_order FROM bonds UNION ALL SELECT mol_id, dst, src, bond, bond_order FROM bonds"
+BOTH_SQL = """SELECT mol_id, src, dst, bond, bond_order, in_ring FROM bonds
+UNION ALL SELECT mol_id, dst, src, bond, bond_order, in_ring FROM bonds"""
 
 GRAPH = {"molecules": S.MOLECULES_SQL, "toks": TOKENS_SQL, "atoms": ATOMS_SQL, "gatoms": GATOMS_SQL,
          "walk": WALK_SQL, "redges": REDGES_SQL, "anc": ANC_SQL, "ringkids": RINGKIDS_SQL,
@@ -91,7 +92,7 @@ def mol_graph(spark, sf, both=False):
 
 @query("mol_graph_tables", with_graph("SELECT mol_id, src, dst, bond, bond_order FROM bonds"))
 def q_mol_graph_tables(spark, sf):
-    return mol_graph(spark, sf)[1]
+    return mol_graph(spark, sf)[1].select("mol_id", "src", "dst", "bond", "bond_order")
 
 
 @query("mol_graph_atoms", with_graph(
@@ -106,15 +107,6 @@ FROM gatoms g LEFT JOIN (SELECT mol_id, src AS atom, count(*) AS degree FROM bon
   ON g.mol_id = d.mol_id AND g.atom = d.atom"""
 
 
-@query("atom_features", with_graph("""
-SELECT g.mol_id, g.atom, coalesce(e.z, 0) AS z, d.degree, g.aromatic, g.charge, g.explicit_h, g.chiral
-FROM gatoms g JOIN deg d ON g.mol_id = d.mol_id AND g.atom = d.atom LEFT JOIN elems e ON g.symbol = e.symbol""",
-                                   deg=DEG_SQL, elems=TK.ELEMENTS_SQL))
-def q_atom_features(spark, sf):
-    atoms, bonds = mol_graph(spark, sf, both=True)
-    return MO.atom_features(atoms, bonds, TK.elements(spark))
-
-
 def _fp_sql(radius: int, n_bits: int, name: str = "fp") -> dict:
     ctes = {"deg": DEG_SQL}
     ctes["h0"] = """
@@ -178,10 +170,10 @@ def q_fragment_counts(spark, sf):
 
 
 @query("element_one_hot_matrix", with_graph("""
-SELECT g.mol_id, g.atom, e.z FROM gatoms g JOIN elems e ON g.symbol = e.symbol""", elems=TK.ELEMENTS_SQL))
+SELECT g.mol_id, g.atom, coalesce(e.z, 0) AS z FROM gatoms g LEFT JOIN elems e ON g.symbol = e.symbol""", elems=TK.ELEMENTS_SQL))
 def q_element_rows(spark, sf):
     atoms, _ = mol_graph(spark, sf)
-    return atoms.join(F.broadcast(TK.elements(spark).select("symbol", "z")), "symbol").select("mol_id", "atom", "z")
+    return TK.join_elements(atoms, TK.elements(spark)).select("mol_id", "atom", "z")
 
 
 HCOUNT_SQL = """
@@ -200,6 +192,19 @@ def _vals_sql() -> str:
         f"('{s}', {list(v)})" for s, v in MO.VALENCES.items()) + ") AS t(symbol, vals)"
 
 
+@query("atom_features", with_graph("""
+SELECT g.mol_id, g.atom, coalesce(e.z, 0) AS z, d.degree, g.aromatic, g.charge, g.explicit_h, g.chiral,
+       coalesce(rg.in_ring, false) AS in_ring, h.n_h
+FROM gatoms g JOIN deg d ON g.mol_id = d.mol_id AND g.atom = d.atom LEFT JOIN elems e ON g.symbol = e.symbol
+JOIN hc h ON g.mol_id = h.mol_id AND g.atom = h.atom
+LEFT JOIN (SELECT mol_id, src, bool_or(in_ring) AS in_ring FROM bonds2 GROUP BY mol_id, src) rg
+  ON g.mol_id = rg.mol_id AND g.atom = rg.src""",
+                                   deg=DEG_SQL, elems=TK.ELEMENTS_SQL, vals=_vals_sql(), hc=HCOUNT_SQL))
+def q_atom_features(spark, sf):
+    atoms, bonds = mol_graph(spark, sf, both=True)
+    return MO.atom_features(atoms, bonds, TK.elements(spark))
+
+
 HATOMS_SQL = """
 SELECT h.mol_id, h.atom AS src, CAST(n.n + coalesce(sum(h.n_h) OVER (PARTITION BY h.mol_id ORDER BY h.atom
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS first_h, h.n_h

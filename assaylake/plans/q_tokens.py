@@ -39,14 +39,16 @@ FROM (SELECT token, arg_min(mol_id, mol_id * 1000000 + pos) AS fm, arg_min(pos,
 
 @query("vocab_encode_pad", with_ctes("""
 SELECT mol_id,
-  array_to_string(list_concat(ids, list_transform(range(16 - len(ids)), lambda x: 0)), ',') AS input_ids,
-  array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(16 - len(ids)), lambda x: 0)), ',') AS attention_mask
-FROM (SELECT t.mol_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids
-      FROM toks t LEFT JOIN vocab v ON t.token = v.token WHERE t.pos < 16 GROUP BY t.mol_id) e""",
+  array_to_string(list_concat(ids, list_transform(range(w - len(ids)), lambda x: 0)), ',') AS input_ids,
+  array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(w - len(ids)), lambda x: 0)), ',') AS attention_mask
+FROM (SELECT m.mol_id, coalesce(e0.ids, []) AS ids FROM molecules m LEFT JOIN
+        (SELECT t.mol_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids
+         FROM toks t LEFT JOIN vocab v ON t.token = v.token GROUP BY t.mol_id) e0 ON m.mol_id = e0.mol_id) e,
+     (SELECT max(pos) + 1 AS w FROM toks) width""",
                                       **TOK, vocab=VOCAB_SQL))
 def q_vocab_encode_pad(spark, sf):
     t = mol_tokens(spark, sf)
-    enc = TK.encode_pad(t, mol_vocab(t), "mol_id", 16)
+    enc = TK.encode_pad(t, mol_vocab(t), "mol_id", keys=S.molecules(spark, sf))
     return enc.select("mol_id", F.array_join("input_ids", ",").alias("input_ids"),
                       F.array_join("attention_mask", ",").alias("attention_mask"))
 
@@ -89,14 +91,13 @@ def q_token_descriptors(spark, sf):
 
 
 @query("element_dimension", with_ctes(f"""
-SELECT e.symbol, e.z, {r('e.weight')} AS weight, {r('e.electronegativity')} AS electronegativity, count(*) AS n_atoms
-FROM atoms a JOIN elems e ON a.symbol = e.symbol GROUP BY e.symbol, e.z, e.weight, e.electronegativity""",
+SELECT a.symbol, coalesce(e.z, 0) AS z, {r('e.weight')} AS weight, {r('e.electronegativity')} AS electronegativity, count(*) AS n_atoms
+FROM atoms a LEFT JOIN elems e ON a.symbol = e.symbol GROUP BY a.symbol, e.z, e.weight, e.electronegativity""",
                                        **TOK, atoms=ATOMS_SQL, elems=TK.ELEMENTS_SQL))
 def q_element_dimension(spark, sf):
     t = mol_tokens(spark, sf).where(F.col("token").rlike(TK.ATOM_TOKEN))
     a = t.select(TK.atom_columns(F.col("token"))["symbol"].alias("symbol"))
-    e = TK.elements(spark)
-    j = a.join(F.broadcast(e), "symbol")
+    j = TK.join_elements(a, TK.elements(spark))
     return rounded(j.groupBy("symbol", "z", "weight", "electronegativity").agg(F.count(F.lit(1)).alias("n_atoms")))
 
 
@@ -171,7 +172,7 @@ def q_context_window(spark, sf):
 
 # Generated text = an assistant turn, reference = the user turn before it.
 PAIRS_SQL = """
-SELECT a.conv_id * 1000 + a.turn AS pair_id, a.text AS hyp, u.text AS ref
+SELECT struct_pack(c := a.conv_id, t := a.turn) AS pair_id, a.text AS hyp, u.text AS ref
 FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND u.turn = a.turn - 1
 WHERE a.role = 'assistant' AND u.role = 'user'"""
 
@@ -180,8 +181,7 @@ def bleu_pairs(spark, sf):
     c = S.table(spark, sf, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("hyp"))
     u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("ref"))
-    return a.join(u, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"),
-                                                 "hyp", "ref")
+    return a.join(u, ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("pair_id"), "hyp", "ref")
 
 
 def _sql_ngrams(col: str) -> str:

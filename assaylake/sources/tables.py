@@ -98,18 +98,23 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
 
 
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``class_scores(id, label, logits)``: first 10 embedding dims as logits."""
+    """``class_scores(id, label, logits)``: ten logits, logit j the sum of the
+    embedding's dims i with i mod 10 = j."""
+    def logit(j: int) -> Column:
+        return F.aggregate(F.filter("embedding", lambda x, i: i % 10 == j), F.lit(0.0),
+                           lambda acc, x: acc + x.cast("double"))
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id").alias("id"),
         F.col("label").cast("bigint").alias("label"),
-        F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("logits"),
+        F.array(*[logit(j) for j in range(10)]).alias("logits"),
     )
 
 
 CLASS_SCORES_SQL = """
 SELECT vec_id AS id, CAST(label AS BIGINT) AS label,
-       CAST(embedding[1:10] AS DOUBLE[]) AS logits
+       list_transform(range(10), lambda j: list_sum(list_filter(CAST(embedding AS DOUBLE[]),
+                                                                lambda x, i: (i - 1) % 10 = j))) AS logits
 FROM embeddings"""
 
 
