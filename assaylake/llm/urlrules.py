@@ -13,7 +13,8 @@ opening puts its rule on top, every closing uncovers the rule below, which is
 known from the nesting; the active rule at a url is the state after the last
 end before it. The sweep runs in range partitions of distinct (path, host key)
 pairs, each started with the state the partitions before it end with, so no
-host and no top-level domain meets in one task.
+host and no top-level domain meets in one task. The pairs are written once with
+their partition's number: a plan that is run twice samples other range bounds.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no
 rule and gets the default verdict; so do empty tables (no rows) and hosts
@@ -26,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import written
+
 Rule = tuple[str, str, str]
 
 RULES: list[Rule] = [
@@ -97,10 +100,10 @@ def url_verdicts(pages: DataFrame, rules: list[Rule] = RULES, default: str = "al
                          F.col("__paths").alias("paths"))
     ends = _rule_ends(spark, rules).withColumn("paths", F.lit(None).cast("array<string>"))
     order = ["rpath", "key", "kind"]
-    swept = (points.unionByName(ends.select(*points.columns))
-             .withColumn("active", F.when(F.col("kind") < 2, F.struct("rpath", F.col("active").alias("a"))))
-             .repartitionByRange(*order)
-             .withColumn("part", F.spark_partition_id()))
+    swept = written(points.unionByName(ends.select(*points.columns))
+                    .withColumn("active", F.when(F.col("kind") < 2, F.struct("rpath", F.col("active").alias("a"))))
+                    .repartitionByRange(*order)
+                    .withColumn("part", F.spark_partition_id()), "url-rules")
     # the state each range partition starts with: the last end of the partitions before it (one row a partition)
     last = swept.groupBy("part").agg(F.max_by(
         F.when(F.col("kind") < 2, F.col("active")),

@@ -235,6 +235,26 @@ def test_url_rules(spark):
     assert urlrules.url_verdicts(df).count() == 24 and urlrules.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_url_rules_over_many_range_partitions(spark):
+    """Distinct hosts fill many range partitions, most of which start inside a rule's interval."""
+    n, zone = 60_000, 200
+    rules = [("block" if k % 4 else "allow", f"z{k:03d}.com", "/") for k in range(0, n // zone, 2)]
+    df = spark.range(n).select(F.col("id").alias("page_id"), F.format_string(
+        "http://h%05d.z%03d.com/a/b/c", F.col("id"), F.floor(F.col("id") / zone).cast("long")).alias("url"))
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = urlrules.url_verdicts(df, rules, "none").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = ["none" if k % 2 else "block" if k % 4 else "allow" for k in range(n // zone)]
+    assert len(rows) == n
+    assert sum(r.verdict != want[r.page_id // zone] for r in rows) == 0
+
+
 def test_models_on_odd_rows(spark, docs):
     net = langid.fit(docs, F.col("lang").isNotNull())
     got = {r.doc_id: r for r in langid.predict(docs, net).collect()}
