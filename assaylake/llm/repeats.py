@@ -17,14 +17,19 @@ longer ones continue in the neighbouring segments of another bucket.)
 
 1. Texts go into chunks of about ``CHUNK_BYTES`` (whole documents), written once.
 2. Each chunk sends its distinct anchors, packed, to buckets; a bucket answers
-   with a bit for each: in another chunk too?
+   with a bit for each: in another chunk too? A second bit marks hot anchors,
+   whose distinct segments have more than ``HOT_BYTES`` in all chunks together:
+   at the edges of a frequent passage every document has a segment of its own.
 3. Each chunk sends its shared segments, each distinct one once with its
    smallest document id: a passage in a third of all documents is one row a
-   chunk. Which occurrence has which segment stays with the chunk.
+   chunk. Which occurrence has which segment stays with the chunk. Segments of
+   hot anchors go as their distinct windows, dealt out to lanes by a second
+   hash, of the whole window, so no group holds all that one anchor has.
 4. Buckets answer with the windows' smallest ids; the chunk removes every byte
    covered by a window with a smaller id than its document's.
 
-Number of buckets and chunks follow the input, so what a task holds does not.
+Number of buckets, lanes and chunks follow the input, so what a task holds does
+not.
 
 Cases: null texts are empty; texts under ``MIN_BYTES`` keep all; rows without an
 id keep all and count for nobody; rows that share an id never remove each
@@ -36,6 +41,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +59,10 @@ CHUNK_BYTES = 4 << 20
 #: text bytes that one bucket answers for
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 32
+#: distinct segment bytes of one anchor beyond which its windows are dealt out one by one
+HOT_BYTES = 256 << 10
+#: segment bytes of hot anchors in one lane
+LANE_BYTES = 1 << 20
 _PIECE = 1 << 20
 
 
@@ -238,6 +248,21 @@ class Chunk:
             both = np.minimum.reduceat(ids, edge) != np.maximum.reduceat(ids, edge)
         return seg, keys, inv, both
 
+    def volume(self, seg, n_keys: int, inv: np.ndarray, least: int) -> np.ndarray:
+        """For each key a power of two (its exponent) that the bytes of its
+        distinct segments do not exceed."""
+        length = seg[1] + least - 1
+        total = np.bincount(inv, length, n_keys).astype(np.int64)
+        many = np.flatnonzero((total > 1024)[inv])
+        if len(many):
+            raw = self.data.tobytes()
+            distinct: dict[int, set[bytes]] = {}
+            for k, a, b in zip(inv[many].tolist(), seg[0][many].tolist(), (seg[0] + length)[many].tolist(), strict=True):
+                distinct.setdefault(k, set()).add(raw[a:b])
+            for k, texts in distinct.items():
+                total[k] = sum(map(len, texts))
+        return np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
+
 
 _CHUNK = "chunk long, bytes long, ids binary, has_id binary, sizes binary, text binary"
 
@@ -277,34 +302,48 @@ _PART = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("blob", pa.bi
 _PART_SQL = "bucket long, chunk long, blob binary"
 
 
+_BITS = _PART.append(pa.field("hot", pa.int64()))
+
+
 def _send_keys(n: int, least: int, gram: int):
-    """Step 2: the low 48 bits of each chunk's distinct keys, by bucket."""
+    """Step 2: the low 48 bits of each chunk's distinct keys and their volume, by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            _, keys, _, _ = Chunk(row).shared(least, gram)
+            c = Chunk(row)
+            seg, keys, inv, _ = c.shared(least, gram)
             edge = _bucket_edges(keys, n)
             low = keys.view(np.uint8).reshape(-1, 8)[:, :6]
-            yield _batch([(k, row["chunk"], low[edge[k]:edge[k + 1]].tobytes())
+            volume = c.volume(seg, len(keys), inv, least)
+            yield _batch([(k, row["chunk"], low[edge[k]:edge[k + 1]].tobytes() + volume[edge[k]:edge[k + 1]].tobytes())
                           for k in np.flatnonzero(edge[1:] > edge[:-1]).tolist()], _PART)
     return run
 
 
-def _shared_bits(t: pa.Table) -> pa.Table:
-    """Step 2, in a bucket: one bit for each key, set if two chunks have it."""
-    blobs = t["blob"].to_pylist()
-    n = np.array([len(b) // 6 for b in blobs])
-    wide = np.zeros((n.sum(), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-    key = wide.view(np.uint64).ravel()
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    on = np.zeros(len(key), bool)
-    on[order[1:][same]] = True
-    on[order[:-1][same]] = True
-    edge = np.concatenate(([0], np.cumsum(n)))
-    rows = [(b, c, np.packbits(on[i:j]).tobytes()) for b, c, i, j in
-            zip(t["bucket"].to_pylist(), t["chunk"].to_pylist(), edge[:-1], edge[1:], strict=True) if on[i:j].any()]
-    return pa.Table.from_batches([_batch(rows, _PART)])
+def _shared_bits(hot_bytes: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Step 2, in a bucket: one bit for each key, set if two chunks have it,
+        and, if there are any, one for each key set if it is hot."""
+        blobs = t["blob"].to_pylist()
+        n = np.array([len(b) // 7 for b in blobs])
+        wide = np.zeros((n.sum(), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(b[:6 * k] for b, k in zip(blobs, n, strict=True)), np.uint8).reshape(-1, 6)
+        key = wide.view(np.uint64).ravel()
+        volume = np.frombuffer(b"".join(b[6 * k:] for b, k in zip(blobs, n, strict=True)), np.uint8)
+        volume = np.int64(1) << volume.astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order][1:] != key[order][:-1])
+        first = np.flatnonzero(new)
+        of = np.empty(len(key), np.int64)
+        of[order] = np.cumsum(new) - 1
+        on = (np.diff(np.append(first, len(key))) > 1)[of]
+        hot = (np.add.reduceat(volume[order], first) > hot_bytes)[of]
+        edge = np.concatenate(([0], np.cumsum(n)))
+        rows = [(b, c, np.packbits(on[i:j]).tobytes() + (np.packbits(hot[i:j]).tobytes() if hot[i:j].any() else b""),
+                 int(volume[i:j][hot[i:j]].sum()))
+                for b, c, i, j in zip(t["bucket"].to_pylist(), t["chunk"].to_pylist(), edge[:-1], edge[1:], strict=True)
+                if on[i:j].any() or hot[i:j].any()]
+        return pa.Table.from_batches([_batch(rows, _BITS)])
+    return run
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -324,19 +363,29 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 class Shared:
     """The shared segments of a chunk: distinct ones numbered by key (so by
     bucket), ``at``: first number of each bucket; ``start``, ``doc`` and ``of``
-    (number) of every occurrence."""
+    (number) of every occurrence.
 
-    def __init__(self, row: dict, n: int, least: int, gram: int):
+    Of hot keys the windows: distinct ones numbered by lane in ``windows``,
+    ``lane_at``: first number of each lane; ``hot_start``, ``hot_doc`` and
+    ``hot_of`` (number) of every occurrence."""
+
+    def __init__(self, row: dict, n: int, lanes: int, least: int, gram: int):
         self.chunk = c = Chunk(row)
         (start, size, _, doc), keys, inv, on = c.shared(least, gram)
         edge = _bucket_edges(keys, n)
+        hot = np.zeros(len(keys), bool)
         for part in row["bits"] or []:
             i, j = edge[part["bucket"]], edge[part["bucket"] + 1]
-            on[i:j] |= np.unpackbits(np.frombuffer(part["blob"], np.uint8), count=j - i).astype(bool)
-        pick = np.flatnonzero(on[inv])
+            wide = -(-(j - i) // 8)
+            bits = np.frombuffer(part["blob"], np.uint8)
+            on[i:j] |= np.unpackbits(bits[:wide], count=j - i).astype(bool)
+            if len(bits) > wide:
+                hot[i:j] = np.unpackbits(bits[wide:], count=j - i).astype(bool)
+        raw = c.data.tobytes()
+        self._deal_windows(raw, start, size, doc, np.flatnonzero((on & hot)[inv]), lanes, least)
+        pick = np.flatnonzero((on & ~hot)[inv])
         pick = pick[np.argsort(inv[pick], kind="stable")]
         self.start, self.doc = start[pick], doc[pick]
-        raw = c.data.tobytes()
         number: dict[tuple[int, bytes], int] = {}
         self.of = np.fromiter((number.setdefault((key, raw[s:e]), len(number)) for s, e, key in
                                zip(self.start.tolist(), (self.start + size[pick] + least - 1).tolist(),
@@ -345,25 +394,62 @@ class Shared:
         self.key, self.text = keys[key_of], [t for _, t in number]
         self.at = np.searchsorted(key_of, edge)
 
-
-def _send_segments(n: int, least: int, gram: int):
-    """Step 3: distinct shared segments with their smallest ids, by bucket."""
+    def _deal_windows(self, raw: bytes, start, size, doc, pick, lanes: int, least: int) -> None:
+        self.hot_start = np.repeat(start[pick], size[pick])
+        self.hot_start += np.arange(len(self.hot_start)) - np.repeat(np.cumsum(size[pick]) - size[pick], size[pick])
+        self.hot_doc = np.repeat(doc[pick], size[pick])
+        number: dict[bytes, int] = {}
+        of = np.fromiter((number.setdefault(raw[s:s + least], len(number)) for s in self.hot_start.tolist()),
+                         np.int64, len(self.hot_start))
+        lane = np.fromiter((zlib.crc32(w) % lanes for w in number), np.int64, len(number))
+        order = np.argsort(lane, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        windows = list(number)
+        self.windows, self.hot_of = [windows[k] for k in order.tolist()], place[of]
+        self.lane_at = np.searchsorted(lane[order], np.arange(lanes + 1))
+
+
+def _send_segments(n: int, lanes: int, least: int, gram: int):
+    """Step 3: distinct shared segments with their smallest ids, by bucket, and
+    the distinct windows of hot ones, by lane (numbered after the buckets)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            s = Shared(row, n, least, gram)
+            s = Shared(row, n, lanes, least, gram)
             low = np.full(len(s.text), np.iinfo(np.int64).max)
             np.minimum.at(low, s.of, s.chunk.ids[s.doc])
             length = np.array([len(t) for t in s.text], np.int32)
             yield _batch([(k, row["chunk"], _pack(s.key[i:j], length[i:j], low[i:j],
                                                   np.frombuffer(b"".join(s.text[i:j]), np.uint8)))
                           for k in np.flatnonzero(s.at[1:] > s.at[:-1]).tolist() for i, j in [(s.at[k], s.at[k + 1])]], _PART)
+            low = np.full(len(s.windows), np.iinfo(np.int64).max)
+            np.minimum.at(low, s.hot_of, s.chunk.ids[s.hot_doc])
+            yield _batch([(n + k, row["chunk"], _pack(low[i:j], np.frombuffer(b"".join(s.windows[i:j]), np.uint8)))
+                          for k in np.flatnonzero(s.lane_at[1:] > s.lane_at[:-1]).tolist()
+                          for i, j in [(s.lane_at[k], s.lane_at[k + 1])]], _PART)
     return run
 
 
-def _answer(least: int):
+def _answer_windows(t: pa.Table, least: int) -> pa.Table:
+    """Step 4, in a lane: the smallest id of every window of every chunk."""
+    parts = [_unpack(b, np.int64, np.uint8) for b in t["blob"].to_pylist()]
+    number: dict[bytes, int] = {}
+    of = []
+    for ids, data in parts:
+        raw = data.tobytes()
+        of.append(np.array([number.setdefault(raw[i:i + least], len(number)) for i in range(0, len(raw), least)], np.int64))
+    owner = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(owner, np.concatenate(of), np.concatenate([ids for ids, _ in parts]))
+    rows = [(b, c, _pack(owner[o])) for b, c, o in zip(t["bucket"].to_pylist(), t["chunk"].to_pylist(), of, strict=True)]
+    return pa.Table.from_batches([_batch(rows, _PART)])
+
+
+def _answer(n: int, least: int):
     def run(t: pa.Table) -> pa.Table:
         """Step 4, in a bucket: runs of windows with one smallest id, for every
         segment of every chunk."""
+        if t["bucket"][0].as_py() >= n:
+            return _answer_windows(t, least)
         parts = [_unpack(b, np.uint64, np.int32, np.int64, np.uint8) for b in t["blob"].to_pylist()]
         number: dict[tuple[int, bytes], int] = {}
         of, low = [], []
@@ -394,23 +480,27 @@ def _answer(least: int):
     return run
 
 
-def _removed(row: dict, n: int, least: int, gram: int) -> tuple[Chunk, np.ndarray]:
+def _removed(row: dict, n: int, lanes: int, least: int, gram: int) -> tuple[Chunk, np.ndarray]:
     """The chunk and a mark on every byte to remove."""
     if not row["answers"]:
         c = Chunk(row)
         return c, np.zeros(len(c.data), bool)
-    sh = Shared(row, n, least, gram)
+    sh = Shared(row, n, lanes, least, gram)
     c = sh.chunk
     step = np.zeros(len(c.data) + 1, np.int64)
-    runs, upto, low = np.zeros(len(sh.text), np.int64), [], []
+    none = np.zeros(0, np.int64)
+    runs, upto, low, window_low = np.zeros(len(sh.text), np.int64), [none], [none], [none]
     for part in sorted(row["answers"], key=lambda p: p["bucket"]):
+        if part["bucket"] >= n:
+            window_low += _unpack(part["blob"], np.int64)
+            continue
         a, b, m = _unpack(part["blob"], np.int32, np.int32, np.int64)
         runs[sh.at[part["bucket"]]:sh.at[part["bucket"] + 1]] = a
         upto.append(b)
         low.append(m)
     upto, low = np.concatenate(upto).astype(np.int64), np.concatenate(low)
     first = np.concatenate(([0], np.cumsum(runs)))
-    begin = np.concatenate(([0], upto[:-1]))
+    begin = np.concatenate(([0], upto))[:len(upto)]
     begin[first[:-1]] = 0
     # every occurrence with each of its segment's runs
     times = runs[sh.of]
@@ -419,13 +509,16 @@ def _removed(row: dict, n: int, least: int, gram: int) -> tuple[Chunk, np.ndarra
     s = np.repeat(sh.start, times)[gone]
     np.add.at(step, s + begin[at[gone]], 1)
     np.add.at(step, s + upto[at[gone]] + least - 1, -1)
+    s = sh.hot_start[np.concatenate(window_low)[sh.hot_of] < c.ids[sh.hot_doc]]
+    np.add.at(step, s, 1)
+    np.add.at(step, s + least, -1)
     return c, np.cumsum(step[:-1]) > 0
 
 
-def _finish(n: int, least: int, gram: int, with_text: bool):
+def _finish(n: int, lanes: int, least: int, gram: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            c, gone = _removed(row, n, least, gram)
+            c, gone = _removed(row, n, lanes, least, gram)
             turn = gone.copy()
             turn[1:] &= ~gone[:-1]
             turn[c.offs[:-1][c.offs[:-1] < len(gone)]] |= gone[c.offs[:-1][c.offs[:-1] < len(gone)]]
@@ -443,7 +536,7 @@ def _finish(n: int, least: int, gram: int, with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_BYTES, gram: int = GRAM,
-                   with_text: bool = False) -> DataFrame:
+                   with_text: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): every
     document without the bytes covered by a ``least``-byte string that also
     starts in a document with a smaller id. ``kept``: the remaining bytes."""
@@ -453,15 +546,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                      .mapInArrow(_chunks, _CHUNK), "repeats-chunks", codec="none")
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     n = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
-    by_chunk = lambda df, name: df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias(name))
-    bits = written(by_chunk(chunks.mapInArrow(_send_keys(n, least, gram), _PART_SQL)
-                            .groupBy("bucket").applyInArrow(_shared_bits, _PART_SQL), "bits"), "repeats-bits")
+    by_chunk = lambda df, name, *more: df.groupBy("chunk").agg(
+        F.collect_list(F.struct("bucket", "blob")).alias(name), *more)
+    bits = written(by_chunk(chunks.mapInArrow(_send_keys(n, least, gram), _PART_SQL).groupBy("bucket")
+                            .applyInArrow(_shared_bits(hot_bytes), _PART_SQL + ", hot long"), "bits",
+                            F.sum("hot").alias("hot")), "repeats-bits")
+    lanes = max(1, -(-(bits.agg(F.sum("hot")).first()[0] or 0) // LANE_BYTES))
+    bits = bits.drop("hot")
     # a chunk's shared segments are found again in the last step: cheaper than keeping them
     answers = written(by_chunk(chunks.join(bits.hint("shuffle_hash"), "chunk", "left")
-                               .mapInArrow(_send_segments(n, least, gram), _PART_SQL)
-                               .groupBy("bucket").applyInArrow(_answer(least), _PART_SQL), "answers"),
+                               .mapInArrow(_send_segments(n, lanes, least, gram), _PART_SQL)
+                               .groupBy("bucket").applyInArrow(_answer(n, least), _PART_SQL), "answers"),
                       "repeats-answers", codec="none")
     replies = answers.join(bits, "chunk", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return (chunks.join(replies.hint("shuffle_hash"), "chunk", "left")
-            .mapInArrow(_finish(n, least, gram, with_text), schema + (", kept binary" if with_text else "")))
+            .mapInArrow(_finish(n, lanes, least, gram, with_text), schema + (", kept binary" if with_text else "")))

@@ -114,6 +114,35 @@ def test_repeats_against_brute_force(spark, docs, texts):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_a_hot_anchor(spark, monkeypatch):
+    """A passage and a short line in every document, each time between other
+    bytes: no group may hold all segments of their anchors."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    passage, line = noise(200), noise(40)
+    rows = [(i, noise(60) + passage + noise(60) + line + noise(60)) for i in range(6000)]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string").repartition(4)
+    plain, most = repeats._answer, 256 << 10
+
+    def bounded(*args):
+        run = plain(*args)
+
+        def checked(t):
+            size = defaultdict(int)
+            for blob in t["blob"].to_pylist():
+                if t["bucket"][0].as_py() < repeats.LEAST_BUCKETS:
+                    key, length = repeats._unpack(blob, np.uint64, np.int32, np.int64, np.uint8)[:2]
+                    for k, x in zip(key.tolist(), length.tolist(), strict=True):
+                        size[k] += x
+            assert max(size.values(), default=0) <= most, "unbounded anchor"
+            return run(t)
+        return checked
+    monkeypatch.setattr(repeats, "_answer", bounded)
+    want = brute_repeats(rows, 50)
+    got = repeats.remove_repeats(docs).collect()
+    assert len(got) == len(rows) and all(tuple(r)[1:] in want[r.doc_id] for r in got)
+
+
 def test_maximal_repeats_of_small_texts():
     texts = [b"abcabcabx", b"zabcabq", b"", b"xbca"]
     found = {}
