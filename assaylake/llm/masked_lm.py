@@ -4,17 +4,19 @@ A small network sees the words around a position (``REACH`` on each side, the
 word itself hidden) and predicts it; the log-probabilities of all positions of
 a document, each given both sides, are summed up.
 
-Words are hashed. The prediction is factorised: the network gives one of
+Words are 64-bit hashes. The prediction is factorised: the network gives one of
 ``CLASSES`` word classes, and a word within its class has its share of the
 class in the whole corpus. The most frequent words have a class of their own;
 the others share the rest by hash.
 
-From the corpus: (1) counts of all words of all documents, by ``COUNT_BITS``
-bits of the hash; (2) the network's weights: every task trains on each
+From the corpus: (1) the exact count of every word, a table that grows with the
+vocabulary and stays in Spark: chunks of documents send their distinct words,
+the join gives each its count; only class totals and the words with a class of
+their own go to the driver; (2) the network's weights: every task trains on each
 ``STRIDE``-th position of every one of its documents, starting from the same
 weights, and Spark averages the tasks' weights by the positions they saw,
-``ROUNDS`` times. Both grow with the input; both results have a fixed size, so
-they may be collected and broadcast. Sums are of whole numbers, independent of
+``ROUNDS`` times. The number of input embeddings follows the square root of the
+vocabulary, ``CLASSES`` is fixed. Sums are of whole numbers, independent of
 their order.
 
 Cases: null and empty texts have no words and log-probability 0 (mean null);
@@ -34,11 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as tk
+from .frames import written
 from .nets import softmax
+from .repeats import _CHUNK, Chunk, _chunks
 
 REACH = 2
-IN_BITS = 12
-COUNT_BITS = 18
+LEAST_IN_BITS = 12
 CLASSES = 128
 OWN = 63
 WIDTH = 16
@@ -59,45 +62,41 @@ def _hashes(batches: Iterator[pa.RecordBatch]):
             yield b, a, z, h, doc
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Occurrences in all documents, by the leading bits of the word hash."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): exact occurrences of every word hash in all documents, written."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << COUNT_BITS, np.int64)
         for _, _, _, h, _ in _hashes(batches):
-            n += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(n))
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["word", "n"])
-    rows = (docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word long, n long")
-            .groupBy("word").agg(F.sum("n").alias("n")).toArrow())
-    out = np.zeros(1 << COUNT_BITS, np.int64)
-    out[rows["word"].to_numpy()] = rows["n"].to_numpy()
-    return out
+            word, n = np.unique(h.view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+    return written(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word long, n long")
+                   .groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
 
 
 class WindowNet:
-    """Word classes, word shares and the weights of the network."""
-
-    def __init__(self, counts: np.ndarray, seed: int = 3):
-        top = np.lexsort((np.arange(len(counts)), -counts))[:OWN]
-        self.cls = (OWN + np.arange(len(counts)) % (CLASSES - OWN)).astype(np.int16)
-        self.cls[top] = np.arange(OWN)
-        seen = np.maximum(counts, 1).astype(np.float64)
-        total = np.bincount(self.cls, seen, CLASSES)
-        self.share = np.log(seen / total[self.cls]).astype(np.float32)
+    """Word classes, their totals and the weights of the network."""
+
+    def __init__(self, top: np.ndarray, total: np.ndarray, vocabulary: int, seed: int = 3):
+        """``top``: words with a class of their own; ``total``: occurrences by
+        class; ``vocabulary``: number of distinct words."""
+        self.rank = np.argsort(top)
+        self.top = top[self.rank]
+        seen = np.maximum(total, 1).astype(np.float64)
+        self.log_total = np.log(seen)
+        self.in_bits = max(LEAST_IN_BITS, round(np.log2(max(vocabulary, 1)) / 2) + 2)
         rng = np.random.default_rng(seed)
-        pad = 1 << IN_BITS
+        pad = 1 << self.in_bits
         self.params = {
             "emb": rng.normal(0, 0.3, (pad + 1, WIDTH)).astype(np.float32),
             "w1": rng.normal(0, 0.12, (len(_CONTEXT) * WIDTH, HIDDEN)).astype(np.float32),
             "b1": np.zeros(HIDDEN, np.float32),
             "w2": rng.normal(0, 0.05, (HIDDEN, CLASSES)).astype(np.float32),
-            "b2": np.log(total / total.sum()).astype(np.float32),
+            "b2": np.log(seen / seen.sum()).astype(np.float32),
         }
 
     def inputs(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """(words, context) input numbers; beyond the document's ends: padding."""
-        pad = 1 << IN_BITS
-        word = (h >> np.uint64(64 - IN_BITS)).astype(np.int32)
+        pad = 1 << self.in_bits
+        word = (h >> np.uint64(64 - self.in_bits)).astype(np.int32)
         out = np.full((len(h), len(_CONTEXT)), pad, np.int32)
         for k, gap in enumerate(_CONTEXT):
             n = abs(gap)
@@ -107,9 +106,16 @@ class WindowNet:
         return out
 
     def targets(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+        """The class of each word."""
+        word = h.view(np.int64)
+        out = OWN + word % (CLASSES - OWN)
+        if len(self.top):
+            at = np.minimum(np.searchsorted(self.top, word), len(self.top) - 1)
+            out = np.where(self.top[at] == word, self.rank[at], out)
+        return out
 
-    def log_prob(self, x: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def log_prob(self, x: np.ndarray, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """``cls``: the words' classes, ``n``: their occurrences in the corpus."""
         p = self.params
         out = np.empty(len(x), np.float32)
         for at in range(0, len(x), 4096):
@@ -117,14 +123,14 @@ class WindowNet:
             h = np.tanh(p["emb"][xb].reshape(len(xb), -1) @ p["w1"] + p["b1"])
             z = h @ p["w2"] + p["b2"]
             top = z.max(1)
-            own = z[np.arange(len(xb)), self.cls[word[at:at + 4096]]]
+            own = z[np.arange(len(xb)), cls[at:at + 4096]]
             out[at:at + 4096] = own - top - np.log(np.exp(z - top[:, None]).sum(1))
-        return out + self.share[word]
+        return out + np.log(n) - self.log_total[cls]
 
-    def train(self, x: np.ndarray, word: np.ndarray, rate: float) -> None:
+    def train(self, x: np.ndarray, cls: np.ndarray, rate: float) -> None:
         p = self.params
         for at in range(0, len(x), BATCH):
-            xb, y = x[at:at + BATCH], self.cls[word[at:at + BATCH]]
+            xb, y = x[at:at + BATCH], cls[at:at + BATCH]
             e = p["emb"][xb].reshape(len(xb), -1)
             h = np.tanh(e @ p["w1"] + p["b1"])
             d = softmax(h @ p["w2"] + p["b2"])
@@ -171,25 +177,76 @@ def _trained(docs: DataFrame, text: str, net: WindowNet, stride: int, rate: floa
             at += n
 
 
-def fit(docs: DataFrame, text: str = "text", stride: int = STRIDE, rounds: int = ROUNDS) -> WindowNet:
-    net = WindowNet(word_counts(docs, text))
+class Model:
+    """The network and the table of exact word counts, which stays in Spark."""
+
+    def __init__(self, net: WindowNet, words: DataFrame):
+        self.net, self.words = net, words
+
+
+def fit(docs: DataFrame, text: str = "text", stride: int = STRIDE, rounds: int = ROUNDS) -> Model:
+    words = word_counts(docs, text)
+    top = [(r.word, r.n) for r in words.orderBy(F.desc("n"), "word").limit(OWN).collect()]
+    total = np.zeros(CLASSES, np.int64)
+    vocabulary = 0
+    for r in (words.groupBy(F.pmod("word", F.lit(CLASSES - OWN)).alias("cls"))
+              .agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()):
+        total[OWN + r.cls] = r.n
+        vocabulary += r.words
+    for k, (word, n) in enumerate(top):
+        total[k] = n
+        total[OWN + word % (CLASSES - OWN)] -= n
+    net = WindowNet(np.array([w for w, _ in top], np.int64), total, vocabulary)
     for k in range(rounds):
         _trained(docs, text, net, stride, 0.5 / (k + 1))
-    return net
+    return Model(net, words)
+
+
+def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _chunk_rows(batches):
+        c = Chunk(row)
+        word = [np.unique(h.view(np.int64)) for _, _, h, _ in _chunk_hashes(c)]
+        word = np.unique(np.concatenate([np.zeros(0, np.int64), *word]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), row["chunk"])), pa.array(word)], ["chunk", "word"])
 
 
-def score(docs: DataFrame, net: WindowNet, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {n: b[n][i].as_py() if n != "counts" else b[n][i].values for n in b.schema.names}
+
+
+def _chunk_hashes(c: Chunk):
+    """(first document, end, hashes, document) by slice."""
+    for a, z in tk.slices(c.offs):
+        part = tk.lower_ascii(c.data[c.offs[a]:c.offs[z]])
+        _, _, h, doc = tk.words(part, c.offs[a:z + 1] - c.offs[a], tk.NON_SPACE)
+        yield a, z, h, doc
+
+
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob), one row a document."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(model.net)
+    chunks = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+                     .mapInArrow(_chunks, _CHUNK), "lm-chunks", codec="none")
+    counts = (chunks.mapInArrow(_chunk_words, "chunk long, word long").join(model.words, "word", "left")
+              .groupBy("chunk").agg(F.collect_list(F.struct("word", F.coalesce("n", F.lit(1)).alias("n"))).alias("counts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for b, a, z, h, doc in _hashes(batches):
-            lp = net.log_prob(net.inputs(h, doc), net.targets(h)).astype(np.float64)
-            n = np.bincount(doc, minlength=z - a)
-            total = np.bincount(doc, lp, z - a)
-            yield pa.RecordBatch.from_arrays([b["id"].slice(a, z - a), pa.array(n), pa.array(total)],
-                                             ["doc_id", "n_words", "log_prob"])
-    return (docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+        for row in _chunk_rows(batches):
+            c = Chunk(row)
+            word, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if row["counts"] is not None:
+                word, count = (row["counts"].field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                order = np.argsort(word)
+                word, count = word[order], count[order]
+            for a, z, h, doc in _chunk_hashes(c):
+                n = count[np.searchsorted(word, h.view(np.int64))]
+                lp = net.log_prob(net.inputs(h, doc), net.targets(h), n).astype(np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c.ids[a:z], pa.int64(), mask=~c.has_id[a:z]), pa.array(np.bincount(doc, minlength=z - a)),
+                     pa.array(np.bincount(doc, lp, z - a))], ["doc_id", "n_words", "log_prob"])
+    return (chunks.join(counts.hint("shuffle_hash"), "chunk", "left")
             .mapInArrow(run, "doc_id long, n_words long, log_prob double")
             .withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))))

@@ -297,6 +297,28 @@ def test_models_on_odd_rows(spark, docs):
     assert lm[0].n_words == 0 and lm[0].log_prob == 0 and lm[0].mean_log_prob is None and lm[9].log_prob < 0
 
 
+def test_word_counts_of_the_language_model_are_exact(spark):
+    """300,000 distinct words: each has its own count, and the embeddings grow."""
+    n = 300_000
+    few = [(0, "common " * 500 + " ".join(f"w{k}" for k in range(300)))]
+    many = spark.range(n // 100).select("id", F.expr(f"array_join(transform(sequence(0, 99), k -> 'w' || (id * 100 + k)), ' ')"
+                                                     ).alias("text"))
+    docs = many.unionByName(spark.createDataFrame(few, "id long, text string")).repartition(3)
+    model = masked_lm.fit(docs, rounds=0)
+    assert model.words.count() == n + 1
+    assert model.words.groupBy("n").count().orderBy("n").collect() == [(1, n - 300), (2, 300), (500, 1)]
+    small = masked_lm.fit(docs.limit(1), rounds=0).net
+    assert len(masked_lm.WindowNet(small.top, np.ones(masked_lm.CLASSES), 100_000_000).params["emb"]) > len(small.params["emb"])
+    rows = spark.createDataFrame([(1, "w299"), (2, "w299999"), (3, "unseen")], "doc_id long, text string")
+    got = {r.doc_id: r.log_prob for r in masked_lm.score(rows, model).collect()}
+    # without training the shares alone differ; the sum over the vocabulary is one at one position
+    words = model.words.toArrow()
+    h = words["word"].to_numpy().view(np.uint64)
+    x = np.full((len(h), 4), 1 << model.net.in_bits, np.int32)
+    assert abs(np.exp(model.net.log_prob(x, model.net.targets(h), words["n"].to_numpy()).astype(float)).sum() - 1) < 1e-3
+    assert all(v < 0 for v in got.values())
+
+
 def test_held_out_accuracy(spark):
     d = SF_SMALL.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")
