@@ -12,10 +12,9 @@ the others share the rest by hash.
 From the corpus: (1) the exact count of every word, a table that grows with the
 vocabulary and stays in Spark: chunks of documents send their distinct words,
 the join gives each its count; only class totals and the words with a class of
-their own go to the driver; (2) the network's weights: every task trains on each
-``STRIDE``-th position of every one of its documents, starting from the same
-weights, and Spark averages the tasks' weights by the positions they saw,
-``ROUNDS`` times. The number of input embeddings follows the square root of the
+their own go to the driver; (2) the network's weights: every task trains on every
+position of all its documents, starting from the same weights, and Spark
+averages the tasks' weights by the positions they saw, ``ROUNDS`` times. The number of input embeddings follows the square root of the
 vocabulary, ``CLASSES`` is fixed. Sums are of whole numbers, independent of
 their order.
 
@@ -46,7 +45,6 @@ CLASSES = 128
 OWN = 63
 WIDTH = 16
 HIDDEN = 32
-STRIDE = 8
 ROUNDS = 2
 BATCH = 512
 _FIXED = 1 << 24        # weights are summed as multiples of 1 / _FIXED
@@ -142,10 +140,13 @@ class WindowNet:
             p["b2"] -= step * d.sum(0)
             p["w1"] -= step * (e.T @ dh)
             p["b1"] -= step * dh.sum(0)
-            np.add.at(p["emb"], xb.ravel(), -step * 20 * de)
+            order = np.argsort(xb, axis=None, kind="stable")
+            word = xb.ravel()[order]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            p["emb"][word[first]] -= step * 20 * np.add.reduceat(de[order], first)
 
 
-def _trained(docs: DataFrame, text: str, net: WindowNet, stride: int, rate: float) -> None:
+def _trained(docs: DataFrame, text: str, net: WindowNet, rate: float) -> None:
     """One round: tasks train on their own documents; the weights are averaged."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     names = list(net.params)
@@ -155,9 +156,8 @@ def _trained(docs: DataFrame, text: str, net: WindowNet, stride: int, rate: floa
         own.params = {k: v.copy() for k, v in own.params.items()}
         seen = 0
         for _, _, _, h, doc in _hashes(batches):
-            pick = np.arange(len(h))[(np.arange(len(h)) + doc) % stride == 0]
-            own.train(own.inputs(h, doc)[pick], own.targets(h)[pick], rate)
-            seen += len(pick)
+            own.train(own.inputs(h, doc), own.targets(h), rate)
+            seen += len(h)
         flat = np.concatenate([own.params[k].ravel() for k in names]).astype(np.float64)
         if seen:
             value = np.round(flat * _FIXED).astype(np.int64)
@@ -184,7 +184,7 @@ class Model:
         self.net, self.words = net, words
 
 
-def fit(docs: DataFrame, text: str = "text", stride: int = STRIDE, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     words = word_counts(docs, text)
     top = [(r.word, r.n) for r in words.orderBy(F.desc("n"), "word").limit(OWN).collect()]
     total = np.zeros(CLASSES, np.int64)
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, text: str = "text", stride: int = STRIDE, rounds: int =
         total[OWN + word % (CLASSES - OWN)] -= n
     net = WindowNet(np.array([w for w, _ in top], np.int64), total, vocabulary)
     for k in range(rounds):
-        _trained(docs, text, net, stride, 0.5 / (k + 1))
+        _trained(docs, text, net, 0.5 / (k + 1))
     return Model(net, words)
 
 

@@ -319,6 +319,19 @@ def test_word_counts_of_the_language_model_are_exact(spark):
     assert all(v < 0 for v in got.values())
 
 
+def test_every_position_trains_the_language_model(spark):
+    texts = [sentence(100) for _ in range(30)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    want = masked_lm.fit(docs, rounds=0).net
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    _, _, h, doc = masked_lm.tk.words(data, offs, masked_lm.tk.NON_SPACE)
+    got = {k: masked_lm.fit(docs, rounds=k).net.params for k in (1, 2)}
+    for k in (1, 2):
+        want.train(want.inputs(h, doc), want.targets(h), 0.5 / k)
+        assert all(np.allclose(got[k][name], v, atol=1e-4) for name, v in want.params.items())
+
+
 def test_held_out_accuracy(spark):
     d = SF_SMALL.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")
