@@ -1,6 +1,7 @@
 """Repeated substrings across documents by common-prefix interval trees.
 
-:func:`maximal_repeats` is the method: an enhanced suffix array (suffixes in
+:func:`maximal_repeats` is the method, which :func:`remove_repeats` replaces by
+grouping equal windows (see README); only tests call it: an enhanced suffix array (suffixes in
 order, common prefixes of neighbours), scanned with a stack that opens and
 closes common-prefix intervals; an interval whose suffixes have different left
 neighbours cannot be extended to the left, so it is a maximal repeat, and it is
@@ -11,9 +12,9 @@ out by content. Every ``MIN_BYTES``-byte window has an anchor, the smallest hash
 among its ``GRAM``-byte substrings; equal windows have equal anchors. A run of
 windows with one anchor is a segment. Segments whose anchor occurs in two
 documents meet in a bucket of that anchor's hash; there the suffix array of the
-distinct segments finds the repeats, and with them, for every window, the
-smallest document id that has it. (Repeats are thus maximal within segments;
-longer ones continue in the neighbouring segments of another bucket.)
+distinct segments, compared ``MIN_BYTES`` deep, groups equal windows and gives
+each the smallest document id that has it. No repeat group is put out, and
+neither the stack scan nor the left-extension test is run.
 
 1. Texts go into chunks of about ``CHUNK_BYTES`` (whole documents), written once.
 2. Each chunk sends its distinct anchors, packed, to buckets; a bucket answers
