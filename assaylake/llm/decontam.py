@@ -15,9 +15,11 @@ rest is passed over by vectorised lookups.
 The automaton is broadcast. Items are split by hash into blocks of at most
 ``BLOCK_BYTES`` of text (measured by a count before anything is collected);
 with more than one block documents pass the blocks one after the other, each
-pass adding its hits, written in between.
+pass adding its hits, written in between. A block is collected and built when
+its pass begins and released after it. Cut documents pass all blocks again
+until none hits, as windows can form where the parts meet.
 
-Cases: null or empty texts and items have no words; repeated rows keep their
+Cases: items without an id are hit but not reported; null or empty texts and items have no words; repeated rows keep their
 own result; ties between items all count; without items nothing is hit; extra
 columns are not returned by :func:`contamination` but survive
 :func:`decontaminate`.
@@ -44,7 +46,7 @@ BLOCK_BYTES = 1 << 20
 class SuffixAutomaton:
     """Generalised suffix automaton over integer sequences."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends: list[list[int]] = []
@@ -62,7 +64,7 @@ class SuffixAutomaton:
             for state in at[size - 1:] if seq else []:
                 while self.length[self.link[state]] >= size and state:
                     state = self.link[state]
-                self.windows.setdefault(state, {}).setdefault(size, set()).add(item)
+                self.windows.setdefault(state, {}).setdefault(size, set()).update([] if item is None else [item])
         self.shortest = min((s for w in self.windows.values() for s in w), default=0)
 
     def _extend(self, last: int, c: int) -> int:
@@ -117,7 +119,7 @@ class SuffixAutomaton:
 class Items:
     """Vocabulary and automaton of a block of items; pickles as one object."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         seqs = []
         for item, text in items:
             data = tk.lower_ascii(np.frombuffer(text.encode(), np.uint8))
@@ -153,17 +155,21 @@ class Items:
         return out
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_bytes: int = BLOCK_BYTES) -> list[Items]:
-    """The items in blocks of a checked size, one automaton each."""
-    rows = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")
-                        ).where(F.col("i").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    return [Items([(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()], window)
-            for k in range(n)]
+class Blocks:
+    """The items in ``n`` blocks of a checked size; :meth:`build` makes the automaton of one."""
 
+    def __init__(self, items: DataFrame, item_id: str, text: str, window: int, block_bytes: int = BLOCK_BYTES):
+        self.window = window
+        self.rows = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+        total = self.rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        self.n = max(1, -(-total // block_bytes))
 
-def _scan(shared, final: bool, limit: float | None):
+    def build(self, k: int) -> Items:
+        own = self.rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(self.n)) == k)
+        return Items([(r.i, r.t) for r in own.collect()], self.window)
+
+
+def _scan(shared, final: bool, limit: float | None, alone: bool):
     """One pass: (id, text, hits so far) with this block's hits added.
 
     ``hits`` is a list of (first word, end word); ``items`` the item ids."""
@@ -189,7 +195,7 @@ def _scan(shared, final: bool, limit: float | None):
                         if hits[a + d]:
                             raw = data[offs[a + d]:offs[a + d + 1]]
                             w = slice(first[d], first[d + 1])
-                            cut[a + d] = _without(raw, s[w] - own[d], e[w] - own[d], merged(hits[a + d]), block)
+                            cut[a + d] = _without(raw, s[w] - own[d], e[w] - own[d], merged(hits[a + d]), block if alone else None)
             hits = [merged(x) for x in hits]
             out = {"id": b["id"], "n_words": pa.array(n_words), "hits": pa.array(hits, pa.list_(pa.list_(pa.int64()))),
                    "items": pa.array([sorted(x) for x in found], pa.list_(pa.string()))}
@@ -215,13 +221,15 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _without(raw: np.ndarray, s: np.ndarray, e: np.ndarray, spans: list[list[int]], block: Items) -> str:
-    """The text without the spans, nor windows that form where its parts meet."""
+def _without(raw: np.ndarray, s: np.ndarray, e: np.ndarray, spans: list[list[int]], block: Items | None) -> str:
+    """The text without the spans, nor (given a block) windows that form where its parts meet."""
     while spans:
         keep = np.ones(len(raw), bool)
         for i, j in spans:
             keep[s[i]:e[j - 1]] = False
         raw = raw[keep]
+        if block is None:
+            break
         s, e, h, doc = tk.words(tk.lower_ascii(raw), np.array([0, len(raw)]), tk.ALNUM)
         spans = merged([[i, j] for i, j, _ in block.hits(block.ids(h), doc)])
     return raw.tobytes().decode()
@@ -230,14 +238,16 @@ def _without(raw: np.ndarray, s: np.ndarray, e: np.ndarray, spans: list[list[int
 _HITS = "id long, n_words long, hits array<array<bigint>>, items array<string>"
 
 
-def _passes(docs: DataFrame, blocks: list[Items], schema_of_text: str, limit: float | None) -> DataFrame:
+def _passes(docs: DataFrame, blocks: Blocks, schema_of_text: str, limit: float | None) -> DataFrame:
     sc = docs.sparkSession.sparkContext
-    for k, block in enumerate(blocks):
-        final = k == len(blocks) - 1
+    for k in range(blocks.n):
+        final = k == blocks.n - 1
         schema = _HITS + (schema_of_text if not final or limit is not None else "")
-        docs = docs.mapInArrow(_scan(sc.broadcast(block), final, limit), schema)
+        shared = sc.broadcast(blocks.build(k))
+        docs = docs.mapInArrow(_scan(shared, final, limit, blocks.n == 1), schema)
         if not final:
             docs = written(docs, "decontam")
+            shared.destroy()
     return docs
 
 
@@ -253,7 +263,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans): hit word spans and the items
     with occurring windows, one row a document."""
-    blocks = item_blocks(items, item_id, item_text, window, block_bytes)
+    blocks = Blocks(items, item_id, item_text, window, block_bytes)
     out = _passes(_start(docs, doc_id, text, []), blocks, ", text string", None)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
     return out.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), "items", F.col("hits").alias("spans"))
@@ -271,13 +281,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the hit spans; documents with more than ``max_coverage``
     of their words hit go as a whole. Columns are those of ``docs``."""
-    blocks = item_blocks(items, item_id, item_text, window, block_bytes)
+    blocks = Blocks(items, item_id, item_text, window, block_bytes)
     keep = [c for c in docs.columns if c not in (text,)]
     types = dict(docs.dtypes)
     extra = ", text string, " + ", ".join(f"keep_{i} {types[c]}" for i, c in enumerate(keep))
     out = _passes(_start(docs, doc_id, text, keep), blocks, extra, max_coverage)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
     out = out.where((n_hit == 0) | (n_hit <= F.lit(max_coverage) * F.col("n_words")))
+    if blocks.n > 1:
+        # cut documents pass again until no block hits
+        out = written(out, "decontam")
+        done = out.where(F.size("hits") == 0)
+        cut = out.where(F.size("hits") > 0)
+        while not cut.isEmpty():
+            start = cut.withColumns({"hits": F.lit(None).cast("array<array<bigint>>"),
+                                     "items": F.lit(None).cast("array<string>")})
+            out = written(_passes(start, blocks, extra, max_coverage), "decontam")
+            done = done.unionByName(out.where(F.size("hits") == 0))
+            cut = out.where(F.size("hits") > 0)
+        out = done
     back = {c: F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)} | {text: F.col("text").alias(text)}
     return out.select(*[back[c] for c in docs.columns])
 

@@ -215,6 +215,21 @@ def test_contamination_against_brute_force(spark, docs, texts):
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_in_blocks_and_without_ids(spark):
+    words = [[f"{c}{k}" for k in range(10)] for c in "abcd"]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "item_id long, text string")
+    pairs = [(i, j) for i in range(4) for j in range(4) if i != j]
+    rows = [(n, " ".join([f"x{k}" for k in range(30)] + words[i][:5] + words[j] + words[i][5:] + ["end"]))
+            for n, (i, j) in enumerate(pairs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (sorted(map(tuple, decontam.decontaminate(docs, bench, block_bytes=b).collect())) for b in (1 << 20, 20))
+    assert len(one) == len(pairs) and one == many
+    assert not any("a0" in t or "b0" in t or "c0" in t or "d0" in t for _, t in many)
+    nameless = spark.createDataFrame([(None, " ".join(words[0]))], "item_id long, text string")
+    found = decontam.contamination(docs, nameless).where("n_hit > 0").collect()
+    assert len(found) == 6 - 3 and all(r.items == [] and r.n_hit == 10 for r in found)
+
+
 def test_packing_round_trip(spark, docs, texts):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_file())
