@@ -172,6 +172,19 @@ def test_maxscore_against_all_scores(spark):
     assert maxscore.top_k(maxscore.scaled_vectors(df.limit(0)), F.col("id") % 20 == 0).count() == 0
 
 
+def test_maxscore_keeps_all_vectors_of_an_id(spark, tmp_path):
+    import duckdb
+
+    from assaylake.llm.queries import ORACLES
+    rng = np.random.default_rng(6)
+    rows = [(i % 60, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(150)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, QUERIES["op4_maxscore_topk"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert got == sorted(con.execute(ORACLES["op4_maxscore_topk"]).fetchall())
+
+
 def test_secret_spans(spark):
     text = ("é user: bob99 pwd=abcd at https://h.example/x " + "z " * 200 + "login=amy99 " + "z " * 300 +
             'API_KEY = "abcdef123" token=abc AKIA' + "A" * 16 + " AKIAshort " + "0f" * 12)
