@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import to_ic50
 from ..functions.vectors import logsumexp
-from .ranking import quantile_bucket, running_sums
+from .ranking import placed, sequence_shift
 
 
 def _join_stats(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -120,17 +120,16 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (), logits: str =
     )
 
 
-def auroc(df: DataFrame, label: str = "label", score: str = "score", n_buckets: int = 256) -> DataFrame:
+def auroc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Binary AUROC with ties counted half (Mann-Whitney).
 
     Rows are first pre-aggregated per distinct score (so a hot score value is
     one row), then the cumulative negative count below each score is a
-    bucketed global running sum."""
+    running sum in score order."""
     per = df.where(F.col(label).isNotNull()).groupBy(F.col(score).alias("_s")).agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("_pos"),
         F.sum((F.col(label) != 1).cast("bigint")).alias("_neg"))
-    cum = running_sums(per, quantile_bucket(per, "_s", n_buckets), [F.col("_s")],
-                       {"_neg_below": F.col("_neg")}, exclusive=True)
+    cum = placed(per, ["_s"], sums={"_neg_below": F.col("_neg")}, exclusive=True)
     return cum.agg(
         # doubles: the product of the class sizes passes LONG at some 3e9 rows a class; one class only: null
         F.try_divide(F.sum(F.col("_pos").cast("double") * (F.col("_neg_below") + F.lit(0.5) * F.col("_neg"))),
@@ -181,7 +180,6 @@ def td_error(df: DataFrame, key: str, order: str, tie: Sequence[str], q: str, re
     """Per entity sequence: target = reward + gamma * next q (0 at the end);
     td_error = mean squared (q - target). ``order`` is numeric; the next row
     is found by a keyed join on the sequence position (skew-safe lead)."""
-    from .ranking import sequence_shift
     d = sequence_shift(df, key, order, tie, [q], offset=1, suffix="_next")
     nxt = F.coalesce(F.col(q + "_next"), F.lit(0.0))
     d = d.withColumn("_target", F.col(reward) + F.lit(gamma) * nxt)

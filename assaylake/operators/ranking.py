@@ -1,16 +1,18 @@
-"""Global order statistics without a single-partition window.
+"""Global order without a single-partition window.
 
-``Window.orderBy`` with no ``partitionBy`` moves every row into one task. The
-helpers here compute exact global ranks and running sums in two passes:
+``Window.orderBy`` with no ``partitionBy`` moves every row into one task, and a
+window per key moves a hot key into one. :func:`placed` gives ranks, counts and
+running sums of any order instead:
 
-1. assign each row a *bucket* that is monotone in the sort order (leading bits
-   of a uniform hash, or approximate quantile cut points of a numeric column);
-2. per-bucket totals (at most ``n_buckets`` rows, so their prefix offsets are
-   computed on a tiny table and broadcast with a proven size bound);
-3. rank / running sum inside each bucket with a partitioned window, plus the
-   bucket's offset.
+1. the rows are range-partitioned and sorted by (keys, order) and written once
+   with their part number and their place in the part; equal leading values are
+   split by the columns after them, so one value (or one key) that holds a large
+   share of the rows still spreads over many parts;
+2. totals per part, or per (part, key): at most parts + keys rows;
+3. each row adds its part's offset to its place.
 
-With 2^16 buckets a 10^12-row table gives ~15M rows per window partition.
+No cut points are sampled by a query of their own and nothing is counted twice:
+the count comes back with the rank.
 """
 
 from __future__ import annotations
@@ -19,130 +21,67 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
-
-HASH_BUCKET_BITS = 16
-
-
-def hash_bucket(h, bits: int = HASH_BUCKET_BITS) -> Column:
-    """Leading ``bits`` bits of a 32-bit hash column (monotone in the hash)."""
-    hc = F.col(h) if isinstance(h, str) else h
-    return F.shiftright(hc, 32 - bits)
-
-
-def quantile_bucket(df: DataFrame, col: str, n_buckets: int = 256, rel_err: float = 1e-3) -> Column:
-    """Monotone bucket of a numeric column from approximate quantile cuts.
-
-    ``approxQuantile`` runs distributed and returns ``n_buckets - 1`` numbers
-    (bounded), so the cut array is a small literal."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(set(x for x in df.approxQuantile(col, probs, rel_err) if x is not None))
-    if not cuts:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(c)) for c in cuts])
-    x = F.col(col).cast("double")
-    # ``x`` is referenced outside the lambda too, so the optimizer keeps it a
-    # computed column instead of inlining an expensive producer expression
-    # into every lambda iteration
-    # nulls sort first and have the bucket below all others
-    return F.when(x.isNotNull(), F.size(F.filter(arr, lambda c: c <= x))).otherwise(F.lit(-1))
-
-
-def split_bucket(df: DataFrame, col: str, tie: str, n_buckets: int = 256, rel_err: float = 1e-3) -> Column:
-    """Monotone bucket of (``col``, ``tie``), both numeric. As
-    :func:`quantile_bucket`, but the rows that share a frequent value of
-    ``col`` (one that is a cut point) are split further by quantiles of
-    ``tie``. At most ``n_buckets`` * (``n_buckets`` + 3) buckets."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    at, then = (sorted({x for x in q if x is not None}) for q in df.approxQuantile([col, tie], probs, rel_err))
-
-    def below(cuts: list[float], c: str) -> Column:
-        x = F.col(c).cast("double")
-        if not cuts:
-            return F.when(x.isNotNull(), F.lit(0)).otherwise(F.lit(-1))
-        arr = F.array(*[F.lit(float(v)) for v in cuts])
-        return F.when(x.isNotNull(), F.size(F.filter(arr, lambda v: v <= x))).otherwise(F.lit(-1))
-
-    b = below(at, col)
-    if not at:
-        return F.struct(b.alias("b"), F.lit(0).alias("side"), below(then, tie).alias("t"))
-    # compared in the column's own type, so that LONG values beyond 2^53 stay in order
-    cut = F.try_element_at(F.array(*[F.lit(float(v)) for v in at]), F.greatest(b, F.lit(1))).cast(df.schema[col].dataType)
-    same = F.col(col).isNull() | ((F.col(col) == cut) & (b > 0))
-    side = F.when(same, F.lit(0)).when(F.col(col) < cut, F.lit(-1)).otherwise(F.lit(1))
-    return F.struct(b.alias("b"), side.alias("side"), F.when(same, below(then, tie)).otherwise(F.lit(0)).alias("t"))
-
-
-def running_sums(df: DataFrame, bucket: Column, order: Sequence[Column],
-                 values: dict[str, Column], exclusive: bool = False,
-                 partition: Sequence[str] = ()) -> DataFrame:
-    """Add running sums of ``values`` in (bucket, *order) order, restarted per
-    ``partition`` key. ``order`` must make the order total within a bucket.
-
-    Without ``partition`` the per-bucket offsets table has at most one row per
-    bucket and is broadcast; with it, it is joined on the keys (AQE turns the
-    join into a broadcast when it is small at run time)."""
-    b = "_rs_bucket"
-    keys = list(partition)
-    d = df.withColumn(b, bucket)
-    for name, v in values.items():
-        d = d.withColumn(f"_rs_v_{name}", v)
-    totals = d.groupBy(*keys, b).agg(*[F.sum(f"_rs_v_{n}").alias(f"_rs_t_{n}") for n in values])
-    wt = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, b, *[F.coalesce(F.sum(f"_rs_t_{n}").over(wt), F.lit(0)).alias(f"_rs_o_{n}")
-                                        for n in values])
-    # null keys are a partition of their own
-    offsets = offsets.withColumnsRenamed({k: f"_rs_k_{k}" for k in keys + [b]})
-    same = [F.col(k).eqNullSafe(F.col(f"_rs_k_{k}")) for k in keys + [b]]
-    d = d.join(F.broadcast(offsets) if not keys else offsets, same).drop(*[f"_rs_k_{k}" for k in keys + [b]])
-    end = -1 if exclusive else 0
-    wb = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    for n in values:
-        d = d.withColumn(n, F.coalesce(F.sum(f"_rs_v_{n}").over(wb), F.lit(0)) + F.col(f"_rs_o_{n}"))
-    drop = [b] + [f"_rs_v_{n}" for n in values] + [f"_rs_o_{n}" for n in values]
-    return d.drop(*drop)
-
-
-def global_rank(df: DataFrame, h: str, tie: Sequence[str], name: str = "rank",
-                bits: int = HASH_BUCKET_BITS, partition: Sequence[str] = ()) -> DataFrame:
-    """1-based rank by (h, *tie) where ``h`` is a uniform 32-bit hash column;
-    restarted per ``partition`` key (a hot key is still split by bucket)."""
-    order = [F.col(h)] + [F.col(t) for t in tie]
-    out = running_sums(df, hash_bucket(h, bits), order, {name: F.lit(1).cast("bigint")},
-                       partition=partition)
-    return out.withColumn(name, F.col(name).cast("bigint"))
-
-
-def global_rank_by(df: DataFrame, col: str, tie: Sequence[str], name: str = "rank",
-                   n_buckets: int = 256) -> DataFrame:
-    """1-based rank by (col, *tie) for any numeric column; equal values are
-    split over buckets of the first tie column if that is numeric."""
-    order = [F.col(col)] + [F.col(t) for t in tie]
-    split = bool(tie) and isinstance(df.schema[tie[0]].dataType, NumericType)
-    bucket = split_bucket(df, col, tie[0], n_buckets) if split else quantile_bucket(df, col, n_buckets)
-    out = running_sums(df, bucket, order, {name: F.lit(1).cast("bigint")})
-    return out.withColumn(name, F.col(name).cast("bigint"))
-
-
-def sequence_rank(df: DataFrame, key: str, order: str, tie: Sequence[str], name: str = "_seq",
-                  n_buckets: int = 256) -> DataFrame:
-    """1-based position of each row in its ``key`` sequence ordered by
-    (order, *tie). Buckets come from global quantiles of ``order``, so one
-    key holding a large share of the rows is still split over many window
-    partitions."""
-    o = [F.col(order)] + [F.col(t) for t in tie]
-    out = running_sums(df, quantile_bucket(df, order, n_buckets), o, {name: F.lit(1).cast("bigint")},
-                       partition=[key])
-    return out.withColumn(name, F.col(name).cast("bigint"))
+
+from ..session import written
+
+#: monotonically_increasing_id holds the partition above this many bits
+_PART_BITS = 33
+
+
+def ordered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` in the order of ``order`` (nulls first), written once, with
+    ``_part`` (number of the range) and ``_at`` (place in it, from 0).
+
+    Rows that agree in all of ``order`` lie in one part: pass enough ties."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    d = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_id", F.monotonically_increasing_id())
+    return written(d.select(*df.columns, F.shiftright("_id", _PART_BITS).cast("int").alias("_part"),
+                            F.col("_id").bitwiseAND((1 << _PART_BITS) - 1).alias("_at")), "ordered")
+
+
+def placed(df: DataFrame, order: Sequence[str], *, by: Sequence[str] = (), rank: str | None = None,
+           count: str | None = None, sums: dict[str, Column] | None = None, exclusive: bool = False) -> DataFrame:
+    """``df`` with, restarted for each value of ``by`` (null is a value):
+
+    * ``rank``: the 1-based place in ``order``, which must be a total order
+      within ``by`` for a defined result;
+    * ``count``: the number of rows;
+    * ``sums``: running sums by name, of a row and all before it (``exclusive``:
+      of those before it).
+    """
+    keys, sums = list(by), sums or {}
+    t = ordered(df.withColumns({f"_v_{s}": v for s, v in sums.items()}), [*keys, *order])
+    spans = t.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"),
+                                          *[F.sum(f"_v_{s}").alias(f"_t_{s}") for s in sums])
+    # without keys these windows see one row a part, with keys the parts of one key
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first",
+                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                         F.sum("_n").over(group).alias("_total"),
+                         *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    same = [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    out = t.join(spans if keys else F.broadcast(spans), same)
+    cols = {}
+    if rank:
+        cols[rank] = (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("bigint")
+    if count:
+        cols[count] = F.col("_total").cast("bigint")
+    inside = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    for s in sums:
+        cols[s] = F.coalesce(F.sum(f"_v_{s}").over(inside), F.lit(0)) + F.col(f"_o_{s}")
+    return out.select(*[c for c in df.columns if c not in cols], *[v.alias(k) for k, v in cols.items()])
 
 
 def sequence_shift(df: DataFrame, key: str, order: str, tie: Sequence[str], cols: Sequence[str],
                    offset: int, suffix: str = "_shift") -> DataFrame:
     """Values of ``cols`` from the row ``offset`` positions later (negative:
-    earlier) in the same key sequence; null past the ends. A lag/lead that
-    joins on (key, position) – unique per row, so a hot key's rows spread
-    evenly over the join partitions instead of one window task."""
-    ranked = sequence_rank(df, key, order, tie)
-    other = ranked.select(key, (F.col("_seq") - offset).alias("_seq"),
+    earlier) in the same key sequence; null past the ends. Rows with a null key
+    are one sequence. A lag/lead that joins on (key, position) - unique per row,
+    so a hot key's rows spread evenly over the join partitions instead of one
+    window task."""
+    ranked = placed(df, [order, *tie], by=[key], rank="_seq")
+    other = ranked.select(F.col(key).alias("_key"), (F.col("_seq") - offset).alias("_to"),
                           *[F.col(c).alias(c + suffix) for c in cols])
-    return ranked.join(other, [key, "_seq"], "left").drop("_seq")
+    return (ranked.join(other, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_seq") == F.col("_to")), "left")
+            .drop("_key", "_to", "_seq"))

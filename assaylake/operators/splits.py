@@ -2,8 +2,8 @@
 
 Seeded RNG permutations cannot be reproduced across engines, so membership is
 decided by an md5 hash order (same sizes as the reference, different
-members). Exact sizes need a global rank; it is computed with the bucketed
-two-pass rank of :mod:`ranking` so no step runs on a single partition.
+members). Exact sizes need a global rank; :func:`ranking.placed` writes the
+rows once in that order and hands back rank and count together.
 """
 
 from __future__ import annotations
@@ -14,26 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32, uniform
-from .ranking import global_rank, global_rank_by
+from .ranking import placed
+from .selection import latest
 
 
-def _with_count(df: DataFrame, name: str = "_n", by: Sequence[str] = ()) -> DataFrame:
-    """Attach the row count (per ``by`` group): a one-row broadcast, or a
-    join with the per-group counts."""
-    if not by:
-        return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(name))))
-    return df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias(name)), list(by))
-
-
-def hash_rank(df: DataFrame, key: str, seed: int, name: str = "rank",
-              partition: Sequence[str] = ()) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``rank`` (1-based, in hash order of ``key``) and the row
+    count ``_n``, per value of ``by``."""
     d = df.withColumn("_h", hash32(key, seed=seed))
-    return global_rank(d, "_h", [key], name=name, partition=partition).drop("_h")
+    return placed(d, ["_h", key], by=by, rank="rank", count="_n").drop("_h")
 
 
 def random_split(df: DataFrame, key: str, test_frac: float, seed: int = 0) -> DataFrame:
     """Two-way split; test size = ceil(test_frac * n)."""
-    d = _with_count(hash_rank(df, key, seed))
+    d = hash_rank(df, key, seed)
     test = F.col("rank") <= F.ceil(F.col("_n") * F.lit(test_frac))
     return d.withColumn("split", F.when(test, "test").otherwise("train")).drop("rank", "_n")
 
@@ -41,7 +35,7 @@ def random_split(df: DataFrame, key: str, test_frac: float, seed: int = 0) -> Da
 def nested_split(df: DataFrame, key: str, test_frac: float = 0.1, valid_frac: float = 0.05,
                  seed: int = 0) -> DataFrame:
     """test = ceil(f1 * n) rows, then valid = ceil(f2 * rest) of the rest."""
-    d = _with_count(hash_rank(df, key, seed))
+    d = hash_rank(df, key, seed)
     n_test = F.ceil(F.col("_n") * F.lit(test_frac))
     n_valid = F.ceil((F.col("_n") - n_test) * F.lit(valid_frac))
     split = (F.when(F.col("rank") <= n_test, "test")
@@ -51,7 +45,7 @@ def nested_split(df: DataFrame, key: str, test_frac: float = 0.1, valid_frac: fl
 
 def sequential_split(df: DataFrame, order: str, valid_frac: float, tie: Sequence[str] = ()) -> DataFrame:
     """First int((1 - v) * n) rows in ``order`` are train, the rest valid."""
-    d = _with_count(global_rank_by(df, order, list(tie)))
+    d = placed(df, list(dict.fromkeys([order, *tie])), rank="rank", count="_n")
     cut = F.floor(F.col("_n") * F.lit(1.0 - valid_frac))
     return d.withColumn("split", F.when(F.col("rank") <= cut, "train").otherwise("valid")).drop("rank", "_n")
 
@@ -60,7 +54,7 @@ def shuffle_cut(df: DataFrame, key: str, ratio: float, seed: int = 0, test: bool
     """Shuffle, index < int(n * ratio) -> train; test mode puts all rows in train."""
     if test:
         return df.withColumn("split", F.lit("train"))
-    d = _with_count(hash_rank(df, key, seed))
+    d = hash_rank(df, key, seed)
     cut = F.floor(F.col("_n") * F.lit(ratio))
     return d.withColumn("split", F.when(F.col("rank") <= cut, "train").otherwise("valid")).drop("rank", "_n")
 
@@ -68,7 +62,7 @@ def shuffle_cut(df: DataFrame, key: str, ratio: float, seed: int = 0, test: bool
 def kfold(df: DataFrame, key: str, k: int, seed: int = 0, name: str = "fold") -> DataFrame:
     """Shuffled K folds as contiguous blocks of the hash order; the first
     n mod k folds get one extra row."""
-    d = _with_count(hash_rank(df, key, seed))
+    d = hash_rank(df, key, seed)
     i = F.col("rank") - 1
     q = F.floor(F.col("_n") / F.lit(k))
     rem = F.pmod(F.col("_n"), F.lit(k))
@@ -81,8 +75,8 @@ def stratified_kfold(df: DataFrame, key: str, label: str, k: int, seed: int = 0)
     """Folds balanced per int-cast label: rank within the label by hash,
     fold = (rank - 1) mod k. A hot label is still split by hash bucket."""
     d = df.withColumn("_lab", F.col(label).cast("bigint"))
-    d = hash_rank(d, key, seed, partition=["_lab"])
-    return d.withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(k))).drop("rank", "_lab")
+    d = hash_rank(d, key, seed, by=["_lab"])
+    return d.withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(k))).drop("rank", "_n", "_lab")
 
 
 def rotating_folds(df_with_fold: DataFrame, k: int, fold: str = "fold") -> DataFrame:
@@ -95,11 +89,8 @@ def rotating_folds(df_with_fold: DataFrame, k: int, fold: str = "fold") -> DataF
 
 def half_split(df: DataFrame, key: str, split: str = "split", seed: int = 0) -> DataFrame:
     """Keep int(n_train / 2) hash-chosen train rows; other splits unchanged."""
-    tr = df.where(F.col(split) == "train")
-    rest = df.where(F.col(split) != "train")
-    tr = _with_count(hash_rank(tr, key, seed))
-    tr = tr.where(F.col("rank") <= F.floor(F.col("_n") / 2)).drop("rank", "_n")
-    return tr.unionByName(rest)
+    half = F.col("rank") <= F.floor(F.col("_n") / 2)
+    return hash_rank(df, key, seed, by=[split]).where((F.col(split) != "train") | half & (F.col(split) == "train")).drop("rank", "_n")
 
 
 def bernoulli(df: DataFrame, group: str, key: str, p, seed: int = 0) -> DataFrame:
@@ -116,34 +107,42 @@ def bernoulli_counts(flagged: DataFrame, group: str) -> DataFrame:
 
 def draw_per_group(df: DataFrame, group: str, key: str, c: int, seed: int = 0) -> DataFrame:
     """c draws with replacement per non-empty group: draw j picks the row of
-    in-group rank pmod(hash(group, j), m) + 1."""
-    ranked = hash_rank(df, key, seed, partition=[group])
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_m"))
-    draws = sizes.select(group, "_m", F.explode(F.sequence(F.lit(1), F.lit(c))).alias("draw"))
-    draws = draws.withColumn("rank", F.pmod(hash32(group, "draw", seed=seed + 1), F.col("_m")) + 1)
-    return draws.join(ranked, [group, "rank"]).drop("_m", "rank")
-
-
-def bootstrap(spark: SparkSession, df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    in-group rank pmod(hash(group, j), m) + 1. Rows with a null group are a
+    group of their own."""
+    ranked = hash_rank(df, key, seed, by=[group])
+    # the first row of each group stands for the group and carries its size
+    draws = ranked.where("rank = 1").select(F.col(group).alias("_g"), F.col("_n").alias("_m"),
+                                            F.explode(F.sequence(F.lit(1), F.lit(c))).alias("draw"))
+    draws = draws.withColumn("_pick", F.pmod(hash32("_g", "draw", seed=seed + 1), F.col("_m")) + 1)
+    return (draws.join(ranked, F.col("_g").eqNullSafe(F.col(group)) & (F.col("_pick") == F.col("rank")))
+            .drop("_g", "_m", "_pick", "rank", "_n"))
+
+
+def bootstrap(spark: SparkSession, df: DataFrame, key: str, n: int, seed: int = 0, least: int = 1) -> DataFrame:
     """Exactly n rows drawn with replacement (draw d -> global rank
-    pmod(hash(d), N) + 1)."""
+    pmod(hash(d), N) + 1); none if df has fewer than ``least`` rows."""
     ranked = hash_rank(df, key, seed)
-    total = df.agg(F.count(F.lit(1)).alias("_N"))
+    total = ranked.agg(F.max("_n").alias("_N")).where(F.col("_N") >= least)  # one row
     draws = spark.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total))
     draws = draws.withColumn("rank", F.pmod(hash32("draw", seed=seed + 1), F.col("_N")) + 1)
-    return draws.join(ranked, "rank").drop("_N", "rank")
+    return draws.join(ranked, "rank").drop("_N", "rank", "_n")
 
 
 def bounded_buffer(df: DataFrame, order: str, tie: str, capacity: int) -> DataFrame:
-    """Keep the latest ``capacity`` records by (order, tie); ``order`` numeric."""
-    d = _with_count(global_rank_by(df.withColumn("_o", F.col(order).cast("double")), "_o", [tie]))
-    return d.where(F.col("rank") > F.col("_n") - F.lit(capacity)).drop("rank", "_n", "_o")
+    """Keep the latest ``capacity`` records by the LONGs (order, tie)."""
+    return latest(df, order, tie, capacity)
+
+
+def buffer_sample(spark: SparkSession, buffer: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
+    """``size`` draws with replacement from a buffer, numbered from 0; none at
+    all while the buffer holds fewer than ``size`` rows."""
+    return bootstrap(spark, buffer, key, size, seed=seed, least=size)
 
 
 def batches(df: DataFrame, key: str, b: int, drop_last: bool = True, seed: int = 0) -> DataFrame:
     """Batch id = (hash rank - 1) div b; the last partial batch is dropped in
     training (num_batches = int(n / b)) and kept in evaluation."""
-    d = _with_count(hash_rank(df, key, seed))
+    d = hash_rank(df, key, seed)
     d = d.withColumn("batch", F.floor((F.col("rank") - 1) / F.lit(b)).cast("bigint"))
     if drop_last:
         d = d.where(F.col("batch") < F.floor(F.col("_n") / F.lit(b)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.smiles import tokens as smiles_token_array
-from .ranking import global_rank_by
+from .ranking import placed
 
 # Element dimension (symbol, atomic number, standard atomic
 # weight, Pauling electronegativity or None) of the elements 1 to 54 and of
@@ -118,7 +118,7 @@ def token_descriptors(tokens: DataFrame, elems: DataFrame, key: str = "mol_id")
 def dictionary_encode(df: DataFrame, value: str, order: Sequence[str], start: int = 0,
                       preset: DataFrame | None = None) -> DataFrame:
     """Dense ids in order of first appearance: first position per value
-    (distributed ``min``), then a bucketed global rank of those first
+    (distributed ``min``), then the global rank of those first
     positions. ``order`` are numeric columns giving the position (file order,
     line). With ``preset`` (value, id) those ids are kept and new values
     continue after the largest preset id."""
@@ -130,7 +130,7 @@ def dictionary_encode(df: DataFrame, value: str, order: Sequence[str], start: in
         mx = preset.agg(F.max("id").alias("_mx"))
         first = first.crossJoin(F.broadcast(mx))  # one row
         offset = F.coalesce(F.col("_mx") + 1, F.lit(start))
-    ranked = global_rank_by(first, "_f0", [f"_f{i}" for i in range(1, len(order))] + [value], name="_r")
+    ranked = placed(first, [*[f"_f{i}" for i in range(len(order))], value], rank="_r")
     out = ranked.select(value, (F.col("_r") - 1 + offset).cast("bigint").alias("id"))
     if preset is not None:
         out = out.unionByName(preset.select(value, F.col("id").cast("bigint")))

@@ -7,19 +7,23 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ntz_epoch_micros
+from ..operators.selection import exact_median
 from ..sources import tables as S
 from .common import r, rounded
 from .registry import query, with_ctes
 
 
 def stat_pool(df, group, value="x", only_mean=False):
-    """Mean, or mean / sample std / median / max / min over the sequence
-    axis (one aggregate pass per group)."""
+    """Mean, or mean / sample std / median / max / min over the sequence axis.
+    All but the median are one map-side combined aggregate; the median is
+    selected by counts (:mod:`selection`), so no task holds a group's values."""
     aggs = [F.avg(value).alias("mean")]
-    if not only_mean:
-        aggs += [F.stddev_samp(value).alias("std"), F.median(value).alias("median"),
-                 F.max(value).alias("max"), F.min(value).alias("min")]
-    return df.groupBy(*group).agg(*aggs)
+    if only_mean:
+        return df.groupBy(*group).agg(*aggs)
+    aggs += [F.stddev_samp(value).alias("std"), F.max(value).alias("max"), F.min(value).alias("min")]
+    mid = exact_median(df, group, value).withColumnsRenamed({g: f"_m_{g}" for g in group})
+    same = [F.col(g).eqNullSafe(F.col(f"_m_{g}")) for g in group]
+    return df.groupBy(*group).agg(*aggs).join(mid, same, "left").drop(*[f"_m_{g}" for g in group])
 
 
 @query("stat_pool", with_ctes(f"""
@@ -81,13 +85,12 @@ SELECT event_id, user_id, {r('reward')} AS reward, {r('sum(reward) OVER (PARTITI
 FROM (SELECT event_id, user_id, ts, value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0.0) AS reward
       FROM events) t""")
 def q_score_delta(spark, sf):
-    from ..operators.ranking import quantile_bucket, running_sums, sequence_shift
+    from ..operators.ranking import placed, sequence_shift
     ev = S.table(spark, sf, "events").select("event_id", "user_id", "value",
                                              ntz_epoch_micros("ts").alias("ts_us"))
     # previous score by a keyed join on the sequence position (skew-safe lag)
     d = sequence_shift(ev, "user_id", "ts_us", ["event_id"], ["value"], offset=-1, suffix="_prev")
     d = d.withColumn("reward", F.col("value") - F.coalesce(F.col("value_prev"), F.lit(0.0)))
-    # running total of the deltas, restarted per user; a hot user is split by time buckets
-    d = running_sums(d, quantile_bucket(ev, "ts_us"), [F.col("ts_us"), F.col("event_id")],
-                     {"total": F.col("reward")}, partition=["user_id"])
+    # running total of the deltas, restarted per user; a hot user spreads over many parts
+    d = placed(d, ["ts_us", "event_id"], by=["user_id"], sums={"total": F.col("reward")})
     return rounded(d.select("event_id", "user_id", "reward", "total"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash32, sql_hash32
 from ..operators import graph as G
 from ..operators import molecules as MO
-from ..operators.ranking import quantile_bucket, running_sums
+from ..operators.ranking import placed
 from ..operators.tokens import ELEMENTS_SQL
 from ..session import cut_lineage
 from ..sources import tables as S
@@ -509,10 +509,8 @@ def _atom_counts(spark, sf):
 
 
 def count_to_offset(counts):
-    """Exclusive prefix sum of counts in key order (bucketed, no single task)."""
-    c = counts.withColumn("_k", F.col(K).cast("double"))
-    out = running_sums(c, quantile_bucket(c, "_k"), [F.col(K)], {"offset": F.col("cnt")}, exclusive=True)
-    return out.drop("_k")
+    """Exclusive prefix sum of counts in key order (no single task)."""
+    return placed(counts, [K], sums={"offset": F.col("cnt")}, exclusive=True)
 
 
 @query("count_to_offset", with_graph("""
@@ -521,17 +519,13 @@ SELECT mol_id, cnt, CAST(coalesce(sum(cnt) OVER (ORDER BY mol_id ROWS BETWEEN UN
 FROM (SELECT *, coalesce(sum(cnt) OVER (ORDER BY mol_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM c) t""",
                                      c=COUNTS_SQL))
 def q_count_to_offset(spark, sf):
-    off = count_to_offset(_atom_counts(spark, sf))
-    # offset -> count: next offset - offset; the next offset of the last key is
-    # the total. The successor is found by a keyed join on the rank, not a lag
-    # over one partition.
-    tot = off.agg(F.sum("cnt").alias("_tot"))
-    ranked = off.withColumn("_k", F.col(K).cast("double"))
-    ranked = running_sums(ranked, quantile_bucket(ranked, "_k"), [F.col(K)], {"_r": F.lit(1)})
-    nxt = ranked.select((F.col("_r") - 1).alias("_r"), F.col("offset").alias("_next"))
-    j = ranked.join(nxt, "_r", "left").crossJoin(F.broadcast(tot))
-    return j.select(K, F.col("cnt").cast("bigint"), F.col("offset").cast("bigint"),
-                    (F.coalesce("_next", "_tot") - F.col("offset")).cast("bigint").alias("count_back"))
+    # offset -> count: an offset and the running total with its own row are the
+    # two ends of the key's range
+    d = _atom_counts(spark, sf)
+    d = placed(d, [K], sums={"_end": F.col("cnt")})
+    off = F.col("_end") - F.col("cnt")
+    return d.select(K, F.col("cnt").cast("bigint"), off.cast("bigint").alias("offset"),
+                    (F.col("_end") - off).cast("bigint").alias("count_back"))
 
 
 @query("node_offset", with_graph("""

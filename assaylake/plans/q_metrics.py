@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ntz_epoch_micros
 from ..operators import metrics as M
-from ..operators.ranking import global_rank
+from ..operators.ranking import placed
 from ..functions.hashing import hash32, sql_hash32
 from ..sources import tables as S
 from .common import r, rounded
@@ -140,7 +140,7 @@ FROM (SELECT batch, avg(pow(pred - target, 2)) AS m, sum(pow(pred - target, 2))
             FROM predictions) x GROUP BY batch) y""", **P))
 def q_epoch_mean_of_batches(spark, sf):
     p = S.predictions(spark, sf).withColumn("_h", hash32("id", seed=3))
-    p = global_rank(p, "_h", ["id"]).withColumn("batch", F.floor((F.col("rank") - 1) / 512))
+    p = placed(p, ["_h", "id"], rank="rank").withColumn("batch", F.floor((F.col("rank") - 1) / 512))
     return rounded(M.mean_of_batch_means(p))
 
 
@@ -242,7 +242,7 @@ GROUP BY a.batch"""
 
 def _batched_vectors(spark, sf):
     v = S.vectors(spark, sf).withColumn("_h", hash32("id", seed=21))
-    v = global_rank(v, "_h", ["id"]).withColumn("batch", F.floor((F.col("rank") - 1) / 50).cast("bigint"))
+    v = placed(v, ["_h", "id"], rank="rank").withColumn("batch", F.floor((F.col("rank") - 1) / 50).cast("bigint"))
     return v.select("batch", "id", F.slice("vec", 1, 32).alias("va"), F.slice("vec", 33, 32).alias("vb"))
 
 

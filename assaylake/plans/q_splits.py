@@ -134,6 +134,18 @@ def q_bounded_buffer(spark, sf):
     return SP.bounded_buffer(ev, "t", "event_id", 3000).select("event_id", "user_id")
 
 
+@query("buffer_sample", f"""
+WITH rk AS (SELECT event_id, user_id, row_number() OVER (ORDER BY {sql_hash32('event_id', seed=16)}, event_id) AS rnk,
+                   count(*) OVER () AS n
+            FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS age FROM events) t WHERE age <= 500)
+SELECT d AS draw, event_id, user_id FROM generate_series(0, 255) AS g(d), rk
+WHERE n >= 256 AND rnk = {sql_hash32('d', seed=17)} % n + 1""")
+def q_buffer_sample(spark, sf):
+    ev = S.table(spark, sf, "events").select("event_id", "user_id", ntz_epoch_micros("ts").alias("t"))
+    kept = SP.bounded_buffer(ev, "t", "event_id", 500)
+    return SP.buffer_sample(spark, kept, "event_id", 256, seed=16).select("draw", "event_id", "user_id")
+
+
 @query("drop_incomplete_batch", with_ctes("""
 SELECT mol_id, CAST((rnk - 1) // 64 AS BIGINT) AS batch FROM rk WHERE (rnk - 1) // 64 < n // 64""",
                                           **MOL, rk=_ranked_sql("molecules", "mol_id", 4)))

@@ -19,8 +19,10 @@ from assaylake.sources import io
 def test_null_order_and_keys_keep_their_rows(spark):
     df = spark.range(100).select("id", F.when(F.col("id") % 5 > 0, F.col("id")).alias("x"),
                                  F.when(F.col("id") % 3 > 0, F.lit("a")).alias("k"))
-    assert R.global_rank_by(df, "x", ["id"]).agg(F.countDistinct("rank")).first()[0] == 100
-    assert R.sequence_rank(df, "k", "x", ["id"]).count() == 100
+    assert R.placed(df, ["x", "id"], rank="rank").agg(F.countDistinct("rank")).first()[0] == 100
+    seq = R.placed(df, ["x", "id"], by=["k"], rank="rank", count="n").groupBy("k").agg(
+        F.count("*").alias("rows"), F.countDistinct("rank").alias("ranks"), F.max("rank").alias("top"), F.max("n").alias("n")).collect()
+    assert sorted(tuple(r)[1:] for r in seq) == [(34,) * 4, (66,) * 4]
 
 
 def test_auroc_of_one_class_is_null(spark):
@@ -67,10 +69,9 @@ def test_short_lines_and_unfinished_folder(spark, tmp_path):
 
 def test_one_frequent_order_value_is_split_and_ranked(spark):
     df = spark.range(2000).selectExpr("CAST(IF(id < 1500, 7, id) AS LONG) AS f", "2000 - id AS line", "id")
-    bucket = R.split_bucket(df, "f", "line")
-    sizes = df.where("f = 7").groupBy(bucket.alias("b")).count().collect()
-    assert len(sizes) > 20 and max(s["count"] for s in sizes) < 150
-    got = {r["id"]: r["rank"] for r in R.global_rank_by(df, "f", ["line"]).collect()}
+    sizes = R.ordered(df, ["f", "line"]).where("f = 7").groupBy("_part").count().collect()
+    assert len(sizes) > 4 and max(s["count"] for s in sizes) < 500
+    got = {r["id"]: r["rank"] for r in R.placed(df, ["f", "line"], rank="rank").collect()}
     want = sorted(range(2000), key=lambda i: (7 if i < 1500 else i, 2000 - i))
     assert [got[i] for i in want] == list(range(1, 2001))
 
@@ -79,7 +80,7 @@ def test_ranks_keep_large_longs_and_nulls_in_order(spark):
     big = 1 << 60
     rows = [(big + k % 3, k) for k in range(300)] + [(None, 1000 + k) for k in range(5)]
     df = spark.createDataFrame(rows, "f long, line long")
-    got = [r["line"] for r in R.global_rank_by(df, "f", ["line"]).orderBy("rank").collect()]
+    got = [r["line"] for r in R.placed(df, ["f", "line"], rank="rank").orderBy("rank").collect()]
     assert got == [k for _, k in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
 
 

@@ -1,11 +1,11 @@
-"""Split sizes, disjointness, fold balance and the bucketed global rank."""
+"""Split sizes, disjointness, fold balance and global ranks."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.hashing import hash32
 from assaylake.operators import splits as SP
-from assaylake.operators.ranking import global_rank, global_rank_by
+from assaylake.operators.ranking import placed
 from assaylake.sources import tables as S
 
 from .conftest import SF_SMALL
@@ -13,11 +13,11 @@ from .conftest import SF_SMALL
 
 def test_global_rank_matches_row_number(spark):
     m = S.molecules(spark, SF_SMALL).withColumn("h", hash32("mol_id", seed=5))
-    ours = global_rank(m, "h", ["mol_id"], bits=4)
+    ours = placed(m, ["h", "mol_id"], rank="rank")
     ref = m.withColumn("rn", F.row_number().over(Window.orderBy("h", "mol_id")))
     bad = ours.join(ref.select("mol_id", "rn"), "mol_id").where("rank <> rn").count()
     assert bad == 0
-    ours2 = global_rank_by(m.withColumn("x", F.col("pic50")), "x", ["mol_id"], n_buckets=8)
+    ours2 = placed(m, ["pic50", "mol_id"], rank="rank")
     ref2 = m.withColumn("rn", F.row_number().over(Window.orderBy("pic50", "mol_id")))
     assert ours2.join(ref2.select("mol_id", "rn"), "mol_id").where("rank <> rn").count() == 0
 
