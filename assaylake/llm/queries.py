@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, masked_lm, maxscore, minhash, packing, quality, repeats, secrets, urlrules
+from . import decontam, langid, masked_lm, maxscore, merkle, minhash, packing, quality, repeats, secrets, urlrules
 from .frames import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,11 +75,80 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    doc_id, lang, n_chars = F.col("doc_id"), F.col("lang"), F.col("n_chars")
+    parts = [doc_id, F.col("source"), lang, n_chars, F.col("text")]
+    touched = F.crc32(doc_id.cast("string").cast("binary")) % 7 == 0
+    more = F.when(touched, n_chars.cast("decimal(20,0)") + 1).otherwise(n_chars.cast("decimal(20,0)"))
+    made = merkle.manifest(docs, parts, lang, doc_id, keep={"doc_id": doc_id, "tampered": F.when(
+        touched, merkle.digest(*parts[:3], more, F.col("text"))).otherwise(merkle.digest(*parts))})
+    folded = made.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"),
+                         merkle.fold(F.col("tampered"), F.col("proof")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_circulant_minhash, op2_byte_cnn_language, op3_interval_tree_repeats, op4_maxscore_topk, op5_masked_lm, op6_random_indexing_quality, op7_secret_links, op8_decontaminate, op9_harmonic_packing, op10_url_rules,
+    op11_merkle_manifest,
 )}
 
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": """
+        WITH RECURSIVE d AS (
+          SELECT doc_id, lang, n_chars, source, text,
+            xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+                  range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: list_transform(range(0, 8), lambda k:
+                    (ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS BIGINT), 1))::BIGINT >> k::INTEGER) & 1)))),
+                lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS crc
+          FROM documents),
+        e AS (
+          SELECT doc_id, lang, n_chars, crc,
+            coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+              || coalesce(octet_length(encode(source)) || ':' || source, '-')
+              || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+            coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail FROM d),
+        leaf AS (
+          SELECT doc_id, lang, sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+            CASE WHEN crc % 7 = 0
+              THEN sha256(head || coalesce(length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail)
+              ELSE sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) END AS tampered
+          FROM e),
+        g AS (SELECT lang, CAST(row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS BIGINT) AS grp
+              FROM (SELECT DISTINCT lang FROM documents) x),
+        placed AS (
+          SELECT l.doc_id, l.leaf, l.tampered, g.grp,
+            CAST(row_number() OVER (PARTITION BY g.grp ORDER BY l.doc_id NULLS FIRST, l.leaf) - 1 AS BIGINT) AS pos
+          FROM leaf l JOIN g ON l.lang IS NOT DISTINCT FROM g.lang),
+        sizes AS (SELECT grp, count(*) AS n FROM placed GROUP BY grp),
+        lev AS (
+          SELECT p.grp, 0 AS level, p.pos, s.n, p.leaf AS digest FROM placed p JOIN sizes s USING (grp)
+          UNION ALL
+          SELECT grp, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+          FROM lev WHERE n > 1 GROUP BY grp, level, pos // 2, n),
+        subroots AS (SELECT grp, digest FROM lev WHERE n = 1),
+        top AS (
+          SELECT 0 AS level, grp AS pos, (SELECT count(*) FROM g) AS n, digest FROM subroots
+          UNION ALL
+          SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+          FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+        heights AS (SELECT grp, max(level) AS h FROM lev GROUP BY grp),
+        total AS (SELECT max(level) AS h FROM top),
+        walk AS (
+          SELECT p.doc_id, p.leaf, p.grp, p.pos, 0 AS step, p.tampered AS acc, '' AS proof, h.h + t.h AS steps, h.h AS low
+          FROM placed p JOIN heights h USING (grp), total t
+          UNION ALL
+          SELECT w.doc_id, w.leaf, w.grp, w.pos, w.step + 1,
+            sha256(CASE WHEN s.digest IS NULL THEN w.acc WHEN w.place % 2 = 1 THEN s.digest || w.acc ELSE w.acc || s.digest END),
+            w.proof || coalesce(s.digest, ''), w.steps, w.low
+          FROM (SELECT *, CASE WHEN step < low THEN pos // CAST(pow(2, step) AS BIGINT)
+                          ELSE grp // CAST(pow(2, step - low) AS BIGINT) END AS place FROM walk WHERE step < steps) w
+          LEFT JOIN (SELECT grp, level, pos, digest FROM lev UNION ALL SELECT -1, level, pos, digest FROM top) s
+            ON s.grp = CASE WHEN w.step < w.low THEN w.grp ELSE -1 END
+              AND s.level = CASE WHEN w.step < w.low THEN w.step ELSE w.step - w.low END AND s.pos = xor(w.place, 1))
+        SELECT w.doc_id, w.leaf, s.digest AS subroot, r.digest AS root, sha256(w.proof) AS proof_sha256,
+          w.acc AS folded_root, w.acc = r.digest AS verified
+        FROM walk w JOIN subroots s USING (grp), (SELECT digest FROM top WHERE n = 1) r WHERE w.step = w.steps""",
     "op4_maxscore_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
