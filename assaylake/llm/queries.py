@@ -3,12 +3,13 @@ production parameters over whole tables."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, masked_lm, maxscore, merkle, minhash, packing, quality, repeats, secrets, urlrules
+from . import decontam, langid, masked_lm, maxscore, merkle, minhash, packing, quality, repeats, runs, secrets, urlrules
 from .frames import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,9 +89,35 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def planted_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words with a tail that repeats, in the documents whose crc32(doc_id
+    as text) is divisible by 10; a document without an id stays as it is."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    n = len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[:n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=planted_tail)
+    # runs come by start and period, so the first of equal exponents stays
+    best = F.aggregate("runs", F.try_element_at("runs", F.lit(1)), lambda b, r: F.when(
+        r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return (found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_circulant_minhash, op2_byte_cnn_language, op3_interval_tree_repeats, op4_maxscore_topk, op5_masked_lm, op6_random_indexing_quality, op7_secret_links, op8_decontaminate, op9_harmonic_packing, op10_url_rules,
-    op11_merkle_manifest,
+    op11_merkle_manifest, op12_periodic_runs,
 )}
 
 ORACLES: dict[str, str] = {
