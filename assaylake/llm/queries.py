@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, masked_lm, maxscore, merkle, minhash, packing, quality, repeats, runs, secrets, urlrules
+from . import decontam, langid, masked_lm, maxscore, merkle, minhash, packing, quality, repeats, runs, secrets, toxicity, urlrules
 from .frames import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,9 +115,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
 
 
+def op13_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 5, 0)
+    machine = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~out)
+    return toxicity.score(docs, machine).select(
+        "doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "unit")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_circulant_minhash, op2_byte_cnn_language, op3_interval_tree_repeats, op4_maxscore_topk, op5_masked_lm, op6_random_indexing_quality, op7_secret_links, op8_decontaminate, op9_harmonic_packing, op10_url_rules,
-    op11_merkle_manifest, op12_periodic_runs,
+    op11_merkle_manifest, op12_periodic_runs, op13_string_kernel_toxicity,
 )}
 
 ORACLES: dict[str, str] = {
