@@ -4,25 +4,32 @@ Graphs are long tables: ``nodes(key, node, ...)`` and ``edges(key, src, dst,
 ...)`` where ``key`` identifies a graph (a molecule) or is a constant for one
 big graph. Traversals are frontier rounds of join + anti join keyed by
 ``(key, root, node)``; propagation is ``edges ⋈ features`` followed by a
-map-side-combined ``groupBy(dst)``. Hub nodes (one key with a large share of
-the edges) are handled by AQE's skew-join splitting, and the group-by never
-collects a neighbour list. Long loops cut their lineage with reliable
-checkpoints in the shared checkpoint folder.
+map-side-combined ``groupBy(dst)``. Hub nodes (one node with a large share of the edges) are
+found by their degree and joined in lanes (:class:`Spread`), and the group-by
+never collects a neighbour list. Loops write every round to the shared folder.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import hash32
-from ..session import cut_lineage
+from ..session import scratch_path, written
 
 UNREACHABLE_APSP = 510
 UNREACHABLE_CAPPED = 9999
+#: outputs of all pairs are refused for graphs of more nodes
+ALL_PAIRS_NODES = 2048
+#: a node with more than 1 / HUBS of all edges is a hub; its edges are dealt out to LANES lanes
+HUBS = 1000
+LANES = 32
 
 
 def graph_nodes(n_nodes: DataFrame, key: str = "g", count: str = "n") -> DataFrame:
@@ -31,60 +38,47 @@ def graph_nodes(n_nodes: DataFrame, key: str = "g", count: str = "n") -> DataFra
 
 
 def symmetrize(edges: DataFrame, num_rels: int | None = None, rel: str = "rel") -> DataFrame:
-    """Append reversed edges; reversed relation types are shifted by num_rels."""
-    rev = edges.withColumnRenamed("src", "_s").withColumnRenamed("dst", "src").withColumnRenamed("_s", "dst")
+    """Both directions of every edge, emitted from its one row; reversed
+    relation types are shifted by num_rels."""
+    back = {"src": F.col("dst").alias("src"), "dst": F.col("src").alias("dst")}
     if num_rels is not None:
-        rev = rev.withColumn(rel, F.col(rel) + F.lit(num_rels))
-    return edges.unionByName(rev.select(*edges.columns))
+        back[rel] = (F.col(rel) + num_rels).alias(rel)
+    rev = F.struct(*[back.get(c, F.col(c)) for c in edges.columns])
+    return edges.select(F.inline(F.array(F.struct(*edges.columns), rev)))
 
 
-def bfs_levels(edges: DataFrame, start: DataFrame, key: str, a: str, b: str, max_rounds: int | None,
-               undirected: bool = True, materialize: bool = True,
-               block: DataFrame | None = None) -> list[DataFrame]:
-    """Frontier rounds over ``(key, a, b)`` pairs: level h+1 = neighbours of
-    level h's ``b`` that are new for their ``a``.
+def frontiers(edges: DataFrame, start: DataFrame, key: str, a: str, b: str, name: str, max_rounds: int | None = None,
+              undirected: bool = True, block: DataFrame | None = None) -> DataFrame:
+    """``(key, a, b, name)``: the nodes ``b`` first reached from ``a`` in round
+    ``name`` (0: ``start``), by frontier rounds until no pair is new.
 
     Undirected graphs (symmetric ``edges``) only need the two previous levels
     for the "new" test (a neighbour of a node at distance h is at h-1, h or
     h+1), so the anti join never touches the growing visited set. Directed
-    graphs anti-join against all levels. Each level is computed once and
-    written with a reliable checkpoint (``materialize``) so later rounds and
-    the final union read it instead of recomputing the lineage. Without
-    ``max_rounds`` the rounds go on until no pair is new (``materialize`` only).
+    graphs anti-join against all levels. Every level is written once, as one
+    part of a single table in the shared folder: rounds read the levels they
+    need, and the result is one scan of that table.
 
     ``block(key, a, b)``: nodes that may not be reached in round 1 and are
     released afterwards (full visited set is then used)."""
-    if block is not None:
-        undirected = False
-    e = edges.select(key, F.col("src").alias(b), F.col("dst").alias("_nb")).distinct()
-    if materialize and max_rounds != 1:
-        # the edge table is read every round: write it once
-        e = cut_lineage(e)
-    levels = [start.select(key, a, b)]
-    for h in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
-        nxt = levels[-1].join(e, [key, b]).select(key, a, F.col("_nb").alias(b)).distinct()
-        seen = levels[-2:] if undirected else levels
-        excl = seen[0]
-        for x in seen[1:]:
-            excl = excl.unionByName(x)
-        if block is not None and h == 1:
-            excl = excl.unionByName(block.select(key, a, b))
-        new = nxt.join(excl, [key, a, b], "left_anti")
-        last = h == max_rounds
-        if materialize and not last:
-            new = cut_lineage(new)
-            if new.isEmpty():
-                break
-        levels.append(new)
-    return levels
+    spark, base = edges.sparkSession, scratch_path(edges.sparkSession, "frontiers")
+    undirected = undirected and block is None
+    e = written(edges.select(key, F.col("src").alias(b), F.col("dst").alias("_nb")).distinct(), "edges")
+    schema = start.select(key, a, b).schema
 
+    def levels(first: int, last: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{base}/{name}={h}" for h in range(first, last + 1)])
 
-def _union_levels(levels: list[DataFrame], name: str) -> DataFrame:
-    out = None
-    for h, lv in enumerate(levels):
-        t = lv.withColumn(name, F.lit(h))
-        out = t if out is None else out.unionByName(t)
-    return out
+    start.select(key, a, b).distinct().write.parquet(f"{base}/{name}=0")
+    for h in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
+        nxt = levels(h - 1, h - 1).join(e, [key, b]).select(key, a, F.col("_nb").alias(b)).distinct()
+        seen = levels(max(0, h - 2) if undirected else 0, h - 1)
+        if block is not None and h == 1:
+            seen = seen.unionByName(block.select(key, a, b))
+        nxt.join(seen, [key, a, b], "left_anti").write.parquet(f"{base}/{name}={h}")
+        if levels(h, h).isEmpty():
+            break
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(name, T.IntegerType())])).parquet(base)
 
 
 def k_hop(edges: DataFrame, roots: DataFrame, k: int, key: str = "g", undirected: bool = True,
@@ -96,54 +90,52 @@ def k_hop(edges: DataFrame, roots: DataFrame, k: int, key: str = "g", undirected
     ``block(key, root, node)`` optionally blocks one node per root at hop 1
     and releases it afterwards. Returns ``(key, root, node, hop)``."""
     start = roots.select(key, "root", F.col("root").alias("node"))
-    levels = bfs_levels(edges, start, key, "root", "node", k, undirected=undirected, block=block)
-    return _union_levels(levels, "hop")
+    return frontiers(edges, start, key, "root", "node", "hop", k, undirected=undirected, block=block)
 
 
 def cap_per_root(df: DataFrame, cap: int, by: Sequence[str], node: str = "node", seed: int = 0) -> DataFrame:
     """Keep ``cap`` rows per group by hash order (sampling without
-    replacement). A group is a (root, hop) frontier."""
-    from .splits import hash_rank
-    ranked = hash_rank(df, node, seed, name="_r", partition=list(by))
-    return ranked.where(F.col("_r") <= cap).drop("_r")
+    replacement). A group is a (root, hop) frontier; tasks send at most ``cap``
+    rows of a group on, so a hot one is cut down before the shuffle."""
+    order = Window.partitionBy(*by).orderBy("_h", node)
+    return (df.withColumn("_h", hash32(node, seed=seed)).withColumn("_r", F.row_number().over(order))
+            .where(F.col("_r") <= cap).drop("_h", "_r"))
 
 
 def sample_k_hop(edges: DataFrame, roots: DataFrame, k: int, cap: int, key: str = "g",
                  seed: int = 0) -> DataFrame:
     """Like :func:`k_hop` but each frontier is capped to ``cap`` nodes per root
-    after it has been marked visited (cut nodes are never revisited)."""
-    e = cut_lineage(edges.select(key, "src", "dst").distinct())
-    visited = roots.select(key, "root", F.col("root").alias("node"), F.lit(0).alias("hop"))
-    kept = visited
-    frontier = visited.select(key, "root", "node")
+    after it has been marked visited (cut nodes are never revisited). A round
+    writes its new nodes once; the cap is read off them."""
+    e = written(edges.select(key, F.col("src").alias("node"), "dst").distinct(), "edges")
+    start = roots.select(key, "root", F.col("root").alias("node")).distinct()
+    levels, kept = [start], [start]
     for h in range(1, k + 1):
-        nxt = frontier.join(e.withColumnRenamed("src", "node"), [key, "node"]).select(
-            key, "root", F.col("dst").alias("node")).distinct()
-        new = nxt.join(visited.select(key, "root", "node"), [key, "root", "node"], "left_anti")
-        new = cut_lineage(new) if h < k else new
-        visited = visited.unionByName(new.withColumn("hop", F.lit(h)))
-        frontier = cap_per_root(new, cap, [key, "root"], seed=seed + h)
-        frontier = cut_lineage(frontier) if h < k else frontier
-        kept = kept.unionByName(frontier.withColumn("hop", F.lit(h)))
-    return kept
+        nxt = kept[-1].join(e, [key, "node"]).select(key, "root", F.col("dst").alias("node")).distinct()
+        seen = functools.reduce(DataFrame.unionByName, levels)
+        levels.append(written(nxt.join(seen, [key, "root", "node"], "left_anti"), "frontier"))
+        kept.append(cap_per_root(levels[-1], cap, [key, "root"], seed=seed + h))
+    return functools.reduce(DataFrame.unionByName, [x.withColumn("hop", F.lit(h)) for h, x in enumerate(kept)])
+
+
+def check_graph_sizes(nodes: DataFrame, max_nodes: int, key: str = "g") -> None:
+    """Raise if a graph has more than ``max_nodes`` nodes."""
+    most = nodes.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > max_nodes:
+        raise ValueError(f"a graph has {most} nodes; outputs of all its pairs are made up to {max_nodes}. "
+                         "Ask for the pairs that are needed (distances.pair_distances)")
 
 
 def all_pairs(edges: DataFrame, nodes: DataFrame, key: str = "g", max_rounds: int | None = None,
-              undirected: bool = True) -> DataFrame:
+              undirected: bool = True, max_nodes: int = ALL_PAIRS_NODES) -> DataFrame:
     """Shortest hop distance for every reachable ordered pair of each graph,
-    by frontier rounds from every node until no pair is new. Unreachable
-    pairs are absent (their distance is :data:`UNREACHABLE_APSP` by
-    convention, see :func:`lookup_distance`)."""
+    by frontier rounds from every node until no pair is new. Unreachable pairs
+    are absent. The output is quadratic in a graph's nodes, so a graph of more
+    than ``max_nodes`` raises; :mod:`distances` answers requested pairs of any
+    graph."""
+    check_graph_sizes(nodes, max_nodes, key)
     start = nodes.select(key, F.col("node").alias("i"), F.col("node").alias("j"))
-    levels = bfs_levels(edges, start, key, "i", "j", max_rounds, undirected=undirected)
-    return _union_levels(levels, "dist")
-
-
-def lookup_distance(pairs: DataFrame, dist: DataFrame, key: str = "g",
-                    far: int = UNREACHABLE_APSP) -> DataFrame:
-    """Distances for requested (key, i, j) pairs; unreachable -> ``far``."""
-    return pairs.join(dist, [key, "i", "j"], "left").withColumn(
-        "dist", F.coalesce(F.col("dist"), F.lit(far)))
+    return frontiers(edges, start, key, "i", "j", "dist", max_rounds, undirected=undirected)
 
 
 def degree_table(nodes: DataFrame, edges: DataFrame, key: str = "g") -> DataFrame:
@@ -175,88 +167,119 @@ def marking_matrix(nodes: DataFrame, marks: DataFrame, key: str = "g") -> DataFr
 def distance_to_marks(nodes: DataFrame, edges: DataFrame, marks: DataFrame, hop: int = 2, key: str = "g",
                       far: int = UNREACHABLE_CAPPED) -> DataFrame:
     """For every node and every marked node of the same set: hop distance up
-    to ``hop``, else ``far``. Rows = nodes x marks per set (bounded)."""
+    to ``hop``, else ``far``. Rows = nodes x marks of a graph (a fixed number).
+    Nodes of one graph meet its marks in ``LANES`` lanes, so one big graph is
+    spread over many tasks."""
+    marks = written(marks, "marks")
     roots = marks.select(key, F.col("node").alias("root")).distinct()
     reach = k_hop(edges, roots, hop, key=key).select(key, "root", "node", F.col("hop").alias("dist"))
-    grid = marks.select(key, "set_id", "piece", F.col("node").alias("root")).join(nodes.select(key, "node"), key)
+    asked = marks.select(key, "set_id", "piece", F.col("node").alias("root"),
+                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(LANES - 1).cast("bigint"))).alias("_lane"))
+    grid = nodes.select(key, "node", F.pmod(F.xxhash64("node"), F.lit(LANES)).alias("_lane")).join(asked, [key, "_lane"])
     return grid.join(reach, [key, "root", "node"], "left").select(
         key, "set_id", "piece", "node", F.coalesce(F.col("dist"), F.lit(far)).alias("dist"))
 
 
 # ---- propagation --------------------------------------------------------------
 
-def neighbor_sum(feats: DataFrame, edges: DataFrame, key: str = "g", eps: float = 0.0) -> DataFrame:
+@dataclass
+class Spread:
+    """Edges prepared for joins on ``src``: ``table`` has a lane for each edge
+    (0 but for those of hubs, which are spread by their ``dst``), ``hubs`` the
+    nodes with more than 1 / ``HUBS`` of all edges, so fewer than ``HUBS``."""
+    table: DataFrame
+    hubs: DataFrame
+    key: str
+
+    def with_source(self, feats: DataFrame, *cols: str) -> DataFrame:
+        """Edges joined with the rows of ``feats`` (key, node, ...) of their
+        source. A hub's rows go to all of its lanes."""
+        lanes = F.sequence(F.lit(0).cast("bigint"), F.lit(LANES - 1).cast("bigint"))
+        f = (feats.withColumnRenamed("node", "src").join(F.broadcast(self.hubs), [self.key, "src"], "left")
+             .withColumn("_lane", F.explode(F.when(F.col("_hub"), lanes).otherwise(F.array(F.lit(0).cast("bigint"))))).drop("_hub"))
+        return self.table.select(self.key, "src", "dst", "_lane", *cols).join(f, [self.key, "src", "_lane"])
+
+
+def spread(edges: DataFrame | Spread, key: str = "g") -> Spread:
+    """Write ``edges`` once, with hubs found by their share of all edges: a node
+    on a third of them does not gather in one task of the join. On the receiving
+    side sums are combined in each task before the shuffle."""
+    if isinstance(edges, Spread):
+        return edges
+    table = written(edges, "edges")
+    n = table.count()
+    degree = table.groupBy(key, "src").agg(F.count(F.lit(1)).alias("_n"))
+    hubs = written(degree.where(F.col("_n") * HUBS > n).select(key, "src", F.lit(True).alias("_hub")), "hubs")
+    lane = F.when(F.col("_hub"), F.pmod(F.xxhash64("dst"), F.lit(LANES))).otherwise(0)
+    return Spread(written(table.join(F.broadcast(hubs), [key, "src"], "left").withColumn("_lane", lane).drop("_hub"), "edges"), hubs, key)
+
+
+def neighbor_sum(feats: DataFrame, edges: DataFrame | Spread, key: str = "g", eps: float = 0.0) -> DataFrame:
     """GIN aggregate: (1 + eps) * h + sum of in-neighbour h, per dim.
     ``feats(key, node, dim, x)``, ``edges(key, src, dst)``."""
-    msg = edges.select(key, "src", "dst").join(
-        feats.withColumnRenamed("node", "src"), [key, "src"]).groupBy(key, F.col("dst").alias("node"), "dim").agg(
-        F.sum("x").alias("_agg"))
+    msg = spread(edges, key).with_source(feats).groupBy(key, F.col("dst").alias("node"), "dim").agg(F.sum("x").alias("_agg"))
     return feats.join(msg, [key, "node", "dim"], "left").select(
         key, "node", "dim", (F.lit(1.0 + eps) * F.col("x") + F.coalesce(F.col("_agg"), F.lit(0.0))).alias("x"))
 
 
-def neighbor_mean(feats: DataFrame, edges: DataFrame, key: str = "g", weight: str | None = None,
-                  with_parts: bool = False) -> DataFrame:
+def neighbor_mean(feats: DataFrame, edges: DataFrame | Spread, key: str = "g", weight: str | None = None) -> DataFrame:
     """Row-normalised D^-1 (A + I) X with optional edge weights (self weight 1)."""
     w = F.col(weight) if weight else F.lit(1.0)
-    e = edges.select(key, "src", "dst", w.alias("w"))
-    selfe = feats.select(key, F.col("node").alias("src"), F.col("node").alias("dst")).distinct().withColumn("w", F.lit(1.0))
-    e = e.unionByName(selfe)
-    j = e.join(feats.withColumnRenamed("node", "src"), [key, "src"])
-    out = j.groupBy(key, F.col("dst").alias("node"), "dim").agg(
-        F.sum(F.col("w") * F.col("x")).alias("wx_sum"), F.sum("w").alias("w_sum"))
-    out = out.withColumn("x", F.col("wx_sum") / F.col("w_sum"))
-    return out if with_parts else out.drop("wx_sum", "w_sum")
-
-
-def neighbor_symnorm(feats: DataFrame, edges: DataFrame, key: str = "g") -> DataFrame:
-    """GCN: D^-1/2 (A + I) D^-1/2 X with degrees counted with the self loop."""
-    selfe = feats.select(key, F.col("node").alias("src"), F.col("node").alias("dst")).distinct()
-    e = edges.select(key, "src", "dst").unionByName(selfe)
-    deg = e.groupBy(key, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_d"))
-    e = (e.join(deg.select(key, F.col("node").alias("src"), F.col("_d").alias("_ds")), [key, "src"])
-          .join(deg.select(key, F.col("node").alias("dst"), F.col("_d").alias("_dd")), [key, "dst"]))
-    j = e.join(feats.withColumnRenamed("node", "src"), [key, "src"])
-    return j.groupBy(key, F.col("dst").alias("node"), "dim").agg(
-        F.sum(F.col("x") / F.sqrt(F.col("_ds") * F.col("_dd"))).alias("x"))
-
-
-def edge_feature_sum(feats: DataFrame, edges: DataFrame, key: str = "g", edge_x: str = "ex") -> DataFrame:
+    msg = (spread(edges, key).with_source(feats, *([weight] if weight else []))
+           .groupBy(key, F.col("dst").alias("node"), "dim").agg(F.sum(w * F.col("x")).alias("_wx"), F.sum(w).alias("_w")))
+    return feats.join(msg, [key, "node", "dim"], "left").select(key, "node", "dim", (
+        (F.col("x") + F.coalesce("_wx", F.lit(0.0))) / (1.0 + F.coalesce("_w", F.lit(0.0)))).alias("x"))
+
+
+def neighbor_symnorm(feats: DataFrame, edges: DataFrame | Spread, key: str = "g") -> DataFrame:
+    """GCN: D^-1/2 (A + I) D^-1/2 X with degrees counted with the self loop.
+    Values are divided by the root of their own degree once, summed over the
+    edges, and divided by the receiver's."""
+    e = spread(edges, key)
+    degree = e.table.groupBy(key, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_n"))
+    own = F.sqrt(F.coalesce(F.col("_n"), F.lit(0)) + 1)
+    scaled = written(feats.join(degree, [key, "node"], "left").select(key, "node", "dim", (F.col("x") / own).alias("x"), own.alias("_root")),
+                     "scaled")
+    msg = e.with_source(scaled.drop("_root")).groupBy(key, F.col("dst").alias("node"), "dim").agg(F.sum("x").alias("_agg"))
+    return scaled.join(msg, [key, "node", "dim"], "left").select(
+        key, "node", "dim", ((F.col("x") + F.coalesce("_agg", F.lit(0.0))) / F.col("_root")).alias("x"))
+
+
+def edge_feature_sum(feats: DataFrame, edges: DataFrame | Spread, key: str = "g", edge_x: str = "ex") -> DataFrame:
     """GINE message: sum over in-edges of relu(h_src + e)."""
-    j = edges.select(key, "src", "dst", edge_x).join(feats.withColumnRenamed("node", "src"), [key, "src"])
-    return j.groupBy(key, F.col("dst").alias("node"), "dim").agg(
+    return spread(edges, key).with_source(feats, edge_x).groupBy(key, F.col("dst").alias("node"), "dim").agg(
         F.sum(F.greatest(F.col("x") + F.col(edge_x), F.lit(0.0))).alias("x"))
 
 
-def relation_mean(feats: DataFrame, edges: DataFrame, key: str = "g", rel: str = "rel",
+def relation_mean(feats: DataFrame, edges: DataFrame | Spread, key: str = "g", rel: str = "rel",
                   edge_x: str = "ex") -> DataFrame:
     """RGCN-style: per relation the mean of relu(x_src + x_edge), relation
     results summed per node."""
-    j = edges.select(key, "src", "dst", rel, edge_x).join(feats.withColumnRenamed("node", "src"), [key, "src"])
-    per = j.groupBy(key, F.col("dst").alias("node"), rel, "dim").agg(
+    per = spread(edges, key).with_source(feats, rel, edge_x).groupBy(key, F.col("dst").alias("node"), rel, "dim").agg(
         F.avg(F.greatest(F.col("x") + F.col(edge_x), F.lit(0.0))).alias("_m"))
     return per.groupBy(key, "node", "dim").agg(F.sum("_m").alias("x"))
 
 
-def edge_attention_parts(feats: DataFrame, edges: DataFrame, key: str = "g", rel: str = "rel",
-                         score: str = "score") -> DataFrame:
-    """Per (node, rel, dim): softmax numerator sum(exp(s - max) * x_src) and
-    denominator sum(exp(s - max)) over the in-edges of (node, rel). The max
-    is a group-by joined back (no window over a hub's edges)."""
-    e = edges.select(key, "src", "dst", rel, score)
-    mx = e.groupBy(key, "dst", rel).agg(F.max(score).alias("_mx"))
-    e = e.join(mx, [key, "dst", rel]).withColumn("_ex", F.exp(F.col(score) - F.col("_mx")))
-    j = e.join(feats.withColumnRenamed("node", "src"), [key, "src"])
-    return j.groupBy(key, F.col("dst").alias("node"), rel, "dim").agg(
-        F.sum(F.col("_ex") * F.col("x")).alias("att_num"), F.sum("_ex").alias("att_den"))
-
-
-def edge_attention(feats: DataFrame, edges: DataFrame, key: str = "g", rel: str = "rel",
+def edge_attention(feats: DataFrame, edges: DataFrame | Spread, key: str = "g", rel: str = "rel",
                    score: str = "score") -> DataFrame:
-    """Softmax of edge scores over the in-edges of each (dst, rel), weighted
-    sum of source features, summed over relations."""
-    parts = edge_attention_parts(feats, edges, key, rel, score)
-    return parts.groupBy(key, "node", "dim").agg(F.sum(F.col("att_num") / F.col("att_den")).alias("x"))
+    """Softmax of edge scores over the in-edges of each (dst, rel), weighted sum
+    of source features, summed over relations. The largest score of a group is
+    joined back to its edges (no window over a hub's edges), in lanes where the
+    group has more than 1 / ``HUBS`` of all edges."""
+    e = spread(edges, key)
+    most = written(e.table.groupBy(key, "dst", rel).agg(F.max(score).alias("_max"), F.count(F.lit(1)).alias("_n")), "scores")
+    n = e.table.count()
+    lanes = F.sequence(F.lit(0).cast("bigint"), F.lit(LANES - 1).cast("bigint"))
+    hot = F.col("_n") * HUBS > n
+    hubs = F.broadcast(most.where(hot).select(key, "dst", rel, F.lit(True).alias("_hot")))        # fewer than HUBS rows
+    most = most.select(key, "dst", rel, "_max", F.explode(F.when(hot, lanes).otherwise(F.array(F.lit(0).cast("bigint")))).alias("_to"))
+    to = F.when(F.col("_hot"), F.pmod(F.xxhash64("src"), F.lit(LANES))).otherwise(0)
+    weighed = (e.table.join(hubs, [key, "dst", rel], "left").withColumn("_to", to).join(most, [key, "dst", rel, "_to"])
+               .select(key, "src", "dst", "_lane", rel, F.exp(F.col(score) - F.col("_max")).alias("_ex")))
+    j = Spread(weighed, e.hubs, key).with_source(feats, rel, "_ex")
+    parts = j.groupBy(key, F.col("dst").alias("node"), rel, "dim").agg(
+        (F.sum(F.col("_ex") * F.col("x")) / F.sum("_ex")).alias("_x"))
+    return parts.groupBy(key, "node", "dim").agg(F.sum("_x").alias("x"))
 
 
 def combine_layers(layers: Sequence[DataFrame], how: str = "sum", key: str = "g") -> DataFrame:
@@ -276,13 +299,13 @@ def combine_layers(layers: Sequence[DataFrame], how: str = "sum", key: str = "g"
     raise ValueError(how)
 
 
-def virtual_node(feats: DataFrame, edges: DataFrame, rounds: int, key: str = "g") -> DataFrame:
+def virtual_node(feats: DataFrame, edges: DataFrame | Spread, rounds: int, key: str = "g") -> DataFrame:
     """Each round: h <- neighbor_sum(h + vn), vn <- vn + graph sum of h."""
-    h = feats
+    e, h = spread(edges, key), feats
     vn = feats.select(key, "dim").distinct().withColumn("vn", F.lit(0.0))
     for _ in range(rounds):
         hv = h.join(vn, [key, "dim"]).select(key, "node", "dim", (F.col("x") + F.col("vn")).alias("x"))
-        h = neighbor_sum(hv, edges, key)
+        h = written(neighbor_sum(hv, e, key), "round")
         gs = h.groupBy(key, "dim").agg(F.sum("x").alias("_s"))
         vn = vn.join(gs, [key, "dim"]).select(key, "dim", (F.col("vn") + F.col("_s")).alias("vn"))
     return h
@@ -303,31 +326,31 @@ def readout(feats: DataFrame, key: str = "g", how: str = "sum") -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, nodes: DataFrame, key: str = "g", max_rounds: int | None = None,
-                   undirected: bool = True) -> DataFrame:
+                   undirected: bool = True, max_nodes: int = ALL_PAIRS_NODES) -> DataFrame:
     """All reachable pairs with one shortest path each: among equal-length
     paths the lexicographically smallest node sequence is kept (``min`` over
-    arrays in the group-by). Returns ``(key, i, j, dist, path)``. Uses the
-    same level-exclusion rule as :func:`bfs_levels`."""
-    e = cut_lineage(edges.select(key, F.col("src").alias("j"), F.col("dst").alias("_nb")).distinct())
-    levels = [nodes.select(key, F.col("node").alias("i"), F.col("node").alias("j"),
-                           F.array(F.col("node")).alias("path"))]
+    arrays in the group-by). Returns ``(key, i, j, path, dist)``. Levels are
+    written and excluded as in :func:`frontiers`; a graph of more than
+    ``max_nodes`` nodes raises."""
+    check_graph_sizes(nodes, max_nodes, key)
+    spark, base = edges.sparkSession, scratch_path(edges.sparkSession, "paths")
+    e = written(edges.select(key, F.col("src").alias("j"), F.col("dst").alias("_nb")).distinct(), "edges")
+    start = nodes.select(key, F.col("node").alias("i"), F.col("node").alias("j"), F.array(F.col("node")).alias("path"))
+    schema = T.StructType([T.StructField(c.name, c.dataType) for c in start.schema])
+
+    def levels(first: int, last: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{base}/dist={h}" for h in range(first, last + 1)])
+
+    start.write.parquet(f"{base}/dist=0")
     for h in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
-        nxt = levels[-1].join(e, [key, "j"]).select(key, "i", F.col("_nb").alias("j"),
-                                                    F.concat("path", F.array("_nb")).alias("path"))
-        seen = levels[-2:] if undirected else levels
-        excl = seen[0].select(key, "i", "j")
-        for x in seen[1:]:
-            excl = excl.unionByName(x.select(key, "i", "j"))
-        new = nxt.join(excl, [key, "i", "j"], "left_anti").groupBy(key, "i", "j").agg(F.min("path").alias("path"))
-        new = cut_lineage(new)
-        if new.isEmpty():
+        nxt = levels(h - 1, h - 1).join(e, [key, "j"]).select(key, "i", F.col("_nb").alias("j"),
+                                                              F.concat("path", F.array("_nb")).alias("path"))
+        seen = levels(max(0, h - 2) if undirected else 0, h - 1).select(key, "i", "j")
+        new = nxt.join(seen, [key, "i", "j"], "left_anti").groupBy(key, "i", "j").agg(F.min("path").alias("path"))
+        new.write.parquet(f"{base}/dist={h}")
+        if levels(h, h).isEmpty():
             break
-        levels.append(new)
-    out = None
-    for h, lv in enumerate(levels):
-        t = lv.withColumn("dist", F.lit(h))
-        out = t if out is None else out.unionByName(t)
-    return out
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("dist", T.IntegerType())])).parquet(base)
 
 
 def path_edges(paths: DataFrame, edges: DataFrame, max_dist: int | None = None, key: str = "g", feat: str = "bond_order") -> DataFrame:

@@ -27,3 +27,18 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def r(expr: str, digits: int = DIGITS) -> str:
     """SQL twin of :func:`rounded` for one expression."""
     return f"round(CAST({expr} AS DOUBLE), {digits})"
+
+
+#: added before rounding where values may lie on a half, more than summation order can change
+NUDGE = 1e-9
+
+
+def rounded_off_halves(df: DataFrame, col: str, digits: int = DIGITS) -> DataFrame:
+    """:func:`rounded` for a column of means, whose exact value may be a half of
+    the last place: a small shift puts both engines on the same side."""
+    return df.withColumn(col, F.round(F.col(col) + F.lit(NUDGE), digits))
+
+
+def r_off_halves(expr: str, digits: int = DIGITS) -> str:
+    """SQL twin of :func:`rounded_off_halves`."""
+    return f"round(CAST({expr} AS DOUBLE) + {NUDGE}, {digits})"

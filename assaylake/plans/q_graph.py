@@ -10,13 +10,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32, sql_hash32
+from ..operators import distances as DI
 from ..operators import graph as G
 from ..operators import molecules as MO
 from ..operators.ranking import placed
 from ..operators.tokens import ELEMENTS_SQL
-from ..session import cut_lineage
+from ..session import written
 from ..sources import tables as S
-from .common import r, rounded
+from .common import r, r_off_halves, rounded, rounded_off_halves
 from .q_molecules import with_graph
 from .registry import query, with_ctes
 
@@ -28,8 +29,8 @@ def mol_nodes_edges(spark, sf):
     every graph operator reads them several times, so the structure parse
     runs once instead of once per reference."""
     atoms, bonds = MO.mol_graph(S.molecules(spark, sf), both_directions=True)
-    nodes = cut_lineage(atoms.select(K, F.col("atom").alias("node"), "symbol", "aromatic", "charge"))
-    edges = cut_lineage(bonds.select(K, "src", "dst", "bond_order"))
+    nodes = written(atoms.select(K, F.col("atom").alias("node"), "symbol", "aromatic", "charge"), "nodes")
+    edges = written(bonds.select(K, "src", "dst", "bond_order"), "edges")
     return nodes, edges
 
 
@@ -307,17 +308,13 @@ def q_neighbor_sum(spark, sf):
 
 
 @query("neighbor_mean", with_ctes(f"""
-SELECT node, dim, {r("sum(w * x)")} AS wx_sum, {r("sum(w)")} AS w_sum FROM (
+SELECT node, dim, {r_off_halves("sum(w * x) / sum(w)")} AS x FROM (
   SELECT e.dst AS node, f.dim, CAST(e.cnt AS DOUBLE) AS w, f.x FROM be e JOIN bf f ON e.src = f.node
   UNION ALL SELECT node, dim, 1.0 AS w, x FROM bf) t GROUP BY node, dim""", **BIP))
 def q_neighbor_mean(spark, sf):
-    """Weighted neighbour mean, reported as numerator and denominator
-    (their ratio is the mean; exact halves make a rounded ratio engine-
-    dependent)."""
     _, e, feats = bip(spark, sf)
     e = e.withColumn("w", F.col("cnt").cast("double"))
-    m = G.neighbor_mean(feats, e, key="g", weight="w", with_parts=True)
-    return rounded(m.select("node", "dim", "wx_sum", "w_sum"))
+    return rounded_off_halves(G.neighbor_mean(feats, e, key="g", weight="w").select("node", "dim", "x"), "x")
 
 
 @query("neighbor_symnorm", with_ctes(f"""
@@ -348,16 +345,14 @@ def q_relation_mean(spark, sf):
 
 
 @query("edge_attention", with_ctes(f"""
-SELECT e.dst AS node, e.rel, f.dim, {r("sum(exp(e.ex - m.mx) * f.x)")} AS att_num, {r("sum(exp(e.ex - m.mx))")} AS att_den
-FROM be e JOIN (SELECT dst, rel, max(ex) AS mx FROM be GROUP BY dst, rel) m ON e.dst = m.dst AND e.rel = m.rel
-JOIN bf f ON e.src = f.node GROUP BY e.dst, e.rel, f.dim""", **BIP))
+SELECT node, dim, {r_off_halves("sum(x)")} AS x FROM (
+  SELECT e.dst AS node, e.rel, f.dim, sum(exp(e.ex - m.mx) * f.x) / sum(exp(e.ex - m.mx)) AS x
+  FROM be e JOIN (SELECT dst, rel, max(ex) AS mx FROM be GROUP BY dst, rel) m ON e.dst = m.dst AND e.rel = m.rel
+  JOIN bf f ON e.src = f.node GROUP BY e.dst, e.rel, f.dim) t GROUP BY node, dim""", **BIP))
 def q_edge_attention(spark, sf):
-    """Attention reported per (node, relation, dim) as softmax numerator and
-    denominator: equal scores give exact halves, so a rounded ratio would be
-    engine-dependent; x = sum over relations of num / den."""
     _, e, feats = bip(spark, sf)
-    parts = G.edge_attention_parts(feats, e.withColumn("score", F.col("ex")), key="g")
-    return rounded(parts.select("node", "rel", "dim", "att_num", "att_den"))
+    out = G.edge_attention(feats, e.withColumn("score", F.col("ex")), key="g")
+    return rounded_off_halves(out.select("node", "dim", "x"), "x")
 
 
 # ---- molecule-graph propagation, readouts and per-graph aggregates -----------
@@ -389,15 +384,33 @@ FROM {src} f LEFT JOIN (SELECT e.mol_id, e.dst AS node, f2.dim, sum(f2.x) AS s F
   ON f.mol_id = m.mol_id AND f.node = m.node AND f.dim = m.dim"""
 
 
+def _layers(spark, sf):
+    nodes, edges = mol_nodes_edges(spark, sf)
+    e, f0 = G.spread(edges, K), written(mol_feats(nodes, edges), "features")
+    f1 = written(G.neighbor_sum(f0, e, key=K), "layer")
+    return [f0, f1, G.neighbor_sum(f1, e, key=K)]
+
+
+LAYERS = {"medges": MEDGES, "mf": MFEATS_SQL, "l1": _nsum_sql("mf"), "l2": _nsum_sql("l1")}
+
+
 @query("layer_combine", with_graph(f"""
 SELECT mol_id, node, dim, {r("sum(x)")} AS x FROM (SELECT * FROM mf UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) t
-GROUP BY mol_id, node, dim""", medges=MEDGES, mf=MFEATS_SQL, l1=_nsum_sql("mf"), l2=_nsum_sql("l1")))
+GROUP BY mol_id, node, dim""", **LAYERS))
 def q_layer_combine(spark, sf):
-    nodes, edges = mol_nodes_edges(spark, sf)
-    f0 = mol_feats(nodes, edges)
-    f1 = G.neighbor_sum(f0, edges, key=K)
-    f2 = G.neighbor_sum(f1, edges, key=K)
-    return rounded(G.combine_layers([f0, f1, f2], "sum", key=K))
+    return rounded(G.combine_layers(_layers(spark, sf), "sum", key=K))
+
+
+@query("layer_combine_last", with_graph(f"SELECT mol_id, node, dim, {r('x')} AS x FROM l2", **LAYERS))
+def q_layer_combine_last(spark, sf):
+    return rounded(G.combine_layers(_layers(spark, sf), "last", key=K))
+
+
+@query("layer_combine_concat", with_graph(f"""
+SELECT mol_id, node, dim, {r('x')} AS x FROM mf UNION ALL SELECT mol_id, node, dim + 3, {r('x')} FROM l1
+UNION ALL SELECT mol_id, node, dim + 6, {r('x')} FROM l2""", **LAYERS))
+def q_layer_combine_concat(spark, sf):
+    return rounded(G.combine_layers(_layers(spark, sf), "concat", key=K))
 
 
 @query("virtual_node", with_graph(f"""
@@ -490,14 +503,43 @@ def q_per_graph_error(spark, sf):
 @query("dataset_caps", with_graph("""
 SELECT CAST(least(max(n), 128) AS BIGINT) AS max_nodes, CAST(least(max(dist), 20) AS BIGINT) AS max_dist
 FROM (SELECT mol_id, count(*) AS n FROM gatoms GROUP BY mol_id) a,
-     (SELECT max(d) AS dist FROM (SELECT mol_id, root, node, min(d) AS d FROM walks GROUP BY mol_id, root, node) w) b""",
+     (SELECT max(coalesce(w.d, 510)) AS dist FROM mnodes i JOIN mnodes j ON i.mol_id = j.mol_id
+      LEFT JOIN (SELECT mol_id, root, node, min(d) AS d FROM walks GROUP BY mol_id, root, node) w
+        ON w.mol_id = i.mol_id AND w.root = i.node AND w.node = j.node) b""",
                                   mnodes=MNODES, medges=MEDGES, walks=_walk_sql(26)))
 def q_dataset_caps(spark, sf):
     nodes, edges = mol_nodes_edges(spark, sf)
     n = nodes.groupBy(K).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("mn"))
-    d = G.all_pairs(edges, nodes, key=K).agg(F.max("dist").alias("md"))
-    return n.crossJoin(d).select(F.least(F.col("mn"), F.lit(128)).cast("bigint").alias("max_nodes"),
-                                 F.least(F.col("md"), F.lit(20)).cast("bigint").alias("max_dist"))
+    d = DI.largest_distance(edges, nodes, key=K)
+    return n.crossJoin(F.broadcast(d)).select(F.least(F.col("mn"), F.lit(128)).cast("bigint").alias("max_nodes"),  # one row each
+                                              F.least(F.col("max_dist"), F.lit(20)).cast("bigint").alias("max_dist"))
+
+
+#: requested pairs: two marks of a graph, its first and last node, and a node that it does not have
+PAIRS_SQL = """
+SELECT DISTINCT a.mol_id, a.node AS i, b.node AS j FROM marks a JOIN marks b ON a.mol_id = b.mol_id AND a.set_id = b.set_id
+WHERE a.piece = 0 AND b.piece = 1
+UNION SELECT mol_id, 0, max(node) FROM mnodes GROUP BY mol_id
+UNION SELECT mol_id, 0, max(node) + 1 FROM mnodes GROUP BY mol_id"""
+
+
+@query("pair_distance", with_graph("""
+SELECT p.mol_id, p.i, p.j, CAST(coalesce(w.d, 510) AS INTEGER) AS dist,
+       CAST(CASE WHEN w.d <= 3 THEN w.d ELSE 9999 END AS INTEGER) AS capped
+FROM asked p LEFT JOIN (SELECT mol_id, root, node, min(d) AS d FROM walks GROUP BY mol_id, root, node) w
+  ON w.mol_id = p.mol_id AND w.root = p.i AND w.node = p.j""",
+                                   mnodes=MNODES, medges=MEDGES, marks=MARKS_SQL, asked=PAIRS_SQL, walks=_walk_sql(26)))
+def q_pair_distance(spark, sf):
+    nodes, edges = mol_nodes_edges(spark, sf)
+    m = _marks(spark, sf, nodes)
+    two = (m.where("piece = 0").select(K, "set_id", F.col("node").alias("i"))
+           .join(m.where("piece = 1").select(K, "set_id", F.col("node").alias("j")), [K, "set_id"]).drop("set_id"))
+    last = nodes.groupBy(K).agg(F.max("node").alias("m")).select(K, F.inline(F.array(
+        F.struct(F.lit(0).alias("i"), F.col("m").alias("j")), F.struct(F.lit(0).alias("i"), (F.col("m") + 1).alias("j")))))
+    asked = written(two.unionByName(last).distinct(), "asked")
+    far = DI.pair_distances(edges, asked, key=K, far=G.UNREACHABLE_APSP)
+    near = DI.pair_distances(edges, asked, key=K, limit=3, far=G.UNREACHABLE_CAPPED).withColumnRenamed("dist", "capped")
+    return far.join(near, [K, "i", "j"])
 
 
 COUNTS_SQL = "SELECT mol_id, count(*) AS cnt FROM gatoms GROUP BY mol_id"
