@@ -120,6 +120,20 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (), logits: str =
     )
 
 
+def focal_loss(df: DataFrame, logits: str = "logits", label: str = "label", gamma: float = 2.0,
+               alpha: Sequence[float] | None = None, reduction: str = "mean", by: Sequence[str] = ()) -> DataFrame:
+    """(1-p)^gamma * alpha_y * CE with p = exp(-CE) from the unweighted CE, as
+    ``focal``: the mean or the sum per ``by``, or every row's own value with
+    ``none`` (the rows' columns stay). A null label has a null loss, which the
+    mean and the sum leave out."""
+    ce = logsumexp(F.col(logits)) - F.element_at(logits, (F.col(label) + 1).cast("int"))
+    a = F.lit(1.0) if alpha is None else F.element_at(F.array(*[F.lit(float(v)) for v in alpha]), (F.col(label) + 1).cast("int"))
+    d = df.withColumn("focal", F.pow(F.lit(1.0) - F.exp(-ce), F.lit(gamma)) * a * ce)
+    if reduction == "none":
+        return d
+    return d.groupBy(*by).agg({"mean": F.avg, "sum": F.sum}[reduction]("focal").alias("focal"))
+
+
 def auroc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Binary AUROC with ties counted half (Mann-Whitney).
 
@@ -175,14 +189,18 @@ def mean_of_batch_means(df: DataFrame, batch: str = "batch", label: str = "targe
                    F.count(F.lit(1)).alias("n_batches"))
 
 
-def td_error(df: DataFrame, key: str, order: str, tie: Sequence[str], q: str, reward: str,
-             gamma: float = 0.99) -> DataFrame:
-    """Per entity sequence: target = reward + gamma * next q (0 at the end);
-    td_error = mean squared (q - target). ``order`` is numeric; the next row
-    is found by a keyed join on the sequence position (skew-safe lead)."""
-    d = sequence_shift(df, key, order, tie, [q], offset=1, suffix="_next")
-    nxt = F.coalesce(F.col(q + "_next"), F.lit(0.0))
-    d = d.withColumn("_target", F.col(reward) + F.lit(gamma) * nxt)
+def td_error(df: DataFrame, key: str, order: str, tie: Sequence[str], q: str, reward: str, state: str,
+             actions: DataFrame, gamma: float = 0.99) -> DataFrame:
+    """Per entity sequence: target = reward + gamma * the largest value of the
+    next state's actions (0 at the end, and for a state without actions);
+    td_error = mean squared (q - target). ``actions`` (state, action, q) holds
+    the values of all actions of a state. The maximum is taken per state, then
+    joined to the row before by its place in the sequence (skew-safe lead).
+    Rows with a null ``key`` are one sequence."""
+    best = actions.groupBy(F.col(state)).agg(F.max("q").alias("_best"))
+    d = df.join(best, state, "left")
+    d = sequence_shift(d, key, order, tie, ["_best"], offset=1, suffix="_next")
+    d = d.withColumn("_target", F.col(reward) + F.lit(gamma) * F.coalesce(F.col("_best_next"), F.lit(0.0)))
     return d.agg(F.avg(F.pow(F.col(q) - F.col("_target"), 2)).alias("td_error"),
                  F.avg("_target").alias("mean_target"))
 

@@ -1,71 +1,110 @@
-"""MLlib modelling surface (ML1-ML4): fingerprint bits -> feature vectors ->
-random forest / linear regression / persisted pipelines. Training runs
+"""MLlib modelling surface (ML1-ML4): fingerprint bits -> sparse vectors ->
+variance selection -> label scaling -> forest or linear model -> predictions in
+the label's own units, as one pipeline that can be saved. Training runs
 distributed in MLlib; nothing is collected except the fitted model."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VarianceThresholdSelector
-from pyspark.ml.functions import array_to_vector
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.feature import CountVectorizerModel, VarianceThresholdSelector
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .features import bit_variance_select
-
-
-def bit_index(kept_bits: DataFrame) -> DataFrame:
-    """Dense 0-based index for the kept bits (at most n_bits rows)."""
-    from pyspark.sql import Window
-    return kept_bits.select("bit").distinct().withColumn(
-        "slot", (F.row_number().over(Window.orderBy("bit")) - 1).cast("int"))
-
-
-def bits_to_vectors(rows: DataFrame, bits: DataFrame, index: DataFrame, width: int, key: str = "mol_id") -> DataFrame:
-    """(key, bit) on-bits -> (key, features) with 0/1 vectors of ``width``
-    slots; rows without any kept bit get the all-zero vector (policy 2)."""
-    # the index has at most n_bits rows (a bounded broadcast)
-    on = bits.join(F.broadcast(index), "bit").groupBy(key).agg(F.collect_set("slot").alias("_on"))
-    j = rows.join(on, key, "left").withColumn("_on", F.coalesce("_on", F.array().cast("array<int>")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(max(width, 1) - 1)),
-                        lambda i: F.when(F.array_contains("_on", i), 1.0).otherwise(0.0))
-    return j.withColumn("features", array_to_vector(dense)).drop("_on")
-
-
-def fingerprint_features(train: DataFrame, test: DataFrame, bits: DataFrame, threshold: float = 0.05,
-                         key: str = "mol_id"):
-    """Variance selection of fingerprint bits on train only (population
-    variance p(1-p) > threshold), then feature vectors for both sides."""
-    n_train = train.count()
-    kept = bit_variance_select(bits.join(train.select(key), key, "left_semi"), n_train, threshold)
-    idx = cut_lineage(bit_index(kept))
-    width = idx.count()
-    return (bits_to_vectors(train, bits, idx, width, key), bits_to_vectors(test, bits, idx, width, key), width)
-
-
-def rf_regression(train: DataFrame, test: DataFrame, label: str = "pic50", seed: int = 41,
-                  num_trees: int = 20) -> DataFrame:
-    rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="pred",
-                               numTrees=num_trees, seed=seed, maxDepth=8)
-    return rf.fit(train).transform(test)
-
-
-def linear_on_bits(train: DataFrame, test: DataFrame, label: str = "pic50") -> DataFrame:
-    lr = LinearRegression(featuresCol="features", labelCol=label, predictionCol="pred", regParam=0.01)
-    return lr.fit(train).transform(test)
-
-
-def fit_pipeline(train: DataFrame, label: str = "pic50", seed: int = 41) -> PipelineModel:
-    """Scaler + variance selector + forest, fitted on train only. (MLlib's
-    scaler uses the sample std; the long-form scalers use population std.)"""
-    stages = [
-        StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True),
-        VarianceThresholdSelector(featuresCol="scaled", outputCol="selected", varianceThreshold=0.0),
-        RandomForestRegressor(featuresCol="selected", labelCol=label, predictionCol="pred", numTrees=20,
-                              seed=seed, maxDepth=8),
-    ]
-    return Pipeline(stages=stages).fit(train)
+#: bits of a training table whose variance is not above this are left out
+BIT_VARIANCE = 0.05
+
+
+class _LabelParams(Params):
+    labelCol = Param(Params._dummy(), "labelCol", "label whose mean and deviation are used", TypeConverters.toString)
+    inputCol = Param(Params._dummy(), "inputCol", "column to scale", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "scaled column", TypeConverters.toString)
+    inverse = Param(Params._dummy(), "inverse", "from scaled to own units", TypeConverters.toBoolean)
+
+
+class LabelScaler(Estimator, _LabelParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Fits mean and population deviation of a label. The model writes
+    (input - mean) / std, or input * std + mean with ``inverse``. Null labels do
+    not count; a constant label has deviation 1; without labels mean 0 and 1."""
+
+    @keyword_only
+    def __init__(self, *, labelCol: str = "label", inputCol: str = "label", outputCol: str = "scaled", inverse: bool = False):
+        super().__init__()
+        self._set(labelCol=labelCol, inputCol=inputCol, outputCol=outputCol, inverse=inverse)
+
+    def _fit(self, dataset: DataFrame) -> LabelScalerModel:
+        row = dataset.agg(F.avg(self.getOrDefault("labelCol")).alias("m"), F.stddev_pop(self.getOrDefault("labelCol")).alias("s")).first()
+        return LabelScalerModel(mean=float(row["m"] or 0.0), std=float(row["s"] or 1.0), labelCol=self.getOrDefault("labelCol"),
+                                inputCol=self.getOrDefault("inputCol"), outputCol=self.getOrDefault("outputCol"),
+                                inverse=self.getOrDefault("inverse"))
+
+
+class LabelScalerModel(Model, _LabelParams, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted :class:`LabelScaler`. A table without the input column (new rows
+    have no label) passes through."""
+    mean = Param(Params._dummy(), "mean", "label mean", TypeConverters.toFloat)
+    std = Param(Params._dummy(), "std", "label deviation", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, mean: float = 0.0, std: float = 1.0, labelCol: str = "label", inputCol: str = "label",
+                 outputCol: str = "scaled", inverse: bool = False):
+        super().__init__()
+        self._set(mean=mean, std=std, labelCol=labelCol, inputCol=inputCol, outputCol=outputCol, inverse=inverse)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        mean, std, x = self.getOrDefault("mean"), self.getOrDefault("std"), self.getOrDefault("inputCol")
+        if x not in dataset.columns:
+            return dataset
+        out = F.col(x) * std + mean if self.getOrDefault("inverse") else (F.col(x) - mean) / std
+        return dataset.withColumn(self.getOrDefault("outputCol"), out)
+
+
+def bit_rows(rows: DataFrame, bits: DataFrame, key: str = "mol_id") -> DataFrame:
+    """``rows`` with ``bits``: the sorted on-bits of a molecule as strings (at
+    most the fingerprint's width); a molecule without any has none."""
+    on = bits.groupBy(key).agg(F.array_sort(F.collect_set("bit")).alias("_on"))
+    names = F.transform(F.coalesce("_on", F.array().cast("array<bigint>")), lambda b: b.cast("string"))
+    return rows.join(on, key, "left").withColumn("bits", names).drop("_on")
+
+
+def vectorizer(spark, n_bits: int) -> CountVectorizerModel:
+    """On-bits -> sparse 0/1 vector; slot i is bit i."""
+    return CountVectorizerModel.from_vocabulary([str(i) for i in range(n_bits)], "bits", "raw").setBinary(True)
+
+
+def potency_pipeline(spark, kind: str = "forest", n_bits: int = 2048, label: str = "pic50", seed: int = 41,
+                     num_trees: int = 20, threshold: float = BIT_VARIANCE) -> Pipeline:
+    """Vectors, selection on the raw bits' variance, label scaling, the model on
+    the scaled label, and its prediction back in the label's units (``pred``)."""
+    common = {"featuresCol": "features", "labelCol": "scaled_label", "predictionCol": "scaled_pred"}
+    model = (RandomForestRegressor(**common, numTrees=num_trees, seed=seed, maxDepth=8) if kind == "forest"
+             else LinearRegression(**common, regParam=0.01))
+    return Pipeline(stages=[
+        vectorizer(spark, n_bits),
+        VarianceThresholdSelector(featuresCol="raw", outputCol="features", varianceThreshold=threshold),
+        LabelScaler(labelCol=label, inputCol=label, outputCol="scaled_label"),
+        model,
+        LabelScaler(labelCol=label, inputCol="scaled_pred", outputCol="pred", inverse=True),
+    ])
+
+
+def kept_bits(model: PipelineModel) -> list[int]:
+    """The bits that the selector kept, in order."""
+    return list(model.stages[1].selectedFeatures)
+
+
+def label_stats(model: PipelineModel) -> tuple[float, float]:
+    """Mean and deviation of the training label."""
+    scaler = model.stages[2]
+    return scaler.getOrDefault("mean"), scaler.getOrDefault("std")
+
+
+def batch_predict(model: PipelineModel, rows: DataFrame, key: str = "mol_id") -> DataFrame:
+    """(key, pred) of a whole table of on-bits, labelled or not."""
+    return model.transform(rows).select(key, "pred")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

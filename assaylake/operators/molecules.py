@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.smiles import ATOM_RE, RING_RE, tokens as token_array
 from ..functions.vectors import let
 from ..session import spread
+from .subgraph import count_patterns
 from .tokens import atom_columns, join_elements
 
 BOND_RE = r"^[-=#$:/\\]$"
@@ -141,9 +142,9 @@ def mol_graph(df: DataFrame, key: str = "mol_id", col: str = "smiles",
 
 
 def symmetric(bonds: DataFrame, key: str = "mol_id") -> DataFrame:
-    rev = bonds.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"),
-                       *[c for c in bonds.columns if c not in (key, "src", "dst")])
-    return bonds.unionByName(rev)
+    """Both directions of every bond, emitted from its one row."""
+    back = {"src": F.col("dst").alias("src"), "dst": F.col("src").alias("dst")}
+    return bonds.select(F.inline(F.array(F.struct(*bonds.columns), F.struct(*[back.get(c, F.col(c)) for c in bonds.columns]))))
 
 
 def degree(atoms: DataFrame, bonds_both: DataFrame, key: str = "mol_id") -> DataFrame:
@@ -209,36 +210,10 @@ def concat_fingerprints(key: str, *blocks: tuple[DataFrame, int]) -> DataFrame:
 
 
 def fragment_counts(atoms: DataFrame, bonds_both: DataFrame, key: str = "mol_id") -> DataFrame:
-    """Counts of five fixed fragments from edge-table patterns:
-    carboxyl C(=O)O, terminal NH2 (neutral N, degree 1, single bond, not
-    aromatic), ammonium [NH4+], sulfonyl S(=O)(=O), and single C-O bonds
-    (each unordered bond once)."""
-    el = atoms.select(key, "atom", "symbol", "charge", "aromatic", "explicit_h", "token")
-    src = el.select(key, F.col("atom").alias("src"), F.col("symbol").alias("s_sym"))
-    dst = el.select(key, F.col("atom").alias("dst"), F.col("symbol").alias("d_sym"))
-    b = bonds_both.join(src, [key, "src"]).join(dst, [key, "dst"])
-    dbl_o = b.where((F.col("s_sym") == "C") & (F.col("d_sym") == "O") & (F.col("bond_order") == 2)).select(
-        key, F.col("src").alias("c"))
-    sgl_o = b.where((F.col("s_sym") == "C") & (F.col("d_sym") == "O") & (F.col("bond_order") == 1)).select(
-        key, F.col("src").alias("c"))
-    carboxyl = dbl_o.distinct().join(sgl_o.distinct(), [key, "c"]).groupBy(key).agg(
-        F.count(F.lit(1)).alias("carboxyl"))
-    deg = b.groupBy(key, F.col("src").alias("atom")).agg(F.count(F.lit(1)).alias("_deg"),
-                                                        F.max("bond_order").alias("_mo"))
-    nh2 = el.where((F.col("symbol") == "N") & (F.col("charge") == 0) & ~F.col("aromatic")).join(
-        deg, [key, "atom"]).where((F.col("_deg") == 1) & (F.col("_mo") == 1)).groupBy(key).agg(
-        F.count(F.lit(1)).alias("nh2"))
-    nh4 = el.where(F.col("token") == "[NH4+]").groupBy(key).agg(F.count(F.lit(1)).alias("nh4"))
-    sulf = b.where((F.col("s_sym") == "S") & (F.col("d_sym") == "O") & (F.col("bond_order") == 2)).groupBy(
-        key, "src").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").groupBy(key).agg(
-        F.count(F.lit(1)).alias("sulfonyl"))
-    co = b.where((F.col("s_sym") == "C") & (F.col("d_sym") == "O") & (F.col("bond_order") == 1)).groupBy(key).agg(
-        F.count(F.lit(1)).alias("c_o"))
-    out = atoms.select(key).distinct()
-    for part in (carboxyl, nh2, nh4, sulf, co):
-        out = out.join(part, key, "left")
-    return out.fillna(0).select(key, *[F.col(c).cast("bigint").alias(c)
-                                       for c in ("carboxyl", "nh2", "nh4", "sulfonyl", "c_o")])
+    """Matches of the five groups of :data:`subgraph.FRAGMENTS` per molecule:
+    carboxyl C(=O)O, primary amine, ammonium, charged sulfonate S(=O)(=O)[O-] and
+    single C-O bonds, each set of atoms once."""
+    return count_patterns(atoms, bonds_both, _valence(), key=key)
 
 
 def _idx(arr: Column) -> Column:
@@ -347,48 +322,3 @@ def add_hydrogens(atoms: DataFrame, bonds: DataFrame, key: str = "mol_id"):
     bonds_h = bonds.select(key, "src", "dst", "bond_order").unionByName(
         hs.select(key, "src", "dst", F.lit(1).alias("bond_order")))
     return atoms_h, bonds_h
-
-
-def fragment_counts_rows(df: DataFrame, key: str = "mol_id", col: str = "smiles") -> DataFrame:
-    """Row-local version of :func:`fragment_counts`: the five patterns are
-    evaluated on the molecule's own atom and bond arrays (no join)."""
-    def per_row(t):
-        def with_edges(acc):
-            return let(typed_edges(acc), lambda E: let(
-                F.concat(F.transform(E, lambda e: F.struct(e["src"].alias("a"), e["dst"].alias("b"),
-                                                           e["bond_order"].alias("o"))),
-                         F.transform(E, lambda e: F.struct(e["dst"].alias("a"), e["src"].alias("b"),
-                                                           e["bond_order"].alias("o")))),
-                lambda B: let(F.transform(F.filter(t, lambda x: x.rlike(ATOM_RE)), lambda tok: F.struct(
-                    atom_columns(tok)["symbol"].alias("s"), atom_columns(tok)["charge"].alias("c"),
-                    atom_columns(tok)["aromatic"].alias("ar"), tok.alias("tok"))),
-                    lambda A: _fragments(A, B))))
-        return let(_fold(t), with_edges)
-
-    d = spread(df.select(key, col), key).select(key, token_array(col).alias("_t"))
-    f = let(F.col("_t"), per_row)
-    return d.select(key, *[f[c].cast("bigint").alias(c) for c in ("carboxyl", "nh2", "nh4", "sulfonyl", "c_o")])
-
-
-def _fragments(A: Column, B: Column) -> Column:
-    def sym(i):
-        return F.element_at(A, i + 1)["s"]
-
-    def nbrs(i):
-        return F.filter(B, lambda e: e["a"] == i)
-
-    def count_atoms(pred):
-        return F.size(F.filter(_idx(A), pred))
-
-    carboxyl = count_atoms(lambda i: (sym(i) == "C")
-                           & F.exists(nbrs(i), lambda e: (sym(e["b"]) == "O") & (e["o"] == 2))
-                           & F.exists(nbrs(i), lambda e: (sym(e["b"]) == "O") & (e["o"] == 1)))
-    nh2 = count_atoms(lambda i: (sym(i) == "N") & (F.element_at(A, i + 1)["c"] == 0)
-                      & ~F.element_at(A, i + 1)["ar"] & (F.size(nbrs(i)) == 1)
-                      & F.forall(nbrs(i), lambda e: e["o"] == 1))
-    nh4 = F.size(F.filter(A, lambda a: a["tok"] == "[NH4+]"))
-    sulfonyl = count_atoms(lambda i: (sym(i) == "S") & (F.size(F.filter(
-        nbrs(i), lambda e: (sym(e["b"]) == "O") & (e["o"] == 2))) >= 2))
-    c_o = F.size(F.filter(B, lambda e: (sym(e["a"]) == "C") & (sym(e["b"]) == "O") & (e["o"] == 1)))
-    return F.struct(carboxyl.alias("carboxyl"), nh2.alias("nh2"), nh4.alias("nh4"),
-                    sulfonyl.alias("sulfonyl"), c_o.alias("c_o"))

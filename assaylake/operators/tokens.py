@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.smiles import tokens as smiles_token_array
+from .lookup import lookup
 from .ranking import placed
 
 # Element dimension (symbol, atomic number, standard atomic
-# weight, Pauling electronegativity or None) of the elements 1 to 54 and of
-# the heavier ones common in compounds.
+# weight or mass number, Pauling electronegativity or None), elements 1 to 118.
 ELEMENTS = [
     ("H", 1, 1.008, 2.20), ("He", 2, 4.0026, None), ("Li", 3, 6.94, 0.98), ("Be", 4, 9.0122, 1.57),
     ("B", 5, 10.81, 2.04), ("C", 6, 12.011, 2.55), ("N", 7, 14.007, 3.04), ("O", 8, 15.999, 3.44),
@@ -32,25 +32,61 @@ ELEMENTS = [
     ("Rh", 45, 102.906, 2.28), ("Pd", 46, 106.42, 2.20), ("Ag", 47, 107.868, 1.93), ("Cd", 48, 112.414, 1.69),
     ("In", 49, 114.818, 1.78), ("Sn", 50, 118.710, 1.96), ("Sb", 51, 121.760, 2.05), ("Te", 52, 127.60, 2.1),
     ("I", 53, 126.904, 2.66), ("Xe", 54, 131.293, 2.6), ("Cs", 55, 132.905, 0.79), ("Ba", 56, 137.327, 0.89),
-    ("Gd", 64, 157.25, 1.20), ("W", 74, 183.84, 2.36), ("Re", 75, 186.207, 1.9), ("Os", 76, 190.23, 2.2),
+    ("La", 57, 138.905, 1.10), ("Ce", 58, 140.116, 1.12), ("Pr", 59, 140.908, 1.13), ("Nd", 60, 144.242, 1.14),
+    ("Pm", 61, 145.0, None), ("Sm", 62, 150.36, 1.17), ("Eu", 63, 151.964, None), ("Gd", 64, 157.25, 1.20),
+    ("Tb", 65, 158.925, None), ("Dy", 66, 162.500, 1.22), ("Ho", 67, 164.930, 1.23), ("Er", 68, 167.259, 1.24),
+    ("Tm", 69, 168.934, 1.25), ("Yb", 70, 173.045, None), ("Lu", 71, 174.967, 1.27), ("Hf", 72, 178.486, 1.3),
+    ("Ta", 73, 180.948, 1.5), ("W", 74, 183.84, 2.36), ("Re", 75, 186.207, 1.9), ("Os", 76, 190.23, 2.2),
     ("Ir", 77, 192.217, 2.20), ("Pt", 78, 195.084, 2.28), ("Au", 79, 196.967, 2.54), ("Hg", 80, 200.592, 2.00),
-    ("Tl", 81, 204.38, 1.62), ("Pb", 82, 207.2, 2.33), ("Bi", 83, 208.980, 2.02),
+    ("Tl", 81, 204.38, 1.62), ("Pb", 82, 207.2, 2.33), ("Bi", 83, 208.980, 2.02), ("Po", 84, 209.0, 2.0),
+    ("At", 85, 210.0, 2.2), ("Rn", 86, 222.0, None), ("Fr", 87, 223.0, 0.7), ("Ra", 88, 226.0, 0.9),
+    ("Ac", 89, 227.0, 1.1), ("Th", 90, 232.038, 1.3), ("Pa", 91, 231.036, 1.5), ("U", 92, 238.029, 1.38),
+    ("Np", 93, 237.0, 1.36), ("Pu", 94, 244.0, 1.28), ("Am", 95, 243.0, 1.3), ("Cm", 96, 247.0, 1.3),
+    ("Bk", 97, 247.0, 1.3), ("Cf", 98, 251.0, 1.3), ("Es", 99, 252.0, 1.3), ("Fm", 100, 257.0, 1.3),
+    ("Md", 101, 258.0, 1.3), ("No", 102, 259.0, 1.3), ("Lr", 103, 262.0, None), ("Rf", 104, 267.0, None),
+    ("Db", 105, 268.0, None), ("Sg", 106, 269.0, None), ("Bh", 107, 270.0, None), ("Hs", 108, 269.0, None),
+    ("Mt", 109, 278.0, None), ("Ds", 110, 281.0, None), ("Rg", 111, 282.0, None), ("Cn", 112, 285.0, None),
+    ("Nh", 113, 286.0, None), ("Fl", 114, 289.0, None), ("Mc", 115, 290.0, None), ("Lv", 116, 293.0, None),
+    ("Ts", 117, 294.0, None), ("Og", 118, 294.0, None),
 ]
 
+#: last atomic number of each period
+PERIOD_ENDS = (2, 10, 18, 36, 54, 86, 118)
+
+
+def element_place(z: int) -> tuple[int, int | None, str, int | None]:
+    """(period, group, block, valence electrons) of an atomic number, by the
+    layout of the periodic table; f-block elements have no group."""
+    period = next(p for p, end in enumerate(PERIOD_ENDS, 1) if z <= end)
+    at, width = z - (0, *PERIOD_ENDS)[period - 1], PERIOD_ENDS[period - 1] - (0, *PERIOD_ENDS)[period - 1]
+    if width == 32 and 3 <= at <= 16:
+        return period, None, "f", None
+    group = at if at <= 2 and width > 2 or at == 1 else 18 - (width - at)
+    block = "s" if group <= 2 or z == 2 else "p" if group >= 13 else "d"
+    return period, group, block, 2 if z == 2 else group - 10 if group >= 13 else group
+
 
 def elements(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ELEMENTS, "symbol string, z int, weight double, electronegativity double")
+    """(symbol, z, weight, electronegativity, period, group_no, block,
+    valence_electrons, neutrons), one row an element; neutrons of the rounded weight."""
+    rows = [(s, z, w, e, *element_place(z), round(w) - z) for s, z, w, e in ELEMENTS]
+    return spark.createDataFrame(rows, "symbol string, z int, weight double, electronegativity double, period int, "
+                                       "group_no int, block string, valence_electrons int, neutrons int")
+
+
+def _sql_value(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
 
 
 ELEMENTS_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{s}', {z}, {w!r}, {'NULL' if e is None else e})" for s, z, w, e in ELEMENTS
-) + ") AS t(symbol, z, weight, electronegativity)"
+    "(" + ", ".join(map(_sql_value, (s, z, w, e, *element_place(z), round(w) - z))) + ")" for s, z, w, e in ELEMENTS
+) + ") AS t(symbol, z, weight, electronegativity, period, group_no, block, valence_electrons, neutrons)"
 
 
 def join_elements(atoms: DataFrame, elems: DataFrame) -> DataFrame:
     """``atoms`` with the element columns. Atoms of an unlisted element stay,
     with atomic number 0 and null properties. The element table is a fixed
-    literal of under 70 rows, so its broadcast is bounded."""
+    literal of 118 rows, so its broadcast is bounded."""
     return atoms.join(F.broadcast(elems), "symbol", "left").withColumn("z", F.coalesce("z", F.lit(0)))
 
 
@@ -91,9 +127,12 @@ def atom_columns(tok: Column) -> dict[str, Column]:
     }
 
 
-def token_descriptors(tokens: DataFrame, elems: DataFrame, key: str = "mol_id") -> DataFrame:
+def token_descriptors(tokens: DataFrame, elems: DataFrame, key: str = "mol_id", keys: DataFrame | None = None) -> DataFrame:
     """Descriptors exact from tokens: heavy atoms, N+O count, heteroatoms,
-    heavy-atom weight, aromatic atoms, formal charge sum, ring closures."""
+    heavy-atom weight, aromatic atoms, formal charge sum, ring closures.
+    ``unlisted_atoms`` counts those of elements that ``elems`` does not have;
+    their weight is missing from the sum. With ``keys`` every key of that table
+    has a row; one without tokens counts zero."""
     t = F.col("token")
     atoms = tokens.where(t.rlike(ATOM_TOKEN))
     ac = atom_columns(t)
@@ -107,10 +146,12 @@ def token_descriptors(tokens: DataFrame, elems: DataFrame, key: str = "mol_id")
         F.sum(F.when(heavy, F.col("weight")).otherwise(0.0)).alias("heavy_mol_wt"),
         F.count_if("aromatic").cast("bigint").alias("aromatic_atoms"),
         F.sum("charge").cast("bigint").alias("formal_charge"),
+        F.count_if(F.col("z") == 0).cast("bigint").alias("unlisted_atoms"),
     )
     rings = tokens.where(t.rlike(r"^(%[0-9]{2}|[0-9])$")).groupBy(key).agg(
         F.floor(F.count(F.lit(1)) / 2).cast("bigint").alias("ring_closures"))
-    return per_atom.join(rings, key, "left").fillna(0, ["ring_closures"])
+    have = (tokens if keys is None else keys).select(key).distinct()
+    return have.join(per_atom, key, "left").join(rings, key, "left").fillna(0)
 
 
 # ---- dictionaries ------------------------------------------------------------
@@ -137,6 +178,23 @@ def dictionary_encode(df: DataFrame, value: str, order: Sequence[str], start: in
     return out
 
 
+def encode_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """``triples`` (head, relation, tail, ...) with ``head_id``, ``relation_id``
+    and ``tail_id`` from the dictionaries (value, id); null where one has no id.
+    A frequent head, tail or relation is spread by :func:`lookup.lookup`."""
+    for c, d in (("head", entities), ("relation", relations), ("tail", entities)):
+        triples = lookup(triples, d.select(F.col("value").alias(c), F.col("id").alias(f"{c}_id")), c, "left")
+    return triples
+
+
+def decode_triples(encoded: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """The reverse maps: ``encoded`` (head_id, relation_id, tail_id, ...) with
+    the values of the ids."""
+    for c, d in (("head", entities), ("relation", relations), ("tail", entities)):
+        encoded = lookup(encoded, d.select(F.col("id").alias(f"{c}_id"), F.col("value").alias(c)), f"{c}_id", "left")
+    return encoded
+
+
 def char_vocab(df: DataFrame, col: str, extra: Sequence[str] = ()) -> DataFrame:
     """Sorted distinct characters (+ extra), index 0-based. The distinct
     alphabet is bounded by the character set, so one ordered pass is fine."""
@@ -162,14 +220,15 @@ def char_encode(df: DataFrame, key: str, col: str, charset: DataFrame, pad: Data
                       F.posexplode(F.split(F.col(col), "")).alias("pos", "ch")).where(F.col("ch") != "")
     chars = chars.crossJoin(F.broadcast(pad))  # one row
     slot = (F.col("pos") + F.col("pad") - F.col("_len")) if left else F.col("pos")
-    return chars.join(charset, "ch").select(key, slot.cast("bigint").alias("slot"), "char_id")
+    return lookup(chars, charset, "ch").select(key, slot.cast("bigint").alias("slot"), "char_id")
 
 
-def char_decode(codes: DataFrame, key: str, charset: DataFrame) -> DataFrame:
-    """Inverse of :func:`char_encode`: characters ordered by slot, joined."""
-    j = codes.join(charset, "char_id")
-    return j.groupBy(key).agg(F.array_join(F.transform(
+def char_decode(codes: DataFrame, key: str, charset: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Inverse of :func:`char_encode`: characters ordered by slot, joined. With
+    ``keys`` every key of that table has a row; one without codes was empty."""
+    out = lookup(codes, charset, "char_id").groupBy(key).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("slot", "ch"))), lambda x: x["ch"]), "").alias("decoded"))
+    return out if keys is None else keys.select(key).distinct().join(out, key, "left").fillna("", ["decoded"])
 
 
 def encode_pad(tokens: DataFrame, vocab: DataFrame, key: str, length: int | None = None, value: str = "token",
@@ -178,7 +237,7 @@ def encode_pad(tokens: DataFrame, vocab: DataFrame, key: str, length: int | None
     padded to ``length``, + attention mask. With ``keys`` every key of that
     table has a row; one without tokens is all padding."""
     t = tokens if length is None else tokens.where(F.col("pos") < length)
-    t = t.join(vocab, value, "left").withColumn("id", F.coalesce(F.col("id"), F.lit(unk)).cast("bigint"))
+    t = lookup(t, vocab, value, "left").withColumn("id", F.coalesce(F.col("id"), F.lit(unk)).cast("bigint"))
     g = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
     if keys is not None:
         g = keys.select(key).join(g, key, "left")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registry import QUERIES, load_all
+from .q_ml import potency_score
+from .registry import load_all
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     load_all()
-    return QUERIES["potency_fingerprint_score"](spark, sf_dir)
+    return potency_score(spark, sf_dir)

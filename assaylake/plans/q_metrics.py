@@ -91,6 +91,28 @@ def q_classification_metrics(spark, sf):
     return rounded(M.classification_metrics(S.class_scores(spark, sf)))
 
 
+FOCAL_SQL = """
+SELECT id, label, pow(1 - exp(-ce), 2.0) * ((label + 1) / 10.0) * ce AS focal
+FROM (SELECT id, label, list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))))
+               - logits[label + 1] AS ce FROM class_scores) t"""
+#: class weights 0.1, 0.2, ...
+ALPHA = [(k + 1) / 10.0 for k in range(10)]
+
+
+@query("focal_loss_rows", with_ctes(f"SELECT id, {r('focal')} AS focal FROM f", class_scores=S.CLASS_SCORES_SQL, f=FOCAL_SQL))
+def q_focal_loss_rows(spark, sf):
+    return rounded(M.focal_loss(S.class_scores(spark, sf), alpha=ALPHA, reduction="none").select("id", "focal"))
+
+
+@query("focal_loss_weighted", with_ctes(f"""
+SELECT label, {r('avg(focal)')} AS focal_mean, {r('sum(focal)')} AS focal_sum FROM f GROUP BY label""",
+                                        class_scores=S.CLASS_SCORES_SQL, f=FOCAL_SQL))
+def q_focal_loss_weighted(spark, sf):
+    c = S.class_scores(spark, sf)
+    mean, total = (M.focal_loss(c, alpha=ALPHA, reduction=how, by=["label"]).withColumnRenamed("focal", f"focal_{how}") for how in ("mean", "sum"))
+    return rounded(mean.join(total, "label"))
+
+
 @query("auroc", with_ctes(f"""
 SELECT {r("sum(pos * (neg_below + 0.5 * neg)) / (sum(pos) * sum(neg))")} AS auroc,
        CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg
@@ -144,24 +166,39 @@ def q_epoch_mean_of_batches(spark, sf):
     return rounded(M.mean_of_batch_means(p))
 
 
+# a state (event) has four actions; the event's own one is its id modulo 4
 EXPERIENCE_SQL = """
-SELECT user_id, ts, event_id, value / 100.0 AS q, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS reward
+SELECT user_id, ts, event_id, (event_id * (event_id % 4 + 3)) % 101 / 100.0 AS q,
+       CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS reward
 FROM events"""
+ACTIONS_SQL = "SELECT event_id, a AS action, (event_id * (a + 3)) % 101 / 100.0 AS q FROM events, generate_series(0, 3) AS g(a)"
+
+
+def _value(action):
+    return F.pmod(F.col("event_id") * (action + 3), F.lit(101)) / F.lit(100.0)
 
 
 def experience(spark, sf):
     ev = S.table(spark, sf, "events")
-    return ev.select("user_id", "ts", ntz_epoch_micros("ts").alias("ts_us"), "event_id",
-                     (F.col("value") / 100.0).alias("q"),
+    return ev.select("user_id", ntz_epoch_micros("ts").alias("ts_us"), "event_id",
+                     _value(F.pmod(F.col("event_id"), F.lit(4))).alias("q"),
                      F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("reward"))
 
 
+def action_values(spark, sf):
+    ev = S.table(spark, sf, "events").select("event_id")
+    return (ev.withColumn("action", F.explode(F.sequence(F.lit(0), F.lit(3))))
+            .withColumn("q", _value(F.col("action"))))
+
+
 @query("td_error", with_ctes(f"""
 SELECT {r("avg(pow(q - tgt, 2))")} AS td_error, {r("avg(tgt)")} AS mean_target
-FROM (SELECT q, reward + 0.9 * coalesce(lead(q) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0.0) AS tgt
-      FROM experience) t""", experience=EXPERIENCE_SQL))
+FROM (SELECT q, reward + 0.9 * coalesce(lead(best) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0.0) AS tgt
+      FROM (SELECT x.*, (SELECT max(a.q) FROM actions a WHERE a.event_id = x.event_id) AS best FROM experience x) e) t""",
+                             experience=EXPERIENCE_SQL, actions=ACTIONS_SQL))
 def q_td_error(spark, sf):
-    return rounded(M.td_error(experience(spark, sf), "user_id", "ts_us", ["event_id"], "q", "reward", gamma=0.9))
+    return rounded(M.td_error(experience(spark, sf), "user_id", "ts_us", ["event_id"], "q", "reward", "event_id",
+                              action_values(spark, sf), gamma=0.9))
 
 
 # per metric and fold: results of 5 folds of the predictions, then mean/std

@@ -146,27 +146,28 @@ def q_fingerprint_concat(spark, sf):
 @query("fragment_counts", with_graph("""
 SELECT m.mol_id,
   CAST(coalesce(cx.n, 0) AS BIGINT) AS carboxyl, CAST(coalesce(nh2.n, 0) AS BIGINT) AS nh2,
-  CAST(coalesce(nh4.n, 0) AS BIGINT) AS nh4, CAST(coalesce(su.n, 0) AS BIGINT) AS sulfonyl,
+  CAST(coalesce(nh4.n, 0) AS BIGINT) AS nh4, CAST(coalesce(su.n, 0) AS BIGINT) AS sulfonic,
   CAST(coalesce(co.n, 0) AS BIGINT) AS c_o
 FROM (SELECT DISTINCT mol_id FROM gatoms) m
-LEFT JOIN (SELECT d.mol_id, count(*) AS n FROM
-             (SELECT DISTINCT mol_id, src FROM eb WHERE ss = 'C' AND ds = 'O' AND bond_order = 2) d
-             JOIN (SELECT DISTINCT mol_id, src FROM eb WHERE ss = 'C' AND ds = 'O' AND bond_order = 1) s
-             ON d.mol_id = s.mol_id AND d.src = s.src GROUP BY d.mol_id) cx ON m.mol_id = cx.mol_id
+LEFT JOIN (SELECT mol_id, sum(n2 * n1) AS n FROM
+             (SELECT mol_id, src, count(*) FILTER (WHERE bond_order = 2) AS n2, count(*) FILTER (WHERE bond_order = 1) AS n1
+              FROM eb WHERE ss = 'C' AND ds = 'O' GROUP BY mol_id, src) c GROUP BY mol_id) cx ON m.mol_id = cx.mol_id
 LEFT JOIN (SELECT g.mol_id, count(*) AS n FROM gatoms g JOIN
              (SELECT mol_id, src, count(*) AS dg, max(bond_order) AS mo FROM eb GROUP BY mol_id, src) x
              ON g.mol_id = x.mol_id AND g.atom = x.src
            WHERE g.symbol = 'N' AND g.charge = 0 AND NOT g.aromatic AND x.dg = 1 AND x.mo = 1
            GROUP BY g.mol_id) nh2 ON m.mol_id = nh2.mol_id
 LEFT JOIN (SELECT mol_id, count(*) AS n FROM gatoms WHERE token = '[NH4+]' GROUP BY mol_id) nh4 ON m.mol_id = nh4.mol_id
-LEFT JOIN (SELECT mol_id, count(*) AS n FROM (SELECT mol_id, src FROM eb WHERE ss = 'S' AND ds = 'O' AND bond_order = 2
-           GROUP BY mol_id, src HAVING count(*) >= 2) q GROUP BY mol_id) su ON m.mol_id = su.mol_id
+LEFT JOIN (SELECT mol_id, sum(n2 * (n2 - 1) // 2 * n1) AS n FROM
+             (SELECT mol_id, src, count(*) FILTER (WHERE bond_order = 2) AS n2,
+                     count(*) FILTER (WHERE bond_order = 1 AND dc = -1) AS n1
+              FROM eb WHERE ss = 'S' AND ds = 'O' GROUP BY mol_id, src) q GROUP BY mol_id) su ON m.mol_id = su.mol_id
 LEFT JOIN (SELECT mol_id, count(*) AS n FROM eb WHERE ss = 'C' AND ds = 'O' AND bond_order = 1 GROUP BY mol_id) co
   ON m.mol_id = co.mol_id""", eb="""
-SELECT b.mol_id, b.src, b.dst, b.bond_order, s.symbol AS ss, d.symbol AS ds FROM bonds2 b
+SELECT b.mol_id, b.src, b.dst, b.bond_order, s.symbol AS ss, d.symbol AS ds, d.charge AS dc FROM bonds2 b
 JOIN gatoms s ON b.mol_id = s.mol_id AND b.src = s.atom JOIN gatoms d ON b.mol_id = d.mol_id AND b.dst = d.atom"""))
 def q_fragment_counts(spark, sf):
-    return MO.fragment_counts_rows(S.molecules(spark, sf))
+    return MO.fragment_counts(*mol_graph(spark, sf, both=True))
 
 
 @query("element_one_hot_matrix", with_graph("""

@@ -26,16 +26,9 @@ def q_stream_bounded_buffer(spark, sf):
     src = _source(spark, sf)
     out = scratch_path(spark, "buffer_out")
     stream = J.stream_bounded_buffer(J.events_stream(spark, src), capacity=3)
-
-    def sink(batch_df, batch_id):
-        batch_df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
-
-    J.run_available(stream.writeStream.outputMode("update").foreachBatch(sink), scratch_path(spark, "buffer_ckpt"))
-    emitted = spark.read.parquet(out)
+    J.run_available(stream.writeStream.outputMode("update").foreachBatch(J.replace_batch(out)), scratch_path(spark, "buffer_ckpt"))
     # the buffer of a key is its rows from the last batch that touched it
-    last = emitted.groupBy("user_id").agg(F.max("batch_id").alias("batch_id"))
-    cur = emitted.join(last, ["user_id", "batch_id"])
-    return cur.select("user_id", "event_id", F.round("value", 6).alias("value"))
+    return J.latest_batches(spark, out, "user_id").select("user_id", "event_id", F.round("value", 6).alias("value"))
 
 
 @query("stream_metric_epoch", """

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.smiles import sql_tokens
 from ..operators import tokens as TK
+from ..operators.lookup import lookup
+from ..session import written
 from ..sources import tables as S
 from .common import r, rounded
 from .registry import query, with_ctes
@@ -73,32 +76,36 @@ FROM (SELECT *, CASE WHEN starts_with(token, '[') THEN regexp_extract(token, '^\
 
 
 @query("token_descriptors", with_ctes(f"""
-SELECT d.mol_id, heavy_atoms, no_count, hetero_atoms, {r('heavy_mol_wt')} AS heavy_mol_wt, aromatic_atoms,
-       formal_charge, CAST(coalesce(rc.ring_closures, 0) AS BIGINT) AS ring_closures
-FROM (SELECT a.mol_id,
+SELECT m.mol_id, coalesce(heavy_atoms, 0) AS heavy_atoms, coalesce(no_count, 0) AS no_count,
+       coalesce(hetero_atoms, 0) AS hetero_atoms, {r('coalesce(heavy_mol_wt, 0)')} AS heavy_mol_wt,
+       coalesce(aromatic_atoms, 0) AS aromatic_atoms, coalesce(formal_charge, 0) AS formal_charge,
+       coalesce(unlisted_atoms, 0) AS unlisted_atoms, CAST(coalesce(rc.ring_closures, 0) AS BIGINT) AS ring_closures
+FROM molecules m LEFT JOIN (SELECT a.mol_id,
         CAST(count(*) FILTER (WHERE a.symbol <> 'H') AS BIGINT) AS heavy_atoms,
         CAST(count(*) FILTER (WHERE a.symbol IN ('N', 'O')) AS BIGINT) AS no_count,
         CAST(count(*) FILTER (WHERE a.symbol NOT IN ('C', 'H')) AS BIGINT) AS hetero_atoms,
         sum(CASE WHEN a.symbol <> 'H' THEN e.weight ELSE 0.0 END) AS heavy_mol_wt,
         CAST(count(*) FILTER (WHERE aromatic) AS BIGINT) AS aromatic_atoms,
-        CAST(sum(charge) AS BIGINT) AS formal_charge
-      FROM atoms a LEFT JOIN elems e ON a.symbol = e.symbol GROUP BY a.mol_id) d
+        CAST(sum(charge) AS BIGINT) AS formal_charge,
+        CAST(count(*) FILTER (WHERE e.z IS NULL) AS BIGINT) AS unlisted_atoms
+      FROM atoms a LEFT JOIN elems e ON a.symbol = e.symbol GROUP BY a.mol_id) d ON m.mol_id = d.mol_id
 LEFT JOIN (SELECT mol_id, CAST(floor(count(*) / 2) AS BIGINT) AS ring_closures FROM toks
-           WHERE regexp_matches(token, '^(%[0-9]{{2}}|[0-9])$') GROUP BY mol_id) rc ON d.mol_id = rc.mol_id""",
+           WHERE regexp_matches(token, '^(%[0-9]{{2}}|[0-9])$') GROUP BY mol_id) rc ON m.mol_id = rc.mol_id""",
                                        **TOK, atoms=ATOMS_SQL, elems=TK.ELEMENTS_SQL))
 def q_token_descriptors(spark, sf):
-    return rounded(TK.token_descriptors(mol_tokens(spark, sf), TK.elements(spark)))
+    return rounded(TK.token_descriptors(mol_tokens(spark, sf), TK.elements(spark), keys=S.molecules(spark, sf)))
 
 
 @query("element_dimension", with_ctes(f"""
-SELECT a.symbol, coalesce(e.z, 0) AS z, {r('e.weight')} AS weight, {r('e.electronegativity')} AS electronegativity, count(*) AS n_atoms
-FROM atoms a LEFT JOIN elems e ON a.symbol = e.symbol GROUP BY a.symbol, e.z, e.weight, e.electronegativity""",
+SELECT a.symbol, coalesce(e.z, 0) AS z, {r('e.weight')} AS weight, {r('e.electronegativity')} AS electronegativity,
+       e.period, e.group_no, e.block, e.valence_electrons, e.neutrons, count(*) AS n_atoms
+FROM atoms a LEFT JOIN elems e ON a.symbol = e.symbol GROUP BY ALL""",
                                        **TOK, atoms=ATOMS_SQL, elems=TK.ELEMENTS_SQL))
 def q_element_dimension(spark, sf):
     t = mol_tokens(spark, sf).where(F.col("token").rlike(TK.ATOM_TOKEN))
     a = t.select(TK.atom_columns(F.col("token"))["symbol"].alias("symbol"))
     j = TK.join_elements(a, TK.elements(spark))
-    return rounded(j.groupBy("symbol", "z", "weight", "electronegativity").agg(F.count(F.lit(1)).alias("n_atoms")))
+    return rounded(j.groupBy("symbol", *TK.elements(spark).columns[1:]).agg(F.count(F.lit(1)).alias("n_atoms")))
 
 
 CHARSET_SQL = """
@@ -141,11 +148,12 @@ def q_char_one_hot(spark, sf):
 
 
 @query("char_decode", with_ctes("""
-SELECT mol_id, string_agg(c.ch, '' ORDER BY slot) AS decoded FROM codes JOIN charset c ON codes.char_id = c.char_id
-GROUP BY mol_id""", **MOL, charset=CHARSET_SQL, pad=PAD_SQL, codes=CODES_SQL))
+SELECT m.mol_id, coalesce(d.decoded, '') AS decoded FROM molecules m LEFT JOIN (
+  SELECT mol_id, string_agg(c.ch, '' ORDER BY slot) AS decoded FROM codes JOIN charset c ON codes.char_id = c.char_id
+  GROUP BY mol_id) d ON m.mol_id = d.mol_id""", **MOL, charset=CHARSET_SQL, pad=PAD_SQL, codes=CODES_SQL))
 def q_char_decode(spark, sf):
     codes, cs = _codes(spark, sf)
-    return TK.char_decode(codes, "mol_id", cs)
+    return TK.char_decode(codes, "mol_id", cs, keys=S.molecules(spark, sf))
 
 
 @query("augment_replicate", with_ctes(f"""
@@ -165,7 +173,7 @@ FROM (SELECT t.mol_id, t.pos, v.id FROM toks t JOIN vocab v ON t.token = v.token
 WINDOW w AS (PARTITION BY mol_id ORDER BY pos)""", **TOK, vocab=VOCAB_SQL))
 def q_context_window(spark, sf):
     t = mol_tokens(spark, sf)
-    ids = t.join(mol_vocab(t), "token").select("mol_id", "pos", "id")
+    ids = lookup(t, mol_vocab(t), "token").select("mol_id", "pos", "id")
     cw = TK.context_window(ids, "mol_id", "pos", "id", k=5)
     return cw.select("mol_id", "pos", F.array_join("context", ",").alias("context"))
 
@@ -213,22 +221,59 @@ SELECT head, relation, tail,
 FROM ({S.TRIPLES_SQL}) t"""
 
 
-@query("dictionary_encode", with_ctes("""
-SELECT 'entity' AS kind, value, CAST(row_number() OVER (ORDER BY f, l, s, value) - 1 AS BIGINT) AS id
+ENTITY_IDS_SQL = """
+SELECT value, CAST(row_number() OVER (ORDER BY f, l, s, value) - 1 AS BIGINT) AS id
 FROM (SELECT value, arg_min(file_no, (file_no, line, side)) AS f, arg_min(line, (file_no, line, side)) AS l,
              arg_min(side, (file_no, line, side)) AS s
       FROM (SELECT head AS value, file_no, line, 0 AS side FROM tp UNION ALL
-            SELECT tail AS value, file_no, line, 1 AS side FROM tp) e GROUP BY value) x
-UNION ALL
-SELECT 'relation' AS kind, value, CAST(row_number() OVER (ORDER BY f, l, value) - 1 AS BIGINT) AS id
+            SELECT tail AS value, file_no, line, 1 AS side FROM tp) e GROUP BY value) x"""
+RELATION_IDS_SQL = """
+SELECT value, CAST(row_number() OVER (ORDER BY f, l, value) - 1 AS BIGINT) AS id
 FROM (SELECT relation AS value, arg_min(file_no, (file_no, line)) AS f, arg_min(line, (file_no, line)) AS l
-      FROM tp GROUP BY relation) y""", tp=TRIPLE_POS_SQL))
-def q_dictionary_encode(spark, sf):
-    t = S.triples(spark, sf).withColumn(
+      FROM tp GROUP BY relation) y"""
+
+
+def numbered_triples(spark, sf):
+    return S.triples(spark, sf).withColumn(
         "file_no", F.when(F.col("file") == "train", 0).when(F.col("file") == "valid", 1).otherwise(2))
-    ents = t.select(F.col("head").alias("value"), "file_no", "line", F.lit(0).alias("side")).unionByName(
-        t.select(F.col("tail").alias("value"), "file_no", "line", F.lit(1).alias("side")))
-    e = TK.dictionary_encode(ents, "value", ["file_no", "line", "side"]).withColumn("kind", F.lit("entity"))
-    rel = TK.dictionary_encode(t.select(F.col("relation").alias("value"), "file_no", "line"), "value",
-                               ["file_no", "line"]).withColumn("kind", F.lit("relation"))
-    return e.unionByName(rel).select("kind", "value", "id")
+
+
+def entity_ids(t):
+    ends = F.inline(F.array(F.struct(F.col("head").alias("value"), "file_no", "line", F.lit(0).alias("side")),
+                            F.struct(F.col("tail").alias("value"), "file_no", "line", F.lit(1).alias("side"))))
+    return TK.dictionary_encode(t.select(ends), "value", ["file_no", "line", "side"])
+
+
+@query("dictionary_encode", with_ctes("""
+SELECT 'entity' AS kind, value, id FROM ents UNION ALL SELECT 'relation' AS kind, value, id FROM rels""",
+                                      tp=TRIPLE_POS_SQL, ents=ENTITY_IDS_SQL, rels=RELATION_IDS_SQL))
+def q_dictionary_encode(spark, sf):
+    t = numbered_triples(spark, sf)
+    rel = TK.dictionary_encode(t.select(F.col("relation").alias("value"), "file_no", "line"), "value", ["file_no", "line"])
+    return entity_ids(t).withColumn("kind", F.lit("entity")).unionByName(rel.withColumn("kind", F.lit("relation"))).select("kind", "value", "id")
+
+
+# a preset relation dictionary: the relations of the test file, in reversed alphabetical order
+PRESET_SQL = """
+SELECT relation AS value, CAST(row_number() OVER (ORDER BY relation DESC) - 1 AS BIGINT) AS id
+FROM (SELECT DISTINCT relation FROM tp WHERE file_no = 2) d"""
+
+
+@query("encoded_triples", with_ctes("""
+SELECT file_no, line, h.id AS head_id, r.id AS relation_id, e.id AS tail_id, tp.head, tp.relation, tp.tail
+FROM tp JOIN ents h ON tp.head = h.value JOIN ents e ON tp.tail = e.value JOIN rels r ON tp.relation = r.value""",
+                                    tp=TRIPLE_POS_SQL, ents=ENTITY_IDS_SQL, preset=PRESET_SQL, rels="""
+SELECT value, id FROM preset UNION ALL
+SELECT value, CAST((SELECT coalesce(max(id) + 1, 0) FROM preset) + row_number() OVER (ORDER BY f, l, value) - 1 AS BIGINT) AS id
+FROM (SELECT relation AS value, arg_min(file_no, (file_no, line)) AS f, arg_min(line, (file_no, line)) AS l
+      FROM tp WHERE relation NOT IN (SELECT value FROM preset) GROUP BY relation) y"""))
+def q_encoded_triples(spark, sf):
+    """Triples as ids, and their values read back by the reverse maps."""
+    t = numbered_triples(spark, sf).select("file_no", "line", "head", "relation", "tail")
+    names = t.where("file_no = 2").select(F.col("relation").alias("value")).distinct()
+    preset = names.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("value"))) - 1).cast("bigint"))  # one row a relation
+    rel = written(TK.dictionary_encode(t.select(F.col("relation").alias("value"), "file_no", "line"), "value", ["file_no", "line"],
+                                       preset=preset), "relations")
+    ent = written(entity_ids(t), "entities")
+    ids = TK.encode_triples(t, ent, rel).drop("head", "relation", "tail")
+    return TK.decode_triples(ids, ent, rel).select("file_no", "line", "head_id", "relation_id", "tail_id", "head", "relation", "tail")

@@ -62,6 +62,23 @@ def stream_metric(stream: DataFrame, window: str = "1 day", watermark: str = "1
     return s.groupBy(F.window("ts", window)).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
 
 
+def replace_batch(out: str):
+    """A ``foreachBatch`` sink that writes every micro-batch to its own part of
+    ``out``, over whatever is there: a batch that is played again after a
+    failure replaces its first writing."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    return sink
+
+
+def latest_batches(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """The rows of each key from the last batch that has it (null is a key)."""
+    emitted = spark.read.parquet(out)
+    last = emitted.groupBy(F.col(key).alias("_key")).agg(F.max("batch_id").alias("_last"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("batch_id") == F.col("_last"))
+    return emitted.join(last, same).drop("_key", "_last")
+
+
 def events_stream(spark: SparkSession, src_dir: str) -> DataFrame:
     schema = spark.read.parquet(src_dir).schema
     return spark.readStream.schema(schema).parquet(src_dir)
