@@ -21,9 +21,8 @@ landmarks. Positives and negatives are also learned with inserted characters.
 A text's highest margins go through a logistic curve, fitted on texts held back
 from the machine and weighted to the labels' true shares. For scoring, map and machine are one weight a landmark.
 
-Statistics of units come from all labelled texts where learning is allowed. The
-machine learns from about ``TRAIN_ROWS`` of them a label (those under a bound on
-the id's hash): a documented bound for fitting only.
+Landmarks and machine are learned from about ``TRAIN_ROWS`` labelled texts a label
+(those whose id's hash is under a bound): a documented bound for fitting only.
 
 Cases: null and empty texts have no unit and get the score of a unit without any
 triple; a long unit is taken in overlapping pieces, a long text whole; labels that
@@ -50,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .frames import drop_written, written
 
-SPAN = 7
+SPAN = 5
 DECAY = 0.6
 #: the kernel is this power of the shared triples' share, which keeps chance likeness low
 POWER = 3
@@ -61,7 +60,7 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS, HARD_LANDMARKS = 64, 32, 48
 CANDIDATES = 600
 #: a kernel value that two landmarks do not reach
 APART = 0.35
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 4000
 #: units a training text sends to the machine
 WITNESSES = 24
 #: passes over the training texts, and rounds of the machine in each
@@ -325,19 +324,20 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, doc_id: str = "doc_
     known = (labels.where(allowed & F.col(label).isNotNull() & F.col(doc_id).isNotNull())
              .groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("y2"))
              .where("y = y2 and y in (0, 1)").select("id", F.col("y").cast("int").alias("y")))
+    # about train_rows ids a label, by a bound on the id's hash: few enough to be broadcast
+    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    share = {y: min(1.0, train_rows / c) for y, c in n.items()}
+    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
+    taken = known.where(place < F.when(F.col("y") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = written(rows.join(known, "id"), "toxicity-labelled")
-    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    if len(n) < 2:
-        return Machine([], np.zeros(0), 0.0, constant=float(next(iter(n), 0.5)))
-    toxic, clean = choose_landmarks(written(_unit_counts(rows), "toxicity-units"), n[1], n[0])
+    rows = rows.join(F.broadcast(taken), "id").withColumn("back", F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
+    sample = written(rows, "toxicity-sample")
+    seen_of = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(seen_of) < 2:
+        return Machine([], np.zeros(0), 0.0, constant=float(next(iter(n), 0.5)) if len(n) < 2 else n[1] / (n[0] + n[1]))
+    toxic, clean = choose_landmarks(written(_unit_counts(sample), "toxicity-units"), seen_of[1], seen_of[0])
     if not toxic:
         return Machine([], np.zeros(0), 0.0, constant=n[1] / (n[0] + n[1]))
-    # about train_rows texts a label, by a bound on the id's hash
-    share = F.create_map(*[F.lit(v) for y in (0, 1) for v in (y, min(1.0, train_rows / n[y]))])
-    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
-    sample = written(rows.where(place < share[F.col("y")]).withColumn("back", F.pmod(F.xxhash64("id"), F.lit(5)) == 0), "toxicity-sample")
-
     def worst(machine: Machine) -> list[tuple[int, bool, list[tuple[str, float]]]]:
         """(label, held back, highest units with margins) of the sample's texts."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +370,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, doc_id: str = "doc_
     # the sample has more toxic texts than the labels do
     true = np.where(y > 0, n[1] / max(y.sum(), 1), n[0] / max(len(y) - y.sum(), 1))
     machine.curve = _logistic(x, y, true / true.mean())
-    drop_written(rows, sample)
+    drop_written(sample)
     return machine
 
 
