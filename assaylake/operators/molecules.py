@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.smiles import ATOM_RE, RING_RE, tokens as token_array
 from ..functions.vectors import let
-from ..session import spread
+from ..session import spread, written
 from .subgraph import count_patterns
 from .tokens import atom_columns, join_elements
 
@@ -129,6 +129,8 @@ def mol_graph(df: DataFrame, key: str = "mol_id", col: str = "smiles",
     toks = spread(df.select(key, col), key).select(key, token_array(col).alias("_t"))
     parsed = toks.select(key, "_t", let(_fold(F.col("_t")), lambda acc: F.struct(
         typed_edges(acc).alias("edges"))).alias("_acc"))
+    # atoms and bonds come from the same parse
+    parsed = written(parsed, "parsed")
     atoms = parsed.select(key, F.posexplode(F.filter("_t", lambda t: t.rlike(ATOM_RE))).alias("atom", "token"))
     ac = atom_columns(F.col("token"))
     atoms = atoms.select(key, F.col("atom").cast("int").alias("atom"), "token", *[v.alias(k) for k, v in ac.items()])
