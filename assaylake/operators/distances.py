@@ -61,12 +61,13 @@ def largest_distance(edges: DataFrame, nodes: DataFrame, key: str = "g", far: in
     same graph, over all (undirected) graphs; ``far`` if two nodes of a graph
     are not connected, null without nodes.
 
-    Every node's largest distance lies between bounds. A round searches from
-    one node of each graph that may still hold the answer: a node at distance d
-    of a root with largest distance r has one of at least max(d, r - d) and at
-    most r + d. Nodes whose upper bound does not pass the best lower bound of
-    all graphs are out; a few roots a graph close the rest. Rounds write one row
-    a node; the driver reads the best bound and whether a graph is disconnected."""
+    Every node's largest distance lies between bounds. A round searches from a
+    few nodes (four at most) of each graph that may still hold the answer: a node
+    at distance d of a root with largest distance r has one of at least
+    max(d, r - d) and at most r + d. Nodes whose upper bound does not pass the
+    best lower bound of all graphs are out; a few rounds close the rest. Rounds
+    write one row a node; the driver reads the best bound and whether a graph is
+    disconnected."""
     size = nodes.groupBy(key).agg(F.countDistinct("node").alias("_n"))
     bounds = written(nodes.select(key, "node").distinct().join(size, key).select(
         key, "node", "_n", F.lit(0).alias("low"), (F.col("_n") - 1).cast("int").alias("high")), "bounds")
@@ -75,19 +76,21 @@ def largest_distance(edges: DataFrame, nodes: DataFrame, key: str = "g", far: in
     while True:
         best = bounds.agg(F.max("low")).first()[0]
         open_ = bounds.where(F.col("high") > F.lit(best if best is not None else 0))
-        # in turn the node that may be the farthest and the one that is the most central
-        pick = F.struct("high", -F.col("node")) if rounds % 2 == 0 else F.struct(-F.col("low"), "high", -F.col("node"))
-        roots = written(open_.groupBy(key).agg(F.max_by("node", pick).alias("root")), "roots")
+        # nodes that may be the farthest, by three ties, and the one that seems the most central
+        node, far_off = F.col("node"), [F.struct("high", -F.col("node")), F.struct("high", "node"), F.struct("high", F.xxhash64("node"))]
+        picks = F.array_distinct(F.array(*[F.max_by(node, t) for t in far_off], F.min_by(node, F.struct("high", F.xxhash64("node")))))
+        roots = written(open_.groupBy(key).agg(picks.alias("root")).select(key, F.explode("root").alias("root")), "roots")
         if roots.isEmpty():
             break
         start = roots.select(key, "root", F.col("root").alias("node"))
         reach = frontiers(edges, start, key, "root", "node", "d")
-        ecc = reach.groupBy(key).agg(F.max("d").alias("_e"), F.count(F.lit(1)).alias("_r"))
+        ecc = reach.groupBy(key, "root").agg(F.max("d").alias("_e"), F.count(F.lit(1)).alias("_r"))
         if rounds == 0 and not bounds.select(key, "_n").distinct().join(ecc, key).where("_r < _n").isEmpty():
             return bounds.sparkSession.range(1).select(F.lit(far).cast("int").alias("max_dist"))
-        near = reach.join(ecc, key).select(key, "node", "d", "_e")
         d, e = F.col("d"), F.col("_e")
+        near = reach.join(ecc, [key, "root"]).groupBy(key, "node").agg(
+            F.max(F.greatest(d, e - d)).alias("_low"), F.min(e + d).alias("_high"))
         bounds = written(bounds.join(near, [key, "node"], "left").select(
-            key, "node", "_n", F.greatest("low", d, e - d).alias("low"), F.least("high", e + d).alias("high")), "bounds")
+            key, "node", "_n", F.greatest("low", "_low").alias("low"), F.least("high", "_high").alias("high")), "bounds")
         rounds += 1
     return bounds.agg(F.max("low").alias("max_dist"))
