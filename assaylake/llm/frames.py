@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,16 @@ def drop_written(*frames: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """At a task's end: return what it freed to the machine, since the Python
+    worker stays for the tasks after it (a hint; does nothing where the C library
+    has no such call)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_text(df: DataFrame, text: str, fn: Callable[[str], str]) -> DataFrame:
     """``df`` with ``fn`` applied to the strings of one column (nulls stay)."""
     at = df.columns.index(text)

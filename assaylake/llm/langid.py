@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernels as tk
+from .frames import give_back
 from .nets import Adam, softmax
 
 WINDOW = 256
@@ -191,7 +192,8 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text", lang_col:
     rest = [c for c in docs.columns if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+        # the byte-pair tables of a copy go with the task
+        net = shared.value and ByteNet(shared.value.langs, shared.value.params)
         for b in batches:
             data, offs = tk.text_buffer(b[text])
             lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
@@ -208,5 +210,7 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text", lang_col:
                         lang[a + d], score[a + d] = net.langs[int(prob.argmax())], prob.max()
             yield pa.RecordBatch.from_arrays([*[b[n] for n in rest], pa.array(lang, pa.string()),
                                               pa.array(np.clip(score, 0, 1))], [*rest, lang_col, score_col])
+        del net
+        give_back()
     spec = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add(lang_col, "string").add(score_col, "double")
     return docs.mapInArrow(run, spec)

@@ -20,26 +20,42 @@ only: at most C tokens for each of some 160 classes.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import give_back
+
 CAPACITY = 4096
 TAIL = 128
 CLOSING_ID = 2
-#: a tokenizer's memos of chunks and of pieces are emptied at this many entries each (about 200 bytes an entry)
-MEMO = 1_000_000
+#: a tokenizer's memos of chunks and of pieces are emptied at this many entries each (about
+#: 130 bytes an entry), and when a task ends
+MEMO = 300_000
 
 # The pattern by which the tokenizer file splits lower-cased text (fixed value of that file).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class Memo(dict):
+    """Results of a function by its argument."""
+
+    def __init__(self, fn: Callable[[str], bytes]):
+        super().__init__()
+        self.fn = fn
+
+    def __missing__(self, key: str) -> bytes:
+        out = self[key] = self.fn(key)
+        return out
+
+
 class WordTokenizer:
     """Token ids of a text by a public word-BPE file, remembered by chunk.
 
@@ -56,48 +72,45 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.split = regex.compile(SPLIT)
         self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memos."""
+        self.chunks = Memo(self._chunk)
+        self.pieces = Memo(self._piece)
 
     @staticmethod
     def _bytes(ids) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, p: str) -> bytes:
-        out = self.pieces.get(p)
-        if out is None:
-            text = p if p.isascii() else self.level.pre_tokenize_str(p)[0][0]
-            out = self.pieces[p] = self._bytes([t.id for t in self.tok.model.tokenize(text)])
-        return out
+        text = p if p.isascii() else self.level.pre_tokenize_str(p)[0][0]
+        return self._bytes([t.id for t in self.tok.model.tokenize(text)])
 
     def _chunk(self, c: str) -> bytes:
+        if not c:
+            return b""
+        pieces = self.pieces
         simple = c.isascii() or (max(c) < "Ā" and unicodedata.is_normalized("NFC", c))
         if simple and c.isprintable() and "<|" not in c:
             low = c.lower()
             if low.isalpha():
-                return self._piece(low)
+                return pieces[low]
             if c.isascii() and low[:-1].isalpha() and low[-1] in ".,;:!?":
-                return self._piece(low[:-1]) + self._piece(low[-1])
-            return b"".join([self._piece(p) for p in self.split.findall(low)])
+                return pieces[low[:-1]] + pieces[low[-1]]
+            return b"".join([pieces[p] for p in self.split.findall(low)])
         return self._bytes(self.tok.encode(c, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        parts = text.translate(_SPACES).split(" ")
-        known = self.chunks
-        if len(known) > MEMO:
-            known = self.chunks = {"": b""}
+        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if len(self.chunks) > MEMO:
+            self.chunks = Memo(self._chunk)
         if len(self.pieces) > MEMO:
-            self.pieces = {}
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            for c in set(parts).difference(known):
-                known[c] = self._chunk(c)
-            return b"".join(map(known.__getitem__, parts))
+            self.pieces = Memo(self._piece)
+        return b"".join(map(self.chunks.__getitem__, parts))
 
 
-_SPACES = {9: " ", 10: " ", 13: " "}
 _LOADED: dict[str, WordTokenizer] = {}
 
 
@@ -193,13 +206,17 @@ def packed(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, p = tokenizer(tokenizer_path), Packer(TaskContext.get().partitionId(), capacity)
-        for b in batches:
-            for doc, t in zip(b["__id"].to_pylist(), b["__text"], strict=True):
-                p.add(doc, tok.ids(t.as_py() or "") + end, tail)
-                if len(p.rows) >= 20_000:
-                    yield from emit(p)
-        p.finish()
-        yield from emit(p)
+        try:
+            for b in batches:
+                for doc, t in zip(b["__id"].to_pylist(), b["__text"], strict=True):
+                    p.add(doc, tok.ids(t.as_py() or "") + end, tail)
+                    if len(p.rows) >= 20_000:
+                        yield from emit(p)
+            p.finish()
+            yield from emit(p)
+        finally:
+            tok.forget()
+            give_back()
 
     return (docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"))
             .mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
