@@ -17,9 +17,9 @@ ids first.
 
 Cases: vectors that are null, empty or hold a null or non-finite component
 take no part; shorter vectors are zero in the missing components. Rows that
-share an id are all candidates, and all queries under that id, but for exact
-copies, which count once. Fewer than k candidates: all
-of them. Empty tables give no rows; extra columns are ignored.
+share an id, exact copies included, are all candidates, and all queries under
+that id. Fewer than k candidates: all of them. Empty tables give no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,14 +38,13 @@ QUERY_ROWS = 1024
 
 def scaled_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
                    scale: float = 64.0) -> DataFrame:
-    """(id, v): floor(scale * component) of the valid vectors, exact copies once."""
+    """(id, v): floor(scale * component) of the valid vectors, one row for each."""
     v = F.col(vector).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (table.where(v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True)))
             .where(F.col(vec_id).isNotNull())
             .select(F.col(vec_id).cast("long").alias("id"),
-                    F.transform(v, lambda x: F.floor(x * scale)).alias("v"))
-            .distinct())
+                    F.transform(v, lambda x: F.floor(x * scale)).alias("v")))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:

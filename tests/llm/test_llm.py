@@ -3,6 +3,7 @@ nulls, empty and long texts, ties, repeated rows, empty tables and extra or
 clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -166,18 +167,20 @@ def test_maxscore_against_all_scores(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     got = maxscore.top_k(maxscore.scaled_vectors(df), F.col("id") % 20 == 0, 20).collect()
     v = {i: np.floor(64 * np.array(x)) for i, x in rows[:400] + [rows[404]]}
+    copies = [*v, 5]
     for q in range(0, 400, 20):
-        want = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:20]
+        want = sorted(((-int(v[q] @ v[c]), c) for c in copies if c != q))[:20]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
     assert maxscore.top_k(maxscore.scaled_vectors(df.limit(0)), F.col("id") % 20 == 0).count() == 0
 
 
-def test_maxscore_keeps_all_vectors_of_an_id(spark, tmp_path):
+@pytest.mark.parametrize("copies", [1, 3])
+def test_maxscore_keeps_all_vectors_of_an_id(spark, tmp_path, copies):
     import duckdb
 
     from assaylake.llm.queries import ORACLES
     rng = np.random.default_rng(6)
-    rows = [(i % 60, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(150)]
+    rows = [(i % 60, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(150)] * copies
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted(map(tuple, QUERIES["op4_maxscore_topk"](spark, str(tmp_path)).collect()))
     con = duckdb.connect()
@@ -185,6 +188,28 @@ def test_maxscore_keeps_all_vectors_of_an_id(spark, tmp_path):
     assert got == sorted(con.execute(ORACLES["op4_maxscore_topk"]).fetchall())
 
 
+def test_linked_parts_equal_all_pairs():
+    rng = random.Random(5)
+    for _ in range(300):
+        spans = [(rng.choice(secrets.KINDS), s, s + rng.randrange(1, 60)) for s in (rng.randrange(2000) for _ in range(rng.randrange(12)))]
+        base = [p for p in spans if p[0] in ("assign", "access", "hex")]
+        weak = [p for p in spans if p not in base]
+        near = lambda a, b: a[1] - 50 <= b[2] + 50 and b[1] - 50 <= a[2] + 50
+        want = [p for p in weak if any(secrets.ROLE[p[0]] != secrets.ROLE[o[0]] and near(p, o) for o in spans)]
+        assert secrets.link_parts(base, weak, 50) == want
+
+
+def test_failing_base_candidates_are_weak_parts():
+    def kinds(text):
+        return [k for k, _, _ in secrets.all_spans(text)[1]]
+    assert kinds("token=abc " + "z " * 10 + "AKIASHORT") == ["short_assign", "short_access"]
+    assert kinds("login=amy99 key 0123456789abcdef") == ["identifier", "short_hex"]
+    assert kinds("token=abc 0123456789abcdef") == []                # two secrets do not complete each other
+    assert kinds("token=abc " + "z " * 200 + "AKIASHORT") == []     # out of scope
+    base, linked = secrets.all_spans("AKIA" + "A" * 16 + " token=abc " + "0f" * 12)
+    assert [k for k, _, _ in base] == ["access", "hex"] and [k for k, _, _ in linked] == ["short_assign"]
+
+
 def test_secret_spans(spark):
     text = ("é user: bob99 pwd=abcd at https://h.example/x " + "z " * 200 + "login=amy99 " + "z " * 300 +
             'API_KEY = "abcdef123" token=abc AKIA' + "A" * 16 + " AKIAshort " + "0f" * 12)
