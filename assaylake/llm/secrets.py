@@ -4,7 +4,8 @@ Base spans (always reported): key assignments, access identifiers and long hex
 strings, found leftmost and non-overlapping for each kind in the whole text.
 
 Linked spans. A credential is often split: an account or client identifier
-here, a short secret there, an endpoint beside them. Alone each part is too
+here, a short secret there, an endpoint beside them; so are the candidates of the
+base patterns that fail only their length. Alone each part is too
 weak to report. Every part (weak or base) covers the interval of its own
 characters widened by ``SCOPE``; a weak part is reported when its interval
 meets the interval of a part of a complementary role (identifier with secret,
@@ -48,8 +49,12 @@ WEAK = {
                            r"""\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,}""",
                            re.IGNORECASE | re.ASCII),
 }
-KINDS = ["assign", "access", "hex", *WEAK]
-ROLE = {"assign": 1, "access": 0, "hex": 1, "identifier": 0, "short_secret": 1, "endpoint": 2}
+#: candidates of the base patterns that are too short to be base spans
+SHORT = ("short_assign", "short_access", "short_hex")
+SHORT_HEX = re.compile(r"[0-9a-f]{8,}")
+KINDS = ["assign", "access", "hex", *WEAK, *SHORT]
+ROLE = {"assign": 1, "access": 0, "hex": 1, "identifier": 0, "short_secret": 1, "endpoint": 2,
+        "short_assign": 1, "short_access": 0, "short_hex": 1}
 
 Span = tuple[str, int, int]
 
@@ -65,9 +70,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def weak_parts(text: str) -> list[Span]:
-    if ":" not in text and "=" not in text:    # every weak pattern holds one of them
-        return []
-    return [(kind, *m.span()) for kind, p in WEAK.items() for m in p.finditer(text)]
+    out = []
+    if ":" in text or "=" in text:             # every pattern of a name and its value holds one of them
+        out = [(kind, *m.span()) for kind, p in WEAK.items() for m in p.finditer(text)]
+        out += [("short_assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) < 6]
+    if "AKIA" in text:
+        out += [("short_access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) < 20]
+    # a run of 8 to 23 hex digits, one decimal digit at least
+    out += [("short_hex", *m.span()) for m in SHORT_HEX.finditer(text) if len(m[0]) < 24 and not m[0].isalpha()]
+    return out
 
 
 def link_parts(base: list[Span], weak: list[Span], scope: int = SCOPE) -> list[Span]:
@@ -88,8 +99,7 @@ def link_parts(base: list[Span], weak: list[Span], scope: int = SCOPE) -> list[S
         starts, reach = start[other][order], np.maximum.accumulate(end[other][order])
         upto = np.searchsorted(starts, end[mine] + 2 * scope, side="right")
         linked[mine] = (upto > 0) & (reach[np.maximum(upto, 1) - 1] >= start[mine] - 2 * scope)
-    taken = set(base)
-    return [p for p, on in zip(parts[len(base):], linked[len(base):], strict=True) if on and p not in taken]
+    return [p for p, on in zip(weak, linked[len(base):], strict=True) if on]
 
 
 def all_spans(text: str, scope: int = SCOPE) -> tuple[list[Span], list[Span]]:
