@@ -10,8 +10,8 @@ and spread of its tokens' vectors, and a two-layer numpy network with a
 temperature fitted on held-back training rows turns that into a probability.
 
 The table of word vectors has ``VOCAB`` x ``DIMS`` numbers whatever the corpus,
-so it may be broadcast. Training reads at most ``TRAIN_ROWS`` labelled
-documents (smallest id hashes): a documented bound for fitting only.
+so it may be broadcast. Training reads about ``TRAIN_ROWS`` labelled
+documents (id hashes under a bound): a documented bound for fitting only.
 
 Cases: null and empty texts are pooled to zeros and scored; labels that are
 null or contradict each other are not learned from; with one label only (or
@@ -173,10 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, doc_id: str = "doc_
     vec, weight = word_vectors(docs, text)
     known = (labels.where(allowed & F.col(label).isNotNull() & F.col(doc_id).isNotNull())
              .groupBy(F.col(doc_id).cast("long").alias("id"))
-             .agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").drop("y2")
-             .orderBy(F.xxhash64("id"), "id").limit(train_rows))
+             .agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").drop("y2"))
+    # about train_rows ids, by a bound on their hash: no sort, no task that sees them all
+    share = min(1.0, train_rows / max(known.count(), 1))
+    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    # at most train_rows ids: a bounded broadcast
+    # about train_rows ids: a bounded broadcast
     rows = rows.join(F.broadcast(known), "id").select("id", F.col("y").cast("int").alias("y"), "text")
     shared = docs.sparkSession.sparkContext.broadcast((vec, weight))
     got = _features(rows, "y", "int", shared).orderBy("id", "x").toArrow()
