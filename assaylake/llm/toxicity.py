@@ -260,17 +260,22 @@ def choose_landmarks(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[lis
 
 def support_vectors(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 30.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Weights and bias of the squared-hinge machine, by Newton steps."""
-    xb = np.concatenate([x, np.ones((len(x), 1))], 1).astype(np.float64)
-    keep = np.ones(xb.shape[1])
+    n = x.shape[1] + 1
+    keep = np.ones(n)
     keep[-1] = 1e-6                       # the bias is not drawn to zero
-    w, active = np.zeros(xb.shape[1]), None
+    w, active = np.zeros(n), None
     for _ in range(steps):
-        now = 1 - y * (xb @ w) > 0
+        now = 1 - y * (x @ w[:-1] + w[-1]) > 0
         if active is not None and (now == active).all():
             break
         active = now
-        xa, wa = xb[active], cost * weight[active]
-        w = np.linalg.solve((xa * wa[:, None]).T @ xa + np.diag(keep), xa.T @ (wa * y[active]))
+        left, right = np.diag(keep), np.zeros(n)
+        for at in np.array_split(np.flatnonzero(active), len(x) // 8192 + 1):
+            xa = np.concatenate([x[at], np.ones((len(at), 1))], 1).astype(np.float64)
+            wa = cost * weight[at]
+            left += (xa * wa[:, None]).T @ xa
+            right += xa.T @ (wa * y[at])
+        w = np.linalg.solve(left, right)
     return w[:-1], float(w[-1])
 
 
@@ -298,7 +303,7 @@ def _trained(machine: Machine, seen: list, toxic: list[str], clean: list[str], r
     """The machine after ``ROUNDS`` rounds on the highest units of the texts."""
     names, marks = machine.marks, Landmarks(machine.marks)
     value, vector = np.linalg.eigh(marks.kernel(names).astype(np.float64))
-    root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
+    root = (vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T).astype(np.float32)
     machine = Machine(names, np.append(machine.weights, np.zeros(len(names) - len(machine.weights))), machine.bias)
     negative = sorted({u for y, back, us in seen if not y and not back for u, _ in us if len(u) <= PIECE} - set(toxic) | set(clean))
     bags = [[u for u, _ in us] for y, back, us in seen if y and not back]
