@@ -14,7 +14,10 @@ Cases: a null text or one without a letter is ``und`` with score 0, as is every
 text when no labelled document exists; documents with null language are
 predicted but not learned from; repeated rows keep their own result, and rows
 that share id and language are learned from once (the smallest text); a null id
-counts as not held out; extra columns are kept by :func:`predict`.
+counts as not held out; of equally likely languages the first in order is
+predicted; an empty table gives no rows; more than ``MAX_LANGS`` languages to learn
+raise an error, since every one of them needs its training rows on the driver;
+extra columns are kept by :func:`predict`.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ documents (id hashes under a bound): a documented bound for fitting only.
 Cases: null and empty texts are pooled to zeros and scored; labels that are
 null or contradict each other are not learned from; with one label only (or
 none) every score is that label's share (0.5 without labels); repeated rows
-keep their own result; extra columns are ignored.
+keep their own result; texts of any length are pooled whole; equal scores are
+not ordered; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

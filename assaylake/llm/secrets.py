@@ -15,8 +15,10 @@ is a sweep over the sorted interval ends of one document: it asks for the
 nearest complementary interval only, and never forms pairs.
 
 Positions are code points, end exclusive. Cases: a null or empty text has no
-span; repeated rows and null ids keep their own result; extra columns are not
-returned by :func:`secret_spans` but survive :func:`redact`.
+span; texts of any length are scanned whole; spans that start together come by
+kind, then end; repeated rows and null ids keep their own result; an empty table
+gives no rows; extra columns are not returned by :func:`secret_spans` but survive
+:func:`redact`.
 """
 
 from __future__ import annotations
