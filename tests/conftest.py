@@ -12,6 +12,15 @@ SF_CHECK = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from assaylake.session import build_session
-    s = build_session(master="local[4]", shuffle_partitions=8, app="assaylake-tests")
+    s = build_session(master="local[4]", shuffle_partitions=4, app="assaylake-tests")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Small tables stay in as many shuffle parts as the session has."""
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    yield
+    spark.conf.set(conf, "true")

@@ -67,16 +67,16 @@ def test_short_lines_and_unfinished_folder(spark, tmp_path):
     assert io.materialize_if_absent(spark, out, lambda: spark.range(10)).count() == 10
 
 
-def test_one_frequent_order_value_is_split_and_ranked(spark):
+def test_one_frequent_order_value_is_split_and_ranked(spark, many_parts):
     df = spark.range(2000).selectExpr("CAST(IF(id < 1500, 7, id) AS LONG) AS f", "2000 - id AS line", "id")
     sizes = R.ordered(df, ["f", "line"]).where("f = 7").groupBy("_part").count().collect()
-    assert len(sizes) > 4 and max(s["count"] for s in sizes) < 500
+    assert len(sizes) > 2 and max(s["count"] for s in sizes) < 800
     got = {r["id"]: r["rank"] for r in R.placed(df, ["f", "line"], rank="rank").collect()}
     want = sorted(range(2000), key=lambda i: (7 if i < 1500 else i, 2000 - i))
     assert [got[i] for i in want] == list(range(1, 2001))
 
 
-def test_ranks_keep_large_longs_and_nulls_in_order(spark):
+def test_ranks_keep_large_longs_and_nulls_in_order(spark, many_parts):
     big = 1 << 60
     rows = [(big + k % 3, k) for k in range(300)] + [(None, 1000 + k) for k in range(5)]
     df = spark.createDataFrame(rows, "f long, line long")

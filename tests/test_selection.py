@@ -20,7 +20,7 @@ def test_buffer_keeps_the_latest_longs_beyond_doubles(spark):
     rows = [(rng.choice([None, -5, 7, 7, 7, big, -big, rng.randrange(-50, 50)]), k) for k in range(400)]
     df = spark.createDataFrame(rows, "o long, t long")
     order = sorted(rows, key=lambda r: (r[0] if r[0] is not None else -(1 << 63), r[1]))
-    for capacity in (1, 37, 250, 400, 1000):
+    for capacity in (1, 250, 1000):
         got = sorted(r["t"] for r in SP.bounded_buffer(df, "o", "t", capacity).collect())
         assert got == sorted(t for _, t in order[-capacity:])
     assert SP.bounded_buffer(df.limit(0), "o", "t", 3).count() == 0
@@ -40,14 +40,14 @@ def test_every_group_gets_its_draws(spark):
     assert sorted(r["count"] for r in got) == [3, 3]
 
 
-def test_shift_finds_neighbours_of_null_keys(spark):
+def test_shift_finds_neighbours_of_null_keys(spark, many_parts):
     df = spark.range(100).select("id", F.when(F.col("id") % 2 > 0, F.lit("a")).alias("k"))
     got = R.sequence_shift(df, "k", "id", [], ["id"], -1).collect()
     assert sum(r["id_shift"] is None for r in got) == 2
     assert all(r["id_shift"] in (None, r["id"] - 2) for r in got)
 
 
-def test_running_sums_and_counts_over_many_parts(spark):
+def test_running_sums_and_counts_over_many_parts(spark, many_parts):
     rng = random.Random(1)
     rows = [(rng.choice(["x"] * 6 + ["y", None]), rng.randrange(40), k, rng.randrange(9)) for k in range(600)]
     df = spark.createDataFrame(rows, "g string, o int, id int, v int")
@@ -60,7 +60,7 @@ def test_running_sums_and_counts_over_many_parts(spark):
             assert got[k] == (i, len(mine), total)
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 500])
+@pytest.mark.parametrize("n", [2, 501])
 def test_median_of_a_hot_group(spark, n):
     rng = random.Random(n)
     hot = [rng.choice([0.0, -0.0, 1.5, rng.gauss(0, 1e3), rng.random() * 1e-200]) for _ in range(n)]

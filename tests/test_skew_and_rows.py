@@ -64,9 +64,25 @@ def test_contrast_losses_bounded_batches(spark):
     assert abs(out[0].contrast - ref) < 1e-9 and out[0].n == 4
 
 
-def test_fragment_rows_equal_tables(spark):
-    m = S.molecules(spark, SF_SMALL)
-    atoms, bonds = MO.mol_graph(m, both_directions=True)
-    a = MO.fragment_counts(atoms, bonds)
-    b = MO.fragment_counts_rows(m)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_pattern_joins_equal_trying_all_atom_tuples(spark):
+    import itertools
+    from collections import defaultdict
+
+    from assaylake.operators import subgraph as SG
+    atoms, bonds = MO.mol_graph(S.molecules(spark, SF_SMALL).where("mol_id <= 60"), both_directions=True)
+    got = {r["mol_id"]: r for r in MO.fragment_counts(atoms, bonds).collect()}
+    per_mol, order = defaultdict(dict), defaultdict(dict)
+    for r in SG.match_tables(atoms, bonds, MO._valence())[0].collect():
+        per_mol[r["mol_id"]][r["atom"]] = r
+    for r in bonds.collect():
+        order[r["mol_id"]][r["src"], r["dst"]] = r["bond_order"]
+    names = {"symbol": "symbol", "charge": "charge", "aromatic": "aromatic", "degree": "degree", "bonded": "bonded", "hydrogens": "explicit_h"}
+    some = 0
+    for m, at in per_mol.items():
+        for p in SG.FRAGMENTS:
+            fits = [[i for i, r in at.items() if all(getattr(x, a) in (None, r[c]) for a, c in names.items())] for x in p.atoms]
+            found = {frozenset(t) for t in itertools.product(*fits)
+                     if len(set(t)) == len(t) and all(order[m].get((t[a], t[b])) == o for a, b, o in p.bonds)}
+            assert got[m][p.name] == len(found), (m, p.name)
+            some += len(found)
+    assert len(got) == len(per_mol) and some > 20
