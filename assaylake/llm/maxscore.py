@@ -90,18 +90,21 @@ def _query_block(group: pa.Table) -> pa.Table:
 
 
 def shard_topk(ids: np.ndarray, columns: np.ndarray, qid: int, q: np.ndarray, k: int,
-               step: int = 1024, probe: int = 8) -> tuple[np.ndarray, np.ndarray]:
+               step: int = 2048, probe: int = 16, ends: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the shard's rows that can be among the best k.
 
-    ``columns``: float64 (dims, rows) postings; ``q``: float64 (dims,)."""
-    low = np.minimum(q * columns.min(1), q * columns.max(1))
-    high = np.maximum(q * columns.min(1), q * columns.max(1))
+    ``columns``: float64 (dims, rows) postings; ``q``: float64 (dims,). The
+    first ``step`` rows give a threshold; each further run of rows is larger.
+    ``ends``: smallest and largest value of each column, if known."""
+    least, most = ends or (columns.min(1), columns.max(1))
+    low, high = np.minimum(q * least, q * most), np.maximum(q * least, q * most)
     order = np.argsort(low - high, kind="stable")
     rest = np.concatenate((np.cumsum((high - low)[order][::-1])[::-1], [0.0]))   # what order[i:] can add over low
     base = np.concatenate((np.cumsum(low[order][::-1])[::-1], [0.0]))            # what order[i:] adds at least
     best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
     floor = -np.inf
-    for at in range(0, columns.shape[1], step):
+    at = 0
+    while at < columns.shape[1]:
         block = columns[:, at:at + step]
         # essential: as long as the others together could lift a row over the threshold on their own
         first = int(np.searchsorted(-(rest + base[0]), -floor, side="right")) if np.isfinite(floor) else len(order)
@@ -117,6 +120,10 @@ def shard_topk(ids: np.ndarray, columns: np.ndarray, qid: int, q: np.ndarray, k:
             more = order[d:d + probe]
             score = score + q[more] @ block[more][:, rows]
             d = min(d + probe, len(order))
+        if len(rows) > k:
+            # ties with the k-th best stay for the ids to decide
+            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+            rows, score = rows[keep], score[keep]
         if len(rows):
             best_i = np.concatenate((best_i, ids[at + rows]))
             best_s = np.concatenate((best_s, score))
@@ -125,6 +132,7 @@ def shard_topk(ids: np.ndarray, columns: np.ndarray, qid: int, q: np.ndarray, k:
                 best_i, best_s = best_i[pick], best_s[pick]
             if len(best_s) == k:
                 floor = best_s.min()
+        at, step = at + step, 4 * step
     return best_i, best_s
 
 
@@ -139,8 +147,9 @@ def _search(k: int):
                 wide = dims * largest[0] * largest[1] >= 2.0 ** 53
                 kind = np.longdouble if wide else np.float64    # whole numbers stay exact
                 cols, qcols = cols[:dims].astype(kind), qcols[:dims].astype(kind)
+                ends = (cols.min(1), cols.max(1)) if cols.size else None
                 out = [(np.full(len(i), q), i, s) for q, (i, s) in
-                       ((q, shard_topk(ids, cols, q, np.ascontiguousarray(qcols[:, j]), k))
+                       ((q, shard_topk(ids, cols, q, np.ascontiguousarray(qcols[:, j]), k, ends=ends))
                         for j, q in enumerate(qids))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([x[0] for x in out]) if out else [], pa.int64()),
