@@ -6,9 +6,9 @@ and, but for the last, returns the columns of ``documents``. Stages are written
 to the shared scratch folder and read again in between.
 
 Cases: a null or letterless text is rejected by the language stage; rows
-without an id are never duplicates of each other; of repeated rows and of near
-duplicates the smallest id stays, of rows with the same id one; texts of any length
-are taken whole; empty tables give empty results; columns beyond those of
+without an id are never duplicates of each other; of near duplicates the
+smallest id stays, and rows with one id are one document that stays or goes with all
+of them; texts of any length are taken whole; empty tables give empty results; columns beyond those of
 ``documents`` pass through unchanged, whatever their names.
 """
 
