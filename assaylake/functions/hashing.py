@@ -8,6 +8,8 @@ in :func:`sql_hash32` so oracle queries pick the same members.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def hash32(*cols, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(_key(cols, seed)), 1, 8), 16, 10).cast("bigint")
 
 
+def hash32_of(*values, seed: int = 0) -> int:
+    """:func:`hash32` of whole numbers or strings, inside a task."""
+    return int(hashlib.md5(":".join(map(str, (seed, *(v for v in values if v is not None)))).encode()).hexdigest()[:8], 16)
+
+
 def uniform(*cols, seed: int = 0) -> Column:
     """Deterministic pseudo-uniform double in [0, 1)."""
     return hash32(*cols, seed=seed) / F.lit(TWO_32)

@@ -6,8 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from assaylake.functions.hashing import hash32, hash32_of
 from assaylake.operators import graph as G
 from assaylake.operators import small_graphs as SG
+from assaylake.operators import tokens as TK
+from assaylake.operators.lookup import lookup
 from assaylake.session import by_rows, parts_for, written
 
 
@@ -52,3 +55,50 @@ def test_parts_follow_rows(spark, monkeypatch):
     monkeypatch.setattr("assaylake.session.TASK_ROWS", 10)
     assert parts_for(spark, 0) == spark.sparkContext.defaultParallelism
     assert by_rows(spark.range(200), "id").groupBy("id").count().rdd.getNumPartitions() == 20
+
+
+@pytest.mark.parametrize("bound", [0, 20, 1000])
+def test_samples_of_small_and_large_graphs(spark, monkeypatch, bound):
+    monkeypatch.setattr(G, "SMALL_EDGES", bound)
+    monkeypatch.setattr(SG, "SLICE_PAIRS", 40)
+    edges, nodes = odd_graphs(spark)
+    roots = nodes.select("g", F.col("node").alias("root"))
+    new, old = (f(edges, roots, 3, 2, "g", 1) for f in (G.sample_k_hop, G.joined_samples))
+    assert new.dtypes == old.dtypes
+    assert rows(new, *old.columns) == rows(old, *old.columns)
+
+
+def test_hash_inside_a_task_is_that_of_spark(spark):
+    df = spark.createDataFrame([(0, "a"), (-7, ""), (1 << 40, "ü")], "n long, s string")
+    for n, s, a, b in df.select("n", "s", hash32("n", seed=3), hash32("s", "n", seed=4)).collect():
+        assert (a, b) == (hash32_of(n, seed=3), hash32_of(s, n, seed=4))
+
+
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("limit,bound", [(None, 0), (None, 20), (None, 1000), (2, 1000)])
+def test_paths_of_small_and_large_graphs(spark, monkeypatch, directed, limit, bound):
+    monkeypatch.setattr(G, "SMALL_EDGES", bound)
+    monkeypatch.setattr(SG, "SLICE_PAIRS", 40)
+    edges, nodes = odd_graphs(spark, directed)
+    edges = edges.withColumn("f", F.concat_ws("-", F.least("src", "dst"), F.greatest("src", "dst"), F.lit("x")))
+    edges = edges.unionByName(edges.where("src = 1").withColumn("f", F.lit("second")))
+    new = G.shortest_paths(edges, nodes, max_rounds=limit, undirected=not directed, feat="f")
+    old = G.joined_paths(edges, nodes, max_rounds=limit, undirected=not directed)
+    assert rows(new, "g", "i", "j", "path", "dist") == rows(old, "g", "i", "j", "path", "dist")
+    for most in (None, 1):
+        a, b = (G.path_edges(p, edges, most, feat="f") for p in (new, old))
+        assert a.dtypes == b.dtypes
+        assert rows(a, *b.columns) == rows(b, *b.columns)
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """Repetitive rows are not coalesced into few tasks by their compressed bytes."""
+    monkeypatch.setattr("assaylake.session.TASK_ROWS", 100)
+    tokens = spark.range(300).select(F.col("id").alias("m"), F.explode(F.expr("sequence(0L, 9L)")).alias("pos"), F.lit("C").alias("token"))
+    vocab = spark.createDataFrame([("C", 2)], "token string, id long")
+    assert TK.encode_pad(tokens, vocab, "m").rdd.getNumPartitions() == 30
+    assert TK.context_window(tokens.withColumn("id", F.lit(2)), "m", "pos", "id").rdd.getNumPartitions() == 30
+    words = spark.range(50).select(F.concat(F.lit("w"), "id").alias("v"), "id")
+    named = lookup(tokens.select("m", F.concat(F.lit("w"), F.col("m") % 60).alias("v")), words, "v", "left", max_rows=10)
+    assert named.rdd.getNumPartitions() == 30
+    assert named.count() == 3000 and named.where("id is null").count() == 500
