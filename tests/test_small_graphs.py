@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaylake.functions.hashing import hash32, hash32_of
+from assaylake.operators import distances as DI
 from assaylake.operators import graph as G
 from assaylake.operators import small_graphs as SG
 from assaylake.operators import tokens as TK
@@ -102,3 +103,17 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     named = lookup(tokens.select("m", F.concat(F.lit("w"), F.col("m") % 60).alias("v")), words, "v", "left", max_rows=10)
     assert named.rdd.getNumPartitions() == 30
     assert named.count() == 3000 and named.where("id is null").count() == 500
+
+
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("limit,bound", [(None, 20), (2, 1000)])
+def test_distances_of_small_and_large_graphs(spark, monkeypatch, directed, limit, bound):
+    monkeypatch.setattr(G, "SMALL_EDGES", bound)
+    monkeypatch.setattr(SG, "SLICE_PAIRS", 40)
+    edges, _ = odd_graphs(spark, directed)
+    rnd = random.Random(9)
+    pairs = [(rnd.randrange(14), rnd.randrange(13), rnd.randrange(13), t) for t in range(150)] + [(None, 1, 1, 0), (2, None, 1, 1), (2, 1, None, 1), (4, -1, 2, 1)]
+    pairs = spark.createDataFrame(pairs + pairs[:5], "g int, i int, j int, t int")
+    new = DI.pair_distances(edges, pairs, limit=limit, far=77, undirected=not directed)
+    old = pairs.join(DI.joined_distances(edges, pairs, limit=limit, undirected=not directed), ["g", "i", "j"], "left").fillna(77, ["dist"])
+    assert rows(new, "g", "i", "j", "t", "dist") == rows(old, "g", "i", "j", "t", "dist")
