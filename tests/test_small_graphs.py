@@ -167,4 +167,4 @@ def test_edges_are_dealt_by_rows(spark, monkeypatch):
     feats = spark.range(1000).selectExpr("id * 0 as g", "id as node", "0 as dim", "1.0D as x")
     df = G.relation_mean(feats, edges)
     assert set(parts_of(df, "g", "src", "_lane")) == {10}
-    assert rows(df, "node", "x") == rows(spark.range(7).selectExpr("id as node", "1.5D as x"))
+    assert rows(df, "node", "x") == rows(spark.range(7).selectExpr("id as node", "1.5D as x"), "node", "x")
