@@ -45,7 +45,7 @@ def op4_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = masked_lm.hashed(_table(spark, sf_dir, "documents"), "doc_id")
     return masked_lm.score(docs, masked_lm.fit(docs))
 
 

@@ -3,6 +3,7 @@ nulls, empty and long texts, ties, repeated rows, empty tables and extra or
 clashing columns."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -385,6 +386,49 @@ def test_every_position_trains_the_language_model(spark):
         assert all(np.allclose(got[k][name], v, atol=1e-4) for name, v in want.params.items())
 
 
+def test_language_model_on_texts_hashed_once(spark):
+    rows = [(k, sentence(5 + 20 * (k % 3))) for k in range(40)] + [(7, "twice a b"), (7, "twice a b"), (None, "no id"), (50, None), (51, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    once = masked_lm.hashed(docs, "doc_id")
+    model = masked_lm.fit(once, rounds=1)
+    assert model.words.orderBy("word").collect() == masked_lm.fit(docs, rounds=0).words.orderBy("word").collect()
+    got, want = (sorted(masked_lm.score(x, model).collect(), key=str) for x in (once, docs))
+    assert got == want and len(got) == len(rows)
+    assert {r.n_words for r in got if r.doc_id in (50, 51)} == {0} and sum(r.doc_id == 7 for r in got) == 3
+    assert masked_lm.hashed(docs.limit(0), "doc_id").rows.count() == 0
+
+
+def test_training_steps_against_plain_sums():
+    """Gradients summed one input at a time, for documents down to one word, in
+    a net that came by pickle as in a task."""
+    rng = np.random.default_rng(1)
+    doc = np.repeat(np.arange(400), rng.integers(1, 7, 400))
+    h = rng.integers(0, 1 << 12, len(doc)).astype(np.uint64) << np.uint64(52)
+    net = pickle.loads(pickle.dumps(masked_lm.WindowNet(np.zeros(0, np.int64), np.arange(masked_lm.CLASSES), 100)))
+    assert all(v.dtype is np.dtype(np.float32) for v in net.params.values())
+    p = {k: v.astype(float) for k, v in net.params.items()}
+    x, y = net.inputs(h, doc), rng.integers(0, masked_lm.CLASSES, len(doc))
+    net.train(x, y, 0.5)
+    for at in range(0, len(x), masked_lm.BATCH):
+        xb, yb = x[at:at + masked_lm.BATCH], y[at:at + masked_lm.BATCH]
+        e = p["emb"][xb].reshape(len(xb), -1)
+        hid = np.tanh(e @ p["w1"] + p["b1"])
+        z = np.exp(hid @ p["w2"] + p["b2"])
+        d = z / z.sum(1, keepdims=True) - np.eye(masked_lm.CLASSES)[yb]
+        dh = (d @ p["w2"].T) * (1 - hid * hid)
+        step, de = 0.5 / masked_lm.BATCH, (dh @ p["w1"].T).reshape(-1, masked_lm.WIDTH)
+        p["w2"] -= step * hid.T @ d
+        p["b2"] -= step * d.sum(0)
+        p["w1"] -= step * e.T @ dh
+        p["b1"] -= step * dh.sum(0)
+        np.subtract.at(p["emb"], xb.ravel(), step * 20 * de)
+    assert all(np.allclose(net.params[k], v, atol=1e-5) for k, v in p.items())
+    n = np.ones(len(x))
+    before = net.log_prob(x, y, n)
+    net.params["b2"] += 200         # too much for exp without a shift
+    assert np.allclose(net.log_prob(x, y, n), before, atol=1e-3)
+
+
 def test_held_out_accuracy(spark):
     d = SF_SMALL.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")
