@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textkernels as tk
 from .components import components
-from .frames import drop_written, written
+from .frames import drop_written, giving_back, written
 
 UNIVERSE_BITS = 20
 BANDS = 32
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, n_words: int) -> DataFrame:
                  pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()),
                  pa.array([_bands(signature(s, BANDS * ROWS)) if len(s) else None for s in sets], pa.list_(pa.int64()))],
                 ["id", "n", "cls", "bands"])
-    return docs.mapInArrow(run, "id long, n long, cls long, bands array<bigint>")
+    return docs.mapInArrow(giving_back(run), "id long, n long, cls long, bands array<bigint>")
 
 
 def _payload(docs: DataFrame, n_words: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _payload(docs: DataFrame, n_words: int) -> DataFrame:
                 [b["cls"], pa.array([_class_of(s) for s in sets], pa.int64()),
                  pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary())],
                 ["cls", "own", "shingles", "long", "keys"])
-    return (docs.mapInArrow(run, "cls long, own long, shingles binary, long binary, keys binary")
+    return (docs.mapInArrow(giving_back(run), "cls long, own long, shingles binary, long binary, keys binary")
             .where("cls = own").drop("own"))
 
 
@@ -158,7 +158,7 @@ def _confirmed(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     left = near.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     right = near.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
@@ -215,14 +215,14 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             held, last = [b.slice(cut)], group[-1]
         if held:
             yield flush(pa.Table.from_batches(held))
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(giving_back(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a document."""
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    sig = written(signatures(docs, n_words), "minhash-signatures")
+    sig = written(signatures(docs, n_words), "minhash-signatures", small_batches=True)
     full = sig.where(F.col("cls").isNotNull() & F.col("id").isNotNull())
 
     # buckets with more than one class
@@ -233,10 +233,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id
 
     near = hits.groupBy("cls").agg(F.min("rep").alias("id"))
     near = written(_payload(docs.join(near.hint("shuffle_hash"), "id").select("cls", "text"), n_words)
-                   .dropDuplicates(["cls"]), "minhash-sets")
+                   .dropDuplicates(["cls"]), "minhash-sets", small_batches=True)
 
     stars = hits.where("cls > centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    links = written(_confirmed(stars, near, percent), "minhash-links")
+    links = written(_confirmed(stars, near, percent), "minhash-links", small_batches=True)
     label = components(links)
 
     # the same buckets, where components are left
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, doc_id
               .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "label")
               .join(near, "cls")
               .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls"))
-    more = written(_across(blocks, percent), "minhash-more")
+    more = written(_across(blocks, percent), "minhash-more", small_batches=True)
     if not more.isEmpty():
         label = components(label.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
                            .unionByName(more))

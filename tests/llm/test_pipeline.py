@@ -1,9 +1,11 @@
 """Every stage of the corpus pipeline on odd rows and on no rows."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from assaylake.llm import frames, minhash
 
 from ..conftest import SF_SMALL
 
@@ -52,3 +54,52 @@ def test_no_documents(spark, odd):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF_SMALL)
         assert docs.count() == 0
+
+
+class Taken:
+    """Stands for a table: holds the function that mapInArrow would run."""
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def where(self, cond):
+        return self
+
+    drop = repartition = where
+
+
+TEXTS = {"id": [1, 2], "cls": [1, 2], "text": ["a b c d e f", None]}
+BLOCK = {"key": [1], "i": [0], "j": [0], "cls": [1], "label": [1], "long": [b""], "keys": [b""], "shingles": [b""]}
+
+
+@pytest.mark.parametrize("step, rows", [(minhash.signatures, TEXTS), (minhash._payload, TEXTS), (minhash._across, BLOCK)])
+def test_near_dedup_tasks_give_their_memory_back(monkeypatch, step, rows):
+    given = []
+    monkeypatch.setattr(frames, "give_back", lambda: given.append(True))
+    rows = step(Taken(), 5).run(iter([pa.RecordBatch.from_pydict(rows)]))
+    next(rows)
+    assert not given
+    list(rows)
+    assert given == [True]
+
+
+def test_near_dedup_sends_small_batches(spark, monkeypatch):
+    """Every table of the stage that Python makes meets it in batches of at most 1000 rows."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, most = spark.conf.get(conf), {}
+
+    def kept(df, name, *args, **kw):
+        if "MapInArrow" in df._jdf.queryExecution().toString():
+            seen = frames.written(spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long"), name, *args, **kw)
+            most[name] = seen.agg(F.max("n")).first()[0]
+        return frames.written(df, name, *args, **kw)
+
+    monkeypatch.setattr(minhash, "written", kept)
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(8)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in minhash.keep_one(docs).collect()) == [0, 2, 4, 6]
+    assert set(most) == {"minhash-signatures", "minhash-sets", "minhash-links", "minhash-more"} and max(most.values()) <= 1000
+    assert spark.conf.get(conf) == before
